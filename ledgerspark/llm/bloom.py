@@ -45,45 +45,83 @@ class Bits:
         return out
 
 
-def bits_for(keys: int, most: int) -> int:
-    """A power of two, about 12 bits a key, at most `most`."""
-    return min(most, 1 << max(13, int(np.ceil(np.log2(12 * keys + 1)))))
+def bits_for(keys: int) -> int:
+    """A power of two, about 12 bits a key."""
+    return 1 << max(13, int(np.ceil(np.log2(12 * keys + 1))))
 
 
-def filter_of(keys: DataFrame, count: int, max_bits: int) -> bytes:
-    """The filter of the long column `key`, whose values are hashes. The driver gets max_bits / 8 bytes at most.
+def _gather(parts: DataFrame, segments: int, each: int) -> tuple[bytes, int]:
+    out = np.zeros(segments * each // 8, np.uint8)
+    for row in parts.toLocalIterator():
+        at = row["segment"] * (each // 8)
+        out[at : at + each // 8] |= np.frombuffer(row["data"], np.uint8)
+    return out.tobytes(), segments
+
+
+def _segment(s: int, data: Bits) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"segment": pa.array([s], pa.int64()), "data": pa.array([data.data.tobytes()], pa.binary())})
+
 
-    A key's low bits name its segment, and one task fills a segment, so each segment is sent once.
+def filter_of(keys: DataFrame, count: int, max_bits: int) -> tuple[bytes, int]:
+    """The filter of the long column `key`, whose values are hashes, and its number of segments.
+
+    A key's low bits name its segment, and one task fills a segment, so each segment is sent once; the driver gets
+    max_bits / 8 bytes at most.
     """
-    bits = bits_for(count, max_bits)
+    bits = min(max_bits, bits_for(count))
     segments = max(1, bits >> SEGMENT)
     each = bits // segments
 
     def fill(batches):
         own: dict[int, Bits] = {}
         for batch in batches:
-            got = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(U)
-            which = got & U(segments - 1)
-            for s in np.unique(which).tolist():
-                own.setdefault(s, Bits(each)).add(got[which == U(s)])
+            got = batch.column(0).to_numpy().view(U)
+            for s in np.unique(got & U(segments - 1)).tolist():
+                own.setdefault(s, Bits(each)).add(got[(got & U(segments - 1)) == U(s)])
         for s, f in own.items():
-            yield pa.RecordBatch.from_pydict({"segment": pa.array([s], pa.int64()), "data": pa.array([f.data.tobytes()], pa.binary())})
+            yield _segment(s, f)
 
     placed = keys.select("key").repartition(segments, F.expr(f"pmod(key, {segments})"))
-    out = np.zeros(bits // 8, np.uint8)
-    for row in placed.mapInArrow(fill, "segment long, data binary").toLocalIterator():
-        at = row["segment"] * (each // 8)
-        out[at : at + each // 8] |= np.frombuffer(row["data"], np.uint8)
-    return out.tobytes()
+    return _gather(placed.mapInArrow(fill, "segment long, data binary"), segments, each)
+
+
+def twice_seen(keys: DataFrame, count: int, max_bits: int) -> tuple[bytes, int]:
+    """The twice-seen filter of (key long, again boolean), and its number of segments.
+
+    again: the key was met more than once already. Each segment's task holds a once-seen filter of a fixed size (there
+    are as many segments as all keys need); a key that is in it already goes into the segment's twice-seen filter.
+    Only those come to the driver, together max_bits / 8 bytes at most.
+    """
+    bits = bits_for(count)
+    segments = max(1, bits >> SEGMENT)
+    each = bits // segments
+    each_twice = max(1 << 10, min(each, max_bits // segments))
+
+    def fill(batches):
+        own: dict[int, tuple[Bits, Bits]] = {}
+        for batch in batches:
+            got, again = batch.column(0).to_numpy().view(U), batch.column(1).to_numpy(zero_copy_only=False)
+            for s in np.unique(got & U(segments - 1)).tolist():
+                mine = (got & U(segments - 1)) == U(s)
+                once, twice = own.setdefault(s, (Bits(each), Bits(each_twice)))
+                key, where, counts = np.unique(got[mine], return_inverse=True, return_counts=True)
+                repeated = counts > 1
+                np.logical_or.at(repeated, where, again[mine])
+                twice.add(key[repeated | once.holds(key)])
+                once.add(key)
+        for s, (_, twice) in own.items():
+            yield _segment(s, twice)
+
+    placed = keys.select("key", "again").repartition(segments, F.expr(f"pmod(key, {segments})"))
+    return _gather(placed.mapInArrow(fill, "segment long, data binary"), segments, each_twice)
 
 
 class Filter:
-    """Tests keys against what filter_of() returned."""
+    """Tests keys against what filter_of() or twice_seen() returned."""
 
-    def __init__(self, data: bytes):
-        bits = len(data) * 8
-        self.segments = max(1, bits >> SEGMENT)
-        self.each = bits // self.segments
+    def __init__(self, data: bytes, segments: int):
+        self.segments = segments
+        self.each = len(data) * 8 // segments
         self.whole = np.frombuffer(data, np.uint8)
 
     def holds(self, keys: np.ndarray) -> np.ndarray:

@@ -5,9 +5,10 @@ keeps its smallest point, rounded down on an exponential scale and truncated (Se
 of two documents agree about as often as their sets' Jaccard similarity. Registers are mergeable by max.
 
 Plan: sketch in one pass; sets that are equal collapse into one class; classes that share a band of registers
-are compared with the band's smallest class (a star, not all pairs), and after those links have been joined up,
-only pairs of a band that still lie in different components. A pair is dropped by its estimate only where the
-similarity asked for is out of reach by a wide likelihood ratio; all others are confirmed on their full sets.
+are compared with the band's smallest class (a star, not all pairs). Where the members of a band still lie in
+different components after that, they are compared in tiles of two bounded blocks, and a tile gives only the links of
+a spanning forest. A pair is dropped by its estimate only where the similarity asked for is out of reach by a wide
+likelihood ratio; all others are confirmed on their full sets.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ BASE, RATE, TOP = 1.001, 20.0, 65534
 #: A pair is dropped when the similarity asked for is e**12 times less likely than the best one.
 LIKELIHOOD_DROP = 12.0
 MAX_FILTER_BITS = 1 << 27
+#: Documents in a block of a tile, on average.
+TILE = 256
 
 
 def shingle_sets(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,25 +112,33 @@ def log_likelihood(j, n_a, n_b, more, less, same):
     return more * np.log(up) + less * np.log(down) + same * np.log(equal)
 
 
-def _estimate(percent: int):
-    grid = np.concatenate((np.linspace(0, percent / 100, 61), np.linspace(percent / 100, 1, 21)[1:]))
+def hopeful(n_a, n_b, more, less, same, percent: int) -> np.ndarray:
+    """Whether the similarity asked for is not much less likely than the best one, and the sizes allow it."""
+    asked = percent / 100
+    grid = np.concatenate((np.linspace(0, asked, 61), np.linspace(asked, 1, 21)[1:]))
+    most = np.minimum(n_a, n_b) / np.maximum(n_a, n_b)
+    best, reached = np.full(len(n_a), -np.inf), np.full(len(n_a), -np.inf)
+    for j in grid:
+        got = np.where(j <= most + 1e-9, log_likelihood(j, n_a, n_b, more, less, same), -np.inf)
+        best = np.maximum(best, got)
+        if j >= asked - 1e-9:
+            reached = np.maximum(reached, got)
+    return (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)) & (reached >= best - LIKELIHOOD_DROP)
+
+
+def _registers_of(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
+
 
+def _estimate(percent: int):
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             a, b, n_a, n_b = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            ra, rb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, REGISTERS).astype(np.int32) for i in (4, 5))
+            ra, rb = _registers_of(batch.column(4)), _registers_of(batch.column(5))
             more, less = (ra > rb).sum(axis=1), (ra < rb).sum(axis=1)
-            same = REGISTERS - more - less
-            most = np.minimum(n_a, n_b) / np.maximum(n_a, n_b)
-            best, asked = np.full(len(a), -np.inf), np.full(len(a), -np.inf)
-            for j in grid:
-                got = np.where(j <= most + 1e-9, log_likelihood(j, n_a, n_b, more, less, same), -np.inf)
-                best = np.maximum(best, got)
-                if j >= percent / 100 - 1e-9:
-                    asked = np.maximum(asked, got)
-            go = (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)) & (asked >= best - LIKELIHOOD_DROP)
+            go = hopeful(n_a, n_b, more, less, REGISTERS - more - less, percent)
             yield pa.RecordBatch.from_pydict({"a": pa.array(a[go]), "b": pa.array(b[go])})
 
     return run
@@ -145,44 +156,127 @@ def _confirm(percent: int):
                 sets = []
                 for i in (2, 3):
                     # the same document often stands in neighbouring rows
-                    own, where = part.column(i).dictionary_encode(), None
+                    own = part.column(i).dictionary_encode()
                     where = own.indices.to_numpy()
                     offsets, data = tb.text_column(own.dictionary)
                     got, begin = shingle_sets(offsets - offsets[0], data[offsets[0] : offsets[-1]])
                     sets.append((got, begin, where))
                 for r in range(part.num_rows):
                     x, y = (got[begin[where[r]] : begin[where[r] + 1]] for got, begin, where in sets)
-                    both = len(x) + len(y) - len(np.unique(np.concatenate((x, y))))
-                    keep[r] = 100 * both >= percent * (len(x) + len(y) - both) and both > 0
+                    keep[r] = _similar(x, y, percent)
                 yield pa.RecordBatch.from_pydict({"a": part.column(0).filter(pa.array(keep)), "b": part.column(1).filter(pa.array(keep))})
 
     return run
 
 
-def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Of the pairs (a, b) of classes' smallest documents, those that are similar enough."""
-    side = lambda k: reps.select(F.col("doc_id").alias(k), F.col("n").alias(f"n_{k}"), F.col("regs").alias(f"r_{k}"))
-    hopeful = scratch.keep(
-        pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(_estimate(percent), "a long, b long").distinct()
-    )
-    ids = scratch.keep(hopeful.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(x) + len(y) - len(np.unique(np.concatenate((x, y))))
+    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _compare_tile(rows: pa.Table, percent: int):
+    """Links between the two blocks of a tile (or inside its one block) that join what isn't joined yet."""
+    col = lambda name: rows.column(name)
+    ids, n, block, place = (col(c).to_numpy() for c in ("doc_id", "n", "block", "component"))
+    i, j, band = col("i")[0].as_py(), col("j")[0].as_py(), col("band")[0].as_py()
+    regs = _registers_of(col("regs"))
+    codes = np.ascontiguousarray(regs).view([("", np.uint16)] * BAND)
+    offsets, data = tb.text_column(col("text"))
+    sets, begin = shingle_sets(offsets - offsets[0], data[offsets[0] : offsets[-1]])
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    root = {c: c for c in np.unique(place).tolist()}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    step = 32
+    for at in range(0, len(left), step):
+        l = left[at : at + step]  # noqa: E741
+        go = place[l][:, None] != place[right][None, :]
+        if i == j:
+            go &= l[:, None] < right[None, :]
+        for k in range(band):  # a pair belongs to its first common band
+            go &= codes[l, k][:, None] != codes[right, k][None, :]
+        x, y = np.nonzero(go)
+        x, y = l[x], right[y]
+        for part in range(0, len(x), 4096):
+            a, b = x[part : part + 4096], y[part : part + 4096]
+            more, less = (regs[a] > regs[b]).sum(axis=1), (regs[a] < regs[b]).sum(axis=1)
+            same = REGISTERS - more - less
+            hope = np.flatnonzero(hopeful(n[a], n[b], more, less, same, percent))
+            for p in hope[np.argsort(-same[hope], kind="stable")].tolist():
+                u, v = find(int(place[a[p]])), find(int(place[b[p]]))
+                if u != v and _similar(sets[begin[a[p]] : begin[a[p] + 1]], sets[begin[b[p]] : begin[b[p] + 1]], percent):
+                    root[v] = u
+                    yield int(ids[a[p]]), int(ids[b[p]])
+
+
+def _tiles(percent: int):
+    """Rows of one tile after the other; a tile is held at a time."""
+
+    def run(batches):
+        held, now = [], None
+        for batch in batches:
+            key = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("bucket", "i", "j")])
+            cut = np.concatenate(([0], np.flatnonzero((np.diff(key) != 0).any(axis=0)) + 1, [batch.num_rows]))
+            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                if b > a:
+                    mine = tuple(key[:, a].tolist())
+                    if mine != now and held:
+                        yield links(held)
+                        held = []
+                    now = mine
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield links(held)
+
+    def links(held):
+        found = list(_compare_tile(pa.Table.from_batches(held).combine_chunks(), percent))
+        return pa.RecordBatch.from_pydict({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
+
+    return run
+
+
+def _texts(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of the documents named by ids (doc_id, distinct), and of a few others: only these are moved, by a
+    filter of bounded size; the joins that follow settle which are needed."""
     spark = docs.sparkSession
     wanted = spark.sparkContext.broadcast(filter_of(ids.select(F.xxhash64("doc_id").alias("key")), ids.count(), MAX_FILTER_BITS))
 
     def needed(batches):
-        held = Filter(wanted.value)
+        held = Filter(*wanted.value)
         for batch in batches:
             go = held.holds(batch.column(2).to_numpy().view(U))
             yield batch.filter(pa.array(go)).select([0, 1])
 
-    # Only texts that may stand in a pair are moved; the joins below settle which do.
-    texts = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("key")).mapInArrow(needed, "doc_id long, text string")
-    texts = scratch.keep(texts)
+    return docs.select("doc_id", "text", F.xxhash64("doc_id").alias("key")).mapInArrow(needed, "doc_id long, text string")
+
+
+def _star_links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Of the pairs (a, b) of classes' smallest documents, those that are similar enough."""
+    side = lambda k: reps.select(F.col("doc_id").alias(k), F.col("n").alias(f"n_{k}"), F.col("regs").alias(f"r_{k}"))
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "r_a", "r_b")
+    pairs = scratch.keep(pairs.mapInArrow(_estimate(percent), "a long, b long").distinct())
+    ids = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    texts = scratch.keep(_texts(ids, docs))
     side = lambda k: texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"t_{k}"))
-    full = hopeful.join(side("a"), "a").join(side("b"), "b").select("a", "b", "t_a", "t_b")
+    full = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "t_a", "t_b")
     return scratch.keep(full.mapInArrow(_confirm(percent), "a long, b long").distinct())
 
 
+def _tile_links(rest: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Links between members (bucket, band, blocks, doc_id, component) of a bucket in different components."""
+    texts = scratch.keep(_texts(scratch.keep(rest.select("doc_id").distinct()), docs))
+    block = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.col("blocks"))
+    rows = rest.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "blocks")
+    full = rows.join(reps, "doc_id").join(texts, "doc_id")
+    placed = full.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return scratch.keep(placed.mapInArrow(_tiles(percent), "a long, b long").distinct())
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, n_shingles, component_id, kept, one row for each row of docs.
 
@@ -201,25 +295,22 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     reps = scratch.keep(named.join(classes, ["doc_id", "n", "f1", "f2"]).dropDuplicates(["doc_id", "n", "f1", "f2"]).select("doc_id", "n", "regs"))
 
     bands = REGISTERS // BAND
-    bucket = F.expr(f"explode(transform(sequence(0, {bands - 1}), i -> xxhash64(i, substring(regs, i * {2 * BAND} + 1, {2 * BAND}))))")
-    member = reps.select("doc_id", bucket.alias("bucket"))
+    code = F.expr(f"posexplode(transform(sequence(0, {bands - 1}), i -> xxhash64(i, substring(regs, i * {2 * BAND} + 1, {2 * BAND}))))")
+    member = reps.select("doc_id", code.alias("band", "bucket"))
     shared = member.groupBy("bucket").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot <> last")
     member = scratch.keep(member.join(shared.select("bucket", "pivot"), "bucket"))
     star = member.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = _links(star, reps, docs, percent, scratch)
+    links = _star_links(star, reps, docs, percent, scratch)
     found = scratch.keep(components(links, scratch))
 
     # What is left to compare: members of a bucket in different components, neither of them its pivot.
-    placed = member.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "bucket", "doc_id", "pivot", F.coalesce("component", "doc_id").alias("component")
-    )
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    rest = scratch.keep(placed.where("doc_id <> pivot").join(mixed, "bucket"))
-    other = rest.select("bucket", F.col("doc_id").alias("b"), F.col("component").alias("other"))
-    pairs = rest.join(other, "bucket").where("doc_id < b and component <> other").select(F.col("doc_id").alias("a"), "b").distinct()
-    pairs = scratch.keep(pairs)
-    if not pairs.isEmpty():
-        links = links.unionByName(_links(pairs, reps, docs, percent, scratch))
+    placed = member.where("doc_id <> pivot").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    placed = placed.select("bucket", "band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size"))
+    mixed = mixed.where("lo <> hi").select("bucket", F.ceil(F.col("size") / TILE).alias("blocks"))
+    rest = scratch.keep(placed.join(mixed, "bucket"))
+    if not rest.isEmpty():
+        links = links.unionByName(_tile_links(rest, reps, docs, percent, scratch))
         found = scratch.keep(components(links, scratch))
 
     classes = classes.withColumnRenamed("doc_id", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
