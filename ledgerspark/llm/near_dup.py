@@ -32,7 +32,7 @@ BASE, RATE, TOP = 1.001, 20.0, 65534
 LIKELIHOOD_DROP = 12.0
 MAX_FILTER_BITS = 1 << 27
 #: Documents in a block of a tile, on average.
-TILE = 256
+TILE = 1024
 
 
 def shingle_sets(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -270,9 +270,9 @@ def _tile_links(rest: DataFrame, reps: DataFrame, docs: DataFrame, percent: int,
     """Links between members (bucket, band, blocks, doc_id, component) of a bucket in different components."""
     texts = scratch.keep(_texts(scratch.keep(rest.select("doc_id").distinct()), docs))
     block = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.col("blocks"))
-    rows = rest.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "blocks")
-    full = rows.join(reps, "doc_id").join(texts, "doc_id")
+    full = rest.withColumn("block", block).join(reps, "doc_id").join(texts, "doc_id")
+    full = full.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    full = full.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "blocks")
     placed = full.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     return scratch.keep(placed.mapInArrow(_tiles(percent), "a long, b long").distinct())
 
