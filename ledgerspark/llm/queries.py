@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, near_dup, quality_classifier, substring_dedup, topk
+from . import bpe, chat, line_dedup, mixing, near_dup, pii, quality_classifier, quality_rules, substring_dedup, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -137,3 +137,87 @@ def op9_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFr
 
 
 QUERIES["op9_bpe"] = op9_bpe
+
+
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is taken to meet the production weights."""
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op1_mix_sources"] = op1_mix_sources
+
+
+def _filled(name: str, keys: str, label: str, rows: str) -> str:
+    """CTEs that share a parent's budget among rows (keys, label, weight, capacity, budget)."""
+    by = f"PARTITION BY {keys} ORDER BY CAST(capacity AS DOUBLE) / weight, {label}"
+    return f"""
+{name}_a AS (SELECT *, budget - coalesce(sum(capacity) OVER ({by} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lft,
+    sum(weight) OVER ({by} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ws, row_number() OVER ({by}) AS k FROM ({rows})),
+{name}_b AS (SELECT *, capacity * ws <= lft * weight AS f FROM {name}_a),
+{name}_c AS (SELECT *, first_value(CASE WHEN NOT f THEN lft END IGNORE NULLS) OVER w AS l1, first_value(CASE WHEN NOT f THEN ws END IGNORE NULLS) OVER w AS w1
+  FROM {name}_b WINDOW w AS (PARTITION BY {keys} ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+{name} AS (SELECT *, CAST(CASE WHEN f THEN capacity ELSE (l1 * weight) // w1 END AS BIGINT) AS allotted FROM {name}_c)"""
+
+
+ORACLES["op1_mix_sources"] = f"""
+WITH t AS (
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n
+  FROM documents),
+d AS (
+  SELECT *, CASE WHEN regexp_full_match(source, 'src[0-9]{{1,9}}') THEN ['web', 'books', 'code'][CAST(substring(source, 4) AS INT) % 3 + 1] ELSE 'other' END AS domain FROM t),
+leaf AS (SELECT domain, lang, source, CAST(sum(n) AS BIGINT) AS available, CAST(4 * sum(n) AS BIGINT) AS capacity FROM d GROUP BY ALL),
+dw AS (SELECT domain, CASE domain WHEN 'web' THEN 5 WHEN 'books' THEN 3 WHEN 'code' THEN 2 ELSE 1 END AS weight, CAST(sum(capacity) AS BIGINT) AS capacity FROM leaf GROUP BY domain),
+lw AS (SELECT domain, lang, CASE lang WHEN 'en' THEN 6 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 ELSE 1 END AS weight, CAST(sum(capacity) AS BIGINT) AS capacity FROM leaf GROUP BY domain, lang),
+b AS (SELECT least((SELECT CAST(sum(available) AS BIGINT) * 60 // 100 FROM leaf), (SELECT sum(capacity) FROM dw)) AS budget),
+{_filled("df", "1", "domain", "SELECT dw.*, b.budget FROM dw, b")},
+{_filled("lf", "domain", "lang", "SELECT lw.*, df.allotted AS budget FROM lw JOIN df USING (domain)")},
+{_filled("sf", "domain, lang", "source", "SELECT leaf.*, 1 AS weight, lf.allotted AS budget FROM leaf JOIN lf USING (domain, lang)")},
+p AS (SELECT domain, lang, source, CASE WHEN available > 0 THEN allotted // available ELSE 0 END AS e, CASE WHEN available > 0 THEN allotted % available ELSE 0 END AS rest FROM sf),
+o AS (
+  SELECT d.*, e, rest, coalesce(sum(n) OVER (PARTITION BY domain, lang, source ORDER BY md5('42:' || e || ':' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id NULLS FIRST, n
+         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b4
+  FROM d JOIN p USING (domain, lang, source))
+SELECT doc_id, domain, lang, source, CAST(n AS BIGINT) AS n_tokens, CAST(e AS BIGINT) AS whole_epochs, CAST(greatest(0, least(n, rest - b4)) AS BIGINT) AS prefix_tokens FROM o
+"""
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every document and the verdict of the learned decision list."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rules = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return quality_rules.apply_rules(docs, rules).select(*columns)
+
+
+QUERIES["op6_quality_rules"] = op6_quality_rules
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced by pseudonyms."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return pii.pseudonymize(docs).select("doc_id", "n_private", "text")
+
+
+QUERIES["op8_pii"] = op8_pii
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation from each participant's perspective."""
+    return chat.rotate(table(spark, sf_dir, "conversations")).withColumn("spans", F.to_json("spans"))
+
+
+QUERIES["op10_chat"] = op10_chat
+ORACLES["op10_chat"] = """
+WITH t AS (SELECT DISTINCT conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS who, replace(coalesce(text, ''), '<|', '< |') AS text,
+                  CAST(coalesce(floor(turn / 512), 0) AS BIGINT) AS part FROM conversations),
+p AS (SELECT DISTINCT conv_id, who AS perspective FROM t WHERE who <> 'system'),
+r AS (
+  SELECT t.*, perspective, '<|im_start|>' || CASE WHEN who = 'system' THEN 'system' WHEN who = perspective THEN 'assistant' ELSE 'user name=' || who END || chr(10) AS head,
+         text || '<|im_end|>' AS body FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+s AS (SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective, part ORDER BY turn NULLS FIRST, who, text
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS a FROM r)
+SELECT conv_id, perspective, part, count(*) AS n_turns, string_agg(head || body || chr(10), '' ORDER BY turn NULLS FIRST, who, text) AS rendered,
+       '[' || coalesce(string_agg('{"from":' || a || ',"to":' || (a + length(body)) || '}', ',' ORDER BY turn NULLS FIRST, who, text) FILTER (who = perspective), '') || ']' AS spans,
+       CAST(coalesce(sum(length(body)) FILTER (who = perspective), 0) AS BIGINT) AS n_target_chars
+FROM s GROUP BY conv_id, perspective, part
+"""
