@@ -8,32 +8,36 @@ from pyspark.sql import functions as F
 from .storage import Scratch
 
 
-def components(links: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, component) for every node of links (a, b): component is the smallest node reachable.
+def as_edges(links: DataFrame) -> DataFrame:
+    """links (a, b) as (u, v) with u > v; links a = b and nulls go."""
+    return links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
 
-    Alternates large-star and small-star steps (each node passes the smallest neighbour on) until the links
-    form stars. A step is a min per node, combined before the shuffle, and a join back, so a node with very
-    many links is never gathered. Links a = b and nulls are ignored; without links the result is empty.
+
+def contract(edges: DataFrame) -> DataFrame:
+    """One large-star and one small-star step (Kiveris et al. 2014): each node passes its smallest neighbour on.
+
+    A step is a min per node, combined before the shuffle, and a join back, so a node with very many links is never
+    gathered.
     """
-    edges = scratch.keep(
-        links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    )
-    seen = _sign(edges)
-    while seen[0]:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = scratch.keep(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        now = _sign(edges)
-        if now == seen:
-            break
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    low = large.groupBy("u").agg(F.min("v").alias("m"))
+    small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+
+
+def converge(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """Contracts edges until they are stars: each node but the smallest of its component has one edge, to that."""
+    seen = None
+    while True:
+        edges = scratch.keep(contract(edges))
+        now = edges.agg(F.count(F.lit(1)), F.sum(F.expr("cast(xxhash64(u, v) as decimal(20))"))).first()
+        if now == seen or not now[0]:
+            return edges
         seen = now
-    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def _sign(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.expr("cast(xxhash64(u, v) as decimal(20))")), F.lit(0))).first()
-    return row[0], int(row[1])
+def labels(edges: DataFrame) -> DataFrame:
+    """(node, component) of every node that has an edge to a smaller one: the smallest it has one to."""
+    return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))

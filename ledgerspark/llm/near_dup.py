@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from .bloom import Filter, filter_of
-from .components import components
+from .components import as_edges, contract, converge, labels
 from .storage import Scratch
 from .textbytes import U, mix
 
@@ -301,17 +301,18 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     member = scratch.keep(member.join(shared.select("bucket", "pivot"), "bucket"))
     star = member.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = _star_links(star, reps, docs, percent, scratch)
-    found = scratch.keep(components(links, scratch))
+    edges = scratch.keep(contract(as_edges(links)))
 
-    # What is left to compare: members of a bucket in different components, neither of them its pivot.
+    # What is left to compare: members of a bucket that aren't known to be in one component, neither of them its pivot.
+    found = scratch.keep(labels(edges))
     placed = member.where("doc_id <> pivot").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     placed = placed.select("bucket", "band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size"))
     mixed = mixed.where("lo <> hi").select("bucket", F.ceil(F.col("size") / TILE).alias("blocks"))
     rest = scratch.keep(placed.join(mixed, "bucket"))
     if not rest.isEmpty():
-        links = links.unionByName(_tile_links(rest, reps, docs, percent, scratch))
-        found = scratch.keep(components(links, scratch))
+        edges = edges.unionByName(as_edges(_tile_links(rest, reps, docs, percent, scratch)))
+    found = labels(converge(edges, scratch))
 
     classes = classes.withColumnRenamed("doc_id", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     classes = classes.select("n", "f1", "f2", F.coalesce("component", "rep").alias("component"))

@@ -3,7 +3,7 @@
 Equal values get equal pseudonyms wherever they stand, different values of one format different ones, and none can be
 turned back without the key. Built-in expressions only; texts without a candidate are left after one test.
 
-Formats: e-mail addresses (the part before @), telephone numbers with + (the digits after the country code), IPv4
+Formats: e-mail addresses (the part before @), telephone numbers with + (the digits after the first), IPv4
 addresses (each part up to 255), dates that exist (years 1600 to 2399), card numbers (13 to 19 digits that pass the
 Luhn check, which their pseudonyms pass too), numbers of the form 000-00-0000, and secrets of 32 to 128 hexadecimal digits.
 """
@@ -83,9 +83,16 @@ def _email(m: str, key: str) -> str:
     return f"concat({feistel(f'''substring_index({m}, '@', 1)''', key)}, '@', substring_index({m}, '@', -1))"
 
 
+def _redealt(m: str, digits: str) -> str:
+    """m with its digits replaced by those of the other string, in order; what stands between them stays."""
+    here = f"if(substr({m}, i, 1) between '0' and '9', substr(n, length(regexp_replace(substr({m}, 1, i), '[^0-9]', '')), 1), substr({m}, i, 1))"
+    return _let(digits, "n", f"array_join(transform(sequence(1, length({m})), i -> {here}), '')")
+
+
 def _phone(m: str, key: str) -> str:
-    country = _let(f"regexp_extract({m}, '^\\\\+[0-9]{{1,3}}', 0)", "cc", f"concat(cc, {feistel(f'substr({m}, length(cc) + 1)', key)})")
-    return country
+    """All digits but the first, whatever stands between them."""
+    digits = f"regexp_replace({m}, '[^0-9]', '')"
+    return _redealt(m, f"concat(substr({digits}, 1, 1), {feistel(f'substr({digits}, 2)', key)})")
 
 
 def _ip(m: str, key: str) -> str:
@@ -112,9 +119,11 @@ def _date(m: str, key: str) -> str:
 
 
 def _card(m: str, key: str) -> str:
-    clean = lambda x: f"regexp_replace({x}, '[ -]', '')"
-    body = _let(feistel(f"substr({m}, 1, length({m}) - 1)", key), "b", f"concat(b, cast((10 - {luhn(f'''concat({clean('b')}, '0')''')}) % 10 as string))")
-    return f"if({luhn(clean(m))} = 0, {body}, {m})"
+    """All digits but the last, whatever stands between them; the last by the Luhn check."""
+    digits = f"regexp_replace({m}, '[^0-9]', '')"
+    check = f"cast((10 - {luhn("concat(b, '0')")}) % 10 as string)"
+    moved = _let(feistel(f"substr({digits}, 1, length({digits}) - 1)", key), "b", f"concat(b, {check})")
+    return f"if({luhn(digits)} = 0, {_redealt(m, moved)}, {m})"
 
 
 def pseudonym(m: str, key: str) -> str:
