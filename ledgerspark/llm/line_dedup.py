@@ -115,7 +115,8 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
     lost = lost.groupBy("doc_id").agg(F.collect_set("h").alias("_drop"))
     lost = scratch.keep(lost.withColumnRenamed("doc_id", "_id"))
 
-    whole = docs.join(lost, docs["doc_id"].cast("long").eqNullSafe(lost["_id"]), "left").drop("_id")
+    # Merged, never broadcast: the same plan at every size.
+    whole = docs.join(lost.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(lost["_id"]), "left").drop("_id")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     names = docs.columns
 
@@ -143,4 +144,4 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
                 out = {n: rows.column(rows.schema.get_field_index(n)) for n in names} | {"text": texts}
                 yield pa.RecordBatch.from_pydict(out | {"n_lines": pa.array(counts, pa.int64()), "n_dropped": pa.array(dropped)})
 
-    return scratch.finish(whole.mapInArrow(apply, schema))
+    return scratch.leave(whole.mapInArrow(apply, schema))

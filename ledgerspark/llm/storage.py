@@ -40,6 +40,11 @@ class Scratch:
             _delete(self.spark, path)
         self.paths = []
 
+    def leave(self, df: DataFrame) -> DataFrame:
+        """The result as a plan that still reads tables kept here, for results as large as the texts; they go when Python ends."""
+        atexit.register(_forget, self.spark, self.base)
+        return df
+
     def finish(self, df: DataFrame) -> DataFrame:
         """The result as a written table; the intermediate tables go. The result goes when Python ends."""
         path = f"{self.base}/result"

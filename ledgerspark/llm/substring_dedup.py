@@ -223,7 +223,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, max_filter_bits: int =
     moved = docs.mapInArrow(suspects, schema).repartition("shard").sortWithinPartitions("shard")
     gone = scratch.keep(moved.mapInArrow(settle, schema).select(F.col("doc_id").alias("_id"), "data"))
     gone = gone.groupBy("_id").agg(F.collect_list("data").alias("_gone"))
-    whole = docs.join(gone, F.coalesce("doc_id", F.lit(LAST)) == gone["_id"], "left").select("doc_id", "text", "_gone")
+    # Merged, never broadcast: the same plan at every size.
+    whole = docs.join(gone.hint("merge"), F.coalesce("doc_id", F.lit(LAST)) == gone["_id"], "left").select("doc_id", "text", "_gone")
 
     def apply(batches):
         for batch in batches:
@@ -250,4 +251,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, max_filter_bits: int =
                 n = np.diff(first)
                 yield pa.RecordBatch.from_pydict({"doc_id": rows.column(0), "n_words": pa.array(n), "n_removed": pa.array(n - np.diff(total)), "text": text})
 
-    return scratch.finish(whole.mapInArrow(apply, "doc_id long, n_words long, n_removed long, text string"))
+    return scratch.leave(whole.mapInArrow(apply, "doc_id long, n_words long, n_removed long, text string"))
