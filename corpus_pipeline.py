@@ -1,10 +1,70 @@
-"""A corpus pipeline of operators of ledgerspark.llm."""
+"""A corpus pipeline: from raw documents to token ids, by five operators of ledgerspark.llm.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; every stage but the last returns the
+columns of documents. Rows keep their doc_id throughout.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerspark.llm import bpe, line_dedup, mixing, near_dup, quality_classifier
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Enough for every document at least once at the production weights; rarer languages and domains are repeated.
+BUDGET_PERCENT = 150
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression classifier rejects go."""
+    model = quality_classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_classifier.score(docs.select(*COLUMNS), model).where("score >= 0.5").select(*COLUMNS)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that many documents share stay in one of them."""
+    kept = line_dedup.drop_repeated_lines(docs.select(*COLUMNS))
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    gone = near_dup.near_duplicates(docs).where("not kept").select("doc_id")
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's budget takes it: once per whole epoch, and once more in the prefix of the next."""
+    taken = mixing.mix_sources(docs, percent=BUDGET_PERCENT)
+    copies = F.col("whole_epochs") + F.when(F.col("prefix_tokens") > 0, 1).otherwise(0)
+    # rows that share a doc_id are one document here: each is taken as often as the id
+    taken = taken.groupBy("doc_id").agg(F.max(copies).alias("copies")).where("copies > 0 and doc_id is not null")
+    rows = docs.join(taken.hint("merge"), "doc_id")
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, with the hash of what they decode to."""
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    both = bpe.encode(docs.select("doc_id", "text", "lang", "source"), path, pattern, decoded=True)
+    return both.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("line dedup", lines),
+    ("minhash near-dedup", near_duplicates),
+    ("mixing sources to target weights", mix),
+    ("byte-level BPE encoding and decoding", tokens),
+]
+
+#: The classifier's verdicts and token ids can't be expressed in SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents through all stages, in order."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:

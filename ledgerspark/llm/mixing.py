@@ -16,7 +16,7 @@ from .storage import Scratch
 WEIGHTS = {
     "domain": {"web": 5, "books": 3, "code": 2},
     "lang": {"en": 6, "de": 2, "fr": 2, "es": 1},
-    "source": {},
+    "source": {"src0": 8},
 }
 BUDGET_PERCENT, MAX_EPOCHS, SEED = 60, 4, 42
 LEAF = ["domain", "lang", "source"]

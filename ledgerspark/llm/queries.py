@@ -171,7 +171,7 @@ lw AS (SELECT domain, lang, CASE lang WHEN 'en' THEN 6 WHEN 'de' THEN 2 WHEN 'fr
 b AS (SELECT least((SELECT CAST(sum(available) AS BIGINT) * 60 // 100 FROM leaf), (SELECT sum(capacity) FROM dw)) AS budget),
 {_filled("df", "1", "domain", "SELECT dw.*, b.budget FROM dw, b")},
 {_filled("lf", "domain", "lang", "SELECT lw.*, df.allotted AS budget FROM lw JOIN df USING (domain)")},
-{_filled("sf", "domain, lang", "source", "SELECT leaf.*, 1 AS weight, lf.allotted AS budget FROM leaf JOIN lf USING (domain, lang)")},
+{_filled("sf", "domain, lang", "source", "SELECT leaf.*, CASE source WHEN 'src0' THEN 8 ELSE 1 END AS weight, lf.allotted AS budget FROM leaf JOIN lf USING (domain, lang)")},
 p AS (SELECT domain, lang, source, CASE WHEN available > 0 THEN allotted // available ELSE 0 END AS e, CASE WHEN available > 0 THEN allotted % available ELSE 0 END AS rest FROM sf),
 o AS (
   SELECT d.*, e, rest, coalesce(sum(n) OVER (PARTITION BY domain, lang, source ORDER BY md5('42:' || e || ':' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id NULLS FIRST, n
