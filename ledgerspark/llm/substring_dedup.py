@@ -118,13 +118,13 @@ def _runs(starts: np.ndarray) -> np.ndarray:
     return np.stack((starts[np.concatenate(([0], cut))], starts[np.concatenate((cut - 1, [len(starts) - 1]))] + 1), axis=1).astype("<u4")
 
 
-def _covered(shard: int, doc: np.ndarray, start: np.ndarray):
-    """Rows for what is settled: each document's runs of windows that occur earlier."""
+def _covered(shards: int, doc: np.ndarray, start: np.ndarray):
+    """Rows for what is settled: each document's runs of windows that occur earlier. They pass through any shard."""
     order = np.lexsort((start, doc))
     doc, start = doc[order], start[order]
     cut = np.concatenate(([0], np.flatnonzero(np.diff(doc)) + 1, [len(doc)]))
     for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-        yield shard, int(doc[a]), _runs(np.unique(start[a:b])).tobytes()
+        yield int(doc[a]) % shards, int(doc[a]), _runs(np.unique(start[a:b])).tobytes()
 
 
 def _later(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -193,14 +193,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, max_filter_bits: int =
                 cut = np.concatenate(([0], np.flatnonzero(np.diff(shard[early])) + 1, [len(early)]))
                 out = [(int(shard[early[a]]), None, records[early[a:b]].tobytes()) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
                 if len(late):
-                    out += _covered(int(shard[late[0]]), records["doc"][late], records["start"][late])
+                    out += _covered(shards, records["doc"][late], records["start"][late])
                 yield _rows(out)
 
     def settle(batches):
         def done(parts):
             records = np.frombuffer(b"".join(parts), RECORD)
             late = _later(records)[1]
-            return [] if not len(late) else _covered(0, records["doc"][late], records["start"][late])
+            return [] if not len(late) else _covered(shards, records["doc"][late], records["start"][late])
 
         now, parts = None, []
         for batch in batches:
