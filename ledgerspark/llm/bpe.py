@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import itertools
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from . import textbytes as tb
 
 #: Bounds of what a Python worker remembers; past them the older half is forgotten and made again when met.
-MAX_STATES, MAX_PIECES, MAX_PAIRS = 1 << 18, 1 << 18, 1 << 18
+MAX_STATES, MAX_PIECES, MAX_PAIRS = 1 << 18, 1 << 19, 1 << 18
 START = -1
 #: Bytes after which tokens are emitted, in pieces longer than that.
 EMIT = 256
@@ -163,24 +164,27 @@ def _spaces(pattern: str) -> str:
 
 
 class Encoder:
-    """Whole texts to ids, by pieces; what a short piece encodes to is remembered."""
+    """Whole texts to ids, by pieces; what a short piece encodes to is remembered, as packed 32-bit integers."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.transducer = Transducer(vocabulary)
         self.pieces = regex.compile(_spaces(pattern)).findall
         self.known = Cache(MAX_PIECES)
 
-    def _piece(self, text: str) -> tuple[int, ...]:
+    def _piece(self, text: str) -> bytes:
         ids = self.known.get(text)
         if ids is None:
-            ids = self.transducer.encode(text.encode())
+            ids = array("i", self.transducer.encode(text.encode())).tobytes()
             if len(text) < 64:
                 self.known.put(text, ids)
         return ids
 
-    def encode(self, text: str) -> list[int]:
+    def packed(self, text: str) -> bytes:
         cache, piece = self.known, self._piece
-        return list(itertools.chain.from_iterable([cache.new.get(p) or piece(p) for p in self.pieces(text)]))
+        return b"".join([cache.new.get(p) or piece(p) for p in self.pieces(text)])
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed(text), np.int32).tolist()
 
 
 #: How many bytes follow a first byte, by its high bits.
@@ -242,13 +246,13 @@ def encode(docs: DataFrame, path: str, pattern: str, decoded: bool = False, port
         to_ids = encoder(path, pattern)
         for batch in batches:
             for rows, _, _ in tb.text_chunks(batch):
-                got = [to_ids.encode(t or "") for t in rows.column(rows.schema.get_field_index("text")).to_pylist()]
-                ends = np.concatenate(([0], np.cumsum([len(x) for x in got])))
-                flat = np.fromiter(itertools.chain.from_iterable(got), np.int32, int(ends[-1]))
+                got = [to_ids.packed(t or "") for t in rows.column(rows.schema.get_field_index("text")).to_pylist()]
+                ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in got])))
+                flat = np.frombuffer(b"".join(got), np.int32)
                 out = {n: rows.column(rows.schema.get_field_index(n)) for n in names}
                 out["ids"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
                 if decoded:
-                    out["decoded"] = pa.array([_decoded(to_ids.transducer.vocabulary, x, portion) for x in got], pa.string())
+                    out["decoded"] = pa.array([_decoded(to_ids.transducer.vocabulary, np.frombuffer(x, np.int32).tolist(), portion) for x in got], pa.string())
                 yield pa.RecordBatch.from_pydict(out)
 
     more = {"ids": F.lit(None).cast("array<int>")} | ({"decoded": F.lit(None).cast("string")} if decoded else {})
