@@ -1,0 +1,92 @@
+import hashlib
+import hmac
+from email.message import EmailMessage
+
+import pytest
+
+from ledgerspark.config import Settings
+from ledgerspark.sources import archive, extractors, mail
+from ledgerspark.streaming.ingest import Ingest
+
+
+def test_ingest_is_idempotent(spark, tmp_path):
+    folder = tmp_path / "intake"
+    for name, data in (("10/a.mp4", b"one"), ("10/b.mp4", b"one"), ("11/c.mp4", b"two"), ("99/d.mp4", b"three")):
+        (folder / name).parent.mkdir(parents=True, exist_ok=True)
+        (folder / name).write_bytes(data)
+    enrollments = spark.createDataFrame([(10,), (11,)], "id long")
+    purged = []
+    store = archive.ContentStore(spark, (tmp_path / "store").as_uri())
+    job = Ingest(spark, folder.as_uri(), (tmp_path / "media").as_uri(), store, lambda: enrollments, lambda rows: purged.extend(r[0] for r in rows.collect()))
+    for _ in range(2):
+        job.start((tmp_path / "checkpoint").as_uri()).awaitTermination()
+        assert job.archived().count() == 2 and store.table().count() == 2
+    (folder / "11/e.mp4").write_bytes(b"two")
+    (folder / "11/f.mp4").write_bytes(b"four")
+    job.start((tmp_path / "checkpoint").as_uri()).awaitTermination()
+    assert job.archived().count() == 3
+    assert not any("/99/" in p for p in purged) and len(purged) == 5
+    # a batch that is repeated adds nothing
+    job.start((tmp_path / "fresh").as_uri()).awaitTermination()
+    assert job.archived().count() == 3 and store.table().count() == 3
+
+
+def test_store(spark, tmp_path):
+    store = archive.ContentStore(spark, (tmp_path / "store").as_uri())
+    rows = spark.createDataFrame([(b"a",), (b"a",), (b"b",)], "content binary")
+    store.put(rows)
+    store.put(rows)
+    h = hashlib.sha256(b"a").hexdigest()
+    assert store.table().count() == 2 and store.exists(h) and bytes(store.get(h).first().content) == b"a"
+    store.delete(spark.createDataFrame([(h,)], "content_hash string"))
+    assert not store.exists(h) and store.table().count() == 1
+
+
+def test_csv_file(spark, tmp_path):
+    archive.write_csv_lines(spark.createDataFrame([("1,a",), ('2,"b"',)], "line string").coalesce(1), ("id", "x"), (tmp_path / "out").as_uri())
+    assert next((tmp_path / "out").glob("part-*")).read_bytes() == b'id,x\r\n1,a\r\n2,"b"\r\n'
+
+
+def test_mime(spark):
+    inner = EmailMessage()
+    inner["From"], inner["To"], inner["Subject"] = "Casino <no-reply@casino.example>", "p@x.example", "Welcome"
+    inner.set_content("hello")
+    outer = EmailMessage()
+    outer["From"], outer["Date"], outer["DKIM-Signature"] = "P <p@x.example>", "Tue, 15 Sep 2026 12:00:00 +0000", "v=1; d=x.example; s=sel; h=from:to"
+    outer.set_content("see attached")
+    outer.add_attachment(inner)
+    plain = EmailMessage()
+    plain["From"] = "q@x.example"
+    plain.set_content("x")
+    plain.add_attachment(b"\x89PNG", "image", "png")
+    rows = spark.createDataFrame([(1, outer.as_bytes()), (2, plain.as_bytes()), (3, None), (4, b"")], "id long, content binary")
+    got = {r.id: r for r in mail.parse_messages(rows).collect()}
+    assert got[1].mail.from_addr == "p@x.example" and got[1].mail.d_domain == "x.example" and got[1].mail.sent_at.hour == 12 and got[1].content_hash
+    assert mail.parse(bytes(got[1].mail.original))["to_addr"] == "p@x.example"
+    assert got[2].mail.has_image and got[2].mail.original is None and got[2].content_hash is None
+    assert got[3].mail.from_addr is None and got[4].mail.from_addr is None
+
+
+def test_signatures(spark):
+    good = hmac.new(b"key", b"body", hashlib.sha256).hexdigest()
+    rows = spark.createDataFrame([(1, b"body", good), (2, b"body!", good), (3, b"body", None)], "id int, body binary, signature string")
+    assert {r.id: r.genuine for r in mail.verified(rows, "key").collect()} == {1: True, 2: False, 3: False}
+
+
+def test_extractors(spark):
+    frames = extractors.sample_times(spark.createDataFrame([(1, 3.2), (2, 0.0)], "run_id long, seconds double"))
+    assert [(r.run_id, r.frame_ts) for r in frames.orderBy("run_id", "frame_index").collect()] == [(1, 0.0), (1, 1.5), (1, 3.0), (2, 0.0)]
+    reads = spark.createDataFrame([(1, 2, 0), (1, 9, 0)], "run_id long, frame_index int, row_pos int")
+    assert [r.frame_ts for r in extractors.from_table(frames, reads).orderBy("frame_index").collect()] == [3.0, 0.0]
+    from pyspark.sql import functions as F
+
+    row = spark.range(1).select(extractors.cost(F.lit(1_000_000), F.lit(2_000_000), 3.0, 15.0).alias("a"), extractors.cost(F.lit(1), F.lit(1), None, None).alias("b")).first()
+    assert (row.a, row.b) == (33.0, None)
+
+
+def test_settings():
+    assert Settings.read({}).frame_interval_seconds == 1.5
+    assert Settings.read({"AUTO_EXTRACT_ON_INGEST": "false"}).auto_extract_on_ingest is False
+    for bad in ({"AUTO_EXTRACT_ON_INGEST": "maybe"}, {"QUOTA_WARNING_THRESHOLD": "2"}, {"INPUT_TOKEN_PRICE": "1"}):
+        with pytest.raises(ValueError):
+            Settings.read(bad)
