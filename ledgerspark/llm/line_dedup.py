@@ -84,11 +84,11 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
     largest doc_id. A null or empty text is one empty line; it stays as it is, as does any text that loses nothing. A
     text that loses every line becomes empty. Rows that share a doc_id count as one document and keep or lose a line
     alike; rows without a doc_id count for no key and lose every line that some other document may keep. Columns
-    n_lines and n_dropped of docs are replaced; all others pass. An empty table gives an empty result.
+    n_lines and n_dropped of docs are replaced, __drop and __id go; all others pass. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    docs = docs.drop("n_lines", "n_dropped", "_drop").withColumn("text", F.col("text").cast("string"))
+    docs = docs.drop("n_lines", "n_dropped", "__drop", "__id").withColumn("text", F.col("text").cast("string"))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     twice = spark.sparkContext.broadcast(suspects_filter(plain, min_chars, max_filter_bits, scratch))
 
@@ -112,18 +112,18 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
     each = found.where("doc_id is not null").groupBy("d1", "d2", "doc_id").agg(F.lit(1).alias("one"))
     repeated = each.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("docs"), F.max("doc_id").alias("keeper")).where(F.col("docs") >= min_docs)
     lost = found.join(repeated.select("d1", "d2", "keeper"), ["d1", "d2"]).where("doc_id is null or doc_id <> keeper")
-    lost = lost.groupBy("doc_id").agg(F.collect_set("h").alias("_drop"))
-    lost = scratch.keep(lost.withColumnRenamed("doc_id", "_id"))
+    lost = lost.groupBy("doc_id").agg(F.collect_set("h").alias("__drop"))
+    lost = scratch.keep(lost.withColumnRenamed("doc_id", "__id"))
 
     # Merged, never broadcast: the same plan at every size.
-    whole = docs.join(lost.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(lost["_id"]), "left").drop("_id")
+    whole = docs.join(lost.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(lost["__id"]), "left").drop("__id")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     names = docs.columns
 
     def apply(batches):
         for batch in batches:
             for rows, offsets, data in tb.text_chunks(batch):
-                drops = rows.column(rows.schema.get_field_index("_drop"))
+                drops = rows.column(rows.schema.get_field_index("__drop"))
                 hit = np.flatnonzero(drops.is_valid().to_numpy(zero_copy_only=False))
                 counts = np.bincount(np.searchsorted(offsets, np.flatnonzero(data == 10), "right") - 1, minlength=rows.num_rows) + 1
                 dropped = np.zeros(rows.num_rows, np.int64)

@@ -20,7 +20,7 @@ KEY = "ledgerspark-demo-key"
 #: What may be personal, tried in this order at each place.
 PATTERN = "|".join((
     r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}",
-    r"(?<![0-9A-Za-z])[0-9a-f]{32,128}+(?![0-9A-Za-z])",
+    r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,128}+(?![0-9A-Za-z])",
     r"(?<![0-9+])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])",
     r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
     r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![0-9])",
@@ -79,6 +79,12 @@ def luhn(digits: str) -> str:
     return _let(digits, "d", f"aggregate(sequence(1, length(d)), 0, (s, i) -> s + {twice}) % 10")
 
 
+def _secret(m: str, key: str) -> str:
+    """In hexadecimal, whichever case it is written in; digits alone stay digits."""
+    moved = _let(feistel(f"lower({m})", key, True), "h", f"if({m} = upper({m}), upper(h), h)")
+    return f"if({m} rlike '^[0-9]+$', {feistel(m, key)}, {moved})"
+
+
 def _email(m: str, key: str) -> str:
     return f"concat({feistel(f'''substring_index({m}, '@', 1)''', key)}, '@', substring_index({m}, '@', -1))"
 
@@ -130,7 +136,7 @@ def pseudonym(m: str, key: str) -> str:
     """An SQL expression: the pseudonym of a candidate, or the candidate where it isn't valid."""
     return f"""case
       when instr({m}, '@') > 0 then {_email(m, key)}
-      when {m} rlike '^[0-9a-f]{{32,128}}$' then {feistel(m, key, True)}
+      when {m} rlike '^[0-9A-Fa-f]{{32,128}}$' then {_secret(m, key)}
       when substr({m}, 1, 1) = '+' then {_phone(m, key)}
       when {m} rlike '^[0-9]{{1,3}}(?:\\\\.[0-9]{{1,3}}){{3}}$' then {_ip(m, key)}
       when {m} rlike '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$|^[0-9]{{2}}[./][0-9]{{2}}[./][0-9]{{4}}$' then {_date(m, key)}
@@ -142,20 +148,20 @@ def pseudonymize(docs: DataFrame, key: str = KEY) -> DataFrame:
     """docs with personal data in text replaced, and n_private long: how many values were.
 
     Whole texts. Null texts stay null, with 0; empty texts and texts without valid values stay as they are. Equal values
-    get equal pseudonyms in all rows. A column n_private of docs is replaced; all others pass. key must not hold quotes.
+    get equal pseudonyms in all rows. A column n_private of docs is replaced, so are __found and __new; all others pass. key must not hold quotes.
     """
     if "'" in key or "\\" in key:
         raise ValueError("the key must not hold quotes or backslashes")
     text = F.col("text").cast("string")
     some = text.rlike(PATTERN)
     out = docs.withColumn("text", text)
-    out = out.withColumn("_found", F.when(some, F.expr(f"regexp_extract_all(text, {_quoted(PATTERN)}, 0)")))
-    out = out.withColumn("_new", F.expr(f"transform(_found, m -> {pseudonym('m', key)})"))
+    out = out.withColumn("__found", F.when(some, F.expr(f"regexp_extract_all(text, {_quoted(PATTERN)}, 0)")))
+    out = out.withColumn("__new", F.expr(f"transform(__found, m -> {pseudonym('m', key)})"))
     between = F.split("text", PATTERN)
-    whole = F.array_join(F.zip_with(between, "_new", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    count = F.size(F.filter(F.zip_with("_found", "_new", lambda a, b: a != b), lambda x: x))
-    out = out.withColumn("text", F.when(F.col("_found").isNull(), F.col("text")).otherwise(whole))
-    return out.withColumn("n_private", F.when(F.col("_found").isNull(), 0).otherwise(count).cast("long")).drop("_found", "_new")
+    whole = F.array_join(F.zip_with(between, "__new", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    count = F.size(F.filter(F.zip_with("__found", "__new", lambda a, b: a != b), lambda x: x))
+    out = out.withColumn("text", F.when(F.col("__found").isNull(), F.col("text")).otherwise(whole))
+    return out.withColumn("n_private", F.when(F.col("__found").isNull(), 0).otherwise(count).cast("long")).drop("__found", "__new")
 
 
 def _quoted(text: str) -> str:

@@ -27,13 +27,13 @@ FEATURES = {
     "marks_per_word": "n_marks / greatest(n_words, 1)",
 }
 
-_WORDS = "array_remove(split(_text, '[ \\\\t-\\\\r]+'), '')"
-_LINES = "filter(split(_text, '\\\\n'), l -> l rlike '[^ \\\\t-\\\\r]')"
-_WINDOWS = f"if(n_words > {WINDOW}, transform(sequence(1, n_words - {WINDOW - 1}), i -> xxhash64(slice(_words, cast(i as int), {WINDOW}))), array())"
+_WORDS = "array_remove(split(__text, '[ \\\\t-\\\\r]+'), '')"
+_LINES = "filter(split(__text, '\\\\n'), l -> l rlike '[^ \\\\t-\\\\r]')"
+_WINDOWS = f"if(n_words > {WINDOW}, transform(sequence(1, n_words - {WINDOW - 1}), i -> xxhash64(slice(__words, cast(i as int), {WINDOW}))), array())"
 #: Windows sorted with their places; the places of those with an equal neighbour; how many words these cover.
 _REPEATS = f"""
-case when size(array_distinct(_windows)) = size(_windows) then 0L else
-  transform(array(sort_array(transform(_windows, (h, i) -> struct(h, i)))), s ->
+case when size(array_distinct(__windows)) = size(__windows) then 0L else
+  transform(array(sort_array(transform(__windows, (h, i) -> struct(h, i)))), s ->
     aggregate(
       sort_array(filter(transform(s, (x, k) -> if((k > 0 and s[greatest(k - 1, 0)].h = x.h) or (k + 1 < size(s) and s[least(k + 1, size(s) - 1)].h = x.h), x.i, -1)), p -> p >= 0)),
       named_struct('n', 0L, 'last', -{WINDOW}),
@@ -48,22 +48,22 @@ def statistics(docs: DataFrame) -> DataFrame:
     Words are `[^\\x20\\x09-\\x0D]+` of the whole text. word_chars: code points in words; n_symbols: characters of `[#*$%&|<>]`;
     n_dup_lines: lines with a word that equal an earlier line; n_repeat_words: words in 8-word windows that occur twice or more
     in the text; n_text_lines: lines with a word; n_upper: A-Z; n_marks: `!` and `?`. Null and empty texts have zeros.
-    Columns of docs by these names are replaced.
+    Columns of docs by these names are replaced, those named __text, __words, __lines and __windows go.
     """
-    out = docs.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    out = out.withColumns({"_words": F.expr(_WORDS), "_lines": F.expr(_LINES)})
-    out = out.withColumn("n_words", F.size("_words").cast("long")).withColumn("_windows", F.expr(_WINDOWS))
-    count = lambda c: F.length(F.regexp_replace("_text", f"[^{c}]+", "")).cast("long")
+    out = docs.withColumn("__text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    out = out.withColumns({"__words": F.expr(_WORDS), "__lines": F.expr(_LINES)})
+    out = out.withColumn("n_words", F.size("__words").cast("long")).withColumn("__windows", F.expr(_WINDOWS))
+    count = lambda c: F.length(F.regexp_replace("__text", f"[^{c}]+", "")).cast("long")
     out = out.withColumns({
-        "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+        "word_chars": F.length(F.array_join("__words", "")).cast("long"),
         "n_symbols": count("#*$%&|<>"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+        "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
         "n_repeat_words": F.expr(_REPEATS).cast("long"),
-        "n_text_lines": F.size("_lines").cast("long"),
+        "n_text_lines": F.size("__lines").cast("long"),
         "n_upper": count("A-Z"),
         "n_marks": count("!?"),
     })
-    return out.drop("_text", "_words", "_lines", "_windows")
+    return out.drop("__text", "__words", "__lines", "__windows")
 
 
 @dataclass(frozen=True)

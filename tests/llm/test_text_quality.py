@@ -1,0 +1,184 @@
+import base64
+import random
+import re
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from ledgerspark.llm import bpe, pii, quality_classifier, quality_rules
+
+PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@pytest.fixture(scope="module")
+def reference_encoding():
+    with open(PATH, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+PIECES = ["a", "the", " ", "  ", "\n", "\r\n", "\t", "\x1c", "\x85", "\xa0", "　", "é", "ß", "中文", "😀", "1", "٣", "'s", "'", "!", "...", "\0", "ing", "tion", "﻿", "​", "==", "don't", "<|endoftext|>"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=25).map("".join))
+def test_bpe_equals_the_library(reference_encoding, text):
+    own = bpe.encoder(PATH, public_tokenizers.PATTERN)
+    assert own.encode(text) == reference_encoding.encode_ordinary(text)
+
+
+def test_bpe_of_long_pieces_and_small_caches(reference_encoding, monkeypatch):
+    monkeypatch.setattr(bpe, "MAX_STATES", 50)
+    monkeypatch.setattr(bpe, "MAX_PIECES", 8)
+    monkeypatch.setattr(bpe, "MAX_PAIRS", 8)
+    own = bpe.Encoder(bpe.Vocabulary(PATH), public_tokenizers.PATTERN)
+    rnd = random.Random(0)
+    for alphabet in ("ab", "thesingaon", "=", "é中", "0123"):
+        text = "".join(rnd.choices(alphabet, k=3000))
+        assert own.encode(text) == reference_encoding.encode_ordinary(text)
+
+
+def test_streaming_decoder_in_any_portions(reference_encoding):
+    own = bpe.encoder(PATH, public_tokenizers.PATTERN)
+    text = "aé中😀" * 50 + " end"
+    ids = own.encode(text)
+    for portion in (1, 2, 3, 7, 10_000):
+        decoder = bpe.StreamingDecoder(own.transducer.vocabulary)
+        parts = [decoder.feed(ids[i : i + portion]) for i in range(0, len(ids), portion)]
+        assert "".join(parts) + decoder.finish() == text and "�" not in "".join(parts)
+
+
+def test_bpe_frames(spark, reference_encoding):
+    texts = ["Hello world", None, "", "  x\n\n", "é中😀", "a" * 100_000, "Hello world"]
+    rows = spark.createDataFrame([(i, t, [1]) for i, t in enumerate(texts)], "doc_id long, text string, ids array<int>")
+    got = {r.doc_id: r for r in bpe.encode(rows, PATH, public_tokenizers.PATTERN, decoded=True, portion=3).collect()}
+    assert all(got[i].ids == reference_encoding.encode_ordinary(t or "") and got[i].decoded == (t or "") for i, t in enumerate(texts))
+    again = bpe.decode(bpe.encode(rows, PATH, public_tokenizers.PATTERN).drop("text"), PATH, public_tokenizers.PATTERN).collect()
+    assert {r.doc_id: r.decoded for r in again} == {i: t or "" for i, t in enumerate(texts)}
+    assert bpe.encode(rows.limit(0), PATH, public_tokenizers.PATTERN).collect() == []
+
+
+def brute_statistics(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    seen = {}
+    for i in range(len(w) - 7):
+        seen.setdefault(tuple(w[i : i + 8]), []).append(i)
+    covered = {i + k for v in seen.values() if len(v) > 1 for i in v for k in range(8)}
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
+
+
+def test_statistics_equal_brute_force(spark):
+    rnd = random.Random(5)
+    texts = [None, "", " \n\t", "x " * 9, "x " * 8, "a b c d e f g h i a b c d e f g h", "é 😀\né 😀\n é 😀\n#\n#", "w " * 30_000]
+    texts += [" ".join(rnd.choices(["a", "b", "#", "<|>", "é"], k=rnd.randint(0, 60))).replace(" b a", "\n") for _ in range(300)]
+    rows = spark.createDataFrame([(i, t, 5, "x") for i, t in enumerate(texts)], "doc_id long, text string, n_words int, __lines string")
+    got = {r.doc_id: tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) for r in quality_rules.statistics(rows).collect()}
+    assert got == {i: brute_statistics(t) for i, t in enumerate(texts)}
+    assert quality_rules.statistics(rows.limit(0)).collect() == []
+
+
+def labelled(spark, n=600, seed=3):
+    rnd = random.Random(seed)
+    good = lambda: " ".join("".join(rnd.choices("etaoinshr", k=rnd.randint(2, 8))) for _ in range(rnd.randint(30, 300)))
+    bad = lambda: rnd.choice([lambda t: " ".join(w + "$$$" for w in t.split()), lambda t: t.upper() + "!!", lambda t: t.replace(" ", " | ")])(good())
+    rows = [(i, bad() if i % 6 == 0 else good(), int(i % 6 != 0)) for i in range(n)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    return frame.select("doc_id", "text"), frame.select("doc_id", "quality", F.lit(0).alias("toxic"))
+
+
+def test_rules_hold_on_unseen_rows(spark):
+    docs, labels = labelled(spark)
+    rules = quality_rules.fit(docs, labels)
+    got = quality_rules.apply_rules(docs, rules).join(labels, "doc_id").where("crc32(cast(doc_id as string)) % 3 = 1").collect()
+    assert rules and np.mean([r.kept == bool(r.quality) for r in got]) > 0.95
+
+
+def test_rules_without_labels_and_base_rule(spark):
+    docs = spark.createDataFrame([(1, "w " * 19), (2, " ".join(map(str, range(20)))), (3, None), (4, "a b c d e f g h " * 5)], "doc_id long, text string")
+    none = spark.createDataFrame([(9, None)], "doc_id long, quality int")
+    assert quality_rules.fit(docs, none) == []
+    assert {r.doc_id: (r.base_failed, r.kept) for r in quality_rules.apply_rules(docs, []).collect()} == {1: (True, False), 2: (False, True), 3: (True, False), 4: (True, False)}
+
+
+def test_learned_lists_are_exact_on_separable_rows():
+    x = {"a": np.arange(300.0), "b": np.arange(300.0)[::-1] % 7}
+    bad = (x["a"] >= 100) & (x["a"] < 150)
+    rules = quality_rules.learn(x, bad)
+    hit = np.logical_or.reduce([quality_rules.covers(r, x) for r in rules])
+    assert (hit == bad).mean() > 0.97
+
+
+def test_classifier_on_held_out_rows(spark):
+    docs, labels = labelled(spark, 900)
+    model = quality_classifier.fit(docs, labels)
+    got = quality_classifier.score(docs, model).join(labels, "doc_id").where(quality_classifier.held_out(F.col("doc_id"))).collect()
+    assert np.mean([(r.score >= 0.5) == bool(r.quality) for r in got]) > 0.95
+    odd = spark.createDataFrame([(1, None, 5), (2, "", 5), (3, "x" * 2_000_000, 5), (None, "y", 5)], "doc_id long, text string, score int")
+    assert all(0 <= r.score <= 1 for r in quality_classifier.score(odd, model).collect())
+    assert quality_classifier.score(odd.limit(0), model).collect() == []
+
+
+def test_classifier_never_reads_held_out_labels(spark):
+    docs, labels = labelled(spark, 300)
+    turned = labels.withColumn("quality", F.when(quality_classifier.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
+    assert quality_classifier.fit(docs, labels) == quality_classifier.fit(docs, turned)
+
+
+@pytest.mark.parametrize("rows", [[], [(1, 1)], [(1, 0)], [(1, None), (None, 1)], [(2, 0), (2, 1), (5, 0)]])
+def test_classifier_with_hardly_any_labels(spark, rows):
+    docs = spark.createDataFrame([(i, f"text number {i}") for i in range(6)], "doc_id long, text string")
+    model = quality_classifier.fit(docs, spark.createDataFrame(rows, "doc_id long, quality int"))
+    assert all(0 <= r.score <= 1 for r in quality_classifier.score(docs, model).collect())
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + i % 2)
+        total += d - 9 if d > 9 else d
+    return total % 10 == 0
+
+
+def pseudonyms(spark, texts):
+    rows = spark.createDataFrame([(i, t, 3) for i, t in enumerate(texts)], "doc_id long, text string, n_private int")
+    return [(r.text, r.n_private) for r in pii.pseudonymize(rows).orderBy("doc_id").collect()]
+
+
+def test_formats_are_kept_and_values_stay_linked(spark):
+    texts = ["x 4539148803436467, y", "4539 1488 0343 6467", "mail ann.34@mail7.example.com now", "ann.34@mail7.example.com", "+1 (017) 555-7713.", "97.51.17.173.", "2024-02-29 and 29.02.2024", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', "04DBEBAB91AB85687D33EEAAF9AC699E1188F962!!", "123-45-6789"]
+    got = pseudonyms(spark, texts)
+    assert [n for _, n in got] == [1, 1, 1, 1, 1, 1, 2, 1, 1, 1]
+    assert all(re.sub(r"\d", "9", a) == re.sub(r"\d", "9", b) for i, (a, (b, _)) in enumerate(zip(texts, got, strict=True)) if i in (0, 1, 4, 6, 9))
+    card = re.search(r"\d{16}", got[0][0])[0]
+    assert luhn(card) and card != "4539148803436467" and got[1][0].replace(" ", "") == card
+    assert got[2][0] == f"mail {got[3][0]} now" and got[3][0].endswith("@mail7.example.com") and re.fullmatch(r"[a-z]{3}\.\d\d@.*", got[3][0])
+    assert all(int(p) < 256 for p in got[5][0].rstrip(".").split("."))
+    iso, dotted = got[6][0].split(" and ")
+    assert iso == "-".join(reversed(dotted.split(".")))
+    assert got[8][0].lower().rstrip("!") == got[7][0][9:-1] and got[8][0].isupper()
+
+
+def test_what_is_not_valid_stays(spark):
+    texts = [None, "", "no data 12, 3.4", "4539148803436468", "300.1.1.1", "2023-02-29", "31.04.2020", "1599-12-31", "a@b", "1.2.3.4.5", "12345678901234567890", "x" * 200_000]
+    assert pseudonyms(spark, texts) == [(t, 0) for t in texts]
+
+
+def test_permutations_are_one_to_one(spark):
+    two = spark.range(100).select(F.expr(pii.feistel("lpad(cast(id as string), 2, '0')", "k")).alias("x"))
+    assert two.distinct().count() == 100
+    small = spark.range(21).select(F.expr(pii.feistel_number("id", "k", 3, 7)).alias("x"))
+    assert sorted(r.x for r in small.collect()) == list(range(21))
+    other = spark.range(100).select(F.expr(pii.feistel("lpad(cast(id as string), 2, '0')", "other")).alias("x")).collect()
+    assert [r.x for r in two.collect()] != [r.x for r in other]
+    with pytest.raises(ValueError):
+        pii.pseudonymize(spark.createDataFrame([(1, "a")], "doc_id long, text string"), key="it's")
+
+
+def test_empty_table_of_texts(spark):
+    assert pii.pseudonymize(spark.createDataFrame([], "doc_id long, text string")).collect() == []
