@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import itertools
+import sys
 from array import array
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from . import textbytes as tb
 
 #: Bounds of what a Python worker remembers; past them the older half is forgotten and made again when met.
-MAX_STATES, MAX_PIECES, MAX_PAIRS = 1 << 18, 1 << 19, 1 << 18
+MAX_STATES, MAX_PIECES, MAX_PAIRS = 1 << 18, 1 << 18, 1 << 17
 START = -1
 #: Bytes after which tokens are emitted, in pieces longer than that.
 EMIT = 256
@@ -31,7 +32,9 @@ EMIT = 256
 class Vocabulary:
     def __init__(self, path: str):
         with open(path, "rb") as lines:
-            self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines) }
+            self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        if max(self.rank.values()) >= 1 << 20:
+            raise ValueError("ids must be below 2**20")
         self.token: list[bytes] = [b""] * (max(self.rank.values()) + 1)
         for t, i in self.rank.items():
             self.token[i] = t
@@ -77,11 +80,22 @@ class Transducer:
         self._reset()
 
     def _reset(self) -> None:
-        #: of each state: ((bytes back, token that ends there), ...), the farthest first; the bytes they cover
-        self.states: list[tuple[tuple, bytes]] = [(((0, START),), b"")]
+        #: of each state, packed: how many positions are live; bytes back and the token that ends there of each, the
+        #: farthest first; the bytes they cover
+        self.states: list[bytes] = [self._pack([(0, START)], b"")]
         self.number = {self.states[0]: 0}
-        #: from state * 256 + byte to the next state and the last token
-        self.next: dict[int, tuple[int, int]] = {}
+        #: from state << 8 | byte to (next state << 20 | last token) + 1
+        self.next: dict[int, int] = {}
+
+    @staticmethod
+    def _pack(live: list[tuple[int, int]], tail: bytes) -> bytes:
+        return array("i", [len(live), *itertools.chain.from_iterable(live)]).tobytes() + tail
+
+    def _live(self, state: int) -> tuple[list[tuple[int, int]], bytes]:
+        packed = self.states[state]
+        n = int.from_bytes(packed[:4], sys.byteorder)
+        flat = array("i", packed[4 : 4 + 8 * n])
+        return list(zip(flat[::2], flat[1::2], strict=True)), packed[4 + 8 * n :]
 
     def follows(self, a: int, b: int) -> bool:
         """Whether tokens a, b are what their bytes encode to; a may be START."""
@@ -92,26 +106,26 @@ class Transducer:
             self.pairs.put((a, b), known)
         return known
 
-    def step(self, state: int, byte: int) -> tuple[int, int]:
-        live, tail = self.states[state]
+    def step(self, state: int, byte: int) -> int:
+        live, tail = self._live(state)
         tail += bytes((byte,))
         rank, stems = self.vocabulary.rank, self.vocabulary.stems
-        size, on, last = len(tail), [], None
+        size, on, last = len(tail), [], START
         for back, token in live:
             piece = tail[size - back - 1 :]
-            if last is None:
+            if last == START:
                 t = rank.get(piece)
                 if t is not None and self.follows(token, t):
                     last = t
             if piece in stems:
                 on.append((back + 1, token))
         on.append((0, last))
-        key = tuple(on), tail[size - on[0][0] :] if on[0][0] else b""
+        key = self._pack(on, tail[size - on[0][0] :] if on[0][0] else b"")
         to = self.number.get(key)
         if to is None:
             to = self.number[key] = len(self.states)
             self.states.append(key)
-        self.next[state << 8 | byte] = found = to, last
+        self.next[state << 8 | byte] = found = (to << 20 | last) + 1
         return found
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
@@ -122,8 +136,9 @@ class Transducer:
             self._reset()
         out, ends, state, known = [], [], 0, self.next
         for byte in piece:
-            state, last = known.get(state << 8 | byte) or self.step(state, byte)
-            ends.append(last)
+            found = (known.get(state << 8 | byte) or self.step(state, byte)) - 1
+            state = found >> 20
+            ends.append(found & 0xFFFFF)
             if len(ends) >= EMIT and not len(ends) % EMIT:
                 ends = self._emit(ends, state, out)
                 if len(self.states) > MAX_STATES:
@@ -141,7 +156,7 @@ class Transducer:
 
     def _emit(self, ends: list[int], state: int, out: list[int]) -> list[int]:
         """Emits what all live positions share; the ends of the bytes after that."""
-        paths = [self._path(ends, len(ends) - back) for back, _ in self.states[state][0]]
+        paths = [self._path(ends, len(ends) - back) for back, _ in self._live(state)[0]]
         shared = 0
         for tokens in zip(*paths, strict=False):
             if len(set(tokens)) > 1:
