@@ -13,8 +13,8 @@ K, SCALE, DIVISOR = 5, 256, 50
 QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 4096
 #: Tiles whose lists meet in one step of the merge tree.
 FAN = 64
-#: Groups of candidate blocks; the blocks of queries are copied to each group, not to each block.
-GROUPS = 64
+#: Tiles in a task, and tasks, at most.
+TASK_TILES, TASKS = 64, 16_384
 
 
 def quantized(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -97,6 +97,18 @@ def _tile(k: int):
     return run
 
 
+def grid(queries: int, candidates: int) -> tuple[int, int]:
+    """(groups of candidate blocks, slots of query blocks) so that a task has a bounded number of tiles.
+
+    Query blocks are copied to each group and candidate blocks to each slot; for a number of tasks, their copies are
+    fewest where groups to slots is as candidates to queries.
+    """
+    tiles = max(1, queries * candidates)
+    tasks = min(TASKS, tiles, max(64, tiles // TASK_TILES))
+    slots = min(max(1, queries), max(1, round((tasks * queries / max(1, candidates)) ** 0.5)))
+    return max(1, min(max(8, candidates), tasks // slots)), slots
+
+
 def top_k(vectors: DataFrame, divisor: int = DIVISOR, k: int = K, scale: int = SCALE) -> DataFrame:
     """vectors (vec_id, embedding, ...) -> query_id, rank (from 1), vec_id, score: the k best candidates of each query.
 
@@ -113,14 +125,17 @@ def top_k(vectors: DataFrame, divisor: int = DIVISOR, k: int = K, scale: int = S
     # Candidates stay where they are: a block is made of rows of one task.
     cand = rows.mapInArrow(_blocks(CANDIDATE_BLOCK), schema)
     cand = scratch.keep(cand.select(F.monotonically_increasing_id().alias("tile"), "*"))
-    query = rows.where(F.col("vec_id") % divisor == 0).repartition(8).mapInArrow(_blocks(QUERY_BLOCK), schema)
-    group = F.pmod(F.xxhash64("tile"), F.lit(GROUPS))
-    query = query.select(F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1))).alias("group"), *(F.col(c).alias(f"q_{c}") for c in query.columns))
-    pairs = query.join(cand.withColumn("group", group.cast("int")), "group")
+    query = rows.where(F.col("vec_id") % divisor == 0).repartition("vec_id").mapInArrow(_blocks(QUERY_BLOCK), schema)
+    query = scratch.keep(query.select(F.monotonically_increasing_id().alias("q_tile"), *(F.col(c).alias(f"q_{c}") for c in query.columns)))
+    tiles = cand.count()
+    groups, slots = grid(query.count(), tiles)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    query = query.withColumn("slot", F.pmod(F.xxhash64("q_tile"), F.lit(slots))).withColumn("group", every(groups))
+    held = cand.withColumn("group", F.pmod(F.xxhash64("tile"), F.lit(groups))).withColumn("slot", every(slots))
+    pairs = query.join(held, ["group", "slot"])
     lists = scratch.keep(pairs.select("tile", "q_ids", "q_wide", "q_data", "ids", "wide", "data").mapInArrow(_tile(k), "query_id long, tile long, vec_id long, score long"))
 
     order = [F.desc("score"), F.asc("vec_id")]
-    tiles = cand.count()
     lists = lists.withColumn("tile", F.pmod(F.xxhash64("tile"), F.lit(max(1, tiles))))
     while tiles > 1:
         tiles = -(-tiles // FAN)
