@@ -64,7 +64,7 @@ outliers AS (SELECT user_id, n, gs, gs[len(gs) // 2 + 1] AS mid FROM mids),
 keyframe AS (SELECT user_id AS submission_id, CASE WHEN n >= 3 AND mid > 0 THEN len(list_filter(gs, lambda x: x > 3 * mid OR x < mid / 3)) ELSE 0 END AS n_outliers FROM outliers),
 near AS (SELECT a.dhash AS hash_a, b.dhash AS hash_b, bit_count(xor(a.dhash, b.dhash)) AS distance
   FROM (SELECT DISTINCT dhash FROM media_asset WHERE dhash IS NOT NULL) a JOIN (SELECT DISTINCT dhash FROM media_asset WHERE dhash IS NOT NULL) b ON a.dhash < b.dhash WHERE bit_count(xor(a.dhash, b.dhash)) <= 5),
-dups AS (SELECT a.id, min((bit_count(xor(a.dhash, b.dhash)), b.id)) AS best FROM media_asset a JOIN media_asset b ON a.id <> b.id AND b.created_at < a.created_at AND bit_count(xor(a.dhash, b.dhash)) <= 5
+dups AS (SELECT a.id, min((bit_count(xor(a.dhash, b.dhash)), b.created_at, b.id)) AS best FROM media_asset a JOIN media_asset b ON a.id <> b.id AND b.created_at < a.created_at AND bit_count(xor(a.dhash, b.dhash)) <= 5
   WHERE a.id IN (SELECT id FROM submission WHERE channel = 'dropbox') AND b.id IN (SELECT id FROM submission WHERE channel = 'dropbox') GROUP BY a.id),
 flags AS (SELECT o_orderkey * 10 + k AS id, o_orderkey AS submission_id, ['LOW_CONFIDENCE','SUBMISSION_GAP','MANUAL_INTAKE'][CAST((o_orderkey + k) % 3 + 1 AS INT)] AS code,
     ['warning','warning','info'][CAST((o_orderkey + k) % 3 + 1 AS INT)] AS severity FROM orders, (VALUES (0), (1), (2), (3)) t(k) WHERE o_orderkey % 4 > 0 AND k <= o_orderkey % 4),

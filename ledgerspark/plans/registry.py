@@ -106,7 +106,7 @@ def near_duplicate_hashes(d):
     return media.near_pairs(d.media_asset)
 
 
-@query("G9 J5 R24 Q6", "SELECT id, best[1] AS distance, best[2] AS match_id FROM dups")
+@query("G9 J5 R24 Q6", "SELECT id, best[1] AS distance, best[3] AS match_id FROM dups")
 def duplicate_media(d):
     used = d.submission.where("channel = 'dropbox'").select(F.col("media_asset_id").alias("id"))
     assets = d.media_asset.join(used, "id").select("id", "dhash", F.col("created_at").alias("stored_at"), F.col("created_at").alias("checked_at"))
