@@ -16,7 +16,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 @pytest.fixture(scope="module")
-def reference_encoding():
+def library():
     with open(PATH, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -27,12 +27,12 @@ PIECES = ["a", "the", " ", "  ", "\n", "\r\n", "\t", "\x1c", "\x85", "\xa0", "
 
 @settings(max_examples=400, deadline=None)
 @given(st.lists(st.sampled_from(PIECES), max_size=25).map("".join))
-def test_bpe_equals_the_library(reference_encoding, text):
+def test_bpe_equals_the_library(library, text):
     own = bpe.encoder(PATH, public_tokenizers.PATTERN)
-    assert own.encode(text) == reference_encoding.encode_ordinary(text)
+    assert own.encode(text) == library.encode_ordinary(text)
 
 
-def test_bpe_of_long_pieces_and_small_caches(reference_encoding, monkeypatch):
+def test_bpe_of_long_pieces_and_small_caches(library, monkeypatch):
     monkeypatch.setattr(bpe, "MAX_STATES", 50)
     monkeypatch.setattr(bpe, "MAX_PIECES", 8)
     monkeypatch.setattr(bpe, "MAX_PAIRS", 8)
@@ -40,10 +40,10 @@ def test_bpe_of_long_pieces_and_small_caches(reference_encoding, monkeypatch):
     rnd = random.Random(0)
     for alphabet in ("ab", "thesingaon", "=", "é中", "0123"):
         text = "".join(rnd.choices(alphabet, k=3000))
-        assert own.encode(text) == reference_encoding.encode_ordinary(text)
+        assert own.encode(text) == library.encode_ordinary(text)
 
 
-def test_streaming_decoder_in_any_portions(reference_encoding):
+def test_streaming_decoder_in_any_portions(library):
     own = bpe.encoder(PATH, public_tokenizers.PATTERN)
     text = "aé中😀" * 50 + " end"
     ids = own.encode(text)
@@ -53,11 +53,11 @@ def test_streaming_decoder_in_any_portions(reference_encoding):
         assert "".join(parts) + decoder.finish() == text and "�" not in "".join(parts)
 
 
-def test_bpe_frames(spark, reference_encoding):
+def test_bpe_frames(spark, library):
     texts = ["Hello world", None, "", "  x\n\n", "é中😀", "a" * 100_000, "Hello world"]
     rows = spark.createDataFrame([(i, t, [1]) for i, t in enumerate(texts)], "doc_id long, text string, ids array<int>")
     got = {r.doc_id: r for r in bpe.encode(rows, PATH, public_tokenizers.PATTERN, decoded=True, portion=3).collect()}
-    assert all(got[i].ids == reference_encoding.encode_ordinary(t or "") and got[i].decoded == (t or "") for i, t in enumerate(texts))
+    assert all(got[i].ids == library.encode_ordinary(t or "") and got[i].decoded == (t or "") for i, t in enumerate(texts))
     again = bpe.decode(bpe.encode(rows, PATH, public_tokenizers.PATTERN).drop("text"), PATH, public_tokenizers.PATTERN).collect()
     assert {r.doc_id: r.decoded for r in again} == {i: t or "" for i, t in enumerate(texts)}
     assert bpe.encode(rows.limit(0), PATH, public_tokenizers.PATTERN).collect() == []
