@@ -130,6 +130,41 @@ def classify_entries(entries: DataFrame, media: DataFrame, enrollments: DataFram
     return placed.withColumns({"outcome": outcome, "purge": purge}).drop("known", "exists", "first_path")
 
 
+def submissions_of(accepted: DataFrame, enrollments: DataFrame, channel: str) -> DataFrame:
+    """accepted (enrollment_id, path_lower, ...) with kind, channel, advances and flags, for wager recordings.
+
+    The first recording (by path) of a funded enrollment advances it to wager_submitted; any other is OUT_OF_SEQUENCE.
+    Manual uploads are MANUAL_INTAKE besides.
+    """
+    states = enrollments.select(F.col("id").cast("string").alias("enrollment_id"), "state")
+    first = accepted.groupBy("enrollment_id").agg(F.min("path_lower").alias("_first"))
+    rows = accepted.join(first, "enrollment_id").join(states, "enrollment_id")
+    advances = (F.col("state") == "funded") & (F.col("path_lower") == F.col("_first"))
+    flags = F.array_compact(F.array(F.when(F.lit(channel == "manual_upload"), "MANUAL_INTAKE"), F.when(~advances, "OUT_OF_SEQUENCE")))
+    return rows.withColumns({"kind": F.lit("wager_recording"), "channel": F.lit(channel), "advances": advances, "flags": flags}).drop("_first", "state")
+
+
+def email_transitions(routed: DataFrame, enrollments: DataFrame) -> DataFrame:
+    """(id, enrollment_id, step, from_state, to_state): the steps that routed messages make their enrollments take.
+
+    A message without the original takes an invited enrollment to email_submitted. One with it takes any to
+    email_verified, an invited one by way of email_submitted, whatever its signature's verdict.
+    """
+    states = enrollments.select(F.col("id").alias("enrollment_id"), "state")
+    rows = routed.where(F.col("status").isin("auto_replied", "verified")).join(states, "enrollment_id")
+    invited, verified = F.col("state") == "invited", F.col("status") == "verified"
+    move = lambda step, a, b: F.struct(F.lit(step).alias("step"), F.lit(a).alias("from_state"), F.lit(b).alias("to_state"))
+    steps = F.array_compact(F.array(F.when(invited, move(1, "invited", "email_submitted")), F.when(verified, move(2, "email_submitted", "email_verified"))))
+    return rows.select("id", "enrollment_id", F.inline(steps))
+
+
+def unmatched_audit(routed: DataFrame, messages: DataFrame) -> DataFrame:
+    """(id, actor, action, target) for messages that no enrollment could be found for."""
+    missed = routed.where(F.col("status").isin("no_from_address", "no_participant", "no_pending_enrollment", "ambiguous_enrollment")).select("id", "status")
+    rows = missed.join(messages.select("id", "from_addr"), "id")
+    return rows.select("id", F.lit("system").alias("actor"), F.concat(F.lit("inbound_email_unmatched:"), "status").alias("action"), F.coalesce(F.nullif("from_addr", F.lit("")), F.lit("unknown")).alias("target"))
+
+
 def signature_verdict(raw: Column) -> Column:
     """A verifier's result as pass, fail, no_signature or error; null as no_signature."""
     low = F.lower(F.coalesce(raw, F.lit("none")))

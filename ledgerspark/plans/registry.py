@@ -325,6 +325,19 @@ def ingest_outcomes(d):
     return evidence.classify_entries(d.folder_entries, d.media_asset, d.enrollment, "/intake/").select("doc_id", "enrollment_id", "outcome", "purge")
 
 
+@query("G11 G12 S8 submissions of an ingest batch", """
+, p AS (SELECT *, CASE WHEN starts_with(path_lower, '/intake/') THEN nullif(split_part(substr(path_lower, 9), '/', 1), '') END AS eid FROM entries),
+k AS (SELECT p.*, e.state FROM p JOIN enrollment e ON CAST(e.id AS VARCHAR) = eid WHERE is_file),
+w AS (SELECT *, min(path_lower) OVER (PARTITION BY content_hash) AS first_path FROM k),
+o AS (SELECT *, min(path_lower) OVER (PARTITION BY eid) AS head FROM w WHERE first_path = path_lower)
+SELECT doc_id, eid AS enrollment_id, 'manual_upload' AS channel, state = 'funded' AND head = path_lower AS advances,
+  CASE WHEN state = 'funded' AND head = path_lower THEN 'MANUAL_INTAKE' ELSE 'MANUAL_INTAKE;OUT_OF_SEQUENCE' END AS flags FROM o""")
+def ingest_submissions(d):
+    entries = evidence.classify_entries(d.folder_entries, d.media_asset, d.enrollment, "/intake/")
+    made = evidence.submissions_of(entries.where("outcome = 'ingested'"), d.enrollment, "manual_upload")
+    return made.select("doc_id", "enrollment_id", "channel", "advances", F.array_join("flags", ";").alias("flags"))
+
+
 @query("F8 path parsing", "SELECT page_id, nullif(split_part(substr(url, length('https://') + 1), '/', 1), '') AS host FROM pages WHERE starts_with(url, 'https://')")
 def first_path_segments(d):
     secure = d.pages.where(F.col("url").startswith("https://"))
@@ -343,6 +356,29 @@ def email_routing(d):
     return evidence.route_emails(d.inbound_email, d.participant, d.enrollment, d.media_asset, d.dkim_allowed_signer)
 
 
+_ROUTED = """
+, pend AS (SELECT lower(p.email) AS sender, count(e.id) AS pending, min(e.id) AS eid FROM participant p
+  LEFT JOIN enrollment e ON e.participant_id = p.id AND e.state IN ('invited','email_submitted') WHERE p.email IS NOT NULL GROUP BY 1),
+r AS (SELECT i.*, pending, eid, CASE WHEN from_addr IS NULL THEN 'no_from_address' WHEN pending IS NULL THEN 'no_participant' WHEN pending = 0 THEN 'no_pending_enrollment' WHEN pending > 1 THEN 'ambiguous_enrollment'
+  WHEN content_hash IS NULL THEN 'auto_replied' WHEN content_hash IN (SELECT content_hash FROM media_asset) THEN 'duplicate' ELSE 'verified' END AS status FROM inbound i LEFT JOIN pend ON sender = lower(from_addr))
+"""
+
+
+def _routed(d):
+    return evidence.route_emails(d.inbound_email, d.participant, d.enrollment, d.media_asset, d.dkim_allowed_signer)
+
+
+@query("E4 transitions, Q11 Q12", _ROUTED + """SELECT r.id, eid AS enrollment_id, 1 AS step, 'invited' AS from_state, 'email_submitted' AS to_state FROM r JOIN enrollment e ON e.id = eid WHERE status IN ('auto_replied','verified') AND e.state = 'invited'
+UNION ALL SELECT r.id, eid, 2, 'email_submitted', 'email_verified' FROM r WHERE status = 'verified'""")
+def email_transitions(d):
+    return evidence.email_transitions(_routed(d), d.enrollment)
+
+
+@query("E4 audit of unmatched messages, S10", _ROUTED + "SELECT id, 'system' AS actor, 'inbound_email_unmatched:' || status AS action, coalesce(from_addr, 'unknown') AS target FROM r WHERE status LIKE 'no_%' OR status LIKE 'ambig%'")
+def unmatched_emails(d):
+    return evidence.unmatched_audit(_routed(d), d.inbound_email)
+
+
 @query("E2 E3", "SELECT dkim, covered, CASE lower(dkim) WHEN 'pass' THEN 'pass' WHEN 'none' THEN 'no_signature' WHEN 'temperror' THEN 'error' WHEN 'permerror' THEN 'error' ELSE 'fail' END AS verdict, count(*) AS n FROM inbound GROUP BY ALL")
 def signature_verdicts(d):
     rows = d.inbound_email.select("dkim", evidence.covers_headers(F.col("signed_headers")).alias("covered"), evidence.signature_verdict(F.col("dkim")).alias("verdict"))

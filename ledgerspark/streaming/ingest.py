@@ -13,18 +13,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.evidence import classify_entries
+from ..operators.evidence import classify_entries, submissions_of
 from ..sources.archive import ContentStore, describe
 
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
-MEDIA = "content_hash string, enrollment_id string, bytes bigint, path_lower string, ingested_at timestamp"
+MEDIA = "content_hash string, enrollment_id string, bytes bigint, path_lower string, kind string, channel string, advances boolean, flags array<string>, ingested_at timestamp"
 
 
 class Ingest:
-    """Files under folder/<enrollment id>/ into `target`, a Parquet table of MEDIA."""
-
-    def __init__(self, spark: SparkSession, folder: str, target: str, store: ContentStore, enrollments: Callable[[], DataFrame], purge: Callable[[DataFrame], None] | None = None):
-        self.spark, self.folder, self.target, self.store, self.enrollments, self.purge = spark, folder.rstrip("/"), target, store, enrollments, purge
+    """Files under folder/<enrollment id>/ into `target`, a Parquet table of MEDIA. enrollments() gives (id, state) as they are now."""
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        folder: str,
+        target: str,
+        store: ContentStore,
+        enrollments: Callable[[], DataFrame],
+        purge: Callable[[DataFrame], None] | None = None,
+        channel: str = "dropbox",
+    ):
+        self.spark, self.folder, self.target, self.store, self.enrollments, self.purge, self.channel = spark, folder.rstrip("/"), target, store, enrollments, purge, channel
 
     def archived(self) -> DataFrame:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.target)
@@ -37,7 +46,8 @@ class Ingest:
         try:
             fresh = entries.where("outcome = 'ingested'")
             self.store.put(fresh.select("content"))
-            fresh.select("content_hash", "enrollment_id", "bytes", "path_lower", F.current_timestamp().alias("ingested_at")).write.mode("append").parquet(self.target)
+            made = submissions_of(fresh.select("content_hash", "enrollment_id", "bytes", "path_lower"), self.enrollments(), self.channel)
+            made.select("content_hash", "enrollment_id", "bytes", "path_lower", "kind", "channel", "advances", "flags", F.current_timestamp().alias("ingested_at")).write.mode("append").parquet(self.target)
             if self.purge:
                 self.purge(entries.where("purge").select("path_lower"))
         finally:

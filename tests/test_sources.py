@@ -14,13 +14,14 @@ def test_ingest_is_idempotent(spark, tmp_path):
     for name, data in (("10/a.mp4", b"one"), ("10/b.mp4", b"one"), ("11/c.mp4", b"two"), ("99/d.mp4", b"three")):
         (folder / name).parent.mkdir(parents=True, exist_ok=True)
         (folder / name).write_bytes(data)
-    enrollments = spark.createDataFrame([(10,), (11,)], "id long")
+    enrollments = spark.createDataFrame([(10, "funded"), (11, "invited")], "id long, state string")
     purged = []
     store = archive.ContentStore(spark, (tmp_path / "store").as_uri())
     job = Ingest(spark, folder.as_uri(), (tmp_path / "media").as_uri(), store, lambda: enrollments, lambda rows: purged.extend(r[0] for r in rows.collect()))
     for _ in range(2):
         job.start((tmp_path / "checkpoint").as_uri()).awaitTermination()
         assert job.archived().count() == 2 and store.table().count() == 2
+    assert {r.enrollment_id: (r.advances, r.flags) for r in job.archived().collect()} == {"10": (True, []), "11": (False, ["OUT_OF_SEQUENCE"])}
     (folder / "11/e.mp4").write_bytes(b"two")
     (folder / "11/f.mp4").write_bytes(b"four")
     job.start((tmp_path / "checkpoint").as_uri()).awaitTermination()
