@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerspark.llm import bpe, line_dedup, mixing, near_dup, quality_classifier
+from ledgerspark.llm.storage import Scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Enough for every document at least once at the production weights; rarer languages and domains are repeated.
@@ -65,8 +66,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents through all stages, in order."""
+    """documents through all stages, in order; each stage's rows are written before the next reads them."""
+    scratch = Scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = scratch.keep(stage(spark, docs, sf_dir))
+    return scratch.finish(STAGES[-1][1](spark, docs, sf_dir))
