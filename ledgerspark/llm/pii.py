@@ -3,9 +3,10 @@
 Equal values get equal pseudonyms wherever they stand, different values of one format different ones, and none can be
 turned back without the key. Built-in expressions only; texts without a candidate are left after one test.
 
-Formats: e-mail addresses (the part before @), telephone numbers with + (the digits after the first), IPv4
-addresses (each part up to 255), dates that exist (years 1600 to 2399), card numbers (13 to 19 digits that pass the
-Luhn check, which their pseudonyms pass too), numbers of the form 000-00-0000, and secrets of 32 to 128 hexadecimal digits.
+Formats: e-mail addresses (the part before @), telephone numbers with + or a bracketed area code (the digits after the
+first), IPv4 addresses (each part up to 255), dates that exist (years 1600 to 2399, in figures, year first or last),
+card numbers (13 to 19 digits that pass the Luhn check, which their pseudonyms pass too), numbers of the form
+000-00-0000, and secrets of 32 to 128 hexadecimal digits.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ PATTERN = "|".join((
     r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,128}+(?![0-9A-Za-z])",
     r"(?<![0-9+])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])",
     r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
-    r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![0-9])",
+    r"(?<![0-9+])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])",
+    r"(?<![0-9])(?:[0-9]{4}([-./])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-./])[0-9]{2}\2[0-9]{4})(?![0-9])",
     r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
 ))
@@ -113,15 +115,16 @@ CYCLE = (189, 773)
 
 
 def _date(m: str, key: str) -> str:
-    """Within the 400 years of its own calendar cycle, in its own notation."""
-
-    def notation(pattern: str) -> str:
-        start = "make_date(cast(1600 + 400 * ((year(d) - 1600) div 400) as int), 1, 1)"
-        moved = f"date_format(date_add(s, cast({feistel_number('datediff(d, s)', key, *CYCLE)} as int)), '{pattern}')"
-        body = f"if(d is null or year(d) not between 1600 and 2399, {m}, {_let(start, 's', moved)})"
-        return _let(f"cast(try_to_timestamp({m}, '{pattern}') as date)", "d", body)
-
-    return f"case when substr({m}, 5, 1) = '-' then {notation('yyyy-MM-dd')} when substr({m}, 3, 1) = '.' then {notation('dd.MM.yyyy')} else {notation('dd/MM/yyyy')} end"
+    """Within the 400 years of its own calendar cycle, in its own notation: year, month, day; day, month, year; or, where
+    that is no date, month, day, year."""
+    orders = ("'yyyy', s, 'MM', s, 'dd'", "'dd', s, 'MM', s, 'yyyy'", "'MM', s, 'dd', s, 'yyyy'")
+    notations = f"transform(array(regexp_extract({m}, '[-./]', 0)), s -> array({', '.join(f'concat({o})' for o in orders)}))[0]"
+    fitting = f"filter({notations}, p -> try_to_timestamp({m}, p) is not null)"
+    start = "make_date(cast(1600 + 400 * ((year(d) - 1600) div 400) as int), 1, 1)"
+    moved = f"date_format(date_add(f, cast({feistel_number('datediff(d, f)', key, *CYCLE)} as int)), n)"
+    body = f"if(year(d) not between 1600 and 2399, {m}, {_let(start, 'f', moved)})"
+    dated = _let(f"cast(try_to_timestamp({m}, n) as date)", "d", body)
+    return _let(f"get({fitting}, 0)", "n", f"if(n is null, {m}, {dated})")
 
 
 def _card(m: str, key: str) -> str:
@@ -137,9 +140,9 @@ def pseudonym(m: str, key: str) -> str:
     return f"""case
       when instr({m}, '@') > 0 then {_email(m, key)}
       when {m} rlike '^[0-9A-Fa-f]{{32,128}}$' then {_secret(m, key)}
-      when substr({m}, 1, 1) = '+' then {_phone(m, key)}
+      when substr({m}, 1, 1) in ('+', '(') then {_phone(m, key)}
       when {m} rlike '^[0-9]{{1,3}}(?:\\\\.[0-9]{{1,3}}){{3}}$' then {_ip(m, key)}
-      when {m} rlike '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$|^[0-9]{{2}}[./][0-9]{{2}}[./][0-9]{{4}}$' then {_date(m, key)}
+      when {m} rlike '^(?:[0-9]{{4}}([-./])[0-9]{{2}}\\\\1[0-9]{{2}}|[0-9]{{2}}([-./])[0-9]{{2}}\\\\2[0-9]{{4}})$' then {_date(m, key)}
       when {m} rlike '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' then {feistel(m, key)}
       else {_card(m, key)} end"""
 

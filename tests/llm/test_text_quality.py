@@ -161,11 +161,14 @@ def test_formats_are_kept_and_values_stay_linked(spark):
     assert all(int(p) < 256 for p in got[5][0].rstrip(".").split("."))
     iso, dotted = got[6][0].split(" and ")
     assert iso == "-".join(reversed(dotted.split(".")))
+    assert len({re.sub(r"\D", "", x) for x in (dotted, *(t for t, _ in pseudonyms(spark, ["29/02/2024", "29-02-2024"])))}) == 1
+    us, own, slashed = pseudonyms(spark, ["12/31/1999", "(017) 555-7713", "2024/02/29"])
+    assert us[1] == own[1] == slashed[1] == 1 and slashed[0] == iso.replace("-", "/") and re.fullmatch(r"\(0\d\d\) \d{3}-\d{4}", own[0]) and re.fullmatch(r"\d\d/\d\d/\d{4}", us[0])
     assert got[8][0].lower().rstrip("!") == got[7][0][9:-1] and got[8][0].isupper()
 
 
 def test_what_is_not_valid_stays(spark):
-    texts = [None, "", "no data 12, 3.4", "4539148803436468", "300.1.1.1", "2023-02-29", "31.04.2020", "1599-12-31", "a@b", "1.2.3.4.5", "12345678901234567890", "x" * 200_000]
+    texts = [None, "", "no data 12, 3.4", "4539148803436468", "300.1.1.1", "2023-02-29", "31.04.2020", "1599-12-31", "a@b", "1.2.3.4.5", "12-31/1999", "12345678901234567890", "x" * 200_000]
     assert pseudonyms(spark, texts) == [(t, 0) for t in texts]
 
 
