@@ -315,7 +315,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     found = labels(converge(edges, scratch))
 
     classes = classes.withColumnRenamed("doc_id", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    classes = classes.select("n", "f1", "f2", F.coalesce("component", "rep").alias("component"))
+    # Written, so that both sides of the last join are plain exchanges, of which large partitions can be split.
+    classes = scratch.keep(classes.select("n", "f1", "f2", F.coalesce("component", "rep").alias("component")))
     out = sketched.drop("regs").join(classes, ["n", "f1", "f2"], "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
