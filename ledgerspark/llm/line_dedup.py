@@ -111,7 +111,9 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
     found = scratch.keep(plain.mapInArrow(suspects, "doc_id long, h long, d1 long, d2 long"))
     each = found.where("doc_id is not null").groupBy("d1", "d2", "doc_id").agg(F.lit(1).alias("one"))
     repeated = each.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("docs"), F.max("doc_id").alias("keeper")).where(F.col("docs") >= min_docs)
-    lost = found.join(repeated.select("d1", "d2", "keeper"), ["d1", "d2"]).where("doc_id is null or doc_id <> keeper")
+    # Written, so that both sides of the join are plain exchanges, of which large partitions can be split.
+    repeated = scratch.keep(repeated.select("d1", "d2", "keeper"))
+    lost = found.join(repeated.hint("merge"), ["d1", "d2"]).where("doc_id is null or doc_id <> keeper")
     lost = lost.groupBy("doc_id").agg(F.collect_set("h").alias("__drop"))
     lost = scratch.keep(lost.withColumnRenamed("doc_id", "__id"))
 
