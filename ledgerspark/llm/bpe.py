@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import textbytes as tb
 
 #: Bounds of what a Python worker remembers; past them the older half is forgotten and made again when met.
-MAX_STATES, MAX_PIECES, MAX_PAIRS = 1 << 18, 1 << 18, 1 << 17
+MAX_STATES, MAX_PIECES, MAX_PAIRS = 1 << 18, 1 << 18, 1 << 16
 START = -1
 #: Bytes after which tokens are emitted, in pieces longer than that.
 EMIT = 256
