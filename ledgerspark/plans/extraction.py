@@ -1,4 +1,4 @@
-"""From frame reads to the flags of a run: one plan whose checks share the stitched ledger."""
+"""From frame reads to the flags of a run: one plan, with one pass over the stitched ledger."""
 
 from __future__ import annotations
 
@@ -41,11 +41,7 @@ def all_flags(d, rows: DataFrame, now: datetime) -> DataFrame:
     assets = d.media_asset.join(d.submission.where("channel = 'dropbox'").select("media_asset_id"), F.col("id") == F.col("media_asset_id"))
     assets = assets.select("id", "dhash", F.col("created_at").alias("stored_at"), F.col("created_at").alias("checked_at"))
     parts = [
-        ledger.arithmetic_flags(rows),
-        ledger.future_flags(rows, now),
-        ledger.order_flags(rows),
-        ledger.confidence_flags(rows),
-        ledger.shortfall_flags(ledger.reconcile(runs, rows, d.grants)),
+        ledger.run_flags(runs, rows, d.grants, now),
         evidence.gap_flags(d.submission, d.grants),
         evidence.intake_flags(d.submission),
         evidence.sequence_flags(d.submission, d.enrollment),

@@ -106,3 +106,20 @@ def test_hash_text_and_distance(spark):
         values.hash_from_hex(F.lit("ff00ff00ff00ff00")).alias("h"), values.hamming(values.hash_from_hex(F.lit("0")), values.hash_from_hex(F.lit("f" * 16))).alias("d")
     ).first()
     assert r.h == 0xFF00FF00FF00FF00 - 2**64 and r.d == 64
+
+
+def test_all_flags_at_once_are_those_of_the_single_checks(spark):
+    import random
+
+    rnd = random.Random(8)
+    data = []
+    for run in range(40):
+        for i in range(rnd.randint(0, 8)):
+            ts = rnd.choice([None, "soon", *(f"2026-09-1{d}T12:0{m}:00Z" for d in (4, 5) for m in range(9))])
+            data.append(row(run, i, 0, ts, rnd.choice([None, 1.0, 2.0]), rnd.choice([None, 10.0, 11.0, 12.0]), rnd.choice([None, 0.3, 0.9]), rnd.choice(["bet", "x", None])))
+    rows = ledger.stitch(reads(spark, data))
+    runs = spark.createDataFrame([(i, 100 + i) for i in range(45)], "run_id long, enrollment_id long")
+    grants = spark.createDataFrame([(100 + i, float(i % 4)) for i in range(0, 45, 2)], "enrollment_id long, amount double")
+    parts = [ledger.arithmetic_flags(rows), ledger.future_flags(rows, NOW), ledger.order_flags(rows), ledger.confidence_flags(rows), ledger.shortfall_flags(ledger.reconcile(runs, rows, grants))]
+    want = sorted((tuple(r) for p in parts for r in p.collect()), key=str)
+    assert sorted((tuple(r) for r in ledger.run_flags(runs, rows, grants, NOW).collect()), key=str) == want and len(want) > 50
