@@ -33,3 +33,10 @@ def test_entry(spark):
 def test_filters_reach_the_scan(spark):
     plan = registry.QUERIES["submission_search_by_participant"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "o_custkey" in plan.split("PushedFilters", 1)[1]
+
+
+@here
+@pytest.mark.parametrize("name", registry.QUERIES)
+def test_no_plan_pairs_everything(spark, name):
+    plan = registry.QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "BatchEvalPython" not in plan
