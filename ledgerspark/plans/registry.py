@@ -385,11 +385,12 @@ def signature_verdicts(d):
     return rows.groupBy("dkim", "covered", "verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("R31 S10 last write wins", "SELECT o_custkey AS enrollment_id, arg_max(CAST(o_totalprice AS DECIMAL(12,2)), (o_orderdate, o_orderkey)) AS amount FROM orders GROUP BY o_custkey UNION ALL SELECT -1, CAST(5 AS DECIMAL(12,2))")
+@query("R31 S10 last write wins", """
+, last AS (SELECT o_custkey, arg_max(CAST(o_totalprice AS DECIMAL(12,2)), (o_orderdate, o_orderkey)) AS amount FROM orders GROUP BY o_custkey)
+SELECT coalesce(c_custkey, o_custkey) AS enrollment_id, coalesce(amount, 0) AS amount FROM customer FULL JOIN last ON o_custkey = c_custkey""")
 def grant_upserts(d):
     rows = d.orders.select(F.col("o_custkey").alias("enrollment_id"), F.col("o_totalprice").cast("decimal(12,2)").alias("amount"), F.struct("o_orderdate", "o_orderkey").alias("at"))
-    base = d.spark.sql("SELECT -1L AS enrollment_id, cast(5 AS decimal(12,2)) AS amount UNION ALL SELECT 0L, cast(5 AS decimal(12,2)) UNION ALL SELECT 1L, cast(5 AS decimal(12,2))")
-    base = base.join(d.orders.select(F.col("o_custkey").alias("enrollment_id")).distinct().unionByName(d.spark.sql("SELECT -1L AS enrollment_id")), "enrollment_id", "left_semi")
+    base = d.customer.select(F.col("c_custkey").alias("enrollment_id"), F.lit(0).cast("decimal(12,2)").alias("amount"))
     return lifecycle.upsert(base, rows, ["enrollment_id"], "at")
 
 
