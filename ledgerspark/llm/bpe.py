@@ -38,6 +38,7 @@ class Vocabulary:
         self.token: list[bytes] = [b""] * (max(self.rank.values()) + 1)
         for t, i in self.rank.items():
             self.token[i] = t
+        self.size = [len(t) for t in self.token]
         self.stems = {t[:n] for t in self.rank for n in range(1, len(t))}
 
     def merged(self, data: bytes) -> list[int]:
@@ -84,7 +85,7 @@ class Transducer:
         #: farthest first; the bytes they cover
         self.states: list[bytes] = [self._pack([(0, START)], b"")]
         self.number = {self.states[0]: 0}
-        #: from state << 8 | byte to (next state << 20 | last token) + 1
+        #: from where << 8 | byte to the next where; a where is state << 20 | last token, 0 at the start only
         self.next: dict[int, int] = {}
 
     @staticmethod
@@ -106,8 +107,8 @@ class Transducer:
             self.pairs.put((a, b), known)
         return known
 
-    def step(self, state: int, byte: int) -> int:
-        live, tail = self._live(state)
+    def step(self, where: int, byte: int) -> int:
+        live, tail = self._live(where >> 20)
         tail += bytes((byte,))
         rank, stems = self.vocabulary.rank, self.vocabulary.stems
         size, on, last = len(tail), [], START
@@ -125,52 +126,55 @@ class Transducer:
         if to is None:
             to = self.number[key] = len(self.states)
             self.states.append(key)
-        self.next[state << 8 | byte] = found = (to << 20 | last) + 1
+        self.next[where << 8 | byte] = found = to << 20 | last
         return found
 
-    def encode(self, piece: bytes) -> tuple[int, ...]:
+    def encode(self, piece: bytes) -> list[int]:
         whole = self.vocabulary.rank.get(piece)
         if whole is not None:
-            return (whole,)
+            return [whole]
         if len(self.states) > MAX_STATES:
             self._reset()
-        out, ends, state, known = [], [], 0, self.next
-        for byte in piece:
-            found = (known.get(state << 8 | byte) or self.step(state, byte)) - 1
-            state = found >> 20
-            ends.append(found & 0xFFFFF)
-            if len(ends) >= EMIT and not len(ends) % EMIT:
-                ends = self._emit(ends, state, out)
+        out: list[int] = []
+        where, seen = 0, []
+        for at in range(0, len(piece), EMIT):
+            known, step, note = self.next.get, self.step, seen.append
+            for byte in piece[at : at + EMIT]:
+                where = known(where << 8 | byte) or step(where, byte)
+                note(where)
+            if at + EMIT < len(piece):
+                seen = self._emit(seen, where >> 20, out)
                 if len(self.states) > MAX_STATES:
-                    state = self._restart(state)
-                    known = self.next
-        return (*out, *self._path(ends, len(ends)))
+                    where = self._restart(where)
+        return out + self._path(seen, len(seen))
 
-    def _path(self, ends: list[int], at: int) -> list[int]:
-        """The tokens of the prefix of so many bytes."""
-        path, token = [], self.vocabulary.token
+    def _path(self, seen: list[int], at: int) -> list[int]:
+        """The tokens of the prefix of so many bytes; seen: where each byte led."""
+        path, size = [], self.vocabulary.size
         while at > 0:
-            path.append(ends[at - 1])
-            at -= len(token[ends[at - 1]])
-        return path[::-1]
-
-    def _emit(self, ends: list[int], state: int, out: list[int]) -> list[int]:
-        """Emits what all live positions share; the ends of the bytes after that."""
-        paths = [self._path(ends, len(ends) - back) for back, _ in self._live(state)[0]]
+            token = seen[at - 1] & 0xFFFFF
+            path.append(token)
+            at -= size[token]
+        path.reverse()
+        return path
+
+    def _emit(self, seen: list[int], state: int, out: list[int]) -> list[int]:
+        """Emits what all live positions share; what is seen of the bytes after that."""
+        paths = [self._path(seen, len(seen) - back) for back, _ in self._live(state)[0]]
         shared = 0
         for tokens in zip(*paths, strict=False):
             if len(set(tokens)) > 1:
                 break
             shared += 1
         out += paths[0][:shared]
-        return ends[sum(len(self.vocabulary.token[t]) for t in paths[0][:shared]) :]
+        return seen[sum(self.vocabulary.size[t] for t in paths[0][:shared]) :]
 
-    def _restart(self, state: int) -> int:
-        key = self.states[state]
+    def _restart(self, where: int) -> int:
+        key = self.states[where >> 20]
         self._reset()
         self.number[key] = len(self.states)
         self.states.append(key)
-        return self.number[key]
+        return self.number[key] << 20 | where & 0xFFFFF
 
 
 def _spaces(pattern: str) -> str:
