@@ -141,3 +141,13 @@ def test_upserts(spark):
     assert {tuple(r) for r in lifecycle.upsert(table, changes, ["k"], "at").collect()} == {(1, "a"), (2, "d"), (3, "e")}
     fill = changes.where("v <> 'c'")
     assert {tuple(r) for r in lifecycle.upsert(table, fill, ["k"]).collect()} == {(1, "a"), (2, "b"), (3, "e")}
+
+
+def test_transitions_in_order(spark, domain):
+    asked = [(1, 12, "email_submitted", 1), (2, 12, "funded", 2), (3, 12, "email_verified", 3), (4, 12, "rejected", 4), (5, 12, "closed", 5), (7, 11, "wager_submitted", 1), (6, 11, "wager_submitted", 1), (8, 99, "closed", 1)]
+    rows = spark.createDataFrame([(i, e, s, T0 + timedelta(t)) for i, e, s, t in asked], "id long, enrollment_id long, to_state string, at timestamp")
+    got = {r.id: (r.from_state, r.outcome) for r in lifecycle.apply_transitions(rows, domain.enrollment).collect()}
+    assert got == {
+        1: ("invited", "legal"), 2: ("email_submitted", "illegal"), 3: ("email_submitted", "legal"), 4: ("email_verified", "legal"), 5: ("rejected", "already_terminal"),
+        6: ("funded", "legal"), 7: ("wager_submitted", "illegal"), 8: (None, "unknown_state"),
+    }
