@@ -163,6 +163,15 @@ def submissions_csv(d, participant_id: int | None = None, enrollment_id: int | N
     return full.select("received_at", "id", line.alias("line")).orderBy(F.desc("received_at"), "id")
 
 
+def submissions_csv_for(d, request: dict) -> DataFrame:
+    """submissions_csv() by a request's filters. Only those the export knows count, whatever else the request holds; an empty
+    participant_id leaves that filter out."""
+    known = {k: request[k] for k in ("participant_id", "enrollment_id", "since", "until") if request.get(k) is not None}
+    if known.get("participant_id") == "":
+        del known["participant_id"]
+    return submissions_csv(d, **known)
+
+
 def decisions_csv(chained: DataFrame, enrollment_id: int | None = None) -> DataFrame:
     """(at, id, line) of the decision export, in the order of time. chained: decisions with hashes."""
     rows = chained if enrollment_id is None else chained.where(F.col("enrollment_id") == enrollment_id)

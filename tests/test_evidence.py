@@ -129,6 +129,8 @@ def test_search_and_exports(domain):
     assert ids(since=T0, until=T0 + timedelta(seconds=59)) == [101, 103]
     lines = {r.id: r.line for r in search.submissions_csv(domain).collect()}
     assert lines[102] == "102,1,ann,11,c1,funded,wager_recording,dropbox,2026-02-01T00:00:00.000Z,h102,,,LOW_CONFIDENCE;LOW_CONFIDENCE"
+    asked = {"participant_id": "", "casino": "c2", "state": "closed", "flag": "X", "since": T0}
+    assert {r.id for r in search.submissions_csv_for(domain, asked).collect()} == {100, 101, 102, 103}
     queue = search.funding_queue(domain).collect()
     assert [r.id for r in queue] == [10, 13] and len(queue[0].checks) == 4
     rows = search.search_with_relations(domain, participant_id=4).collect()
