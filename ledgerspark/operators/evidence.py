@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import millis_between
@@ -46,13 +46,14 @@ def shared_rows(rows: DataFrame) -> DataFrame:
     per_person = per_run.groupBy("row_key", "participant_id").agg(F.sum("n").alias("own"))
     per_key = per_person.groupBy("row_key").agg(F.sum("own").alias("all"), F.count(F.lit(1)).alias("people")).where("people > 1")
     hits = per_run.select("row_key", "run_id", "participant_id").join(per_key, "row_key").join(per_person, ["row_key", "participant_id"])
-    totals = hits.groupBy("run_id").agg(F.sum(F.col("all") - F.col("own")).alias("n_matches"))
-    # up to the cap, the distinct others are among the first few participants of each key
-    few = F.row_number().over(Window.partitionBy("row_key").orderBy("participant_id"))
-    others = per_person.select("row_key", F.col("participant_id").alias("other"), few.alias("_k")).where(F.col("_k") <= SHARED_CAP + 1)
-    people = hits.select("run_id", "row_key", "participant_id").join(others, "row_key").where("other <> participant_id")
+    totals = hits.groupBy("run_id").agg(F.sum(F.col("all") - F.col("own")).alias("n_matches"), F.max("people").alias("most"))
+    # A key of more participants than the cap settles its runs. The others' keys are all small, and are listed.
+    small = totals.where(F.col("most") <= SHARED_CAP).select("run_id")
+    others = per_person.join(per_key.where(F.col("people") <= SHARED_CAP).select("row_key"), "row_key", "left_semi").select("row_key", F.col("participant_id").alias("other"))
+    people = hits.join(small, "run_id", "left_semi").select("run_id", "row_key", "participant_id").join(others, "row_key").where("other <> participant_id")
     people = people.groupBy("run_id", "other").agg(F.lit(1).alias("one")).groupBy("run_id").agg(F.count(F.lit(1)).alias("n_participants"))
-    return totals.join(people, "run_id").select("run_id", "n_matches", *(F.least(c, F.lit(SHARED_CAP)).alias(n) for c, n in (("n_matches", "n_capped"), ("n_participants", "n_participants"))))
+    cap = lambda c: F.least(c, F.lit(SHARED_CAP).cast("long"))
+    return totals.join(people, "run_id", "left").select("run_id", "n_matches", cap("n_matches").alias("n_capped"), cap(F.coalesce("n_participants", F.lit(SHARED_CAP).cast("long"))).alias("n_participants"))
 
 
 def prefunding_checks(enrollments: DataFrame, all_enrollments: DataFrame, participants: DataFrame, submissions: DataFrame, evidence: DataFrame) -> DataFrame:
