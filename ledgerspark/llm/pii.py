@@ -5,8 +5,8 @@ turned back without the key. Built-in expressions only; texts without a candidat
 
 Formats: e-mail addresses (the part before @), telephone numbers with + or a bracketed area code (the digits after the
 first), IPv4 addresses (each part up to 255), dates that exist (years 1600 to 2399, in figures, year first or last),
-card numbers (13 to 19 digits that pass the Luhn check, which their pseudonyms pass too), numbers of the form
-000-00-0000, and secrets of 32 to 128 hexadecimal digits.
+card numbers (13 to 19 digits that pass the Luhn check, which their pseudonyms pass too, also beside other groups of
+digits), numbers of the form 000-00-0000, and secrets of 32 to 128 hexadecimal digits.
 """
 
 from __future__ import annotations
@@ -18,17 +18,19 @@ ROUNDS = 8
 #: For tests and measurements; pass a secret of your own.
 KEY = "ledgerspark-demo-key"
 
-#: What may be personal, tried in this order at each place.
+#: What may be personal, but for card numbers, tried in this order at each place.
 PATTERN = "|".join((
     r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}",
     r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,128}+(?![0-9A-Za-z])",
-    r"(?<![0-9+])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])",
+    r"(?<![0-9+])\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])",
+    r"(?<![0-9+])\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-][0-9]{2,4}){3,5}(?![0-9])",
     r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
     r"(?<![0-9+])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])",
     r"(?<![0-9])(?:[0-9]{4}([-./])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-./])[0-9]{2}\2[0-9]{4})(?![0-9])",
     r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
 ))
+#: Groups of digits in which card numbers are looked for, where none of the above stands.
+DIGITS = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,}+"
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -132,7 +134,42 @@ def _card(m: str, key: str) -> str:
     digits = f"regexp_replace({m}, '[^0-9]', '')"
     check = f"cast((10 - {luhn("concat(b, '0')")}) % 10 as string)"
     moved = _let(feistel(f"substr({digits}, 1, length({digits}) - 1)", key), "b", f"concat(b, {check})")
-    return f"if({luhn(digits)} = 0, {_redealt(m, moved)}, {m})"
+    return _redealt(m, moved)
+
+
+def _cards(run: str, key: str) -> str:
+    """(text, n) of a run of groups of digits with the n card numbers in it replaced. They begin and end with a group.
+
+    A group begins at most one, the longest that passes. From the left, of a number and those that begin inside it, the
+    longest is taken, then the first.
+    """
+    joined = "regexp_replace(array_join(slice(g, s, w), ''), '[^0-9]', '')"
+    passes = _let(joined, "j", f"if(length(j) between 13 and 19, {luhn('j')} = 0, false)")
+    widest = f"get(filter(sequence(least(19, size(g) - s + 1), 1, -1), w -> {passes}), 0)"
+    # the start is negative, so that the greatest is the longest, then the first
+    begun = _let(widest, "w", f"if(w is null, null, named_struct('n', length({joined}), 's', -s, 'e', s + w))")
+    cards = f"filter(transform(sequence(1, size(g)), s -> {begun}), c -> c is not null)"
+    # at most 18 of those that follow can begin inside one
+    pick = "array_max(filter(slice(cs, k, 19), d -> -d.s < element_at(cs, k).e))"
+    take = _let(pick, "p", "named_struct('e', p.e, 'o', concat(a.o, array(p)))")
+    start = "named_struct('e', 1, 'o', cast(array() as array<struct<n: int, s: int, e: int>>))"
+    chosen = f"aggregate(sequence(1, size(cs)), {start}, (a, k) -> if(-element_at(cs, k).s < a.e, a, {take}), a -> a.o)"
+    card = _let("array_join(slice(g, -c.s, c.e + c.s), '')", "m", _card("m", key))
+    part = _let("coalesce(get(o, i - 1).e, 1)", "x", f"concat(array_join(slice(g, x, -c.s - x), ''), {card})")
+    rest = "array_join(slice(g, element_at(o, -1).e, size(g)), '')"
+    text = f"concat(array_join(transform(o, (c, i) -> {part}), ''), {rest})"
+    replaced = _let(chosen, "o", f"named_struct('text', {text}, 'n', size(o))")
+    some = _let(cards, "cs", f"if(size(cs) = 0, named_struct('text', r, 'n', 0), {replaced})")
+    # each group with the separator that follows it
+    return _let(run, "r", _let("regexp_extract_all(r, '[0-9]+[ -]?', 0)", "g", some))
+
+
+def _between(b: str, key: str) -> str:
+    """(text, n) of a text without other candidates, with its n card numbers replaced."""
+    runs = f"transform(regexp_extract_all({b}, {_quoted(DIGITS)}, 0), r -> {_cards('r', key)})"
+    text = f"array_join(zip_with(split({b}, {_quoted(DIGITS)}), rs, (x, y) -> concat(x, coalesce(y.text, ''))), '')"
+    found = _let(runs, "rs", f"named_struct('text', {text}, 'n', aggregate(rs, 0, (n, y) -> n + y.n))")
+    return f"if({b} rlike {_quoted(DIGITS)}, {found}, named_struct('text', {b}, 'n', 0))"
 
 
 def pseudonym(m: str, key: str) -> str:
@@ -143,28 +180,29 @@ def pseudonym(m: str, key: str) -> str:
       when substr({m}, 1, 1) in ('+', '(') then {_phone(m, key)}
       when {m} rlike '^[0-9]{{1,3}}(?:\\\\.[0-9]{{1,3}}){{3}}$' then {_ip(m, key)}
       when {m} rlike '^(?:[0-9]{{4}}([-./])[0-9]{{2}}\\\\1[0-9]{{2}}|[0-9]{{2}}([-./])[0-9]{{2}}\\\\2[0-9]{{4}})$' then {_date(m, key)}
-      when {m} rlike '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' then {feistel(m, key)}
-      else {_card(m, key)} end"""
+      else {feistel(m, key)} end"""
 
 
 def pseudonymize(docs: DataFrame, key: str = KEY) -> DataFrame:
     """docs with personal data in text replaced, and n_private long: how many values were.
 
     Whole texts. Null texts stay null, with 0; empty texts and texts without valid values stay as they are. Equal values
-    get equal pseudonyms in all rows. A column n_private of docs is replaced, so are __found and __new; all others pass. key must not hold quotes.
+    get equal pseudonyms in all rows. A column n_private of docs is replaced, so are __found, __new and __between; all others pass. key must not hold quotes.
     """
     if "'" in key or "\\" in key:
         raise ValueError("the key must not hold quotes or backslashes")
     text = F.col("text").cast("string")
-    some = text.rlike(PATTERN)
+    some = text.rlike(PATTERN) | text.rlike(DIGITS)
     out = docs.withColumn("text", text)
     out = out.withColumn("__found", F.when(some, F.expr(f"regexp_extract_all(text, {_quoted(PATTERN)}, 0)")))
     out = out.withColumn("__new", F.expr(f"transform(__found, m -> {pseudonym('m', key)})"))
-    between = F.split("text", PATTERN)
-    whole = F.array_join(F.zip_with(between, "__new", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    # what stands between those: with the card numbers in it replaced
+    out = out.withColumn("__between", F.when(F.col("__found").isNotNull(), F.expr(f"transform(split(text, {_quoted(PATTERN)}), b -> {_between('b', key)})")))
+    whole = F.array_join(F.zip_with("__between", "__new", lambda a, b: F.concat(a["text"], F.coalesce(b, F.lit("")))), "")
     count = F.size(F.filter(F.zip_with("__found", "__new", lambda a, b: a != b), lambda x: x))
+    count = count + F.aggregate("__between", F.lit(0), lambda n, b: n + b["n"])
     out = out.withColumn("text", F.when(F.col("__found").isNull(), F.col("text")).otherwise(whole))
-    return out.withColumn("n_private", F.when(F.col("__found").isNull(), 0).otherwise(count).cast("long")).drop("__found", "__new")
+    return out.withColumn("n_private", F.when(F.col("__found").isNull(), 0).otherwise(count).cast("long")).drop("__found", "__new", "__between")
 
 
 def _quoted(text: str) -> str:

@@ -172,6 +172,31 @@ def test_what_is_not_valid_stays(spark):
     assert pseudonyms(spark, texts) == [(t, 0) for t in texts]
 
 
+def test_cards_beside_other_groups_of_digits(spark):
+    card = "4111111111111111"
+    spaced = "4111 1111 1111 1111"
+    hidden = pseudonyms(spark, [card])[0][0]
+    parted = " ".join(hidden[i : i + 4] for i in range(0, 16, 4))
+    texts = [f"{spaced} 123", f"{card} 12/25", f"no 12 {card}", f"1234 5 {spaced} 99", f"{spaced} 5500 0000 0000 0004", f"{card} 2024-02-29", " ".join("1234567" * 3)]
+    got = pseudonyms(spark, texts)
+    assert [t for t, _ in got[:4]] == [f"{parted} 123", f"{hidden} 12/25", f"no 12 {hidden}", f"1234 5 {parted} 99"]
+    assert got[4][0].startswith(parted + " ") and luhn(got[4][0][20:].replace(" ", "")) and "5500" not in got[4][0]
+    assert got[5][0].startswith(hidden + " ") and got[5][0][-10:] != "2024-02-29" and [n for _, n in got[:6]] == [1, 1, 1, 1, 2, 2]
+    assert len(got[6][0]) == len(texts[6])
+
+
+def test_long_rows_of_numbers(spark):
+    text = " ".join(str(i % 997) for i in range(6000))
+    ((got, n),) = pseudonyms(spark, [text])
+    assert n > 0 and len(got) == len(text) and [len(x) for x in got.split(" ")] == [len(x) for x in text.split(" ")]
+
+
+def test_numbers_with_one_digit_areas_and_pairs(spark):
+    texts = ["+33 1 23 45 67 89", "+61 2 1234 5678", "+45 12 34 56 78", "+32 2 123 45 67"]
+    for text, (got, n) in zip(texts, pseudonyms(spark, texts), strict=True):
+        assert n == 1 and got != text and re.sub(r"\d", "9", got) == re.sub(r"\d", "9", text) and got[:2] == text[:2]
+
+
 def test_permutations_are_one_to_one(spark):
     two = spark.range(100).select(F.expr(pii.feistel("lpad(cast(id as string), 2, '0')", "k")).alias("x"))
     assert two.distinct().count() == 100
