@@ -14,8 +14,8 @@ from ledgerspark.llm import bpe, line_dedup, mixing, near_dup, quality_classifie
 from ledgerspark.llm.storage import Scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Enough for every document at least once at the production weights; rarer languages and domains are repeated.
-BUDGET_PERCENT = 150
+#: None: the least budget that takes every document at least once, from the sizes of the leaves; small leaves of high weight are repeated.
+BUDGET_PERCENT = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's budget takes it: once per whole epoch, and once more in the prefix of the next."""
+    """Each document as often as its source's budget takes it: once per whole epoch, and once more in the prefix of the next.
+
+    Only texts without words are dropped, where their domain, language and source have no words at all.
+    """
     taken = mixing.mix_sources(docs, percent=BUDGET_PERCENT)
     copies = F.col("whole_epochs") + F.when(F.col("prefix_tokens") > 0, 1).otherwise(0)
     # rows that share a doc_id are one document here: each is taken as often as the id

@@ -57,14 +57,30 @@ def _fill(children: DataFrame, keys: list[str], name: str) -> DataFrame:
     return rows.withColumn("allotted", F.when(F.col("_full"), F.col("capacity")).otherwise(share)).drop("_left", "_weights", "_at", "_full", "_first")
 
 
-def budgets(leaves: DataFrame, weights: dict, percent: int, max_epochs: int) -> DataFrame:
-    """leaves (domain, lang, source, available) with budget in tokens, of percent of all available tokens."""
+def _least_budget(usable: DataFrame) -> DataFrame:
+    """One row (wanted): the least budget that gives each leaf one epoch.
+
+    From the leaves up: where children share by weight, the one with the highest need per weight sets the level, and the
+    others get as much a weight, up to their capacity. Levels are whole numbers, so that no share is rounded.
+    """
+    rows = usable.withColumns({"weight": F.col("w_source"), "need": F.col("available")})
+    for keys, above in ((["domain", "lang", "w_domain", "w_lang"], "w_lang"), (["domain", "w_domain"], "w_domain"), ([], None)):
+        level = F.max(F.expr("(need + weight - 1) div weight")).over(Window.partitionBy(*(keys or [F.lit(1)])))
+        need = F.sum(F.least("capacity", F.col("_level") * F.col("weight")))
+        rows = rows.withColumn("_level", level).groupBy(*keys).agg(need.alias("need"), F.sum("capacity").alias("capacity"))
+        rows = rows.withColumn("weight", F.col(above)) if above else rows
+    return rows.select(F.col("need").cast("long").alias("wanted"))
+
+
+def budgets(leaves: DataFrame, weights: dict, percent: int | None, max_epochs: int) -> DataFrame:
+    """leaves (domain, lang, source, available) with budget in tokens, of percent of all available tokens; without percent,
+    of the least that gives each usable leaf one epoch."""
     leaves = leaves.withColumns({f"w_{level}": _weight(level, weights) for level in LEAF})
     leaves = leaves.withColumn("capacity", F.col("available") * max_epochs)
     usable = leaves.where("w_domain > 0 and w_lang > 0 and w_source > 0")
     langs = usable.groupBy("domain", "lang", F.col("w_lang").alias("weight"), "w_domain").agg(F.sum("capacity").alias("capacity"))
     domains = langs.groupBy("domain", F.col("w_domain").alias("weight")).agg(F.sum("capacity").alias("capacity"))
-    total = leaves.agg(F.expr(f"(sum(available) * {percent}) div 100").cast("long").alias("wanted"))
+    total = _least_budget(usable) if percent is None else leaves.agg(F.expr(f"(sum(available) * {percent}) div 100").cast("long").alias("wanted"))
     whole = total.join(domains.agg(F.sum("capacity").alias("capacity"))).select(F.least("wanted", "capacity").alias("budget"))
     domains = _fill(domains.join(whole), [], "domain").select("domain", F.col("allotted").alias("budget"))
     langs = _fill(langs.join(domains, "domain"), ["domain"], "lang").select("domain", "lang", F.col("allotted").alias("budget"))
@@ -76,7 +92,7 @@ def budgets(leaves: DataFrame, weights: dict, percent: int, max_epochs: int) ->
 def mix_sources(
     docs: DataFrame,
     weights: dict = WEIGHTS,
-    percent: int = BUDGET_PERCENT,
+    percent: int | None = BUDGET_PERCENT,
     max_epochs: int = MAX_EPOCHS,
     seed: int = SEED,
     domain: Column | None = None,
@@ -85,7 +101,7 @@ def mix_sources(
     """docs (doc_id, text, lang, source, ...) -> doc_id, domain, lang, source, n_tokens, whole_epochs, prefix_tokens, one row each.
 
     The tree is domain, lang, source; tokens are words. The budget is percent of all tokens, at most what max_epochs
-    epochs of the usable leaves hold. A leaf's epochs are its documents in the order of md5(seed:epoch:doc_id), then
+    epochs of the usable leaves hold; without percent, the least that gives each usable leaf one epoch. A leaf's epochs are its documents in the order of md5(seed:epoch:doc_id), then
     doc_id; it takes whole_epochs of them and, of the next, the first tokens up to its budget: prefix_tokens of the row,
     less than n_tokens where the budget ends inside it. A leaf's rows so give exactly its budget. Rounding leaves at most
     one token per child unused. Null lang and source are the empty name; null and empty texts have no tokens and are taken

@@ -120,6 +120,12 @@ def test_each_stage_against_brute_force(spark, folder):
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
 
 
+def test_the_mix_takes_every_document(spark):
+    docs = [(i, " ".join(f"w{i}x{j}" for j in range(20)), "en" if i % 3 else "de", "src1" if i % 2 else f"src{i % 7}", 9) for i in range(400)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.mix(spark, frame, "").collect()} == set(range(400))
+
+
 def test_the_whole_pipeline_and_empty_documents(spark, folder, tmp_path):
     whole = corpus_pipeline.run(spark, folder)
     assert whole.count() > 150 and whole.where(F.col("doc_id").isNull()).count() == 0

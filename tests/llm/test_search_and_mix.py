@@ -93,6 +93,19 @@ def test_budgets_equal_a_direct_filling(spark):
         assert got == {k: want.get(k, 0) for k in leaves}
 
 
+def test_the_least_budget_gives_each_leaf_an_epoch(spark):
+    rnd = random.Random(5)
+    for hot in ("src0", "src1", "src2"):
+        leaves = {(d, g, s): rnd.randint(0, 900) for d, s in (("web", "src0"), ("books", "src1"), ("code", "src2"), ("web", "src3")) for g in ("en", "de", "xx")}
+        leaves |= {k: v + 3000 for k, v in leaves.items() if k[2] == hot}
+        frame = spark.createDataFrame([(*k, v) for k, v in leaves.items()], "domain string, lang string, source string, available long")
+        got = mixing.budgets(frame, mixing.WEIGHTS, None, 4).collect()
+        assert len(got) == len(leaves) and all(r.available <= r.budget <= 4 * r.available for r in got)
+        total = sum(r.budget for r in got)
+        less = mixing.budgets(frame, mixing.WEIGHTS, 100 * total // sum(leaves.values()) - 2, 4).collect()
+        assert any(r.budget < r.available for r in less)
+
+
 def test_prefixes_take_exactly_the_budget_in_hash_order(spark):
     rnd = random.Random(3)
     docs = [(i, " w" * rnd.choice([0, 1, 3, 10]), rnd.choice(["en", "de", None]), rnd.choice(["src0", "src1", "odd", None]), 9) for i in range(500)] + [(7, "a b", "en", "src0", 1), (None, "a b c", "en", "src0", 1), (8, None, "en", "src0", 1)]
