@@ -41,12 +41,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Only texts without words are dropped, where their domain, language and source have no words at all.
     """
-    taken = mixing.mix_sources(docs, percent=BUDGET_PERCENT)
+    taken = mixing.mix_sources(docs, percent=BUDGET_PERCENT, carry=COLUMNS)
     copies = F.col("whole_epochs") + F.when(F.col("prefix_tokens") > 0, 1).otherwise(0)
-    # rows that share a doc_id are one document here: each is taken as often as the id
-    taken = taken.groupBy("doc_id").agg(F.max(copies).alias("copies")).where("copies > 0 and doc_id is not null")
-    rows = docs.join(taken.hint("merge"), "doc_id")
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*COLUMNS)
+    rows = taken.withColumn("copies", copies).where("copies > 0")
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("carried.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

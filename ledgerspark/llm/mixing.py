@@ -97,6 +97,7 @@ def mix_sources(
     seed: int = SEED,
     domain: Column | None = None,
     buckets: int = 3,
+    carry: list[str] | None = None,
 ) -> DataFrame:
     """docs (doc_id, text, lang, source, ...) -> doc_id, domain, lang, source, n_tokens, whole_epochs, prefix_tokens, one row each.
 
@@ -106,7 +107,7 @@ def mix_sources(
     less than n_tokens where the budget ends inside it. A leaf's rows so give exactly its budget. Rounding leaves at most
     one token per child unused. Null lang and source are the empty name; null and empty texts have no tokens and are taken
     with whole epochs only; rows that share a doc_id are told apart by n_tokens, and equal ones share the prefix in any order; a null doc_id
-    sorts as an empty one. Nodes of weight 0 get nothing. An empty table gives an empty result.
+    sorts as an empty one. Nodes of weight 0 get nothing. carry: columns of docs to pass on, unchanged, as the struct carried. An empty table gives an empty result.
 
     A leaf's prefix is found in two steps, so no leaf is ever sorted as a whole: sums over 16**buckets ranges of the
     hash find the range in which the budget ends, and only that range's rows are put in order.
@@ -117,6 +118,7 @@ def mix_sources(
         F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"),
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
         word_count(F.col("text").cast("string")).alias("n_tokens"),
+        *([F.struct(*carry).alias("carried")] if carry else []),
     )
     rows = scratch.keep(named.withColumn("domain", domain if domain is not None else domain_of(F.col("source"))))
     leaves = rows.groupBy(*LEAF).agg(F.sum("n_tokens").alias("available"))
@@ -130,7 +132,8 @@ def mix_sources(
     plan = scratch.keep(plan)
     hashed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole_epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     dealt = rows.join(plan, LEAF).withColumn("_key", hashed).withColumn("_range", F.substring("_key", 1, buckets))
-    dealt = scratch.keep(dealt)
+    if not carry:  # texts aren't written again
+        dealt = scratch.keep(dealt)
 
     sums = dealt.where("rest > 0").groupBy(*LEAF, "_range", "rest").agg(F.sum("n_tokens").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy(*LEAF).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -142,5 +145,6 @@ def mix_sources(
     order = Window.partitionBy(*LEAF).orderBy("_key", F.col("doc_id").asc_nulls_first(), "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
     at = F.col("_before") + F.coalesce(F.sum("n_tokens").over(order), F.lit(0))
     cut = placed.where(inside).withColumn("prefix_tokens", F.greatest(F.lit(0), F.least(F.col("n_tokens"), F.col("rest") - at)))
-    columns = ["doc_id", *LEAF, "n_tokens", "whole_epochs", F.col("prefix_tokens").cast("long").alias("prefix_tokens")]
-    return scratch.finish(clear.select(*columns).unionByName(cut.select(*columns)))
+    columns = ["doc_id", *LEAF, "n_tokens", "whole_epochs", F.col("prefix_tokens").cast("long").alias("prefix_tokens"), *(["carried"] if carry else [])]
+    out = clear.select(*columns).unionByName(cut.select(*columns))
+    return scratch.leave(out) if carry else scratch.finish(out)

@@ -126,6 +126,13 @@ def test_the_mix_takes_every_document(spark):
     assert {r.doc_id for r in corpus_pipeline.mix(spark, frame, "").collect()} == set(range(400))
 
 
+def test_the_mix_keeps_rows_without_an_id(spark):
+    docs = [(i if i % 4 else None, f"a{i} b c", "en" if i % 3 else None, "src0" if i % 5 else None, i) for i in range(40)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.mix(spark, frame, "")
+    assert got.columns == frame.columns and set(map(tuple, got.collect())) == set(docs)
+
+
 def test_the_whole_pipeline_and_empty_documents(spark, folder, tmp_path):
     whole = corpus_pipeline.run(spark, folder)
     assert whole.count() > 150 and whole.where(F.col("doc_id").isNull()).count() == 0
