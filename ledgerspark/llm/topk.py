@@ -64,7 +64,10 @@ def _tile(k: int):
         return ids, np.frombuffer(data, np.int64).reshape(len(ids), wide)
 
     def best(scores: np.ndarray, cand: np.ndarray, own: np.ndarray):
-        """For each row the k highest, ties to the smaller id; candidates ascend."""
+        """For each row the k highest, ties to the smaller id; candidates ascend. Of those that share an id the highest counts."""
+        first = np.flatnonzero(np.diff(cand, prepend=cand[:1] - 1))
+        if len(first) < len(cand):
+            scores, cand = np.maximum.reduceat(scores, first, axis=1), cand[first]
         for r in range(len(own)):
             s = scores[r]
             use = np.flatnonzero(cand != own[r])

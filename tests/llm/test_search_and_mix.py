@@ -46,6 +46,12 @@ def test_top_k_equals_brute_force(spark, block, monkeypatch):
     assert {(r.query_id, r.rank, r.vec_id, r.score) for r in got} == brute_top(rows) and len(got) == len(brute_top(rows))
 
 
+def test_one_id_takes_one_place(spark):
+    rows = [(0, [1.0])] + [(7, [9.0 + i]) for i in range(6)] + [(i, [float(i) / 10]) for i in range(1, 6)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)).collect()
+    assert {(r.query_id, r.rank, r.vec_id, r.score) for r in got} == brute_top(rows) and len(got) == 5
+
+
 def test_top_k_of_few_and_none(spark):
     schema = "vec_id long, embedding array<float>"
     assert topk.top_k(spark.createDataFrame([], schema)).collect() == []
