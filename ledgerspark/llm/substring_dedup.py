@@ -138,6 +138,11 @@ def _later(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[new], order[~same]
 
 
+def _shard(records: np.ndarray, shards: int) -> np.ndarray:
+    """By the window, not by its name: a frequent phrase's many windows would all have one name."""
+    return ((records["h1"] >> U(20)) & U(shards - 1)).astype(np.int64)
+
+
 def _rows(rows) -> pa.RecordBatch:
     rows = list(rows)
     return pa.RecordBatch.from_pydict({
@@ -187,7 +192,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, max_filter_bits: int =
                 records = np.empty(len(at), RECORD)
                 records["h1"], records["h2"] = chunk.window_hashes(at, window)
                 records["doc"], records["start"] = ids[text], at - chunk.first[text]
-                shard = ((mix(chunk.name[at]) >> U(20)) & U(shards - 1)).astype(np.int64)
+                shard = _shard(records, shards)
                 early, late = _later(records)
                 early = early[np.argsort(shard[early], kind="stable")]
                 cut = np.concatenate(([0], np.flatnonzero(np.diff(shard[early])) + 1, [len(early)]))

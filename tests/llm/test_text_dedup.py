@@ -114,6 +114,23 @@ def test_other_windows(spark, window):
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.text) for r in got), key=str) == brute_repeats(docs, window)
 
 
+def test_windows_around_a_frequent_phrase_spread_over_shards():
+    rnd = random.Random(3)
+    phrase = [f"p{k}" for k in range(8)]
+    texts = [" ".join(f"w{rnd.random()}" for _ in range(6)) + " " + " ".join(phrase) + " " + " ".join(f"w{rnd.random()}" for _ in range(6)) for _ in range(3000)]
+    data = np.frombuffer(" ".join(texts).encode(), np.uint8)
+    offsets = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
+    offsets[-1] -= 1
+    chunk = substring_dedup.Names(offsets, data, 20)
+    at = np.flatnonzero(chunk.whole)
+    records = np.zeros(len(at), substring_dedup.RECORD)
+    records["h1"], records["h2"] = chunk.window_hashes(at, 20)
+    name, n = np.unique(chunk.name[at], return_counts=True)
+    assert len(at) == 3000 and n.max() > 300  # one name stands for many windows
+    most = np.bincount(substring_dedup._shard(records, 64), minlength=64).max()
+    assert most < 2 * len(at) / 64
+
+
 def test_passages_of_an_empty_table_and_of_long_texts(spark):
     assert substring_dedup.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     rnd = random.Random(1)
