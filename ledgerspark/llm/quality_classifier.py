@@ -8,6 +8,7 @@ knows the compressed size and the length, since a difference says less about sho
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,10 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
+from .storage import Scratch
 
 BLOCK, LEVEL, DICTIONARY = 512, 3, 112 << 10
-#: Labelled rows of each class that are read at most, and characters of each of them, for fitting only.
-TRAIN_ROWS, TRAIN_CHARS = 2000, 20_000
+#: Labelled rows of each class that are read at most, and blocks of each of them for a dictionary, for fitting only.
+TRAIN_ROWS, TRAIN_BLOCKS = 2000, 40
 
 
 def blocks(data: bytes, size: int = BLOCK):
@@ -28,6 +30,13 @@ def blocks(data: bytes, size: int = BLOCK):
         yield data[at : at + size]
 
 
+def spread(data: bytes, most: int) -> bytes:
+    """A text's blocks, or of more than `most` those of the smallest hash, wherever they stand."""
+    cut = list(blocks(data))
+    least = sorted(range(len(cut)), key=lambda i: (zlib.crc32(cut[i]), i))[:most]
+    return b"".join(cut[i] for i in sorted(least))
+
+
 def dictionaries(good: list[bytes], bad: list[bytes]) -> tuple[bytes, bytes]:
     """Of the same size and kind, so that neither has an advantage: trained, or where there is too little to train on,
     the texts' own last bytes."""
@@ -104,35 +113,59 @@ def _logistic(a: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, each: int = TRAIN_BLOCKS) -> Model:
     """A model from labels (doc_id, quality 0/1) of doc_ids whose crc32 mod 3 is not 1.
 
-    Reads at most `rows` labelled documents of each class, those of the smallest hash, and their first `chars`
-    characters. With fewer than two of a class every score is the labels' share of good ones, 0.5 without labels.
+    Reads at most `rows` labelled documents of each class, those of the smallest hash, as whole texts: the dictionaries
+    get up to `each` blocks of a text, by hash from all of it; calibration measures all of it, on the executors. With
+    fewer than two of a class every score is the labels' share of good ones, 0.5 without labels.
     Conflicting labels of one doc_id count as their largest; null labels don't count.
     """
+    scratch = Scratch(docs.sparkSession)
     known = labels.where("quality in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id")))
-    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
+    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("long").alias("quality"))
     order = F.xxhash64(F.lit(7), "doc_id")
     picked = [known.where(F.col("quality") == q).orderBy(order, "doc_id").limit(rows) for q in (0, 1)]
     picked = F.broadcast(picked[0].unionByName(picked[1]))  # 2 * rows rows at most
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring(F.col("text").cast("string"), 1, chars).alias("text"))
-    got = texts.where("text <> ''").join(picked, "doc_id").select(F.xxhash64(F.lit(11), "doc_id").alias("h"), "quality", "text").collect()
-    got.sort(key=lambda r: (r["h"], r["text"]))
-    use = {q: [r["text"].encode() for r in got if r["quality"] == q] for q in (0, 1)}
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text <> ''")
+    found = texts.join(picked, "doc_id").select("quality", F.xxhash64(F.lit(11), "doc_id").alias("h"), F.xxhash64("text").alias("t"), "text")
+    found = scratch.keep(found)
+    got = sorted(tuple(r) for r in found.select("quality", "h", "t").collect())
+    keys = {q: [k for k in got if k[0] == q] for q in (0, 1)}
+    # the first of each class that is for calibration; those before are for the dictionaries
+    edge = {q: k[(len(k) + 1) // 2] if len(k) > 1 else (q + 1,) for q, k in keys.items()}
     total = {q: known.where(F.col("quality") == q).count() for q in (0, 1)}
-    half = {q: (len(t) + 1) // 2 for q, t in use.items()}
-    good, bad = dictionaries(use[1][: half[1]], use[0][: half[0]])
-    sizes = Sizes(good), Sizes(bad)
-    seen = [use[q][half[q] :] for q in (0, 1)]
-    if not seen[0] or not seen[1]:  # nothing to calibrate on: everything is what the labels mostly are
+
+    def texts_of(batches, calibration):
+        for batch in batches:
+            for q, h, t, text in zip(*batch.columns, strict=True):
+                key = (q.as_py(), h.as_py(), t.as_py())
+                if (key >= edge[key[0]]) == calibration:
+                    yield *key, text.as_py().encode()
+
+    def parts(batches):
+        for *key, data in texts_of(batches, False):
+            yield pa.RecordBatch.from_pylist([dict(zip("qht", key, strict=True), data=spread(data, each))])
+
+    def measured(batches):
+        sizes = [Sizes(d) for d in shared.value]
+        for *key, data in texts_of(batches, True):
+            yield pa.RecordBatch.from_pylist([dict(zip("qhtxyz", (*key, *measures(*sizes, data)), strict=True))])
+
+    sample = sorted(tuple(r) for r in found.mapInArrow(parts, "q long, h long, t long, data binary").collect())
+    good, bad = dictionaries(*([bytes(r[3]) for r in sample if r[0] == q] for q in (1, 0)))
+    shared = docs.sparkSession.sparkContext.broadcast((good, bad))
+    seen = sorted(tuple(r) for r in found.mapInArrow(measured, "q long, h long, t long, x double, y double, z double").collect())
+    scratch.drop()
+    n = [sum(r[0] == q for r in seen) for q in (0, 1)]
+    if not all(n):  # nothing to calibrate on: everything is what the labels mostly are
         return Model(good, bad, (0.0,) * 8, (1.0,) * 8, (0.0,) * 8 + (float(np.log((total[1] + 0.5) / (total[0] + 0.5))),))
-    terms = _terms(np.array([measures(*sizes, t) for q in (0, 1) for t in seen[q]]))
-    mean, spread = terms.mean(axis=0), terms.std(axis=0) + 1e-9
-    weights = _logistic((terms - mean) / spread, np.repeat([0.0, 1.0], [len(seen[0]), len(seen[1])]))
+    terms = _terms(np.array([r[3:] for r in seen]))
+    mean, spread_ = terms.mean(axis=0), terms.std(axis=0) + 1e-9
+    weights = _logistic((terms - mean) / spread_, np.repeat([0.0, 1.0], n))
     # The sample may hold the classes in other shares than the labels do; the prior is that of all labels.
-    weights[-1] += np.log(total[1] / total[0]) - np.log(len(seen[1]) / len(seen[0]))
-    return Model(good, bad, tuple(mean.tolist()), tuple(spread.tolist()), tuple(weights.tolist()))
+    weights[-1] += np.log(total[1] / total[0]) - np.log(n[1] / n[0])
+    return Model(good, bad, tuple(mean.tolist()), tuple(spread_.tolist()), tuple(weights.tolist()))
 
 
 def held_out(doc_id):

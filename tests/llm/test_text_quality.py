@@ -124,6 +124,17 @@ def test_classifier_on_held_out_rows(spark):
     assert quality_classifier.score(odd.limit(0), model).collect() == []
 
 
+def test_classifier_learns_from_what_follows_a_long_prefix(spark):
+    rnd = random.Random(4)
+    words = lambda letters: ["".join(rnd.choices(letters, k=6)) for _ in range(200)]
+    both, good, bad = words("abcdefgh"), words("ijklmnop"), words("qrstuvwx")
+    rows = [(i, " ".join(rnd.choices(both, k=2900)) + " " + " ".join(rnd.choices(good if i % 2 else bad, k=2900))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    got = quality_classifier.score(docs, quality_classifier.fit(docs, labels)).collect()
+    assert all((r.score >= 0.5) == (r.doc_id % 2 == 1) for r in got)
+
+
 def test_classifier_never_reads_held_out_labels(spark):
     docs, labels = labelled(spark, 300)
     turned = labels.withColumn("quality", F.when(quality_classifier.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
