@@ -178,6 +178,12 @@ def enrollment_detail(d):
     return search.enrollment_detail(d, list(range(200))).select("id", ids("submissions"), ids("decisions"))
 
 
+@query("R4 J2", "SELECT e.id, (SELECT string_agg(CAST(id AS VARCHAR), ',' ORDER BY received_at, id) FROM submission s WHERE s.enrollment_id = e.id) AS submissions, coalesce((SELECT string_agg(CAST(id AS VARCHAR), ',' ORDER BY \"at\", id) FROM decision x WHERE x.enrollment_id = e.id), '') AS decisions FROM enrollment e")
+def enrollment_detail_all(d):
+    ids = lambda c: F.array_join(F.transform(c, lambda r: r["id"].cast("string")), ",").alias(c)
+    return search.enrollment_detail(d).select("id", ids("submissions"), ids("decisions"))
+
+
 @query("R6", "SELECT e.id, coalesce((SELECT string_agg(CAST(r.id AS VARCHAR), ',' ORDER BY r.started_at DESC, r.id DESC) FROM submission s JOIN extraction_run r ON r.submission_id = s.id WHERE s.enrollment_id = e.id AND s.kind = 'wager_recording'), '') AS runs FROM enrollment e WHERE state = 'wager_submitted'")
 def wager_queue(d):
     runs = F.flatten(F.transform("submissions", lambda s: F.transform(s["runs"], lambda r: r["id"].cast("string"))))
@@ -189,6 +195,11 @@ def decision_log(d):
     return search.decision_log(d, 5).select("id", "actor", "from_state", "to_state", "at")
 
 
+@query("R7", 'SELECT id, actor, from_state, to_state, "at" FROM decision')
+def decision_log_all(d):
+    return search.decision_log(d).select("id", "actor", "from_state", "to_state", "at")
+
+
 @query("R8", "SELECT casino, domain FROM allowlist")
 def signer_allowlist(d):
     return d.dkim_allowed_signer.orderBy("casino", "domain")
@@ -207,6 +218,14 @@ def participant_history(d):
     )
 
 
+@query("R10", "SELECT p.id, count(DISTINCT e.id) AS n_enrollments, count(DISTINCT s.id) AS n_submissions, count(f.id) AS n_flags FROM participant p LEFT JOIN enrollment e ON e.participant_id = p.id LEFT JOIN submission s ON s.enrollment_id = e.id LEFT JOIN flags f ON f.submission_id = s.id GROUP BY p.id")
+def participant_history_all(d):
+    subs = F.flatten(F.transform("enrollments", lambda e: e["submissions"]))
+    return search.participant_history(d).select(
+        "id", F.size("enrollments").cast("long").alias("n_enrollments"), F.size(subs).cast("long").alias("n_submissions"), F.size(F.flatten(F.transform(subs, lambda s: s["flags"]))).cast("long").alias("n_flags")
+    )
+
+
 @query("R11", "SELECT r.id, r.submission_id, count(l.run_id) AS n_rows, CAST(coalesce(sum(l.ordinal), 0) AS BIGINT) AS ordinals FROM extraction_run r LEFT JOIN ledger l ON l.run_id = r.submission_id GROUP BY ALL")
 def extraction_runs(d):
     total = F.aggregate("rows", F.lit(0).cast("long"), lambda a, r: a + r["ordinal"])
@@ -252,6 +271,12 @@ def decisions_csv(d):
     return search.decisions_csv(lifecycle.build_chain(d.decision), 9)
 
 
+@query("R13 S9", _CHAIN + """SELECT d."at", d.id, concat_ws(',', d.id, d.enrollment_id, d.actor, d.from_state, d.to_state, strftime(d."at", '%Y-%m-%dT%H:%M:%S.%gZ'),
+  coalesce('"' || replace(d.note, '"', '""') || '"', ''), c.hash, coalesce(c.prev_hash, '')) AS line FROM decision d JOIN chain c ON c.id = d.id""", recursive=True)
+def decisions_csv_all(d):
+    return search.decisions_csv(lifecycle.build_chain(d.decision))
+
+
 @query("R14 F11", "SELECT s_suppkey AS id, s_name AS name, CASE WHEN s_nationkey % 2 = 0 THEN 'admin' ELSE 'reviewer' END AS role, TIMESTAMP '1990-01-01' AS created_at FROM supplier")
 def staff_list(d):
     return search.staff_list(_staff(d))
