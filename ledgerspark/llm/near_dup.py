@@ -8,7 +8,7 @@ Plan: sketch in one pass; sets that are equal collapse into one class; classes t
 are compared with the band's smallest class (a star, not all pairs). Where the members of a band still lie in
 different components after that, they are compared in tiles of two bounded blocks, and a tile gives only the links of
 a spanning forest. A pair is dropped by its estimate only where the similarity asked for is out of reach by a wide
-likelihood ratio; all others are confirmed on their full sets.
+likelihood ratio; all others are confirmed on their full sets, and shared shingles on their words.
 """
 
 from __future__ import annotations
@@ -35,31 +35,74 @@ MAX_FILTER_BITS = 1 << 27
 TILE = 1024
 
 
-def shingle_sets(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of each text, one after the other, and where each text's begin."""
-    starts, ends, first = tb.words(offsets, data)
-    hashes = tb.hash_spans(data, starts, ends, tb.LOWER)
-    grams, begin = tb.windows(hashes, first, SHINGLE)
-    counts = np.diff(first)
-    short = np.flatnonzero((counts > 0) & (counts < SHINGLE))
-    if len(short):
-        own = np.empty(len(short), U)
-        for i, d in enumerate(short.tolist()):
-            x = U(counts[d])
-            for h in hashes[first[d] : first[d + 1]]:
-                x = mix(np.array([x ^ h]))[0] + U(1)
-            own[i] = x
-        grams = np.insert(grams, begin[short], own)
-        more = np.zeros(len(counts) + 1, np.int64)
-        more[short + 1] = 1
-        begin = begin + np.cumsum(more)
-    new = np.ones(len(grams), bool)
-    for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
-        grams[a:b].sort()
-    new[1:] = grams[1:] != grams[:-1]
-    new[begin[:-1][begin[:-1] < len(grams)]] = True
-    kept = np.concatenate(([0], np.cumsum(new)))
-    return grams[new], kept[begin]
+class Sets:
+    """Distinct shingles of each text: 128-bit digests in ascending order, one text's after the other."""
+
+    def __init__(self, offsets: np.ndarray, data: np.ndarray, known: tb.Digests):
+        starts, ends, self.first = tb.words(offsets, data)
+        digests = tb.word_digests(offsets, data, starts, ends, known, True)
+        grams, begin = tb.windows(digests, self.first, SHINGLE)
+        at = np.arange(len(grams)) + np.repeat(self.first[:-1] - begin[:-1], np.diff(begin))
+        counts = np.diff(self.first)
+        short = np.flatnonzero((counts > 0) & (counts < SHINGLE))
+        if len(short):
+            own = np.repeat(counts[short].astype(U)[:, None], 2, axis=1)
+            for k in range(SHINGLE - 1):
+                more = counts[short] > k
+                own[more] = tb.join(own[more], digests[self.first[short[more]] + k])
+            grams = np.insert(grams, begin[short], own, axis=0)
+            at = np.insert(at, begin[short], self.first[short])
+            begin = begin + np.concatenate(([0], np.cumsum((counts > 0) & (counts < SHINGLE))))
+        order = np.arange(len(grams))
+        lead = np.ascontiguousarray(grams[:, 0])
+        for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+            o = lead[a:b].argsort(kind="stable")
+            x = grams[a + o]
+            if ((x[1:, 0] == x[:-1, 0]) & (x[1:, 1] != x[:-1, 1])).any():
+                o = np.lexsort((grams[a:b, 1], lead[a:b]))
+            order[a:b] = a + o
+        grams = grams[order]
+        new = np.ones(len(grams), bool)
+        new[1:] = (grams[1:] != grams[:-1]).any(axis=1)
+        new[begin[:-1][begin[:-1] < len(grams)]] = True
+        #: digests, the number of each one's first word, and where each text's begin
+        self.digests, self.at = grams[new], at[order][new]
+        self.begin = np.concatenate(([0], np.cumsum(new)))[begin]
+
+    def of(self, text: int) -> slice:
+        return slice(int(self.begin[text]), int(self.begin[text + 1]))
+
+
+class Compared(Sets):
+    """Sets of texts that are compared with each other, and their words: shingles count as equal only where these are."""
+
+    def __init__(self, offsets: np.ndarray, data: np.ndarray, known: tb.Digests):
+        super().__init__(offsets, data, known)
+        numbers: dict[bytes, int] = {}
+        self.word = np.array([numbers.setdefault(w, len(numbers)) for w in tb.tokens(offsets, data, True)], np.int64)
+
+    def similar(self, x: int, y: int, percent: int) -> bool:
+        """Whether two texts' sets are: by their digests, then by the words of each shingle that they share."""
+        a, b = self.of(x), self.of(y)
+        n = (a.stop - a.start) + (b.stop - b.start)
+        dx, dy = self.digests[a], self.digests[b]
+        at = np.searchsorted(dy[:, 0], dx[:, 0])
+        at[at == len(dy)] = 0
+        if not len(dy):
+            return False
+        same = (dx == dy[at]).all(axis=1)
+        shared = int(same.sum())
+        if 100 * shared < percent * (n - shared):
+            return False
+        short = [min(SHINGLE, int(self.first[t + 1] - self.first[t])) for t in (x, y)]
+        if short[0] != short[1]:
+            return False
+        p, q = self.at[a][same], self.at[b][at[same]]
+        equal = np.ones(len(p), bool)
+        for k in range(short[0]):
+            equal &= self.word[p + k] == self.word[q + k]
+        shared = int(equal.sum())
+        return shared > 0 and 100 * shared >= percent * (n - shared)
 
 
 def registers(elements: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -83,19 +126,20 @@ def registers(elements: np.ndarray, begin: np.ndarray) -> np.ndarray:
 
 
 def _sketch(batches):
+    known = tb.Digests()
     for batch in batches:
         for rows, offsets, data in tb.text_chunks(batch):
-            sets, begin = shingle_sets(offsets, data)
-            regs = registers(sets, begin)
-            sums = [np.concatenate((np.zeros(1, U), np.cumsum(mix(sets ^ U(s))))) for s in (0x1234567, 0xABCDEF012345)]
-            sums = [(x[begin[1:]] - x[begin[:-1]]).view(np.int64) for x in sums]
-            full = np.diff(begin) > 0
+            sets = Sets(offsets, data, known)
+            regs = registers(np.ascontiguousarray(sets.digests[:, 0]), sets.begin)
+            raw = [tb.digest(sets.digests[sets.of(t)].tobytes()) for t in range(rows.num_rows)]
+            names = np.frombuffer(b"".join(raw), np.int64).reshape(-1, 2)
+            n = np.diff(sets.begin)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": rows.column(0),
-                "n": pa.array(np.diff(begin), pa.int64()),
-                "f1": pa.array(sums[0]),
-                "f2": pa.array(sums[1]),
-                "regs": pa.array([r.tobytes() if f else None for r, f in zip(regs, full, strict=True)], pa.binary()),
+                "n": pa.array(n, pa.int64()),
+                "f1": pa.array(names[:, 0]),
+                "f2": pa.array(names[:, 1]),
+                "regs": pa.array([r.tobytes() if f else None for r, f in zip(regs, n > 0, strict=True)], pa.binary()),
             })
 
 
@@ -146,34 +190,24 @@ def _estimate(percent: int):
 
 def _confirm(percent: int):
     def run(batches):
+        known = tb.Digests()
         for batch in batches:
             if not batch.num_rows:
                 continue
             step = 512
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
-                keep = np.zeros(part.num_rows, bool)
-                sets = []
-                for i in (2, 3):
-                    # the same document often stands in neighbouring rows
-                    own = part.column(i).dictionary_encode()
-                    where = own.indices.to_numpy()
-                    offsets, data = tb.text_column(own.dictionary)
-                    got, begin = shingle_sets(offsets - offsets[0], data[offsets[0] : offsets[-1]])
-                    sets.append((got, begin, where))
-                for r in range(part.num_rows):
-                    x, y = (got[begin[where[r]] : begin[where[r] + 1]] for got, begin, where in sets)
-                    keep[r] = _similar(x, y, percent)
-                yield pa.RecordBatch.from_pydict({"a": part.column(0).filter(pa.array(keep)), "b": part.column(1).filter(pa.array(keep))})
+                # the same document often stands in neighbouring rows
+                own = pa.chunked_array([part.column(2), part.column(3)]).combine_chunks().dictionary_encode()
+                offsets, data = tb.text_column(own.dictionary)
+                sets = Compared(offsets - offsets[0], data[offsets[0] : offsets[-1]], known)
+                where = own.indices.to_numpy().reshape(2, -1)
+                keep = pa.array([sets.similar(x, y, percent) for x, y in where.T.tolist()], pa.bool_())
+                yield pa.RecordBatch.from_pydict({"a": part.column(0).filter(keep), "b": part.column(1).filter(keep)})
 
     return run
 
 
-def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    both = len(x) + len(y) - len(np.unique(np.concatenate((x, y))))
-    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
-
-
 def _compare_tile(rows: pa.Table, percent: int):
     """Links between the two blocks of a tile (or inside its one block) that join what isn't joined yet."""
     col = lambda name: rows.column(name)
@@ -182,7 +216,7 @@ def _compare_tile(rows: pa.Table, percent: int):
     regs = _registers_of(col("regs"))
     codes = np.ascontiguousarray(regs).view([("", np.uint16)] * BAND)
     offsets, data = tb.text_column(col("text"))
-    sets, begin = shingle_sets(offsets - offsets[0], data[offsets[0] : offsets[-1]])
+    sets = Compared(offsets - offsets[0], data[offsets[0] : offsets[-1]], tb.Digests())
     left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
     root = {c: c for c in np.unique(place).tolist()}
 
@@ -208,7 +242,7 @@ def _compare_tile(rows: pa.Table, percent: int):
             hope = np.flatnonzero(hopeful(n[a], n[b], more, less, same, percent))
             for p in hope[np.argsort(-same[hope], kind="stable")].tolist():
                 u, v = find(int(place[a[p]])), find(int(place[b[p]]))
-                if u != v and _similar(sets[begin[a[p]] : begin[a[p] + 1]], sets[begin[b[p]] : begin[b[p] + 1]], percent):
+                if u != v and sets.similar(int(a[p]), int(b[p]), percent):
                     root[v] = u
                     yield int(ids[a[p]]), int(ids[b[p]])
 

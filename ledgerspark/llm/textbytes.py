@@ -1,11 +1,13 @@
 """Words and lines of whole texts, found and hashed over the UTF-8 bytes of Arrow columns with numpy.
 
 Word separators and line ends are ASCII bytes, which never occur inside a longer UTF-8 sequence, so bytes
-and code points give the same cuts. Hashes are 64-bit and depend on the content only.
+and code points give the same cuts. What decides equality is a keyed 128-bit digest of each word or line (BLAKE2b), and
+joins of these; it depends on the content only.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,13 +17,9 @@ import pyarrow.compute as pc
 U = np.uint64
 #: Bytes of text that are worked on at once; a longer text makes a chunk of its own.
 CHUNK_BYTES = 2 << 20
-BLOCK = 1 << 18
 
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
-SAME = np.arange(256, dtype=np.uint8)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,17 +32,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BYTE = mix(np.arange(1, 257, dtype=U) * U(0xD1342543DE82EF95))
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base & (2**64 - 1), U)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_POW, _INV = _powers(_BASE, BLOCK), _powers(pow(_BASE, -1, 2**64), BLOCK)
+#: Of the digests of words and lines. They decide what counts as equal; pass a secret of your own for hostile texts.
+KEY = b"ledgerspark-words"
+#: Words that a worker remembers the digests of, and the longest such word.
+KNOWN, KNOWN_BYTES = 1 << 17, 64
 
 
 def text_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -72,25 +63,47 @@ def text_chunks(batch: pa.RecordBatch, name: str = "text") -> Iterator[tuple[pa.
         at = to
 
 
-def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray) -> np.ndarray:
-    """A hash of each span's bytes after fold. Spans ascend and don't overlap. Memory follows BLOCK or the longest span."""
-    out = np.empty(len(starts), U)
-    at = 0
-    while at < len(starts):
-        to = max(int(np.searchsorted(ends, starts[at] + BLOCK - 1, "right")), at + 1)
-        s0 = int(starts[at])
-        part = _BYTE[fold[data[s0 : int(ends[to - 1])]]]
-        n = len(part)
-        power, inverse = (_POW, _INV) if n <= BLOCK else (_powers(_BASE, n), _powers(pow(_BASE, -1, 2**64), n))
-        sums = np.empty(n + 1, U)
-        sums[0] = 0
-        np.cumsum(part * power[:n], out=sums[1:])
-        s, e = starts[at:to] - s0, ends[at:to] - s0
-        empty = s >= n  # an empty span at the very end
-        got = (sums[e] - sums[s]) * inverse[np.where(empty, 0, s)]
-        out[at:to] = mix(got ^ ((e - s).astype(U) * U(0xA24BAED4963EE407)))
-        at = to
-    return out
+def digest(data: bytes, key: bytes = KEY) -> bytes:
+    """128 bits of keyed BLAKE2b."""
+    return hashlib.blake2b(data, digest_size=16, key=key).digest()
+
+
+class Digests(dict):
+    """Digests of words, remembered within bounds."""
+
+    def __init__(self, key: bytes = KEY):
+        super().__init__()
+        self.key = key
+
+    def __missing__(self, word: bytes) -> bytes:
+        out = digest(word, self.key)
+        if len(word) <= KNOWN_BYTES:
+            self[word] = out
+        return out
+
+    def of(self, tokens: list[bytes]) -> np.ndarray:
+        """Rows of two 64-bit halves."""
+        if len(self) > KNOWN:
+            self.clear()
+        return np.frombuffer(b"".join(map(self.__getitem__, tokens)), U).reshape(-1, 2)
+
+
+def tokens(offsets: np.ndarray, data: np.ndarray, lower: bool) -> list[bytes]:
+    """All words of the texts, one text after the other, with A-Z lower-cased where asked."""
+    raw, ends = data.tobytes(), offsets.tolist()
+    whole = b"\n".join([raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)])
+    return (whole.lower() if lower else whole).split()  # ASCII letters, ASCII white space
+
+
+def word_digests(offsets: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, known: Digests, lower: bool) -> np.ndarray:
+    """Digests of the words of a chunk. A long text, a chunk of its own, is read in parts."""
+    if len(offsets) != 2 or len(data) <= CHUNK_BYTES:
+        return known.of(tokens(offsets, data, lower))
+    parts, step = [], CHUNK_BYTES // 8
+    for at in range(0, len(starts), step):
+        a, b = starts[at], ends[min(at + step, len(starts)) - 1]
+        parts.append(known.of(tokens(np.array([0, b - a]), data[a:b], lower)))
+    return np.concatenate([np.empty((0, 2), U), *parts])
 
 
 def words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,16 +118,24 @@ def words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def windows(hashes: np.ndarray, first: np.ndarray, n: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all n consecutive words of one text, and for each text the number of its first window.
+def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Digests of what is named by the rows of a followed by those of b; not linear in either."""
+    out = np.empty_like(a)
+    x = mix(a[:, 0] ^ b[:, 0]) + b[:, 1]
+    out[:, 0] = mix(x ^ (a[:, 1] * U(0xD6E8FEB86659FD93)))
+    out[:, 1] = mix((a[:, 1] ^ b[:, 1]) + out[:, 0] * U(0xCA9B0C7EBA1DA115))
+    return out
+
+
+def windows(digests: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Digests of all n consecutive words of one text, and for each text the number of its first window.
 
-    hashes: of the chunk's words; first: for each text the number of its first word, with the end.
+    digests: of the chunk's words; first: for each text the number of its first word, with the end.
     """
     counts = np.maximum(np.diff(first) - n + 1, 0)
     begin = np.concatenate(([0], np.cumsum(counts)))
     at = np.arange(begin[-1]) + np.repeat(first[:-1] - begin[:-1], counts)
-    total = np.zeros(begin[-1], U)
-    factor = _powers((0xD6E8FEB86659FD93 + 2 * salt) | 1, n + 1)
+    out = np.full((begin[-1], 2), U(n))
     for k in range(n):
-        total += hashes[at + k] * factor[k + 1]
-    return mix(total), begin
+        out = join(out, digests[at + k])
+    return out, begin

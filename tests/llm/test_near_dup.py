@@ -79,6 +79,29 @@ def test_a_large_group_of_near_copies(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in run(spark, docs)} == brute(docs)
 
 
+def twins(size=1024):
+    """Words that sums of byte values times powers can't tell apart."""
+    x = "".join("ab"[bin(i).count("1") % 2] for i in range(size))
+    return x, x.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_linear_hashes_confuse(spark):
+    x, y = twins()
+    rest = " one two three four five six seven eight"
+    docs = [(1, x), (2, y), (3, x + rest), (4, y + rest.replace(" ", f" {x}") * 2), (5, y + rest.replace(" ", f" {y}") * 2), (6, x.upper())]
+    assert {r.doc_id: r.component_id for r in run(spark, docs)} == brute(docs) == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 1}
+
+
+def test_shingles_are_equal_by_their_words_alone(monkeypatch):
+    """Even where all digests are the same."""
+    monkeypatch.setattr(tb, "digest", lambda data, key=tb.KEY: bytes(16))
+    texts = [b"a b c d e", b"a b c d f", b"A b c d e", b"a b", b"b a", b"a b"]
+    offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    sets = near_dup.Compared(offsets, np.frombuffer(b"".join(texts), np.uint8), tb.Digests())
+    same = {(i, j) for i in range(6) for j in range(6) if sets.similar(i, j, 75)}
+    assert same == {(i, i) for i in range(6)} | {(0, 2), (2, 0), (3, 5), (5, 3)}
+
+
 def test_nulls_repeats_and_blank_texts(spark):
     text = "one two three four five six seven eight"
     docs = [(3, text, "x"), (3, text, "y"), (5, text.upper(), None), (None, text, None), (7, None, None), (8, "", None), (9, " \n\t\x0b", None), (10, "a b", None), (11, "A\nb", None), (12, "a", None)]
@@ -109,16 +132,20 @@ def test_registers_agree_as_often_as_sets_are_similar():
     assert (union[0] == np.maximum(regs[0], regs[1])).all()  # mergeable
 
 
-def test_word_and_span_hashes_depend_on_content_only():
-    texts = ["", "ab  c\nab", "x" * (tb.BLOCK + 5) + " ab", "", "c\x0bab"]
+def test_word_digests_depend_on_content_only(monkeypatch):
+    texts = ["", "ab  c\nab", "x" * 300_005 + " ab", "", "c\x0bab"]
     raw = [t.encode() for t in texts]
     offsets = np.concatenate(([0], np.cumsum([len(r) for r in raw])))
     data = np.frombuffer(b"".join(raw), np.uint8)
     starts, ends, first = tb.words(offsets, data)
     found = [data[a:b].tobytes().decode() for a, b in zip(starts, ends, strict=True)]
     assert found == [w for t in texts for w in re.findall(r"[^\x20\x09-\x0D]+", t)] and first.tolist() == [0, 0, 3, 5, 5, 7]
-    hashes = tb.hash_spans(data, starts, ends, tb.LOWER)
-    assert len({(w, h) for w, h in zip(found, hashes.tolist(), strict=True)}) == len(set(found)) == len(set(hashes.tolist()))
+    got = list(map(tuple, tb.word_digests(offsets, data, starts, ends, tb.Digests(), False).tolist()))
+    assert len(set(zip(found, got, strict=True))) == len(set(found)) == len(set(got))
+    monkeypatch.setattr(tb, "CHUNK_BYTES", 16)  # a long text is read in parts
+    one = np.array([0, len(raw[1])])
+    starts, ends, _ = tb.words(one, data[: len(raw[1])])
+    assert list(map(tuple, tb.word_digests(one, data[: len(raw[1])], starts, ends, tb.Digests(), False).tolist())) == got[:3]
 
 
 @pytest.mark.parametrize("n", [2, 40])
