@@ -1,13 +1,19 @@
 import random
 import re
+import sys
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 
-from ledgerspark.llm import bloom, line_dedup, substring_dedup
-from ledgerspark.llm import textbytes as tb
-from ledgerspark.llm.storage import Scratch
+sys.path.insert(0, str(Path(__file__).parent))
+
+from test_near_dup import twins  # noqa: E402
+
+from ledgerspark.llm import bloom, line_dedup, substring_dedup  # noqa: E402
+from ledgerspark.llm import textbytes as tb  # noqa: E402
+from ledgerspark.llm.storage import Scratch  # noqa: E402
 
 
 def line_key(line):
@@ -43,17 +49,34 @@ def lines_corpus():
     return docs + [(300, None), (301, ""), (302, "\n\n"), (None, forty), (100, forty + "\nmore"), (None, None)]
 
 
-def test_lines_equal_brute_force(spark):
+@pytest.mark.parametrize("max_keys", [0, 1 << 19])
+def test_lines_equal_brute_force(spark, max_keys):
     docs = lines_corpus()
     rows = spark.createDataFrame([(i, t, 1, 2, "x") for i, t in docs], "doc_id long, text string, n_lines int, __drop int, other string")
-    got = line_dedup.drop_repeated_lines(rows)
-    assert got.columns == ["doc_id", "text", "other", "n_lines", "n_dropped"]
+    got = line_dedup.drop_repeated_lines(rows, max_keys=max_keys)
+    assert got.columns == ["doc_id", "text", "__drop", "other", "n_lines", "n_dropped"]
+    assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text or "") for r in got.collect()), key=str) == brute_lines(docs)
+
+
+@pytest.mark.parametrize("max_keys", [0, 1 << 19])
+def test_lines_that_linear_hashes_confuse(spark, max_keys):
+    x, y = twins()
+    docs = [(i, f"{x}\n{y}" if i == 3 else x) for i in range(7)] + [(9, y.upper()), (None, f"{y}\n{x}")]
+    got = line_dedup.drop_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string"), max_keys=max_keys)
     assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text or "") for r in got.collect()), key=str) == brute_lines(docs)
 
 
-def test_lines_with_saturated_filters(spark):
+def test_keys_that_share_half_a_digest():
+    rows = np.array([[1, 5, 70], [1, 2, 71], [3, 1, 72]], np.int64)
+    keepers = line_dedup.Keepers([rows[:2].tobytes(), rows[2:].tobytes()])
+    found, keeper = keepers.keeper(np.array([[1, 2], [1, 5], [1, 9], [2, 2], [3, 1], [4, 1]], np.int64).view(np.uint64))
+    assert found.tolist() == [True, True, False, False, True, False] and keeper[found].tolist() == [71, 70, 72]
+
+
+@pytest.mark.parametrize("max_keys", [0, 1 << 19])
+def test_lines_with_saturated_filters(spark, max_keys):
     docs = lines_corpus()
-    got = line_dedup.drop_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string"), max_filter_bits=1 << 10)
+    got = line_dedup.drop_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string"), max_filter_bits=1 << 10, max_keys=max_keys)
     assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text or "") for r in got.collect()), key=str) == brute_lines(docs)
 
 
@@ -66,14 +89,14 @@ def test_lines_of_an_empty_table_and_of_a_long_text(spark):
 
 def brute_repeats(docs, window):
     found, texts = defaultdict(list), [(i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in docs]
-    place = lambda i: float("inf") if i is None else i
+    place = lambda i: float("inf") if i is None else i  # noqa: E731 - rows without an id come last
     for i, w in texts:
         for s in range(len(w) - window + 1):
             found[tuple(w[s : s + window])].append((place(i), s))
-    gone = {x for v in found.values() for x in v if x > min(v)}
+    earliest = {k: min(v) for k, v in found.items()}
     out = []
     for i, w in texts:
-        covered = {s + k for s in range(len(w) - window + 1) if (place(i), s) in gone for k in range(window)}
+        covered = {s + k for s in range(len(w) - window + 1) if (place(i), s) > earliest[tuple(w[s : s + window])] for k in range(window)}
         out.append((i, len(w), len(covered), " ".join(x for k, x in enumerate(w) if k not in covered)))
     return sorted(out, key=str)
 
@@ -97,14 +120,7 @@ def test_passages_equal_brute_force(spark, seed, monkeypatch):
     docs = passages(seed)
     rows = spark.createDataFrame([(i, t, b"x") for i, t in docs], "doc_id long, text string, data binary").repartition(3)
     got = substring_dedup.remove_repeats(rows).collect()
-    # rows that share a doc_id stand at the same place; what goes from one goes from all at the same places
-    own = defaultdict(list)
-    for r in got:
-        own[r.doc_id].append((r.doc_id, r.n_words, r.n_removed, r.text))
-    single = {i for i in own if i is None or sum(d == i for d, _ in docs) == 1}
-    want = [x for x in brute_repeats(docs, 20) if x[0] in single and x[0] is not None]
-    assert sorted([x for i in single if i is not None for x in own[i]], key=str) == want
-    assert len(got) == len(docs)
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.text) for r in got), key=str) == brute_repeats(docs, 20)
 
 
 @pytest.mark.parametrize("window", [1, 2, 3, 5, 8, 20, 50])
@@ -114,21 +130,20 @@ def test_other_windows(spark, window):
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.text) for r in got), key=str) == brute_repeats(docs, window)
 
 
+def chunk_of(texts, window):
+    raw = [t.encode() for t in texts]
+    offsets = np.concatenate(([0], np.cumsum([len(t) for t in raw])))
+    return substring_dedup.Chunk(offsets, np.frombuffer(b"".join(raw), np.uint8), window, tb.Digests())
+
+
 def test_windows_around_a_frequent_phrase_spread_over_shards():
     rnd = random.Random(3)
-    phrase = [f"p{k}" for k in range(8)]
-    texts = [" ".join(f"w{rnd.random()}" for _ in range(6)) + " " + " ".join(phrase) + " " + " ".join(f"w{rnd.random()}" for _ in range(6)) for _ in range(3000)]
-    data = np.frombuffer(" ".join(texts).encode(), np.uint8)
-    offsets = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
-    offsets[-1] -= 1
-    chunk = substring_dedup.Names(offsets, data, 20)
-    at = np.flatnonzero(chunk.whole)
-    records = np.zeros(len(at), substring_dedup.RECORD)
-    records["h1"], records["h2"] = chunk.window_hashes(at, 20)
-    name, n = np.unique(chunk.name[at], return_counts=True)
-    assert len(at) == 3000 and n.max() > 300  # one name stands for many windows
+    phrase = " ".join(f"p{k}" for k in range(8))
+    chunk = chunk_of([" ".join(f"w{rnd.random()}" for _ in range(6)) + f" {phrase} " + " ".join(f"w{rnd.random()}" for _ in range(6)) for _ in range(3000)], 20)
+    records = np.zeros(len(chunk.at), substring_dedup.RECORD)
+    records["h1"], records["h2"] = chunk.keys().T
     most = np.bincount(substring_dedup._shard(records, 64), minlength=64).max()
-    assert most < 2 * len(at) / 64
+    assert len(chunk.at) == 3000 and most < 2 * len(chunk.at) / 64
 
 
 def test_passages_of_an_empty_table_and_of_long_texts(spark):
@@ -139,20 +154,50 @@ def test_passages_of_an_empty_table_and_of_long_texts(spark):
     assert got == {1: (300_001, 0), 2: (300_000, 300_000), 3: (100_000, 99_999)}
 
 
-@pytest.mark.parametrize("window", [20, 21, 33, 50])
-def test_each_window_holds_a_boundary_that_its_own_words_decide(window):
-    rng = np.random.default_rng(window)
-    rounds = substring_dedup.rounds_for(window)
-    side = 2 ** (rounds - 1)
-    for kinds in (2, 3, 1000):
-        body = tb.mix(rng.integers(0, kinds, window).astype(np.uint64) + np.uint64(1))
-        seen = []
-        for _ in range(40):
-            around = [tb.mix(rng.integers(0, kinds, rng.integers(0, 30)).astype(np.uint64) + np.uint64(1)) for _ in range(2)]
-            whole = np.concatenate((around[0], body, around[1]))
-            at = substring_dedup.boundaries(whole, np.array([0, len(whole)]), rounds)[len(around[0]) :][side : window - side + 1]
-            seen.append(tuple(at))
-        assert len(set(seen)) == 1 and any(seen[0])
+@pytest.mark.parametrize("window", [2, 8, 20, 33, 50])
+def test_interiors_and_keys_are_decided_by_a_windows_own_words(window):
+    rnd = random.Random(window)
+    for kinds in (1, 2, 3, 1000):
+        bodies = [" ".join(str(rnd.randrange(kinds)) for _ in range(window)) for _ in range(20)]
+        around = lambda: " ".join(str(rnd.randrange(kinds)) for _ in range(rnd.randint(0, 30)))
+        chunk = chunk_of([f"{around()} {rnd.choice(bodies)} {around()}" for _ in range(200)], window)
+        deepest = chunk.held[1].copy()
+        for _ in range(substring_dedup.rounds_for(window)):
+            chunk.compress()
+            assert (chunk.hi >= chunk.lo).all()
+        words, key = list(map(tuple, chunk.words.tolist())), list(map(tuple, chunk.keys().tolist()))
+        own = {}
+        for at, k in zip(chunk.at.tolist(), key, strict=True):
+            own.setdefault(tuple(words[at : at + window]), set()).add(k)
+        assert all(len(k) == 1 for k in own.values()) and len({k for v in own.values() for k in v}) == len(own)
+        assert kinds < 1000 or window < 20 or (chunk.held[1] < deepest).mean() > 0.9  # interiors have grown into fewer symbols
+
+
+def test_a_round_names_runs_then_pairs():
+    names = np.repeat(np.array([[7, 8], [9, 10], [7, 8], [5, 1]], np.uint64), [3, 1, 3, 1], axis=0)
+    level = substring_dedup.Level(names, np.arange(8), np.array([0, 4, 8]))
+    runs = level.runs()
+    assert runs.at.tolist() == [0, 3, 4, 7] and runs.first.tolist() == [0, 2, 4] and level.number.tolist() == [0, 0, 0, 1, 2, 2, 2, 3]
+    assert (runs.names[0] == runs.names[2]).all() and (runs.names[1] == [9, 10]).all() and (runs.names[0] != [7, 8]).any()
+    pairs = runs.pairs(np.array([False, True, True, True]))
+    assert pairs.at.tolist() == [0, 4, 7] and pairs.first.tolist() == [0, 1, 3]
+    assert runs.pairs(np.array([True, False, True, False])).at.tolist() == [0, 3, 4, 7]  # not across texts
+
+
+def test_passages_with_words_that_linear_hashes_confuse(spark):
+    x, y = twins()
+    rest = " ".join(f"w{i}" for i in range(19))
+    docs = [(1, f"{x} {rest}"), (2, f"{y} {rest}"), (3, f"z {x} {rest}"), (4, f"{y} " * 20), (5, f"{x} " * 20)]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.text) for r in got), key=str) == brute_repeats(docs, 20)
+
+
+def test_rows_that_share_a_doc_id_lose_only_their_own_windows(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    docs = [(1, a), (7, f"x {a}"), (7, f"x {b}"), (None, b), (None, f"y {a}"), (2**63 - 1, b), (7, f"x {b}")]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    want = [(1, 30, 0), (7, 31, 30), (7, 31, 0), (7, 31, 0), (None, 30, 30), (None, 31, 30), (2**63 - 1, 30, 30)]
+    assert sorted(((r.doc_id, r.n_words, r.n_removed) for r in got), key=str) == sorted(want, key=str)
 
 
 def test_filters_hold_what_was_put_in(spark):
