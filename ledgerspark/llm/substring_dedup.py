@@ -1,15 +1,17 @@
-"""Repeated passages, revealed by the symbols of a recompression that equal passages share.
-
-Recompression shortens the row of words in rounds: in a round each symbol falls left or right by its name, and a left
-symbol directly before a right one becomes one symbol named after the two. Names are hashes of what they stand for, so
-they are global without a dictionary that would have to be shuffled. A decision looks only at two neighbouring symbols;
-whether a boundary is there after r rounds depends on 2**(r-1) words on each side. Equal passages so have the same
-boundaries inside. Equal neighbours never pair: a run of one word stays a row of equal symbols, and needs no naming of
-its own (naming runs by their length would make a boundary depend on the whole run, beyond a window).
-
-A window of w words has, whatever it says, a boundary with its context inside. The boundary with the smallest name
-stands for the window; a window is a suspect if that name occurs elsewhere, by a twice-seen filter of bounded
-size. Only suspects are moved, one per distinct window and chunk of texts, and compared as 128-bit hashes of all w words.
+"""Repeated passages by recompression: equal passages get equal symbols inside, and shared symbols reveal and verify repeats.
+
+A text is a row of words. A round shortens it: each maximal run of one symbol is named after the symbol and its length,
+then each symbol falls left or right by its name, and a left one directly before a right one becomes one symbol named after
+the two. A name is a keyed 128-bit digest of what it stands for, so it means the same in every text and task.
+
+Each round is a Spark job. It names the runs and pairs of its level and finds, over all texts, which of them occur more than
+once (a twice-seen filter of bounded size). A passage that repeats has only repeated symbols inside, so windows with any
+other symbol are out, and the next round names only what lies in windows that are still in.
+
+A window's own words decide which symbols lie wholly inside it: in a round its outermost runs may go on outside, and so
+may a pair at either end; these are popped and stay words. What is left, the interior, and the popped words on both sides
+are the same for equal windows wherever they stand. They are the window's key: windows that are still in after the rounds
+are equal when their interior symbols and the words beside them are. Only these are moved, once per chunk of texts.
 """
 
 from __future__ import annotations
@@ -20,96 +22,142 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .bloom import Filter, twice_seen
+from .bloom import Filter, filter_of, twice_seen
 from .storage import Scratch
 from .textbytes import U, mix
 
 WINDOW = 20
 MAX_FILTER_BITS = 1 << 27
-NONE = U(2**64 - 1)
+#: Suspect windows of a shard, about, and shards at most.
+SHARD_WINDOWS, MAX_SHARDS = 200_000, 1 << 15
 LAST = np.iinfo(np.int64).max
-RECORD = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("doc", "<i8"), ("start", "<u4")])
+#: row tells texts apart that share a doc_id; starts of rows without a doc_id have their highest bit set, so that these come last.
+RECORD = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("row", "<i8")])
+NO_ID = 1 << 31
 
 
 def rounds_for(window: int) -> int:
-    """The most rounds after which each window still holds a boundary with its context: phrases of up to 2**r words, 2**(r-1) on each side."""
-    r = 0
-    while window + 1 - 2 * 2**r >= 2 ** (r + 1):
-        r += 1
-    return r
-
-
-def boundaries(hashes: np.ndarray, first: np.ndarray, rounds: int) -> np.ndarray:
-    """Whether a symbol begins at each word after the rounds."""
-    symbol, at = hashes, np.arange(len(hashes))
-    head = np.zeros(len(hashes) + 1, bool)
-    head[first] = True
-    for r in range(rounds):
-        right = (mix(symbol ^ U(0xA0761D6478BD642F * (r + 1) & (2**64 - 1))) & U(1)).astype(bool)
-        pair = np.zeros(len(symbol), bool)
-        pair[:-1] = ~right[:-1] & right[1:] & ~head[at[1:]]
-        joined = symbol.copy()
-        joined[pair] = mix(symbol[pair] * U(0xE7037ED1A0B428DB) + symbol[np.flatnonzero(pair) + 1] * U(0x8EBC6AF09C88C6E3) + U(r))
-        stay = np.ones(len(symbol), bool)
-        stay[1:] = ~pair[:-1]
-        symbol, at = joined[stay], at[stay]
-    out = np.zeros(len(hashes), bool)
-    out[at] = True
-    return out
-
-
-def _sliding(x: np.ndarray, width: int, best) -> np.ndarray:
-    """best over x[i : i + width]; shorter at the end."""
-    out, done = x.copy(), 1
-    while done < width:
-        step = min(done, width - done)
-        out[:-step] = best(out[:-step], out[step:].copy()) if step < len(out) else out[:-step]
-        done += step
-    return out
-
-
-class Names:
-    """Of a chunk of texts: words, and for each window the name that stands for it (NONE where no window begins)."""
-
-    def __init__(self, offsets: np.ndarray, data: np.ndarray, window: int):
-        self.starts, self.ends, self.first = tb.words(offsets, data)
-        n = len(self.starts)
-        self.hash = tb.hash_spans(data, self.starts, self.ends, tb.SAME)
-        rounds = rounds_for(window)
-        side = 2 ** (rounds - 1) if rounds else 0
-        span = window - 2 * side + 1
-        self.whole = np.zeros(n, bool)
-        for a, b in zip(self.first[:-1].tolist(), self.first[1:].tolist(), strict=True):
-            self.whole[a : max(a, b - window + 1)] = True
-        # the name of a boundary: its 2 * side words of context (the first word where there are no rounds)
-        named = np.full(n, NONE)
-        size = max(1, 2 * side)
-        begin = np.flatnonzero(boundaries(self.hash, self.first, rounds))
-        begin = begin[(begin >= side) & (begin + size - side <= n)]
-        name = np.zeros(len(begin), U)
-        for k in range(size):
-            name = (name + self.hash[begin - side + k]) * U(0x9FB21C651E98DF25)
-        named[begin] = np.minimum(mix(name), NONE - U(1))
-        least = np.full(n, NONE)
-        if n > side:
-            least[: n - side] = _sliding(named, span if rounds else window, np.minimum)[side:]
-        self.name = np.where(self.whole, least, NONE)
-        # a boundary counts once, however many windows it stands for
-        most = np.where(self.whole, least, U(0))
-        reach = np.zeros(n, U)
-        width = span if rounds else window
-        if n > side:
-            back = _sliding(most[::-1].copy(), width, np.maximum)[::-1]
-            reach[side:] = back[: n - side]
-        self.chosen = named[(named != NONE) & (reach == named)]
-
-    def window_hashes(self, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-        a, b = np.zeros(len(at), U), np.zeros(len(at), U)
-        for k in range(window):
-            w = self.hash[at + k]
-            a = (a + w) * U(0xD6E8FEB86659FD93)
-            b = (b ^ (w >> U(7))) * U(0xCA9B0C7EBA1DA115) + w
-        return mix(a), mix(b)
+    """So many rounds that windows mostly keep an interior; none for windows of a few words."""
+    return max(0, int(np.log2(window)) - 1)
+
+
+class Level:
+    """Symbols of a chunk of texts after some rounds: names, first words, and the number of the symbol at each word that begins one."""
+
+    def __init__(self, names: np.ndarray, at: np.ndarray, first: np.ndarray):
+        self.names, self.at, self.first = names, at, first
+
+    def _merged(self, keep: np.ndarray, names: np.ndarray) -> Level:
+        number = np.cumsum(keep) - 1
+        out = Level(names[keep], self.at[keep], np.concatenate(([0], np.cumsum(keep)))[self.first])
+        #: which symbol of the next level each of this level's belongs to
+        self.number = number
+        return out
+
+    def _heads(self) -> np.ndarray:
+        head = np.zeros(len(self.names) + 1, bool)
+        head[self.first] = True
+        return head
+
+    def runs(self) -> Level:
+        """Each maximal run as one symbol, named after the symbol and its length; single symbols keep their names."""
+        keep = self._heads()[:-1]
+        keep[1:] |= (self.names[1:] != self.names[:-1]).any(axis=1)
+        begin = np.flatnonzero(keep)
+        size = np.diff(np.append(begin, len(keep)))
+        names = self.names.copy()
+        long = begin[size > 1]
+        count = np.zeros((len(long), 2), U)
+        count[:, 0], count[:, 1] = size[size > 1], 1  # digests of words are not of this form
+        names[long] = tb.join(count, names[long])
+        return self._merged(keep, names)
+
+    def sides(self, round_: int) -> np.ndarray:
+        """Whether each symbol is a right one."""
+        return (mix(self.names[:, 1] ^ U(0xA0761D6478BD642F * (round_ + 1) & (2**64 - 1))) & U(1)).astype(bool)
+
+    def pairs(self, right: np.ndarray) -> Level:
+        """Each left symbol directly before a right one as one symbol with it."""
+        pair = np.zeros(len(right), bool)
+        pair[:-1] = ~right[:-1] & right[1:] & ~self._heads()[1:-1]
+        names = self.names.copy()
+        names[pair] = tb.join(names[pair], names[np.flatnonzero(pair) + 1])
+        keep = np.ones(len(right), bool)
+        keep[1:] = ~pair[:-1]
+        return self._merged(keep, names)
+
+
+class Chunk:
+    """A chunk of texts, its windows (by their first words), and after each round the interior of each."""
+
+    def __init__(self, offsets: np.ndarray, data: np.ndarray, window: int, known: tb.Digests):
+        starts, ends, self.first = tb.words(offsets, data)
+        self.words = tb.word_digests(offsets, data, starts, ends, known, False)
+        size = np.diff(self.first)
+        last = np.repeat(self.first[1:], size) - window
+        self.at = np.flatnonzero(np.arange(len(starts)) <= last)
+        self.window = window
+        self.round = 0
+        self.level = Level(self.words, np.arange(len(starts)), self.first)
+        #: of each window: interior as symbols of the level, from and to; the same as words, of the last level where there was one
+        self.lo, self.hi = self.at.copy(), self.at + window
+        #: where each window's interior begins in the names of all levels, its size in symbols, its first and last word
+        self.names, self.base = [self.words], 0
+        self.held = (self.lo.copy(), np.full(len(self.at), window), self.at.copy(), self.at + window)
+
+    def keep(self, go: np.ndarray) -> None:
+        """Only these windows stay in."""
+        self.at, self.lo, self.hi = self.at[go], self.lo[go], self.hi[go]
+        self.held = tuple(x[go] for x in self.held)
+
+    def compress(self) -> None:
+        """One round."""
+        before = self.level
+        runs = before.runs()
+        some = self.hi > self.lo
+        lo, hi = np.zeros(len(self.at), np.int64), np.zeros(len(self.at), np.int64)
+        # the outermost runs may go on outside
+        lo[some], hi[some] = before.number[self.lo[some]] + 1, before.number[self.hi[some] - 1]
+        right = runs.sides(self.round)
+        level = runs.pairs(right)
+        some &= hi > lo
+        # a right symbol may belong to one before it, a left one to one after it
+        lo[some], hi[some] = lo[some] + right[lo[some]], hi[some] - ~right[hi[some] - 1]
+        some &= hi > lo
+        self.lo, self.hi = np.zeros(len(self.at), np.int64), np.zeros(len(self.at), np.int64)
+        self.lo[some], self.hi[some] = runs.number[lo[some]], runs.number[hi[some] - 1] + 1
+        self.level, self.round = level, self.round + 1
+        self.base += len(self.names[-1])
+        self.names.append(level.names)
+        edge = np.append(level.at, len(self.words))
+        begin, size, head, tail = (x.copy() for x in self.held)
+        begin[some], size[some] = self.base + self.lo[some], self.hi[some] - self.lo[some]
+        head[some], tail[some] = edge[self.lo[some]], edge[self.hi[some]]
+        self.held = begin, size, head, tail
+
+    def inside(self) -> np.ndarray:
+        """First halves of the names of this level's symbols that lie inside any window."""
+        n = len(self.level.names) + 1
+        step = np.bincount(self.lo, minlength=n) - np.bincount(self.hi, minlength=n)
+        return self.level.names[np.cumsum(step)[:-1] > 0, 0]
+
+    def prune(self, held: Filter) -> None:
+        """Windows with a symbol that isn't known to repeat go."""
+        other = np.concatenate(([0], np.cumsum(~held.holds(np.ascontiguousarray(self.level.names[:, 0])))))
+        self.keep(other[self.hi] - other[self.lo] == 0)
+
+    def keys(self) -> np.ndarray:
+        """A digest of each window: the words before its interior, the interior's symbols, the words after it."""
+        every = np.concatenate(self.names)
+        begin, size, head, tail = self.held
+        before, after = head - self.at, self.at + self.window - tail
+        out = np.stack((before.astype(U) << U(32) | after.astype(U), size.astype(U)), axis=1)
+        total = before + size + after
+        for k in range(int(total.max(initial=0))):
+            go = np.flatnonzero(total > k)
+            place = np.where(k < before[go], self.at[go] + k, np.where(k < before[go] + size[go], begin[go] + k - before[go], tail[go] + k - before[go] - size[go]))
+            out[go] = tb.join(out[go], every[place])
+        return out
 
 
 def _runs(starts: np.ndarray) -> np.ndarray:
@@ -118,38 +166,60 @@ def _runs(starts: np.ndarray) -> np.ndarray:
     return np.stack((starts[np.concatenate(([0], cut))], starts[np.concatenate((cut - 1, [len(starts) - 1]))] + 1), axis=1).astype("<u4")
 
 
-def _covered(shards: int, doc: np.ndarray, start: np.ndarray):
-    """Rows for what is settled: each document's runs of windows that occur earlier. They pass through any shard."""
-    order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order]
-    cut = np.concatenate(([0], np.flatnonzero(np.diff(doc)) + 1, [len(doc)]))
+def _covered(shards: int, late: np.ndarray):
+    """Rows for what is settled: each text's runs of windows that occur earlier. They pass through any shard."""
+    late = late[np.lexsort((late["start"], late["row"], late["doc"]))]
+    new = (late["doc"][1:] != late["doc"][:-1]) | (late["row"][1:] != late["row"][:-1])
+    cut = np.concatenate(([0], np.flatnonzero(new) + 1, [len(late)]))
     for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-        yield int(doc[a]) % shards, int(doc[a]), _runs(np.unique(start[a:b])).tobytes()
+        yield int(late["row"][a]) % shards, int(late["doc"][a]), int(late["row"][a]), _runs(np.unique(late["start"][a:b] & ~np.uint32(NO_ID))).tobytes()
 
 
 def _later(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the earliest record of each window, and of those that start later."""
-    order = np.lexsort((records["start"], records["doc"], records["h2"], records["h1"]))
+    """Places of each window's records at its earliest place (one for each text that stands there), and of those that start later."""
+    order = np.lexsort((records["row"], records["start"], records["doc"], records["h2"], records["h1"]))
     r = records[order]
     new = np.ones(len(r), bool)
     new[1:] = (r["h1"][1:] != r["h1"][:-1]) | (r["h2"][1:] != r["h2"][:-1])
     head = np.maximum.accumulate(np.where(new, np.arange(len(r)), 0))
     same = (r["doc"] == r["doc"][head]) & (r["start"] == r["start"][head])
+    new[1:] |= same[1:] & (r["row"][1:] != r["row"][:-1])
     return order[new], order[~same]
 
 
 def _shard(records: np.ndarray, shards: int) -> np.ndarray:
-    """By the window, not by its name: a frequent phrase's many windows would all have one name."""
+    """By the whole window, so that windows that share a symbol spread."""
     return ((records["h1"] >> U(20)) & U(shards - 1)).astype(np.int64)
 
 
 def _rows(rows) -> pa.RecordBatch:
     rows = list(rows)
-    return pa.RecordBatch.from_pydict({
-        "shard": pa.array([r[0] for r in rows], pa.int64()),
-        "doc_id": pa.array([r[1] for r in rows], pa.int64()),
-        "data": pa.array([r[2] for r in rows], pa.binary()),
-    })
+    kinds = (("shard", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("data", pa.binary()))
+    return pa.RecordBatch.from_pydict({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(kinds)})
+
+
+def _without(rows: pa.RecordBatch, offsets: np.ndarray, data: np.ndarray, window: int, gone: list) -> pa.RecordBatch:
+    """The rows without the words of the runs of windows in gone (one entry for each row, or None)."""
+    starts, ends, first = tb.words(offsets, data)
+    keep = np.ones(len(starts), bool)
+    for d, runs in enumerate(gone):
+        for a, b in np.frombuffer(runs or b"", "<u4").reshape(-1, 2).tolist():
+            keep[first[d] + a : min(first[d] + b - 1 + window, first[d + 1])] = False
+    total = np.concatenate(([0], np.cumsum(keep)))[first]
+    kept = np.flatnonzero(keep)
+    inner = np.ones(len(kept), bool)  # words with a kept word before them in their text
+    inner[total[:-1][np.diff(total) > 0]] = False
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[starts[kept]] += 1
+    edge[ends[kept]] -= 1
+    mask = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
+    out = data.copy()
+    space = starts[kept[inner]] - 1
+    mask[space], out[space] = True, 32
+    sizes = np.concatenate(([0], np.cumsum(mask)))[offsets]
+    text = pa.StringArray.from_buffers(rows.num_rows, pa.py_buffer(sizes.astype(np.int32)), pa.py_buffer(out[mask]))
+    n = np.diff(first)
+    return pa.RecordBatch.from_pydict({"doc_id": rows.column(0), "n_words": pa.array(n), "n_removed": pa.array(n - np.diff(total)), "text": text})
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, max_filter_bits: int = MAX_FILTER_BITS) -> DataFrame:
@@ -158,62 +228,77 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, max_filter_bits: int =
     Words are `[^\\x20\\x09-\\x0D]+`, unchanged. A window is `window` consecutive words of one document. Each word covered
     by a window whose words also start earlier (smaller doc_id, or same document and earlier start) goes; the others
     are joined by one space. Windows are judged on the input. Null, empty and blank texts have no words and give an empty
-    text; texts of fewer words than a window lose nothing. Rows that share a doc_id are taken to stand at the same
-    place: none is earlier than the other, and what goes from one goes from all at the same places. Rows without
-    a doc_id come last and share one place. An empty table gives an empty result.
+    text; texts of fewer words than a window lose nothing. Rows that share a doc_id stand at the same place: of equal
+    windows in them the one with the earlier start comes first, and none does at the same start. Rows without a doc_id
+    stand together after all others. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("row"))
+    rounds = rounds_for(window)
+    filters: dict = {}  # by round: of the symbols that repeat
 
-    def names(batches):
+    def chunks(batches, upto: int):
+        """Chunks after so many rounds, with the windows that are still in by the filters so far."""
+        known, held = tb.Digests(), {r: Filter(*f.value) for r, f in filters.items()}
         for batch in batches:
-            for _, offsets, data in tb.text_chunks(batch):
-                key, counts = np.unique(Names(offsets, data, window).chosen, return_counts=True)
+            for rows, offsets, data in tb.text_chunks(batch):
+                chunk = Chunk(offsets, data, window, known)
+                for r in range(upto):
+                    if r:
+                        chunk.compress()
+                    if r in held:
+                        chunk.prune(held[r])
+                yield rows, chunk
+
+    def round_names(level: int):
+        def run(batches):
+            for _, chunk in chunks(batches, level + 1):
+                key, counts = np.unique(chunk.inside(), return_counts=True)
                 yield pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "again": pa.array(counts > 1)})
 
-    found = scratch.keep(docs.mapInArrow(names, "key long, again boolean"))
-    count = found.count()
-    twice = spark.sparkContext.broadcast(twice_seen(found, count, max_filter_bits))
-    scratch.drop()
-    shards = 1 << max(6, int(np.ceil(np.log2(count / 200_000 + 1))))
+        return run
+
+    count = 0
+    for level in range(min(rounds, 1), rounds + 1):  # single words repeat nearly always
+        named = scratch.keep(docs.select("text").mapInArrow(round_names(level), "key long, again boolean"))
+        count = named.count()
+        filters[level] = spark.sparkContext.broadcast(twice_seen(named, count, max_filter_bits))
+        scratch.drop()
+    shards = 1 << int(np.clip(np.ceil(np.log2(4 * count / SHARD_WINDOWS + 1)), 6, np.log2(MAX_SHARDS)))
 
     def suspects(batches):
-        held = Filter(*twice.value)
-        for batch in batches:
-            for rows, offsets, data in tb.text_chunks(batch):
-                chunk = Names(offsets, data, window)
-                at = np.flatnonzero(chunk.whole)
-                at = at[held.holds(chunk.name[at])]
-                if not len(at):
-                    continue
-                ids = rows.column(0).fill_null(LAST).to_numpy()
-                text = np.searchsorted(chunk.first, at, "right") - 1
-                records = np.empty(len(at), RECORD)
-                records["h1"], records["h2"] = chunk.window_hashes(at, window)
-                records["doc"], records["start"] = ids[text], at - chunk.first[text]
-                shard = _shard(records, shards)
-                early, late = _later(records)
-                early = early[np.argsort(shard[early], kind="stable")]
-                cut = np.concatenate(([0], np.flatnonzero(np.diff(shard[early])) + 1, [len(early)]))
-                out = [(int(shard[early[a]]), None, records[early[a:b]].tobytes()) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-                if len(late):
-                    out += _covered(shards, records["doc"][late], records["start"][late])
-                yield _rows(out)
+        for rows, chunk in chunks(batches, rounds + 1):
+            if not len(chunk.at):
+                continue
+            ids, text = rows.column(0), np.searchsorted(chunk.first, chunk.at, "right") - 1
+            none = ids.is_null().to_numpy(zero_copy_only=False)
+            records = np.empty(len(chunk.at), RECORD)
+            records["h1"], records["h2"] = chunk.keys().T
+            records["doc"], records["row"] = ids.fill_null(LAST).to_numpy()[text], rows.column(2).to_numpy()[text]
+            records["start"] = chunk.at - chunk.first[text] + np.where(none, NO_ID, 0)[text]
+            early, late = _later(records)
+            shard = _shard(records, shards)[early]
+            order = np.argsort(shard, kind="stable")
+            early, shard = early[order], shard[order]
+            cut = np.concatenate(([0], np.flatnonzero(np.diff(shard)) + 1, [len(early)]))
+            out = [(int(shard[a]), None, None, records[early[a:b]].tobytes()) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+            if len(late):
+                out += _covered(shards, records[late])
+            yield _rows(out)
 
     def settle(batches):
         def done(parts):
             records = np.frombuffer(b"".join(parts), RECORD)
             late = _later(records)[1]
-            return [] if not len(late) else _covered(shards, records["doc"][late], records["start"][late])
+            return _covered(shards, records[late]) if len(late) else []
 
         now, parts = None, []
         for batch in batches:
-            shard, doc, data = (c.to_pylist() for c in batch.columns)
             out = []
-            for s, d, x in zip(shard, doc, data, strict=True):
+            for s, d, row, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if d is not None:
-                    out.append((0, d, x))
+                    out.append((0, d, row, x))
                     continue
                 if s != now and parts:
                     out += done(parts)
@@ -224,36 +309,37 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, max_filter_bits: int =
         if parts:
             yield _rows(done(parts))
 
-    schema = "shard long, doc_id long, data binary"
-    moved = docs.mapInArrow(suspects, schema).repartition("shard").sortWithinPartitions("shard")
-    gone = scratch.keep(moved.mapInArrow(settle, schema).select(F.col("doc_id").alias("_id"), "data"))
-    gone = gone.groupBy("_id").agg(F.collect_list("data").alias("_gone"))
-    # Merged, never broadcast: the same plan at every size.
-    whole = docs.join(gone.hint("merge"), F.coalesce("doc_id", F.lit(LAST)) == gone["_id"], "left").select("doc_id", "text", "_gone")
+    schema = "shard long, doc_id long, row long, data binary"
+    # as many tasks as shards, so that what a task reads doesn't grow with the input
+    moved = docs.mapInArrow(suspects, schema).repartition(shards, "shard").sortWithinPartitions("shard")
+    gone = moved.mapInArrow(settle, schema).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "data").distinct()
+    gone = scratch.keep(gone.groupBy("_row", "_id").agg(F.collect_list("data").alias("_gone")))
+    touched = gone.select(F.col("_row").alias("key")).distinct()
+    some = spark.sparkContext.broadcast(filter_of(touched, gone.count(), max_filter_bits))
+
+    def parted(hold: bool):
+        """Texts that lose nothing pass as they are; the others, and a few that the filter can't tell, are joined with their windows."""
+
+        def run(batches):
+            held = Filter(*some.value)
+            for batch in batches:
+                hit = held.holds(batch.column(2).to_numpy().view(U))
+                if hold:
+                    yield batch.filter(pa.array(hit))
+                else:
+                    for rows, offsets, data in tb.text_chunks(batch.filter(pa.array(~hit))):
+                        yield _without(rows, offsets, data, window, [])
+
+        return run
 
     def apply(batches):
         for batch in batches:
             for rows, offsets, data in tb.text_chunks(batch):
-                starts, ends, first = tb.words(offsets, data)
-                keep = np.ones(len(starts), bool)
-                for d, runs in enumerate(rows.column(2)):
-                    if runs.is_valid:
-                        for a, b in np.frombuffer(b"".join(runs.as_py()), "<u4").reshape(-1, 2).tolist():
-                            keep[first[d] + a : min(first[d] + b - 1 + window, first[d + 1])] = False
-                total = np.concatenate(([0], np.cumsum(keep)))[first]
-                kept = np.flatnonzero(keep)
-                inner = np.ones(len(kept), bool)  # words with a kept word before them in their text
-                inner[total[:-1][np.diff(total) > 0]] = False
-                edge = np.zeros(len(data) + 1, np.int8)
-                edge[starts[kept]] += 1
-                edge[ends[kept]] -= 1
-                mask = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
-                out = data.copy()
-                space = starts[kept[inner]] - 1
-                mask[space], out[space] = True, 32
-                sizes = np.concatenate(([0], np.cumsum(mask)))[offsets]
-                text = pa.StringArray.from_buffers(rows.num_rows, pa.py_buffer(sizes.astype(np.int32)), pa.py_buffer(out[mask]))
-                n = np.diff(first)
-                yield pa.RecordBatch.from_pydict({"doc_id": rows.column(0), "n_words": pa.array(n), "n_removed": pa.array(n - np.diff(total)), "text": text})
-
-    return scratch.leave(whole.mapInArrow(apply, "doc_id long, n_words long, n_removed long, text string"))
+                yield _without(rows, offsets, data, window, [b"".join(x) if x else None for x in rows.column(2).to_pylist()])
+
+    out = "doc_id long, n_words long, n_removed long, text string"
+    moved = docs.mapInArrow(parted(True), docs.schema)
+    # Merged, never broadcast: the same plan at every size.
+    same = (moved["row"] == gone["_row"]) & (F.coalesce("doc_id", F.lit(LAST)) == gone["_id"])
+    whole = moved.join(gone.hint("merge"), same, "left").select("doc_id", "text", "_gone")
+    return scratch.leave(docs.mapInArrow(parted(False), out).unionByName(whole.mapInArrow(apply, out)))
