@@ -40,7 +40,7 @@ class Sets:
 
     def __init__(self, offsets: np.ndarray, data: np.ndarray, known: tb.Digests):
         starts, ends, self.first = tb.words(offsets, data)
-        digests = tb.word_digests(offsets, data, starts, ends, known, True)
+        digests = known.of(data, starts, ends, True)
         grams, begin = tb.windows(digests, self.first, SHINGLE)
         at = np.arange(len(grams)) + np.repeat(self.first[:-1] - begin[:-1], np.diff(begin))
         counts = np.diff(self.first)
@@ -78,8 +78,9 @@ class Compared(Sets):
 
     def __init__(self, offsets: np.ndarray, data: np.ndarray, known: tb.Digests):
         super().__init__(offsets, data, known)
-        numbers: dict[bytes, int] = {}
-        self.word = np.array([numbers.setdefault(w, len(numbers)) for w in tb.tokens(offsets, data, True)], np.int64)
+        starts, ends, _ = tb.words(offsets, data)
+        raw, numbers = data.tobytes().lower(), {}
+        self.word = np.array([numbers.setdefault(raw[a:b], len(numbers)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
 
     def similar(self, x: int, y: int, percent: int) -> bool:
         """Whether two texts' sets are: by their digests, then by the words of each shingle that they share."""

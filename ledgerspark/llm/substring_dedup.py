@@ -92,7 +92,7 @@ class Chunk:
 
     def __init__(self, offsets: np.ndarray, data: np.ndarray, window: int, known: tb.Digests):
         starts, ends, self.first = tb.words(offsets, data)
-        self.words = tb.word_digests(offsets, data, starts, ends, known, False)
+        self.words = known.of(data, starts, ends, False)
         size = np.diff(self.first)
         last = np.repeat(self.first[1:], size) - window
         self.at = np.flatnonzero(np.arange(len(starts)) <= last)
@@ -152,14 +152,27 @@ class Chunk:
         begin, size, head, tail = self.held
         before, after = head - self.at, self.at + self.window - tail
         out = np.stack((before.astype(U) << U(32) | after.astype(U), size.astype(U)), axis=1)
-        total = before + size + after
-        for k in range(int(total.max(initial=0))):
-            go = np.flatnonzero(total > k)
-            place = np.where(k < before[go], self.at[go] + k, np.where(k < before[go] + size[go], begin[go] + k - before[go], tail[go] + k - before[go] - size[go]))
-            out[go] = tb.join(out[go], every[place])
+        for edge, count, step, shift in ((head, before, -1, -1), (begin, size, 1, 0), (tail, after, 1, 0)):
+            out = tb.join(out, _chains(every, edge, count, step, shift))
         return out
 
 
+def _chains(names: np.ndarray, edge: np.ndarray, count: np.ndarray, step: int, shift: int) -> np.ndarray:
+    """Digests of so many names from each edge on, or before it. Windows mostly share their edges."""
+    where, own = np.unique(edge, return_inverse=True)
+    most = np.zeros(len(where), np.int64)
+    np.maximum.at(most, own, count)
+    chain, out = np.ones((len(where), 2), U), np.ones((len(edge), 2), U)
+    by = np.argsort(count, kind="stable")
+    cut = np.searchsorted(count[by], np.arange(int(count.max(initial=0)) + 2))
+    for k in range(1, len(cut) - 1):
+        go = np.flatnonzero(most >= k)
+        chain[go] = tb.join(chain[go], names[where[go] + step * (k - 1) + shift])
+        mine = by[cut[k] : cut[k + 1]]
+        out[mine] = chain[own[mine]]
+    return out
+
+
 def _runs(starts: np.ndarray) -> np.ndarray:
     """Ascending starts as pairs of the first and the one after the last of each run."""
     cut = np.flatnonzero(np.diff(starts) != 1) + 1

@@ -1,8 +1,8 @@
 """Words and lines of whole texts, found and hashed over the UTF-8 bytes of Arrow columns with numpy.
 
 Word separators and line ends are ASCII bytes, which never occur inside a longer UTF-8 sequence, so bytes
-and code points give the same cuts. What decides equality is a keyed 128-bit digest of each word or line (BLAKE2b), and
-joins of these; it depends on the content only.
+and code points give the same cuts. What decides equality are 128 bits for each word or line (a short word's own bytes, else
+keyed BLAKE2b), and joins of these; they depend on the content only.
 """
 
 from __future__ import annotations
@@ -34,8 +34,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 #: Of the digests of words and lines. They decide what counts as equal; pass a secret of your own for hostile texts.
 KEY = b"ledgerspark-words"
-#: Words that a worker remembers the digests of, and the longest such word.
+#: Longer words that a worker remembers the digests of, and the longest such word; words that are worked on at once.
 KNOWN, KNOWN_BYTES = 1 << 17, 64
+PART_WORDS = 1 << 15
 
 
 def text_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -69,11 +70,12 @@ def digest(data: bytes, key: bytes = KEY) -> bytes:
 
 
 class Digests(dict):
-    """Digests of words, remembered within bounds."""
+    """128 bits for each word. A word of up to 15 bytes is those bytes and their number, mixed one to one, so that no two
+    share a digest; a longer one is digest(word), remembered within bounds."""
 
     def __init__(self, key: bytes = KEY):
         super().__init__()
-        self.key = key
+        self.key, self.halves = key, np.frombuffer(digest(b"", key), U)
 
     def __missing__(self, word: bytes) -> bytes:
         out = digest(word, self.key)
@@ -81,29 +83,31 @@ class Digests(dict):
             self[word] = out
         return out
 
-    def of(self, tokens: list[bytes]) -> np.ndarray:
-        """Rows of two 64-bit halves."""
-        if len(self) > KNOWN:
-            self.clear()
-        return np.frombuffer(b"".join(map(self.__getitem__, tokens)), U).reshape(-1, 2)
-
-
-def tokens(offsets: np.ndarray, data: np.ndarray, lower: bool) -> list[bytes]:
-    """All words of the texts, one text after the other, with A-Z lower-cased where asked."""
-    raw, ends = data.tobytes(), offsets.tolist()
-    whole = b"\n".join([raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)])
-    return (whole.lower() if lower else whole).split()  # ASCII letters, ASCII white space
-
-
-def word_digests(offsets: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, known: Digests, lower: bool) -> np.ndarray:
-    """Digests of the words of a chunk. A long text, a chunk of its own, is read in parts."""
-    if len(offsets) != 2 or len(data) <= CHUNK_BYTES:
-        return known.of(tokens(offsets, data, lower))
-    parts, step = [], CHUNK_BYTES // 8
-    for at in range(0, len(starts), step):
-        a, b = starts[at], ends[min(at + step, len(starts)) - 1]
-        parts.append(known.of(tokens(np.array([0, b - a]), data[a:b], lower)))
-    return np.concatenate([np.empty((0, 2), U), *parts])
+    def of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
+        """Rows of two 64-bit halves, of the words at these spans; A-Z as a-z where asked."""
+        out = np.empty((len(starts), 2), U)
+        padded = np.concatenate((data, np.zeros(16, np.uint8)))
+        if lower:
+            padded = np.frombuffer(padded.tobytes().lower(), np.uint8)
+        views = np.lib.stride_tricks.sliding_window_view(padded, 16)
+        for at in range(0, len(starts), PART_WORDS):
+            s, e = starts[at : at + PART_WORDS], ends[at : at + PART_WORDS]
+            size = e - s
+            raw = views[s]
+            raw[np.arange(16) >= np.minimum(size, 15)[:, None]] = 0
+            part = raw.view("<u8")
+            part[:, 1] |= size.astype(U) << U(56)
+            part[:, 0] = mix(part[:, 0] ^ self.halves[0])
+            part[:, 1] = mix(part[:, 1] ^ self.halves[1] ^ part[:, 0])
+            part[:, 0] += part[:, 1]
+            long = np.flatnonzero(size > 15)
+            if len(long):
+                if len(self) > KNOWN:
+                    self.clear()
+                words = [padded[a:b].tobytes() for a, b in zip(s[long].tolist(), e[long].tolist(), strict=True)]
+                part[long] = np.frombuffer(b"".join(map(self.__getitem__, words)), U).reshape(-1, 2)
+            out[at : at + PART_WORDS] = part
+        return out
 
 
 def words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

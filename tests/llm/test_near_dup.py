@@ -94,7 +94,7 @@ def test_words_that_linear_hashes_confuse(spark):
 
 def test_shingles_are_equal_by_their_words_alone(monkeypatch):
     """Even where all digests are the same."""
-    monkeypatch.setattr(tb, "digest", lambda data, key=tb.KEY: bytes(16))
+    monkeypatch.setattr(tb.Digests, "of", lambda self, data, starts, ends, lower: np.zeros((len(starts), 2), np.uint64))
     texts = [b"a b c d e", b"a b c d f", b"A b c d e", b"a b", b"b a", b"a b"]
     offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
     sets = near_dup.Compared(offsets, np.frombuffer(b"".join(texts), np.uint8), tb.Digests())
@@ -140,12 +140,23 @@ def test_word_digests_depend_on_content_only(monkeypatch):
     starts, ends, first = tb.words(offsets, data)
     found = [data[a:b].tobytes().decode() for a, b in zip(starts, ends, strict=True)]
     assert found == [w for t in texts for w in re.findall(r"[^\x20\x09-\x0D]+", t)] and first.tolist() == [0, 0, 3, 5, 5, 7]
-    got = list(map(tuple, tb.word_digests(offsets, data, starts, ends, tb.Digests(), False).tolist()))
+    got = list(map(tuple, tb.Digests().of(data, starts, ends, False).tolist()))
     assert len(set(zip(found, got, strict=True))) == len(set(found)) == len(set(got))
-    monkeypatch.setattr(tb, "CHUNK_BYTES", 16)  # a long text is read in parts
-    one = np.array([0, len(raw[1])])
-    starts, ends, _ = tb.words(one, data[: len(raw[1])])
-    assert list(map(tuple, tb.word_digests(one, data[: len(raw[1])], starts, ends, tb.Digests(), False).tolist())) == got[:3]
+    monkeypatch.setattr(tb, "PART_WORDS", 2)
+    assert list(map(tuple, tb.Digests().of(data, starts, ends, False).tolist())) == got
+
+
+def test_digests_of_words_of_all_sizes():
+    words = sorted({w for n in range(1, 40) for w in ("a" * n, "a" * (n - 1) + "b", "é" * n, "A" * n, "a" * (n - 1) + "\0")})
+    raw = [w.encode() for w in words]
+    ends = np.cumsum([len(r) for r in raw])
+    starts = ends - [len(r) for r in raw]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    got = list(map(tuple, tb.Digests().of(data, starts, ends, False).tolist()))
+    assert len(set(got)) == len(words)
+    lowered = list(map(tuple, tb.Digests().of(data, starts, ends, True).tolist()))
+    assert len(set(lowered)) == len({w.lower() for w in words}) and all(a == b for w, a, b in zip(words, got, lowered, strict=True) if w == w.lower())
+    assert not set(got) & set(map(tuple, tb.Digests(b"another key").of(data, starts, ends, False).tolist()))
 
 
 @pytest.mark.parametrize("n", [2, 40])
