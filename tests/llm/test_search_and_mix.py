@@ -11,21 +11,15 @@ from ledgerspark.llm import chat, mixing, topk
 
 
 def brute_top(rows, k=5):
-    vectors = []
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            vectors.append((i, [math.floor(256 * x) for x in v]))
-    out = set()
-    for q in {i for i, _ in vectors if i % 50 == 0}:
-        best = {}
-        for i, a in vectors:
-            if i == q:
-                for c, b in vectors:
-                    if c != q:
-                        best[c] = max(best.get(c, -(10**30)), sum(x * y for x, y in zip(a, b, strict=False)))
-        for rank, (s, c) in enumerate(sorted((-s, c) for c, s in best.items())[:k], 1):
-            out.add((q, rank, c, -s))
-    return out
+    """From the contract: every row but the query's own is a candidate."""
+    whole = lambda x: math.floor(256 * x) if math.isfinite(256 * x) else 256 * int(x)
+    vectors = [(i, [whole(x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for q, (i, a) in enumerate(vectors):
+        if i % 50 == 0:
+            scored = sorted((-sum(x * y for x, y in zip(a, b, strict=False)), c) for r, (c, b) in enumerate(vectors) if r != q)
+            out += [(i, rank, c, min(2**63 - 1, max(-(2**63), -s))) for rank, (s, c) in enumerate(scored[:k], 1)]
+    return sorted(out)
 
 
 def vectors(n=400, seed=0):
@@ -43,13 +37,23 @@ def test_top_k_equals_brute_force(spark, block, monkeypatch):
     rows = vectors()
     frame = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<float>, score int, rank int").repartition(5)
     got = topk.top_k(frame).collect()
-    assert {(r.query_id, r.rank, r.vec_id, r.score) for r in got} == brute_top(rows) and len(got) == len(brute_top(rows))
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == brute_top(rows)
 
 
-def test_one_id_takes_one_place(spark):
-    rows = [(0, [1.0])] + [(7, [9.0 + i]) for i in range(6)] + [(i, [float(i) / 10]) for i in range(1, 6)]
+@pytest.mark.parametrize("copies", [2, 6, 20])
+def test_rows_of_one_id_are_candidates_each(spark, copies):
+    rows = [(0, [1.0]), (50, [1.0]), (50, [2.0]), (50, [2.0])] + [(7, [9.0 + i]) for i in range(copies)] + [(i, [float(i)]) for i in range(1, 6)]
     got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)).collect()
-    assert {(r.query_id, r.rank, r.vec_id, r.score) for r in got} == brute_top(rows) and len(got) == 5
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == brute_top(rows)
+
+
+@pytest.mark.parametrize("block", [2, 4096])
+def test_components_of_any_size(spark, block, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", block)
+    sizes = [0.0, 1.0, -1.5, 2.0**20, -(2.0**30), 2.0**45, 2.0**46, -(2.0**46), 1e150, -1e150, 1e300, -1e300, 1.7e308, -1.7e308]
+    rows = [(50 * (i % 3) + i % 2, [x, sizes[(5 * i + 3) % len(sizes)], 1.0]) for i, x in enumerate(sizes * 2)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), k=9).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == brute_top(rows, 9)
 
 
 def test_top_k_of_few_and_none(spark):
@@ -60,11 +64,12 @@ def test_top_k_of_few_and_none(spark):
     assert sorted(map(tuple, got)) == [(0, 1, 2, -256), (0, 2, 1, -131072)]
 
 
-def test_large_components_keep_their_order(spark):
-    rows = [(0, [1e9, 1.0]), (1, [1e9, 0.0]), (2, [1e9, 1.0]), (3, [3e38, 0.0])]
-    got = topk.top_k(spark.createDataFrame(rows[:3], "vec_id long, embedding array<float>")).orderBy("rank").collect()
-    assert [r.vec_id for r in got] == [2, 1] and got[0].score - got[1].score == 65536
-    assert topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).count() == 3
+def test_scores_beyond_a_long_keep_their_order(spark):
+    rows = [(0, [1e9, 1.0]), (1, [1e9, 0.0]), (2, [1e9, 1.0]), (3, [3e38, 0.0]), (4, [-1e9, 0.0]), (5, [-3e38, 0.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [3, 2, 1, 4, 5]
+    keys = [topk.more_than_long(s) for s in (-(2**90), -(2**80), -(2**63), 2**63 - 1, 2**64, 2**90)]
+    assert keys[:3] == sorted(keys[:3]) and keys[3:] == sorted(keys[3:]) and topk.more_than_long(2**63 - 2) is None
 
 
 def water(budget, children):
