@@ -208,16 +208,17 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op10_chat"] = op10_chat
 ORACLES["op10_chat"] = """
-WITH t AS (SELECT DISTINCT conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS who, replace(coalesce(text, ''), '<|', '< |') AS text,
-                  CAST(coalesce(floor(turn / 512), 0) AS BIGINT) AS part FROM conversations),
-p AS (SELECT DISTINCT conv_id, who AS perspective FROM t WHERE who <> 'system'),
+WITH t AS (SELECT DISTINCT conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS who, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
+u AS (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER (ORDER BY turn, who, text) END AS alone FROM t),
+p AS (SELECT DISTINCT conv_id, alone, who AS perspective FROM u WHERE who <> 'system'),
 r AS (
-  SELECT t.*, perspective, '<|im_start|>' || CASE WHEN who = 'system' THEN 'system' WHEN who = perspective THEN 'assistant' ELSE 'user name=' || who END || chr(10) AS head,
-         text || '<|im_end|>' AS body FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
-s AS (SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective, part ORDER BY turn NULLS FIRST, who, text
+  SELECT u.*, perspective, '<|im_start|>' || CASE WHEN who = 'system' THEN 'system' WHEN who = perspective THEN 'assistant' ELSE 'user name=' || who END || chr(10) AS head,
+         text || '<|im_end|>' AS body FROM u JOIN p ON u.conv_id IS NOT DISTINCT FROM p.conv_id AND u.alone IS NOT DISTINCT FROM p.alone),
+s AS (SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, alone, perspective ORDER BY turn NULLS FIRST, who, text
              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS a FROM r)
-SELECT conv_id, perspective, part, count(*) AS n_turns, string_agg(head || body || chr(10), '' ORDER BY turn NULLS FIRST, who, text) AS rendered,
+SELECT conv_id, perspective, CAST(0 AS BIGINT) AS part, CAST(0 AS BIGINT) AS before, count(*) AS n_turns,
+       string_agg(head || body || chr(10), '' ORDER BY turn NULLS FIRST, who, text) AS rendered,
        '[' || coalesce(string_agg('{"from":' || a || ',"to":' || (a + length(body)) || '}', ',' ORDER BY turn NULLS FIRST, who, text) FILTER (who = perspective), '') || ']' AS spans,
        CAST(coalesce(sum(length(body)) FILTER (who = perspective), 0) AS BIGINT) AS n_target_chars
-FROM s GROUP BY conv_id, perspective, part
+FROM s GROUP BY conv_id, alone, perspective
 """

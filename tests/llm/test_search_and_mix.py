@@ -163,9 +163,23 @@ def test_rotation(spark):
     assert got[3, "unknown"].rendered.startswith("<|im_start|>assistant\nx<|im_end|>")
 
 
-def test_long_dialogues_come_in_parts(spark):
-    frame = spark.range(25).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("role"), F.col("id").cast("string").alias("text"))
-    got = chat.rotate(frame, part=10).where("perspective = 'a'").orderBy("part").collect()
-    assert [(r.part, r.n_turns) for r in got] == [(0, 10), (1, 10), (2, 5)]
-    assert [r.rendered[s["from"] : s["to"]] for r in got for s in r.spans] == [f"{i}<|im_end|>" for i in range(0, 25, 2)]
-    assert chat.rotate(frame.limit(0)).collect() == []
+def test_long_dialogues_are_whole_and_may_come_in_parts(spark):
+    n = 1300
+    who = F.when(F.col("id") % 7 == 0, "a").when(F.col("id") == 1, "system").when(F.col("id") > 1200, "late").otherwise("bob")
+    frame = spark.range(n).select(F.lit(1).alias("conv_id"), F.when(F.col("id") > 3, F.col("id")).alias("turn"), who.alias("role"), F.col("id").cast("string").alias("text"))
+    whole = {r.perspective: r for r in chat.rotate(frame).collect()}
+    assert set(whole) == {"a", "bob", "late"} and all(r.n_turns == n and r.rendered.count("<|im_start|>") == n for r in whole.values())
+    assert [whole["a"].rendered[s["from"] : s["to"]] for s in whole["a"].spans] == [f"{i}<|im_end|>" for i in range(0, n, 7)]
+    parts = chat.rotate(frame, part=100).orderBy("part").collect()
+    for p, w in whole.items():
+        own = [r for r in parts if r.perspective == p]
+        assert [r.part for r in own] == list(range(13)) and "".join(r.rendered for r in own) == w.rendered
+        assert [r.before for r in own] == [sum(len(x.rendered) for x in own[:i]) for i in range(13)]
+        assert [(r.before + s["from"], r.before + s["to"]) for r in own for s in r.spans] == [tuple(s) for s in w.spans]
+    assert chat.rotate(frame.limit(0)).collect() == [] and chat.rotate(frame.limit(0), part=10).collect() == []
+
+
+def test_turns_without_a_dialogue_stand_alone(spark):
+    turns = [(None, 1, "a", "x"), (None, 1, "a", "x"), (None, None, "a", "y"), (None, 1, "system", "z"), (2, 1, "a", "x")]
+    got = chat.rotate(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted((str(r.conv_id), r.n_turns, r.rendered[-13:-11]) for r in got) == [("2", 1, "\nx"), ("None", 1, "\nx"), ("None", 1, "\ny")]
