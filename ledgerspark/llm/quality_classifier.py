@@ -1,9 +1,8 @@
 """A quality classifier by compression: text compresses better with a dictionary built from text of its own kind.
 
 Two zstandard dictionaries are built from good and from bad labelled texts. A text is compressed with each, in blocks
-so that a dictionary helps alike all along a long text. The difference of the two sizes over the text's length becomes a
-probability by a logistic curve that is calibrated on labelled texts which the dictionaries haven't seen; the curve also
-knows the compressed size and the length, since a difference says less about short and about repetitive texts.
+so that a dictionary helps alike all along a long text. The difference of the two compressed sizes over their sum becomes a
+probability by a logistic curve in that one number, calibrated on labelled texts which the dictionaries haven't seen.
 """
 
 from __future__ import annotations
@@ -65,52 +64,43 @@ class Sizes:
         return sum(len(self.compress(b)) for b in blocks(data))
 
 
-def measures(good: Sizes, bad: Sizes, data: bytes) -> list[float]:
-    """How many bytes less the good dictionary needs, over the length; its size over the length; the length's logarithm.
-
-    A constant in the divisor steadies short texts."""
+def difference(good: Sizes, bad: Sizes, data: bytes) -> float:
+    """How much smaller the good dictionary makes a text than the bad one does, over the sum of both sizes; 0 for none."""
     g, b = good(data), bad(data)
-    return [(b - g) / (len(data) + 64), g / (len(data) + 64), float(np.log1p(len(data)))]
-
-
-def _terms(x: np.ndarray) -> np.ndarray:
-    """The measures, and their products with each other."""
-    d, r, n = x.T
-    return np.stack((d, r, n, d * d, r * r, d * r, r * n, d * n), axis=1)
+    return (b - g) / (b + g) if b + g else 0.0
 
 
 @dataclass(frozen=True)
 class Model:
     good: bytes
     bad: bytes
-    #: of the terms: mean and spread in calibration, weights; the last weight is the offset
-    mean: tuple[float, ...]
-    spread: tuple[float, ...]
-    weights: tuple[float, ...]
+    #: of the logistic curve in the difference
+    slope: float
+    offset: float
 
     def scorer(self):
         """A function from a list of texts' bytes to scores between 0 and 1."""
         sizes = Sizes(self.good), Sizes(self.bad)
 
         def score(texts: list[bytes]) -> np.ndarray:
-            x = np.array([measures(*sizes, t) for t in texts]).reshape(-1, 3)
-            z = ((_terms(x) - self.mean) / self.spread) @ np.array(self.weights[:-1]) + self.weights[-1]
+            z = np.array([difference(*sizes, t) for t in texts]) * self.slope + self.offset
             return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
         return score
 
 
-def _logistic(a: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
-    """Weights by Newton's method; the offset last, without a ridge."""
-    a = np.concatenate((a, np.ones((len(a), 1))), axis=1)
-    w, keep = np.zeros(a.shape[1]), np.diag([ridge] * (a.shape[1] - 1) + [1e-6])
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float, float]:
+    """Slope and offset by Newton's method, of x in units of its spread; the slope has a small ridge."""
+    unit = x.std() + 1e-9
+    a = np.stack((x / unit, np.ones(len(x))), axis=1)
+    w, keep = np.zeros(2), np.diag([ridge, 1e-6])
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
         step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + keep, a.T @ (y - p) - keep @ w)
         w += np.clip(step, -4, 4)
         if np.abs(step).max() < 1e-9:
             break
-    return w
+    return float(w[0] / unit), float(w[1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, each: int = TRAIN_BLOCKS) -> Model:
@@ -119,7 +109,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, each: int =
     Reads at most `rows` labelled documents of each class, those of the smallest hash, as whole texts: the dictionaries
     get up to `each` blocks of a text, by hash from all of it; calibration measures all of it, on the executors. With
     fewer than two of a class every score is the labels' share of good ones, 0.5 without labels.
-    Conflicting labels of one doc_id count as their largest; null labels don't count.
+    Conflicting labels of one doc_id count as their largest; null labels don't count. Of documents that share a doc_id
+    the one whose text has the smallest hash counts.
     """
     scratch = Scratch(docs.sparkSession)
     known = labels.where("quality in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id")))
@@ -128,8 +119,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, each: int =
     picked = [known.where(F.col("quality") == q).orderBy(order, "doc_id").limit(rows) for q in (0, 1)]
     picked = F.broadcast(picked[0].unionByName(picked[1]))  # 2 * rows rows at most
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text <> ''")
-    found = texts.join(picked, "doc_id").select("quality", F.xxhash64(F.lit(11), "doc_id").alias("h"), F.xxhash64("text").alias("t"), "text")
-    found = scratch.keep(found)
+    found = texts.join(picked, "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("t"), "text")).alias("own"))
+    found = scratch.keep(found.select("quality", F.xxhash64(F.lit(11), "doc_id").alias("h"), "own.t", "own.text"))
     got = sorted(tuple(r) for r in found.select("quality", "h", "t").collect())
     keys = {q: [k for k in got if k[0] == q] for q in (0, 1)}
     # the first of each class that is for calibration; those before are for the dictionaries
@@ -150,22 +141,19 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, each: int =
     def measured(batches):
         sizes = [Sizes(d) for d in shared.value]
         for *key, data in texts_of(batches, True):
-            yield pa.RecordBatch.from_pylist([dict(zip("qhtxyz", (*key, *measures(*sizes, data)), strict=True))])
+            yield pa.RecordBatch.from_pylist([dict(zip("qhtx", (*key, difference(*sizes, data)), strict=True))])
 
     sample = sorted(tuple(r) for r in found.mapInArrow(parts, "q long, h long, t long, data binary").collect())
     good, bad = dictionaries(*([bytes(r[3]) for r in sample if r[0] == q] for q in (1, 0)))
     shared = docs.sparkSession.sparkContext.broadcast((good, bad))
-    seen = sorted(tuple(r) for r in found.mapInArrow(measured, "q long, h long, t long, x double, y double, z double").collect())
+    seen = sorted(tuple(r) for r in found.mapInArrow(measured, "q long, h long, t long, x double").collect())
     scratch.drop()
     n = [sum(r[0] == q for r in seen) for q in (0, 1)]
     if not all(n):  # nothing to calibrate on: everything is what the labels mostly are
-        return Model(good, bad, (0.0,) * 8, (1.0,) * 8, (0.0,) * 8 + (float(np.log((total[1] + 0.5) / (total[0] + 0.5))),))
-    terms = _terms(np.array([r[3:] for r in seen]))
-    mean, spread_ = terms.mean(axis=0), terms.std(axis=0) + 1e-9
-    weights = _logistic((terms - mean) / spread_, np.repeat([0.0, 1.0], n))
+        return Model(good, bad, 0.0, float(np.log((total[1] + 0.5) / (total[0] + 0.5))))
+    slope, offset = _logistic(np.array([r[3] for r in seen]), np.repeat([0.0, 1.0], n))
     # The sample may hold the classes in other shares than the labels do; the prior is that of all labels.
-    weights[-1] += np.log(total[1] / total[0]) - np.log(n[1] / n[0])
-    return Model(good, bad, tuple(mean.tolist()), tuple(spread_.tolist()), tuple(weights.tolist()))
+    return Model(good, bad, slope, offset + float(np.log(total[1] / total[0]) - np.log(n[1] / n[0])))
 
 
 def held_out(doc_id):
