@@ -29,6 +29,16 @@ START = -1
 EMIT = 256
 
 
+def _runs(data: bytes) -> int:
+    """The state of the UTF-8 machine after these bytes."""
+    state = CLEAN
+    for byte in data:
+        state = MACHINE[state][byte]
+        if state == WRONG:
+            break
+    return state
+
+
 class Vocabulary:
     def __init__(self, path: str):
         with open(path, "rb") as lines:
@@ -39,6 +49,8 @@ class Vocabulary:
         for t, i in self.rank.items():
             self.token[i] = t
         self.size = [len(t) for t in self.token]
+        #: whether a token is other than whole UTF-8 sequences
+        self.ends = [_runs(t) != CLEAN for t in self.token]
         self.stems = {t[:n] for t in self.rank for n in range(1, len(t))}
 
     def merged(self, data: bytes) -> list[int]:
@@ -206,34 +218,75 @@ class Encoder:
         return np.frombuffer(self.packed(text), np.int32).tolist()
 
 
-#: How many bytes follow a first byte, by its high bits.
-_FOLLOW = [0] * 192 + [1] * 32 + [2] * 16 + [3] * 8 + [0] * 8
+#: States of the UTF-8 machine: between sequences; one, two, three bytes to come; the second byte after E0, ED, F0, F4.
+CLEAN, ONE, TWO, THREE, AFTER_E0, AFTER_ED, AFTER_F0, AFTER_F4, WRONG = range(9)
 
 
-class StreamingDecoder:
-    """Ids to text in any portions. The state is the open sequence's bytes; text is given up to the last whole one."""
+def _machine() -> list[bytes]:
+    """For each state, the next state by the byte: well-formed UTF-8 as the Unicode standard has it (table 3-7)."""
+    table = [bytearray([WRONG]) * 256 for _ in range(8)]
+    table[CLEAN][0x00:0x80] = bytes([CLEAN]) * 0x80
+    table[CLEAN][0xC2:0xE0] = bytes([ONE]) * 0x1E
+    table[CLEAN][0xE0:0xF0] = bytes([TWO]) * 0x10
+    table[CLEAN][0xF0:0xF5] = bytes([THREE]) * 5
+    for first, state in ((0xE0, AFTER_E0), (0xED, AFTER_ED), (0xF0, AFTER_F0), (0xF4, AFTER_F4)):
+        table[CLEAN][first] = state
+    for state, low, high, to in ((ONE, 0x80, 0xC0, CLEAN), (TWO, 0x80, 0xC0, ONE), (THREE, 0x80, 0xC0, TWO), (AFTER_E0, 0xA0, 0xC0, ONE), (AFTER_ED, 0x80, 0xA0, ONE), (AFTER_F0, 0x90, 0xC0, TWO), (AFTER_F4, 0x80, 0x90, TWO)):
+        table[state][low:high] = bytes([to]) * (high - low)
+    return [bytes(row) for row in table]
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.token = vocabulary.token
-        self.open = b""
-
-    def feed(self, ids) -> str:
-        data = self.open + b"".join(map(self.token.__getitem__, ids))
-        keep = len(data)
-        for back in range(1, min(4, len(data) + 1)):
-            first = data[-back]
-            if first >= 192:
-                if _FOLLOW[first] >= back:
-                    keep -= back
-                break
-            if first < 128:
-                break
-        self.open = data[keep:]
-        return data[:keep].decode("utf-8", "replace")
 
-    def finish(self) -> str:
-        rest, self.open = self.open, b""
-        return rest.decode("utf-8", "replace")
+MACHINE = _machine()
+REPLACEMENT = "\ufffd".encode()
+
+
+class StreamingDecoder:
+    """Ids to bytes in any portions, which end with a whole sequence. The state is that of the UTF-8 machine and the bytes of
+    the open sequence. Bytes that aren't UTF-8 pass as they are, or, where asked, become U+FFFD, one for each longest
+    beginning of a sequence, as decoders mostly do."""
+
+    def __init__(self, vocabulary: Vocabulary, replace: bool = False):
+        self.token, self.ends = vocabulary.token, vocabulary.ends
+        self.replace = replace
+        self.state, self.open = CLEAN, b""
+
+    def feed(self, ids) -> bytes:
+        if self.state == CLEAN and not any(map(self.ends.__getitem__, ids)):
+            return b"".join(map(self.token.__getitem__, ids))  # tokens of whole sequences only
+        out = []
+        for i in ids:
+            if self.state == CLEAN and not self.ends[i]:
+                out.append(self.token[i])
+                continue
+            self._read(self.token[i], out)
+        return b"".join(out)
+
+    def _read(self, data: bytes, out: list[bytes]) -> None:
+        """One token, byte by byte."""
+        state, whole = self.state, bytearray(self.open)
+        done = 0  # bytes of whole that are given
+        for byte in data:
+            to = MACHINE[state][byte]
+            if to == WRONG and state != CLEAN:  # what is open ends here, and the byte begins anew
+                if self.replace:
+                    whole[done:] = REPLACEMENT
+                done = len(whole)
+                to = MACHINE[CLEAN][byte]
+            if to == WRONG:
+                whole += REPLACEMENT if self.replace else bytes((byte,))
+                to = CLEAN
+            else:
+                whole.append(byte)
+            state = to
+            if state == CLEAN:
+                done = len(whole)
+        out.append(bytes(whole[:done]))
+        self.state, self.open = state, bytes(whole[done:])
+
+    def finish(self) -> bytes:
+        rest = REPLACEMENT if self.replace and self.open else self.open
+        self.state, self.open = CLEAN, b""
+        return rest
 
 
 _OPEN: dict[tuple[str, str], Encoder] = {}
@@ -246,16 +299,16 @@ def encoder(path: str, pattern: str) -> Encoder:
     return _OPEN[path, pattern]
 
 
-def _decoded(vocabulary: Vocabulary, ids: list[int], portion: int) -> str:
-    decoder = StreamingDecoder(vocabulary)
-    return "".join([*(decoder.feed(ids[i : i + portion]) for i in range(0, len(ids), portion)), decoder.finish()])
+def _decoded(vocabulary: Vocabulary, ids: list[int], portion: int, replace: bool = False) -> bytes:
+    decoder = StreamingDecoder(vocabulary, replace)
+    return b"".join([*(decoder.feed(ids[i : i + portion]) for i in range(0, len(ids), portion)), decoder.finish()])
 
 
 def encode(docs: DataFrame, path: str, pattern: str, decoded: bool = False, portion: int = 4096) -> DataFrame:
     """docs with ids array<int>: the whole text's tokens, without special tokens. path: ranks, readable on every worker.
 
-    decoded: also a column decoded, the ids turned back to text in portions, in the same pass. Null and empty texts have no
-    tokens (an empty array, an empty text). Rows are encoded one by one, so ties and repeated rows give equal results and
+    decoded: also a column decoded binary, the ids turned back to bytes in portions, in the same pass. Null and empty texts have
+    no tokens (an empty array, no bytes). Bytes of a text that aren't UTF-8 are read as U+FFFD. Rows are encoded one by one, so ties and repeated rows give equal results and
     an empty table an empty one. Columns ids and decoded of docs are replaced; all others pass.
     """
     docs = docs.drop("ids", *["decoded"] * decoded).withColumn("text", F.col("text").cast("string"))
@@ -265,22 +318,23 @@ def encode(docs: DataFrame, path: str, pattern: str, decoded: bool = False, port
         to_ids = encoder(path, pattern)
         for batch in batches:
             for rows, _, _ in tb.text_chunks(batch):
-                got = [to_ids.packed(t or "") for t in rows.column(rows.schema.get_field_index("text")).to_pylist()]
+                raw = rows.column(rows.schema.get_field_index("text")).cast(pa.binary()).to_pylist()
+                got = [to_ids.packed((t or b"").decode("utf-8", "replace")) for t in raw]
                 ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in got])))
                 flat = np.frombuffer(b"".join(got), np.int32)
                 out = {n: rows.column(rows.schema.get_field_index(n)) for n in names}
                 out["ids"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
                 if decoded:
-                    out["decoded"] = pa.array([_decoded(to_ids.transducer.vocabulary, np.frombuffer(x, np.int32).tolist(), portion) for x in got], pa.string())
+                    out["decoded"] = pa.array([_decoded(to_ids.transducer.vocabulary, np.frombuffer(x, np.int32).tolist(), portion) for x in got], pa.binary())
                 yield pa.RecordBatch.from_pydict(out)
 
-    more = {"ids": F.lit(None).cast("array<int>")} | ({"decoded": F.lit(None).cast("string")} if decoded else {})
+    more = {"ids": F.lit(None).cast("array<int>")} | ({"decoded": F.lit(None).cast("binary")} if decoded else {})
     return docs.mapInArrow(run, docs.withColumns(more).schema)
 
 
 def decode(tokens: DataFrame, path: str, pattern: str, portion: int = 4096) -> DataFrame:
-    """tokens with decoded string, from ids array<int>, streamed in portions. Null ids give null, no ids an empty text.
-    A column decoded is replaced; all others pass."""
+    """tokens with decoded string, from ids array<int>, streamed in portions. Null ids give null, no ids an empty text; bytes
+    that aren't UTF-8 become U+FFFD. A column decoded is replaced; all others pass."""
     tokens = tokens.drop("decoded")
     names = tokens.columns
 
@@ -288,7 +342,7 @@ def decode(tokens: DataFrame, path: str, pattern: str, portion: int = 4096) -> D
         vocabulary = encoder(path, pattern).transducer.vocabulary
         for batch in batches:
             column = batch.column(batch.schema.get_field_index("ids"))
-            out = [_decoded(vocabulary, x.values.to_numpy(zero_copy_only=False).tolist(), portion) if x.is_valid else None for x in column]
+            out = [_decoded(vocabulary, x.values.to_numpy(zero_copy_only=False).tolist(), portion, True).decode() if x.is_valid else None for x in column]
             yield pa.RecordBatch.from_pydict({n: batch.column(batch.schema.get_field_index(n)) for n in names} | {"decoded": pa.array(out, pa.string())})
 
     return tokens.mapInArrow(run, tokens.select("*", F.lit(None).cast("string").alias("decoded")).schema)

@@ -50,17 +50,32 @@ def test_streaming_decoder_in_any_portions(library):
     for portion in (1, 2, 3, 7, 10_000):
         decoder = bpe.StreamingDecoder(own.transducer.vocabulary)
         parts = [decoder.feed(ids[i : i + portion]) for i in range(0, len(ids), portion)]
-        assert "".join(parts) + decoder.finish() == text and "�" not in "".join(parts)
+        assert b"".join(parts) + decoder.finish() == text.encode() and all(p.decode() is not None for p in parts)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from([b"a", "é".encode(), "中".encode(), "😀".encode(), b"\xe0\x80", b"\xed\xa0\x80", b"\xf0\x9f", b"\xf4\x90", b"\xff", b"\xc1\x80"]), st.binary(max_size=4)), max_size=8).map(b"".join), st.integers(1, 5))
+def test_the_utf8_machine_on_any_bytes(data, portion):
+    vocabulary = bpe.encoder(PATH, public_tokenizers.PATTERN).transducer.vocabulary
+    ids = [vocabulary.rank[data[i : i + 1]] for i in range(len(data))]
+    assert bpe._decoded(vocabulary, ids, portion) == data
+    assert bpe._decoded(vocabulary, ids, portion, True).decode() == data.decode("utf-8", "replace")
+    assert (bpe._runs(data) == bpe.CLEAN) == (data.decode("utf-8", "replace").encode() == data)
+    decoder = bpe.StreamingDecoder(vocabulary, True)
+    assert all(isinstance(decoder.feed(ids[i : i + portion]).decode(), str) for i in range(0, len(ids), portion))
 
 
 def test_bpe_frames(spark, library):
     texts = ["Hello world", None, "", "  x\n\n", "é中😀", "a" * 100_000, "Hello world"]
     rows = spark.createDataFrame([(i, t, [1]) for i, t in enumerate(texts)], "doc_id long, text string, ids array<int>")
     got = {r.doc_id: r for r in bpe.encode(rows, PATH, public_tokenizers.PATTERN, decoded=True, portion=3).collect()}
-    assert all(got[i].ids == library.encode_ordinary(t or "") and got[i].decoded == (t or "") for i, t in enumerate(texts))
+    assert all(got[i].ids == library.encode_ordinary(t or "") and bytes(got[i].decoded) == (t or "").encode() for i, t in enumerate(texts))
     again = bpe.decode(bpe.encode(rows, PATH, public_tokenizers.PATTERN).drop("text"), PATH, public_tokenizers.PATTERN).collect()
     assert {r.doc_id: r.decoded for r in again} == {i: t or "" for i, t in enumerate(texts)}
     assert bpe.encode(rows.limit(0), PATH, public_tokenizers.PATTERN).collect() == []
+    broken = spark.sql("SELECT 1L AS doc_id, cast(x'61FFC3' AS string) AS text")
+    (r,) = bpe.encode(broken, PATH, public_tokenizers.PATTERN, decoded=True).collect()
+    assert bytes(r.decoded).decode() == "a\ufffd\ufffd" and r.ids == library.encode_ordinary("a\ufffd\ufffd")
 
 
 def brute_statistics(text):
@@ -124,6 +139,27 @@ def test_classifier_on_held_out_rows(spark):
     assert quality_classifier.score(odd.limit(0), model).collect() == []
 
 
+def test_scores_equal_a_plain_formula(spark):
+    """Over the whole smallest table: zstandard called directly, block by block."""
+    import zstandard
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    model = quality_classifier.fit(docs, labels)
+    both = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_checksum=False, write_content_size=False, write_dict_id=False) for d in (model.good, model.bad)]
+    for r in quality_classifier.score(docs, model).collect():
+        data = (r.text or "").encode()
+        good, bad = (sum(len(c.compress(data[i : i + 512])) for i in range(0, len(data), 512)) for c in both)
+        d = (bad - good) / (bad + good) if good + bad else 0
+        assert abs(r.score - 1 / (1 + np.exp(-(model.slope * d + model.offset)))) < 1e-6
+
+
+def test_a_repeated_doc_id_is_learned_from_once(spark):
+    docs, labels = labelled(spark, 60)
+    more = docs.unionByName(docs.select("doc_id", F.concat("text", F.lit(" again")).alias("text"))).unionByName(docs)
+    model = quality_classifier.fit(more, labels)
+    assert model == quality_classifier.fit(more.orderBy(F.desc("text")), labels) and len(model.good) > 0
+
+
 def test_classifier_learns_from_what_follows_a_long_prefix(spark):
     rnd = random.Random(4)
     words = lambda letters: ["".join(rnd.choices(letters, k=6)) for _ in range(200)]
