@@ -12,6 +12,7 @@ A window's own words decide which symbols lie wholly inside it: in a round its o
 may a pair at either end; these are popped and stay words. What is left, the interior, and the popped words on both sides
 are the same for equal windows wherever they stand. They are the window's key: windows that are still in after the rounds
 are equal when their interior symbols and the words beside them are. Only these are moved, once per chunk of texts.
+Texts that are copies of others as a whole are settled before the rounds.
 """
 
 from __future__ import annotations
@@ -34,6 +35,10 @@ LAST = np.iinfo(np.int64).max
 #: row tells texts apart that share a doc_id; starts of rows without a doc_id have their highest bit set, so that these come last.
 RECORD = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("row", "<i8")])
 NO_ID = 1 << 31
+#: The first round whose names are tested: words and pairs of words repeat nearly always.
+FIRST = 2
+PLACE = np.dtype([("row", "<i8"), ("doc", "<i8"), ("start", "<u4")])
+MOVED, GONE = "shard long, bucket long, data binary", "_row long, _id long, _gone binary"
 
 
 def rounds_for(window: int) -> int:
@@ -179,13 +184,49 @@ def _runs(starts: np.ndarray) -> np.ndarray:
     return np.stack((starts[np.concatenate(([0], cut))], starts[np.concatenate((cut - 1, [len(starts) - 1]))] + 1), axis=1).astype("<u4")
 
 
-def _covered(shards: int, late: np.ndarray):
-    """Rows for what is settled: each text's runs of windows that occur earlier. They pass through any shard."""
-    late = late[np.lexsort((late["start"], late["row"], late["doc"]))]
-    new = (late["doc"][1:] != late["doc"][:-1]) | (late["row"][1:] != late["row"][:-1])
-    cut = np.concatenate(([0], np.flatnonzero(new) + 1, [len(late)]))
+def _packed(records: np.ndarray, at: np.ndarray, place: np.ndarray):
+    """(place, bytes) of the records at these places in their order, one for each place."""
+    order = np.argsort(place, kind="stable")
+    at, place = at[order], place[order]
+    cut = np.concatenate(([0], np.flatnonzero(np.diff(place)) + 1, [len(place)] * (len(place) > 0)))
     for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-        yield int(late["row"][a]) % shards, int(late["doc"][a]), int(late["row"][a]), _runs(np.unique(late["start"][a:b] & ~np.uint32(NO_ID))).tobytes()
+        yield int(place[a]), records[at[a:b]].tobytes()
+
+
+def _late(records: np.ndarray, late: np.ndarray, buckets: int):
+    """Rows (any shard, bucket, bytes) of windows that occur earlier: their texts and starts."""
+    places = np.empty(len(late), PLACE)
+    for name in PLACE.names:
+        places[name] = records[name][late]
+    return [(k, k, x) for k, x in _packed(places, np.arange(len(late)), (places["row"] & np.int64(buckets - 1)).astype(np.int64))]
+
+
+def _texts(places: np.ndarray):
+    """(row, doc_id, runs) of each text among the places."""
+    places = places[np.lexsort((places["start"], places["row"], places["doc"]))]
+    new = (places["doc"][1:] != places["doc"][:-1]) | (places["row"][1:] != places["row"][:-1])
+    cut = np.concatenate(([0], np.flatnonzero(new) + 1, [len(places)]))
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        yield int(places["row"][a]), int(places["doc"][a]), _runs(np.unique(places["start"][a:b] & ~np.uint32(NO_ID))).tobytes()
+
+
+def _groups(batches, done):
+    """Rows (key, null, bytes) sorted by key: done(all bytes of a key) of one key after the other. Other rows pass as they come."""
+    now, parts = None, []
+    for batch in batches:
+        out = []
+        for key, other, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if other is not None:
+                out.append((key, other, x))
+                continue
+            if key != now and parts:
+                out += done(b"".join(parts))
+                parts = []
+            now = key
+            parts.append(x)
+        yield out
+    if parts:
+        yield list(done(b"".join(parts)))
 
 
 def _later(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -205,10 +246,10 @@ def _shard(records: np.ndarray, shards: int) -> np.ndarray:
     return ((records["h1"] >> U(20)) & U(shards - 1)).astype(np.int64)
 
 
-def _rows(rows) -> pa.RecordBatch:
-    rows = list(rows)
-    kinds = (("shard", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("data", pa.binary()))
-    return pa.RecordBatch.from_pydict({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(kinds)})
+def _batch(rows: list, schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "binary": pa.binary()}
+    named = [column.split(" ") for column in schema.split(", ")]
+    return pa.RecordBatch.from_pydict({n: pa.array([r[i] for r in rows], kinds[k]) for i, (n, k) in enumerate(named)})
 
 
 def _without(rows: pa.RecordBatch, offsets: np.ndarray, data: np.ndarray, window: int, gone: list) -> pa.RecordBatch:
@@ -251,11 +292,32 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, max_filter_bits: int =
     rounds = rounds_for(window)
     filters: dict = {}  # by round: of the symbols that repeat
 
+    # Texts of the same words throughout are one symbol at the top. All but the first lose every window, and take no further part.
+    def whole(batches):
+        known = tb.Digests()
+        for batch in batches:
+            for rows, offsets, data in tb.text_chunks(batch):
+                starts, ends, first = tb.words(offsets, data)
+                raw, n = known.of(data, starts, ends, False), np.diff(first)
+                names = np.frombuffer(b"".join([tb.digest(raw[a:b].tobytes()) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]), np.int64).reshape(-1, 2)
+                every = [np.array([0, max(0, k - window + 1)], "<u4").tobytes() for k in n.tolist()]
+                out = {"doc_id": rows.column(0), "row": rows.column(2), "every": pa.array(every, pa.binary()), "d1": pa.array(names[:, 0]), "d2": pa.array(names[:, 1])}
+                yield pa.RecordBatch.from_pydict(out).filter(pa.array(n >= window))
+
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(LAST)).alias("doc"))
+    texts = scratch.keep(docs.mapInArrow(whole, "doc_id long, row long, every binary, d1 long, d2 long").withColumn("place", place))
+    least = texts.groupBy("d1", "d2").agg(F.min("place").alias("least"))
+    ranked = scratch.keep(texts.join(least.hint("merge"), ["d1", "d2"]).select("row", "place", "every", (F.col("place") == F.col("least")).alias("leads")))
+    leaders = ranked.where("leads").select(F.col("row").alias("key"))
+    lead = spark.sparkContext.broadcast(filter_of(leaders, leaders.count(), max_filter_bits))
+    copies = ranked.where("not leads").select(F.col("row").alias("_row"), F.col("place.doc").alias("_id"), F.col("every").alias("_gone"))
+
     def chunks(batches, upto: int):
         """Chunks after so many rounds, with the windows that are still in by the filters so far."""
-        known, held = tb.Digests(), {r: Filter(*f.value) for r, f in filters.items()}
+        known, held, leads = tb.Digests(), {r: Filter(*f.value) for r, f in filters.items()}, Filter(*lead.value)
         for batch in batches:
-            for rows, offsets, data in tb.text_chunks(batch):
+            go = leads.holds(batch.column(2).to_numpy().view(U))  # a copy that passes changes nothing
+            for rows, offsets, data in tb.text_chunks(batch.filter(pa.array(go))):
                 chunk = Chunk(offsets, data, window, known)
                 for r in range(upto):
                     if r:
@@ -273,12 +335,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, max_filter_bits: int =
         return run
 
     count = 0
-    for level in range(min(rounds, 1), rounds + 1):  # single words repeat nearly always
-        named = scratch.keep(docs.select("text").mapInArrow(round_names(level), "key long, again boolean"))
+    for level in range(min(rounds, FIRST), rounds + 1):
+        passing = Scratch(spark)
+        named = passing.keep(docs.mapInArrow(round_names(level), "key long, again boolean"))
         count = named.count()
         filters[level] = spark.sparkContext.broadcast(twice_seen(named, count, max_filter_bits))
-        scratch.drop()
+        passing.drop()
     shards = 1 << int(np.clip(np.ceil(np.log2(4 * count / SHARD_WINDOWS + 1)), 6, np.log2(MAX_SHARDS)))
+    buckets = max(64, shards // 4)
 
     def suspects(batches):
         for rows, chunk in chunks(batches, rounds + 1):
@@ -291,44 +355,28 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, max_filter_bits: int =
             records["doc"], records["row"] = ids.fill_null(LAST).to_numpy()[text], rows.column(2).to_numpy()[text]
             records["start"] = chunk.at - chunk.first[text] + np.where(none, NO_ID, 0)[text]
             early, late = _later(records)
-            shard = _shard(records, shards)[early]
-            order = np.argsort(shard, kind="stable")
-            early, shard = early[order], shard[order]
-            cut = np.concatenate(([0], np.flatnonzero(np.diff(shard)) + 1, [len(early)]))
-            out = [(int(shard[a]), None, None, records[early[a:b]].tobytes()) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-            if len(late):
-                out += _covered(shards, records[late])
-            yield _rows(out)
+            out = [(k, None, x) for k, x in _packed(records, early, _shard(records, shards)[early])]
+            yield _batch(out + _late(records, late, buckets), MOVED)
 
     def settle(batches):
-        def done(parts):
-            records = np.frombuffer(b"".join(parts), RECORD)
-            late = _later(records)[1]
-            return _covered(shards, records[late]) if len(late) else []
+        def done(data):
+            records = np.frombuffer(data, RECORD)
+            return _late(records, _later(records)[1], buckets)
+
+        for out in _groups(batches, done):
+            yield _batch(out, MOVED)
+
+    def texts_of(batches):
+        for out in _groups(batches, lambda data: _texts(np.frombuffer(data, PLACE))):
+            yield _batch(out, GONE)
 
-        now, parts = None, []
-        for batch in batches:
-            out = []
-            for s, d, row, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if d is not None:
-                    out.append((0, d, row, x))
-                    continue
-                if s != now and parts:
-                    out += done(parts)
-                    parts = []
-                now = s
-                parts.append(x)
-            yield _rows(out)
-        if parts:
-            yield _rows(done(parts))
-
-    schema = "shard long, doc_id long, row long, data binary"
     # as many tasks as shards, so that what a task reads doesn't grow with the input
-    moved = docs.mapInArrow(suspects, schema).repartition(shards, "shard").sortWithinPartitions("shard")
-    gone = moved.mapInArrow(settle, schema).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "data").distinct()
-    gone = scratch.keep(gone.groupBy("_row", "_id").agg(F.collect_list("data").alias("_gone")))
-    touched = gone.select(F.col("_row").alias("key")).distinct()
-    some = spark.sparkContext.broadcast(filter_of(touched, gone.count(), max_filter_bits))
+    settled = docs.mapInArrow(suspects, MOVED).repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(settle, MOVED)
+    settled = settled.select("bucket", F.lit(None).cast("long").alias("shard"), "data")
+    gone = settled.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(texts_of, GONE)
+    gone = gone.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("copy", F.lit(True)))
+    gone = scratch.keep(gone.groupBy("_row", "_id").agg(F.max(F.struct("copy", "_gone"))["_gone"].alias("_gone")))
+    some = spark.sparkContext.broadcast(filter_of(gone.select(F.col("_row").alias("key")), gone.count(), max_filter_bits))
 
     def parted(hold: bool):
         """Texts that lose nothing pass as they are; the others, and a few that the filter can't tell, are joined with their windows."""
@@ -348,7 +396,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, max_filter_bits: int =
     def apply(batches):
         for batch in batches:
             for rows, offsets, data in tb.text_chunks(batch):
-                yield _without(rows, offsets, data, window, [b"".join(x) if x else None for x in rows.column(2).to_pylist()])
+                yield _without(rows, offsets, data, window, rows.column(2).to_pylist())
 
     out = "doc_id long, n_words long, n_removed long, text string"
     moved = docs.mapInArrow(parted(True), docs.schema)
