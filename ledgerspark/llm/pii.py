@@ -3,7 +3,8 @@
 Equal values get equal pseudonyms wherever they stand, different values of one format different ones, and none can be
 turned back without the key. Built-in expressions only; texts without a candidate are left after one test.
 
-Formats: e-mail addresses (the part before @), telephone numbers with + or a bracketed area code (the digits after the
+Formats: e-mail addresses (the part before @, letters of the common scripts within their own rows of the alphabet; a part with
+any other character becomes x and 24 hexadecimal digits of a keyed hash), telephone numbers with + or a bracketed area code (the digits after the
 first), IPv4 addresses (each part up to 255), dates that exist (years 1600 to 2399, in figures, year first or last),
 card numbers (13 to 19 digits that pass the Luhn check, which their pseudonyms pass too, also beside other groups of
 digits), numbers of the form 000-00-0000, and secrets of 32 to 128 hexadecimal digits.
@@ -20,7 +21,7 @@ KEY = "ledgerspark-demo-key"
 
 #: What may be personal, but for card numbers, tried in this order at each place.
 PATTERN = "|".join((
-    r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}",
+    r"(?<![\p{L}\p{M}\p{N}._%+-])[\p{L}\p{M}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,24}",
     r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,128}+(?![0-9A-Za-z])",
     r"(?<![0-9+])\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])",
     r"(?<![0-9+])\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-][0-9]{2,4}){3,5}(?![0-9])",
@@ -44,25 +45,32 @@ def _digest(key: str, round_: str, value: str) -> str:
 
 
 #: First code point and size of each class of characters that are permuted among themselves; others stay.
-CLASSES = (("'0' and '9'", 48, 10), ("'a' and 'z'", 97, 26), ("'A' and 'Z'", 65, 26), ("'à' and 'ÿ'", 224, 32), ("'À' and 'ß'", 192, 32))
+CLASSES = ((48, 10), (97, 26), (65, 26))
+#: Letters of other scripts, in rows without gaps: Latin, Greek, Cyrillic, Hebrew, Arabic, Devanagari, Thai, kana, Han, Hangul.
+LETTERS = (
+    (192, 23), (216, 7), (224, 23), (248, 8), (256, 128), (913, 17), (931, 7), (945, 25), (1024, 16), (1040, 32), (1072, 32), (1104, 16),
+    (1488, 27), (1569, 26), (1601, 10), (2309, 53), (3585, 46), (12353, 86), (12449, 90), (19968, 20992), (44032, 11172),
+)
 _HEX = "0123456789abcdef"
 
 
-def _shift(text: str, digest: str, hexadecimal: bool) -> str:
-    """Each character moved within its class by two digits of the digest."""
-    by = "cast(conv(substr(g, 2 * i - 1, 2), 16, 10) as int)"
+def _shift(text: str, digest: str, hexadecimal: bool, letters: bool) -> str:
+    """Each character moved within its class by two digits of the digest; by four where all letters may occur."""
+    width = 4 if letters else 2
+    by = f"cast(conv(substr(g, {width} * (i - 1) + 1, {width}), 16, 10) as int)"
     if hexadecimal:
         moved = f"substr('{_HEX}', (instr('{_HEX}', c) - 1 + {by}) % 16 + 1, 1)"
     else:
-        cases = " ".join(f"when c between {r} then chr({first} + (ascii(c) - {first} + {by}) % {n})" for r, first, n in CLASSES)
-        moved = f"case {cases} else c end"
+        cases = " ".join(f"when u between {first} and {first + n - 1} then {first} + (u - {first} + {by}) % {n}" for first, n in CLASSES + LETTERS * letters)
+        shown = "decode(unhex(lpad(hex({}), 4, '0')), 'UTF-16BE')" if letters else "chr({})"
+        moved = _let("ascii(c)", "u", _let(f"case {cases} end", "w", f"if(w is null, c, {shown.format('w')})"))
     one = _let("substr(t, i, 1)", "c", moved)
     return _let(text, "t", f"if(length(t) = 0, '', {_let(digest, 'g', f'''array_join(transform(sequence(1, length(t)), i -> {one}), '')''')})")
 
 
-def feistel(value: str, key: str, hexadecimal: bool = False) -> str:
+def feistel(value: str, key: str, hexadecimal: bool = False, letters: bool = False) -> str:
     """An SQL expression: the value with its characters permuted. The halves take turns; each moves by a hash of the other."""
-    step = f"named_struct('l', a.r, 'r', {_shift('a.l', _digest(key, 'k', 'a.r'), hexadecimal)})"
+    step = f"named_struct('l', a.r, 'r', {_shift('a.l', _digest(key, 'k', 'a.r'), hexadecimal, letters)})"
     start = "named_struct('l', substr(v, 1, length(v) div 2), 'r', substr(v, length(v) div 2 + 1))"
     return _let(value, "v", f"aggregate(sequence(1, {ROUNDS}), {start}, (a, k) -> {step}, a -> concat(a.l, a.r))")
 
@@ -89,8 +97,14 @@ def _secret(m: str, key: str) -> str:
     return f"if({m} rlike '^[0-9]+$', {feistel(m, key)}, {moved})"
 
 
+#: Local parts of these characters are permuted; any other is replaced by a keyed hash.
+_PERMUTED = "^[._%+" + "".join(f"{chr(first)}-{chr(first + n - 1)}" for first, n in CLASSES + LETTERS) + "-]+$"
+
+
 def _email(m: str, key: str) -> str:
-    return f"concat({feistel(f'''substring_index({m}, '@', 1)''', key)}, '@', substring_index({m}, '@', -1))"
+    hashed = f"concat('x', substr(sha2(concat('{key}|@|', l), 256), 1, 24))"
+    body = f"concat(if(l rlike '{_PERMUTED}', {feistel('l', key, letters=True)}, {hashed}), '@', substring_index({m}, '@', -1))"
+    return _let(f"substring_index({m}, '@', 1)", "l", body)
 
 
 def _redealt(m: str, digits: str) -> str:

@@ -1,10 +1,13 @@
 import base64
+import datetime
+import hashlib
 import random
 import re
 
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -244,6 +247,133 @@ def test_numbers_with_one_digit_areas_and_pairs(spark):
         assert n == 1 and got != text and re.sub(r"\d", "9", got) == re.sub(r"\d", "9", text) and got[:2] == text[:2]
 
 
+class Plain:
+    """The same pseudonyms in plain Python, from the module's documentation."""
+
+    key, found = pii.KEY, regex.compile(pii.PATTERN)
+
+    def sha(self, text):
+        return hashlib.sha256(text.encode()).hexdigest()
+
+    def feistel(self, v, kind=""):
+        classes = pii.CLASSES + pii.LETTERS * (kind == "letters")
+        wide = 4 if kind == "letters" else 2
+
+        def shift(text, digest):
+            out = []
+            for i, c in enumerate(text):
+                by = int(digest[wide * i : wide * (i + 1)], 16)
+                if kind == "hex":
+                    out.append("%x" % ((int(c, 16) + by) % 16))
+                else:
+                    out.append(next((chr(a + (ord(c) - a + by) % n) for a, n in classes if a <= ord(c) < a + n), c))
+            return "".join(out)
+
+        left, right = v[: len(v) // 2], v[len(v) // 2 :]
+        for k in range(1, 9):
+            left, right = right, shift(left, self.sha(f"{self.key}|{k}|{right}") + self.sha(f"{self.key}#{k}|{right}"))
+        return left + right
+
+    def redealt(self, m, digits):
+        own = iter(digits)
+        return re.sub("[0-9]", lambda _: next(own), m)
+
+    def date(self, m):
+        for form in ("%Y{s}%m{s}%d", "%d{s}%m{s}%Y", "%m{s}%d{s}%Y"):
+            form = form.format(s=re.search("[-./]", m)[0])
+            try:
+                day = datetime.datetime.strptime(m, form).date()
+            except ValueError:
+                continue
+            if not 1600 <= day.year <= 2399 or len(m) != 10 or (form[1] == "Y") != m[:4].isdigit():
+                return m
+            start = datetime.date(1600 + (day.year - 1600) // 400 * 400, 1, 1)
+            p, q = divmod((day - start).days, 773)
+            for k in range(1, 5):
+                p = (p + int(self.sha(f"{self.key}|{k}p{q}")[:12], 16)) % 189
+                q = (q + int(self.sha(f"{self.key}|{k}q{p}")[:12], 16)) % 773
+            return (start + datetime.timedelta(days=p * 773 + q)).strftime(form)
+        return m
+
+    def value(self, m):
+        if "@" in m:
+            local, domain = m.split("@")
+            known = all(c in "._%+-" or any(a <= ord(c) < a + n for a, n in pii.CLASSES + pii.LETTERS) for c in local)
+            return (self.feistel(local, "letters") if known else "x" + self.sha(f"{self.key}|@|{local}")[:24]) + "@" + domain
+        if re.fullmatch("[0-9A-Fa-f]{32,128}", m):
+            if m.isdigit():
+                return self.feistel(m)
+            new = self.feistel(m.lower(), "hex")
+            return new.upper() if m == m.upper() else new
+        digits = re.sub("[^0-9]", "", m)
+        if m[0] in "+(":
+            return self.redealt(m, digits[0] + self.feistel(digits[1:]))
+        if re.fullmatch(r"\d{1,3}(\.\d{1,3}){3}", m):
+            parts = list(map(int, m.split(".")))
+            new = self.feistel("".join("%02x" % p for p in parts), "hex") if max(parts) < 256 else None
+            return ".".join(str(int(new[i : i + 2], 16)) for i in range(0, 8, 2)) if new else m
+        if len(m) == 10:
+            return self.date(m)
+        return self.feistel(m)
+
+    def cards(self, run):
+        groups = re.findall("[0-9]+[ -]?", run)
+        begun = []
+        for s in range(len(groups)):
+            for e in range(min(len(groups), s + 19), s, -1):
+                digits = re.sub("[^0-9]", "", "".join(groups[s:e]))
+                if 13 <= len(digits) <= 19 and luhn(digits):
+                    begun.append((len(digits), s, e))
+                    break
+        out, at, n = [], 0, 0
+        for _, s, e in begun:
+            if s < at:
+                continue
+            _, minus, e = max((x[0], -x[1], x[2]) for x in begun if s <= x[1] < e)
+            text = "".join(groups[-minus:e])
+            digits = re.sub("[^0-9]", "", text)
+            body = self.feistel(digits[:-1])
+            check = next(c for c in "0123456789" if luhn(body + c))
+            out += ["".join(groups[at:-minus]), self.redealt(text, body + check)]
+            at, n = e, n + 1
+        return "".join(out) + "".join(groups[at:]), n
+
+    def text(self, text):
+        out, at, n = [], 0, 0
+        for m in [*self.found.finditer(text), None]:
+            between = text[at : m.start() if m else len(text)]
+            last = 0
+            for r in re.finditer(r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,}", between):
+                new, k = self.cards(r[0])
+                out += [between[last : r.start()], new]
+                last, n = r.end(), n + k
+            out.append(between[last:])
+            if m:
+                new = self.value(m[0])
+                out.append(new)
+                at, n = m.end(), n + (new != m[0])
+        return "".join(out), n
+
+
+def test_the_whole_smallest_table_equals_plain_python(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    own = ["иван@mail.example.com", "ünal@почта.рф, a÷é@x.org", "李雷.7@例子.cn हिन्दी@x.org ß@y.org", "+33 1 23 45 67 89 4111 1111 1111 1111 123", "12/31/1999 2024-02-29 300.1.1.1 10.0.255.3", "123-45-6789 " + "0123456789abcdef" * 2]
+    more = spark.createDataFrame([(-i, t) for i, t in enumerate(own, 1)], "doc_id long, text string")
+    plain = Plain()
+    got = pii.pseudonymize(docs.unionByName(more)).collect()
+    texts |= {-i: t for i, t in enumerate(own, 1)}
+    assert {r.doc_id: (r.text, r.n_private) for r in got} == {i: plain.text(t) if t is not None else (None, 0) for i, t in texts.items()}
+
+
+def test_addresses_in_any_script(spark):
+    texts = ["иван@mail.example.com", "Ünal.ö@x.org", "李雷@例子.cn", "हिन्दी@x.org", "ß@y.org", "o÷x@y.org"]
+    got = pseudonyms(spark, texts)
+    assert [n for _, n in got] == [1] * 6 and all(a != b and a.split("@")[1] == b.split("@")[1] for a, (b, _) in zip(texts, got, strict=True))
+    assert re.fullmatch("[а-я]{4}@.*", got[0][0]) and not set("÷×") & set(got[1][0]) and got[5][0].startswith("o÷")
+    assert re.fullmatch("x[0-9a-f]{24}@.*", got[3][0]) and re.fullmatch("x[0-9a-f]{24}@.*", got[4][0])
+
+
 def test_permutations_are_one_to_one(spark):
     two = spark.range(100).select(F.expr(pii.feistel("lpad(cast(id as string), 2, '0')", "k")).alias("x"))
     assert two.distinct().count() == 100
