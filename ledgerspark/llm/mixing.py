@@ -33,6 +33,12 @@ def word_count(text: Column) -> Column:
     return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), "[ \\t-\\r]+"), "")).cast("long")
 
 
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word; what stands before and between words stays."""
+    pieces = F.split(text, "(?<=[^ \\t-\\r])(?=[ \\t-\\r])")
+    return F.array_join(F.slice(pieces, 1, n.cast("int")), "")
+
+
 def _weight(level: str, weights: dict) -> Column:
     out = F.lit(1)
     for name, w in weights.get(level, {}).items():
