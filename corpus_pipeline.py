@@ -39,12 +39,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's budget takes it: once per whole epoch, and once more in the prefix of the next.
 
-    Only texts without words are dropped, where their domain, language and source have no words at all.
+    Where a prefix ends inside a document, the last copy is the document's first words up to there, so a leaf gets exactly
+    its budget. Only texts without words are dropped, where their domain, language and source have no words at all.
     """
     taken = mixing.mix_sources(docs, percent=BUDGET_PERCENT, carry=COLUMNS)
     copies = F.col("whole_epochs") + F.when(F.col("prefix_tokens") > 0, 1).otherwise(0)
     rows = taken.withColumn("copies", copies).where("copies > 0")
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("carried.*")
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    cut = F.expr("copy > whole_epochs and prefix_tokens < n_tokens")
+    text = F.when(cut, mixing.first_words(F.col("carried.text"), F.col("prefix_tokens"))).otherwise(F.col("carried.text"))
+    rows = rows.select("carried.*", text.alias("_text"), cut.alias("_cut")).withColumn("text", F.col("_text"))
+    return rows.withColumn("n_chars", F.when(F.col("_cut"), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
