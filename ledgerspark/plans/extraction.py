@@ -17,9 +17,10 @@ def encoder_flags(formats: DataFrame) -> DataFrame:
     return hits.select(*ledger.flag(F.col("submission_id"), "ENCODER_MISMATCH", "warning"))
 
 
-def discontinuity_flags(keyframes: DataFrame) -> DataFrame:
-    """FRAME_DISCONTINUITY for recordings with an outlier among their keyframe intervals."""
-    return keyframes.where(media.keyframe_outliers(F.col("times")) > 0).select(*ledger.flag(F.col("submission_id"), "FRAME_DISCONTINUITY", "warning"))
+def discontinuity_flags(keyframes: DataFrame, submissions: DataFrame) -> DataFrame:
+    """FRAME_DISCONTINUITY for recordings from the folder with an outlier among their keyframe intervals."""
+    own = keyframes.join(submissions.where("channel = 'dropbox'").select(F.col("id").alias("submission_id")), "submission_id")
+    return own.where(media.keyframe_outliers(F.col("times")) > 0).select(*ledger.flag(F.col("submission_id"), "FRAME_DISCONTINUITY", "warning"))
 
 
 def duplicate_flags(assets: DataFrame) -> DataFrame:
@@ -46,7 +47,7 @@ def all_flags(d, rows: DataFrame, now: datetime) -> DataFrame:
         evidence.intake_flags(d.submission),
         evidence.sequence_flags(d.submission, d.enrollment),
         encoder_flags(d.container_format),
-        discontinuity_flags(d.keyframes),
+        discontinuity_flags(d.keyframes, d.submission),
         duplicate_flags(assets),
         shared_flags(d.shared_line),
     ]

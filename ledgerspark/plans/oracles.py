@@ -90,7 +90,7 @@ all_flags AS (
   UNION ALL SELECT id, 'MANUAL_INTAKE', 'info', NULL FROM submission WHERE channel = 'manual_upload'
   UNION ALL SELECT s.id, 'OUT_OF_SEQUENCE', 'warning', NULL FROM submission s JOIN enrollment e ON e.id = s.enrollment_id WHERE kind = 'wager_recording' AND state <> 'funded'
   UNION ALL SELECT submission_id, 'ENCODER_MISMATCH', 'warning', NULL FROM traces WHERE channel = 'dropbox' AND trace IS NOT NULL
-  UNION ALL SELECT submission_id, 'FRAME_DISCONTINUITY', 'warning', NULL FROM keyframe WHERE n_outliers > 0
+  UNION ALL SELECT submission_id, 'FRAME_DISCONTINUITY', 'warning', NULL FROM keyframe JOIN submission s ON s.id = submission_id AND s.channel = 'dropbox' WHERE n_outliers > 0
   UNION ALL SELECT id, 'DUPLICATE_MEDIA', 'high', NULL FROM dups
   UNION ALL SELECT run_id, 'SHARED_ROWS', 'high', NULL FROM shared),
 search AS (SELECT s.id, s.kind, s.channel, s.received_at, s.content_hash, e.id AS enrollment_id, e.participant_id, e.casino, e.state FROM submission s JOIN enrollment e ON e.id = s.enrollment_id),
