@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SCHEMA = "from_addr string, to_addr string, subject string, sent_at timestamp, original binary, has_image boolean, signed_headers string, d_domain string, selector string"
+SCHEMA = "from_addr string, original_from string, to_addr string, subject string, sent_at timestamp, original binary, has_image boolean, signed_headers string, d_domain string, selector string"
 
 
 def _address(value) -> str | None:
@@ -26,23 +26,26 @@ def _when(value):
 
 
 def parse(raw: bytes | None) -> dict:
-    """Headers of a message, the first message attached to it, whether an image is, and its signature's tags."""
-    empty = dict.fromkeys(("from_addr", "to_addr", "subject", "sent_at", "original", "has_image", "signed_headers", "d_domain", "selector"))
+    """Of a message: its sender, whether it holds an image, the first message attached to it, and of that one the headers and
+    its signature's tags. Without an attached message these are null."""
+    out = dict.fromkeys(c.split()[0] for c in SCHEMA.split(", ")) | {"has_image": False}
     if not raw:
-        return empty | {"has_image": False}
+        return out
     message = message_from_bytes(bytes(raw), policy=policy.default)
-    original, image = None, False
+    out["from_addr"] = _address(message["from"])
     for part in message.walk():
         kind = part.get_content_type()
-        if kind == "message/rfc822" and original is None:
+        if kind == "message/rfc822" and out["original"] is None:
             inner = part.get_payload()
-            original = (inner[0] if isinstance(inner, list) else inner).as_bytes()
-        image = image or (kind.startswith("image/") and part is not message)
-    tags = dict(t.strip().split("=", 1) for t in str(message.get("DKIM-Signature", "")).replace("\n", "").split(";") if "=" in t)
-    return {
-        "from_addr": _address(message["from"]), "to_addr": _address(message["to"]), "subject": message["subject"] and str(message["subject"]),
-        "sent_at": _when(message["date"]), "original": original, "has_image": image,
-        "signed_headers": tags.get("h"), "d_domain": tags.get("d"), "selector": tags.get("s"),
+            out["original"] = (inner[0] if isinstance(inner, list) else inner).as_bytes()
+        out["has_image"] |= kind.startswith("image/") and part is not message
+    if out["original"] is None:
+        return out
+    original = message_from_bytes(out["original"], policy=policy.default)
+    tags = dict(t.strip().split("=", 1) for t in str(original.get("DKIM-Signature", "")).replace("\n", "").split(";") if "=" in t)
+    return out | {
+        "original_from": _address(original["from"]), "to_addr": _address(original["to"]), "subject": original["subject"] and str(original["subject"]),
+        "sent_at": _when(original["date"]), "signed_headers": tags.get("h"), "d_domain": tags.get("d"), "selector": tags.get("s"),
     }
 
 

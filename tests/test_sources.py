@@ -51,9 +51,11 @@ def test_csv_file(spark, tmp_path):
 def test_mime(spark):
     inner = EmailMessage()
     inner["From"], inner["To"], inner["Subject"] = "Casino <no-reply@casino.example>", "p@x.example", "Welcome"
+    inner["Date"], inner["DKIM-Signature"] = "Tue, 15 Sep 2026 12:00:00 +0000", "v=1; d=casino.example; s=sel; h=from:to"
     inner.set_content("hello")
     outer = EmailMessage()
-    outer["From"], outer["Date"], outer["DKIM-Signature"] = "P <p@x.example>", "Tue, 15 Sep 2026 12:00:00 +0000", "v=1; d=x.example; s=sel; h=from:to"
+    outer["From"], outer["To"], outer["Date"] = "P <p@x.example>", "intake@here.example", "Wed, 16 Sep 2026 09:00:00 +0000"
+    outer["DKIM-Signature"] = "v=1; d=forwarder.example; s=own; h=from"
     outer.set_content("see attached")
     outer.add_attachment(inner)
     plain = EmailMessage()
@@ -62,8 +64,12 @@ def test_mime(spark):
     plain.add_attachment(b"\x89PNG", "image", "png")
     rows = spark.createDataFrame([(1, outer.as_bytes()), (2, plain.as_bytes()), (3, None), (4, b"")], "id long, content binary")
     got = {r.id: r for r in mail.parse_messages(rows).collect()}
-    assert got[1].mail.from_addr == "p@x.example" and got[1].mail.d_domain == "x.example" and got[1].mail.sent_at.hour == 12 and got[1].content_hash
-    assert mail.parse(bytes(got[1].mail.original))["to_addr"] == "p@x.example"
+    own = got[1].mail
+    assert own.from_addr == "p@x.example" and got[1].content_hash == hashlib.sha256(own.original).hexdigest()
+    # what counts as evidence is the original, whoever forwards it
+    assert (own.original_from, own.to_addr, own.subject) == ("no-reply@casino.example", "p@x.example", "Welcome")
+    assert (own.d_domain, own.selector, own.signed_headers, own.sent_at.day, own.sent_at.hour) == ("casino.example", "sel", "from:to", 15, 12)
+    assert got[2].mail.from_addr == "q@x.example" and got[2].mail.to_addr is None and got[2].mail.d_domain is None
     assert got[2].mail.has_image and got[2].mail.original is None and got[2].content_hash is None
     assert got[3].mail.from_addr is None and got[4].mail.from_addr is None
 
