@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -153,12 +154,44 @@ def email_transitions(routed: DataFrame, enrollments: DataFrame) -> DataFrame:
     """
     states = enrollments.select(F.col("id").alias("enrollment_id"), "state")
     rows = routed.where(F.col("status").isin("auto_replied", "verified")).join(states, "enrollment_id")
-    invited, verified = F.col("state") == "invited", F.col("status") == "verified"
+    # messages come in the order of id: only an enrollment's first one finds it invited
+    rows = rows.join(rows.groupBy("enrollment_id").agg(F.min("id").alias("_first")), "enrollment_id")
+    invited, verified = (F.col("state") == "invited") & (F.col("id") == F.col("_first")), F.col("status") == "verified"
     move = lambda step, a, b: F.struct(F.lit(step).alias("step"), F.lit(a).alias("from_state"), F.lit(b).alias("to_state"))
     steps = F.array_compact(F.array(F.when(invited, move(1, "invited", "email_submitted")), F.when(verified, move(2, "email_submitted", "email_verified"))))
     return rows.select("id", "enrollment_id", F.inline(steps))
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """df without its lineage, in the folder that the cluster names; one of this machine only where Spark is local."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(base or tempfile.mkdtemp(prefix="ledgerspark-"))
+    return df.checkpoint()
+
+
+def first_come(edges: DataFrame) -> DataFrame:
+    """Of edges (id, sender, content_hash), those taken when they come in the order of id and each sender and hash is taken once.
+
+    Edges that are first for both are taken; edges of a sender or hash that is taken go; this is repeated until none is
+    left. Each round is some joins, and a chain of edges that wait for each other takes as many rounds as it is long.
+    """
+    edges, taken = edges.groupBy("sender", "content_hash").agg(F.min("id").alias("id")), None
+    while True:
+        edges = _cut(edges)
+        least = lambda key, name: edges.groupBy(key).agg(F.min("id").alias(name))
+        first = edges.join(least("sender", "_s"), "sender").join(least("content_hash", "_h"), "content_hash").where("id = _s and id = _h")
+        first = _cut(first.select("id", "sender", "content_hash"))
+        taken = first if taken is None else taken.unionByName(first)
+        edges = edges.join(first.select("sender"), "sender", "left_anti").join(first.select("content_hash"), "content_hash", "left_anti")
+        if first.isEmpty() or edges.isEmpty():
+            return taken
+
+
 def unmatched_audit(routed: DataFrame, messages: DataFrame) -> DataFrame:
     """(id, actor, action, target) for messages that no enrollment could be found for."""
     missed = routed.where(F.col("status").isin("no_from_address", "no_participant", "no_pending_enrollment", "ambiguous_enrollment")).select("id", "status")
@@ -188,7 +221,8 @@ def route_emails(messages: DataFrame, participants: DataFrame, enrollments: Data
 
     The sender finds participants in any case; exactly one of their enrollments may await an e-mail. In this order:
     no_from_address, no_participant, no_pending_enrollment, ambiguous_enrollment, auto_replied (no original attached),
-    duplicate (the original is archived), verified.
+    duplicate (the original is archived), verified. Messages come in the order of id: after a verified one its enrollment
+    awaits no e-mail any more, and its original is archived. Runs jobs to find which are verified.
     """
     senders = participants.where("email is not null").select(F.lower("email").alias("sender"), F.col("id").alias("participant_id"))
     waiting = enrollments.where(F.col("state").isin(*AWAITING_EMAIL)).select("participant_id", F.col("id").alias("enrollment_id"), "casino")
@@ -199,13 +233,17 @@ def route_emails(messages: DataFrame, participants: DataFrame, enrollments: Data
     allowed = allowlist.select("casino", F.col("domain").alias("d_domain"), F.lit(True).alias("allowed")).distinct()
     rows = messages.withColumn("sender", F.lower("from_addr")).join(per_sender, "sender", "left").join(known, "content_hash", "left").join(allowed, ["casino", "d_domain"], "left")
     attached = F.col("content_hash").isNotNull()
+    open_ = F.coalesce(F.col("from_addr") != "", F.lit(False)) & (F.col("pending") == 1) & attached & F.col("archived").isNull()
+    taken = first_come(rows.where(open_).select("id", "sender", "content_hash"))
+    rows = rows.join(taken.select("sender", F.col("id").alias("_done")), "sender", "left").join(taken.select("content_hash", F.col("id").alias("_stored")), "content_hash", "left")
     status = (
         F.when(F.coalesce(F.col("from_addr") == "", F.lit(True)), "no_from_address")
         .when(F.col("pending").isNull(), "no_participant")
         .when(F.col("pending") == 0, "no_pending_enrollment")
         .when(F.col("pending") > 1, "ambiguous_enrollment")
+        .when(F.col("id") > F.col("_done"), "no_pending_enrollment")
         .when(~attached, "auto_replied")
-        .when(F.col("archived"), "duplicate")
+        .when(F.col("archived") | (F.col("id") > F.col("_stored")), "duplicate")
         .otherwise("verified")
     )
     tier = evidence_tier(attached, signature_verdict(F.col("dkim")), covers_headers(F.col("signed_headers")), F.coalesce("allowed", F.lit(False)), F.col("has_image"))

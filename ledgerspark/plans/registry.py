@@ -385,37 +385,41 @@ def first_path_segments(d):
     return secure.select("page_id", evidence.enrollment_in_path(F.col("url"), "https://").alias("host"))
 
 
-@query("E1-E4 J9 J10 R20-R22 A12 F7 Q12 Q19", """
+_ROUTED = """
 , pend AS (SELECT lower(p.email) AS sender, count(e.id) AS pending, min(e.id) AS eid, arg_min(e.casino, e.id) AS casino FROM participant p
   LEFT JOIN enrollment e ON e.participant_id = p.id AND e.state IN ('invited','email_submitted') WHERE p.email IS NOT NULL GROUP BY 1),
-r AS (SELECT i.*, pending, eid, casino, CASE WHEN from_addr IS NULL THEN 'no_from_address' WHEN pending IS NULL THEN 'no_participant' WHEN pending = 0 THEN 'no_pending_enrollment' WHEN pending > 1 THEN 'ambiguous_enrollment'
-  WHEN content_hash IS NULL THEN 'auto_replied' WHEN content_hash IN (SELECT content_hash FROM media_asset) THEN 'duplicate' ELSE 'verified' END AS status FROM inbound i LEFT JOIN pend ON sender = lower(from_addr))
-SELECT id, status, CASE WHEN status IN ('auto_replied','duplicate','verified') THEN eid END AS enrollment_id,
+i AS (SELECT inbound.*, sender, pending, eid, casino, content_hash IN (SELECT content_hash FROM media_asset) AS stored FROM inbound LEFT JOIN pend ON sender = lower(from_addr)),
+fold AS (
+  SELECT id, sender, content_hash, id = min(id) OVER (PARTITION BY sender) AND id = min(id) OVER (PARTITION BY content_hash) AS won FROM i WHERE pending = 1 AND content_hash IS NOT NULL AND NOT stored
+  UNION ALL
+  SELECT id, sender, content_hash, id = min(id) OVER (PARTITION BY sender) AND id = min(id) OVER (PARTITION BY content_hash)
+  FROM (SELECT *, bool_or(won) OVER (PARTITION BY sender) AS s, bool_or(won) OVER (PARTITION BY content_hash) AS h FROM fold) WHERE NOT s AND NOT h),
+won AS (SELECT * FROM fold WHERE won),
+r AS (SELECT i.*, CASE WHEN from_addr IS NULL THEN 'no_from_address' WHEN pending IS NULL THEN 'no_participant' WHEN pending = 0 THEN 'no_pending_enrollment' WHEN pending > 1 THEN 'ambiguous_enrollment'
+  WHEN i.id > ws.id THEN 'no_pending_enrollment' WHEN i.content_hash IS NULL THEN 'auto_replied' WHEN stored OR i.id > wh.id THEN 'duplicate' ELSE 'verified' END AS status
+  FROM i LEFT JOIN won ws ON ws.sender = i.sender LEFT JOIN won wh ON wh.content_hash = i.content_hash)
+"""
+
+
+@query("E1-E4 J9 J10 R20-R22 A12 F7 Q12 Q19", _ROUTED + """SELECT id, status, CASE WHEN status IN ('auto_replied','duplicate','verified') THEN eid END AS enrollment_id,
   CASE WHEN status = 'auto_replied' THEN CASE WHEN has_image THEN 'D' ELSE 'C' END WHEN status = 'verified' THEN
-    CASE WHEN dkim = 'pass' AND covered AND (casino, d_domain) IN (SELECT casino, domain FROM allowlist) THEN 'A' ELSE 'B' END END AS tier FROM r""")
+    CASE WHEN dkim = 'pass' AND covered AND (casino, d_domain) IN (SELECT casino, domain FROM allowlist) THEN 'A' ELSE 'B' END END AS tier FROM r""", recursive=True)
 def email_routing(d):
     return evidence.route_emails(d.inbound_email, d.participant, d.enrollment, d.media_asset, d.dkim_allowed_signer)
 
 
-_ROUTED = """
-, pend AS (SELECT lower(p.email) AS sender, count(e.id) AS pending, min(e.id) AS eid FROM participant p
-  LEFT JOIN enrollment e ON e.participant_id = p.id AND e.state IN ('invited','email_submitted') WHERE p.email IS NOT NULL GROUP BY 1),
-r AS (SELECT i.*, pending, eid, CASE WHEN from_addr IS NULL THEN 'no_from_address' WHEN pending IS NULL THEN 'no_participant' WHEN pending = 0 THEN 'no_pending_enrollment' WHEN pending > 1 THEN 'ambiguous_enrollment'
-  WHEN content_hash IS NULL THEN 'auto_replied' WHEN content_hash IN (SELECT content_hash FROM media_asset) THEN 'duplicate' ELSE 'verified' END AS status FROM inbound i LEFT JOIN pend ON sender = lower(from_addr))
-"""
-
-
 def _routed(d):
     return evidence.route_emails(d.inbound_email, d.participant, d.enrollment, d.media_asset, d.dkim_allowed_signer)
 
 
-@query("E4 transitions, Q11 Q12", _ROUTED + """SELECT r.id, eid AS enrollment_id, 1 AS step, 'invited' AS from_state, 'email_submitted' AS to_state FROM r JOIN enrollment e ON e.id = eid WHERE status IN ('auto_replied','verified') AND e.state = 'invited'
-UNION ALL SELECT r.id, eid, 2, 'email_submitted', 'email_verified' FROM r WHERE status = 'verified'""")
+@query("E4 transitions, Q11 Q12", _ROUTED + """, f AS (SELECT *, id = min(id) OVER (PARTITION BY eid) AS first FROM r WHERE status IN ('auto_replied','verified'))
+SELECT f.id, eid AS enrollment_id, 1 AS step, 'invited' AS from_state, 'email_submitted' AS to_state FROM f JOIN enrollment e ON e.id = eid WHERE first AND e.state = 'invited'
+UNION ALL SELECT id, eid, 2, 'email_submitted', 'email_verified' FROM f WHERE status = 'verified'""", recursive=True)
 def email_transitions(d):
     return evidence.email_transitions(_routed(d), d.enrollment)
 
 
-@query("E4 audit of unmatched messages, S10", _ROUTED + "SELECT id, 'system' AS actor, 'inbound_email_unmatched:' || status AS action, coalesce(from_addr, 'unknown') AS target FROM r WHERE status LIKE 'no_%' OR status LIKE 'ambig%'")
+@query("E4 audit of unmatched messages, S10", _ROUTED + "SELECT id, 'system' AS actor, 'inbound_email_unmatched:' || status AS action, coalesce(from_addr, 'unknown') AS target FROM r WHERE status LIKE 'no_%' OR status LIKE 'ambig%'", recursive=True)
 def unmatched_emails(d):
     return evidence.unmatched_audit(_routed(d), d.inbound_email)
 

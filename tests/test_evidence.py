@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 from types import SimpleNamespace
 
@@ -90,7 +91,8 @@ def test_routing_and_tiers(spark, domain):
         "id long, from_addr string, content_hash string, dkim string, signed_headers string, d_domain string, has_image boolean",
     )
     allow = spark.createDataFrame([("c2", "good")], "casino string, domain string")
-    got = {r.id: (r.status, r.tier) for r in evidence.route_emails(messages, domain.participant, domain.enrollment, domain.media_asset, allow).collect()}
+    alone = lambda i, enrollments: evidence.route_emails(messages.where(F.col("id") == i), domain.participant, enrollments, domain.media_asset, allow).first()
+    got = {i: (r.status, r.tier) for i in range(1, 10) for r in [alone(i, domain.enrollment)]}
     assert got == {
         1: ("no_from_address", None), 2: ("no_participant", None), 3: ("verified", "B"), 4: ("verified", "A"), 5: ("auto_replied", "D"), 6: ("auto_replied", "C"),
         7: ("duplicate", None), 8: ("verified", "B"), 9: ("verified", "B"),
@@ -102,6 +104,40 @@ def test_routing_and_tiers(spark, domain):
     assert {r.id: r.status for r in evidence.route_emails(messages, domain.participant, none, domain.media_asset, allow).collect()}[4] == "no_pending_enrollment"
 
 
+def test_messages_of_a_batch_come_one_after_the_other(spark):
+    rnd = random.Random(6)
+    people = spark.createDataFrame([(i, f"p{i}@x") for i in range(12)], "id long, email string")
+    waiting = spark.createDataFrame([(100 + i, i, "c", ["invited", "email_submitted", "closed"][i % 3]) for i in range(12)] + [(200, 4, "c", "invited")], "id long, participant_id long, casino string, state string")
+    rows = [(k, f"P{rnd.randrange(12)}@x" if rnd.random() < 0.95 else None, rnd.choice([None, "old", *(f"h{i}" for i in range(9))])) for k in range(150)]
+    messages = spark.createDataFrame([(*r, "pass", "to:from:subject:date", "d", False) for r in rows], "id long, from_addr string, content_hash string, dkim string, signed_headers string, d_domain string, has_image boolean")
+    archive = {"old"}
+    state = {100 + i: ["invited", "email_submitted", "closed"][i % 3] for i in range(12)}
+    want, steps = {}, []
+    for k, sender, h in rows:
+        i = int(sender[1:-2]) if sender else None
+        if sender is None:
+            want[k] = "no_from_address"
+        elif i == 4:
+            want[k] = "ambiguous_enrollment"
+        elif state[100 + i] not in evidence.AWAITING_EMAIL:
+            want[k] = "no_pending_enrollment"
+        elif h is None or h not in archive:
+            want[k] = "auto_replied" if h is None else "verified"
+            if state[100 + i] == "invited":
+                steps.append((k, 100 + i, 1))
+                state[100 + i] = "email_submitted"
+            if h is not None:
+                steps.append((k, 100 + i, 2))
+                state[100 + i] = "email_verified"
+                archive.add(h)
+        else:
+            want[k] = "duplicate"
+    media = spark.createDataFrame([("old",)], "content_hash string")
+    routed = evidence.route_emails(messages, people, waiting, media, spark.createDataFrame([], "casino string, domain string"))
+    assert {r.id: r.status for r in routed.collect()} == want and "verified" in want.values()
+    assert sorted((r.id, r.enrollment_id, r.step) for r in evidence.email_transitions(routed, waiting).collect()) == steps
+
+
 def test_transitions(spark):
     rows = spark.createDataFrame([(a, b) for a in (*lifecycle.STATES, "odd") for b in lifecycle.STATES], "a string, b string")
     got = {(r.a, r.b): (r.o, r.s) for r in rows.select("a", "b", lifecycle.transition_outcome(F.col("a"), F.col("b")).alias("o"), lifecycle.transition_outcome(F.col("a"), F.col("b"), True).alias("s")).collect()}
