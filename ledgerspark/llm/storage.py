@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of this machine only where that is unset (local runs and tests)."""
+    """spark.checkpoint.dir; a folder of this machine only where that is unset and Spark is local."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='ledgerspark-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base
@@ -30,8 +32,10 @@ class Scratch:
     def keep(self, df: DataFrame) -> DataFrame:
         """df written as Parquet and read again. Losing an executor later does not lose it."""
         path = f"{self.base}/{len(self.paths)}"
-        df.write.parquet(path)
+        if not self.paths:  # where the operator fails, what it wrote goes too
+            atexit.register(_forget, self.spark, self.base)
         self.paths.append(path)
+        df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self) -> None:
