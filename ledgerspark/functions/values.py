@@ -10,9 +10,15 @@ TIMESTAMP_FORMATS = ("yyyy-MM-dd'T'HH:mm:ss.SSSX", "yyyy-MM-dd'T'HH:mm:ssX", "yy
 
 
 def plain_number(x: Column) -> Column:
-    """A money amount as text without trailing zeros (10, 10.5, 10.25); null for null."""
-    text = x.cast("decimal(14,2)").cast("string")
-    return F.regexp_replace(F.regexp_replace(text, r"\.00$", ""), r"(\.[0-9])0$", "$1")
+    """A number as it is written, without trailing zeros (10, 10.5, 10.004); null for null.
+
+    Whole numbers and those of up to 26 digits before and 12 after the point are written out; others as doubles are.
+    """
+    number = x.cast("double")
+    exact = number.try_cast("decimal(38,12)")
+    text = F.rtrim(F.rtrim(exact.cast("string"), F.lit("0")), F.lit("."))
+    whole = (number == F.floor(number)) & (F.abs(number) < 1e15)
+    return F.when(whole, number.try_cast("long").cast("string")).when(exact.cast("double") == number, text).otherwise(number.cast("string"))
 
 
 def row_key(timestamp: Column, kind: Column, amount: Column, balance: Column) -> Column:
@@ -22,8 +28,15 @@ def row_key(timestamp: Column, kind: Column, amount: Column, balance: Column) ->
 
 
 def lenient_timestamp(text: Column) -> Column:
-    """Text as a timestamp by the first layout that fits, else null."""
-    return F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f in TIMESTAMP_FORMATS))
+    """Text as a timestamp by the first layout that fits, else null.
+
+    A layout is only tried on texts that have its separators, since one that doesn't fit costs an exception.
+    """
+    upper = F.upper(text)
+    dated, timed, parts = upper.rlike("^[+-]?[0-9]"), upper.contains("T"), upper.contains(".")
+    zoned = upper.endswith("Z") | upper.rlike("T.*[+-]")
+    fits = (timed & parts, timed & ~parts & zoned, timed & ~parts, ~timed & upper.contains(" "), ~timed & ~upper.contains(" "))
+    return F.coalesce(*(F.when(dated & fit, F.try_to_timestamp(text, F.lit(f))) for f, fit in zip(TIMESTAMP_FORMATS, fits, strict=True)))
 
 
 def iso_millis(ts: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import millis_between
 from .ledger import flag
+from .media import encoder_trace, keyframe_outliers
 
 DAY_MS = 86_400_000
 #: Fixed values of the checks.
@@ -41,22 +42,57 @@ def shared_rows(rows: DataFrame) -> DataFrame:
 
     A match is a row of another run and another participant with an equal key. Matches are counted from sums per key,
     never listed: the rows of a key less those of the run's own participant. The rows of a key in one
-    run are first made one, with their number, and the keys of one participant only are left out.
+    run are first made one, with their number, and the keys of one participant only are left out. Rows without a
+    participant match none. What is used more than once is written first.
     """
-    per_run = rows.groupBy("row_key", "run_id", "participant_id").agg(F.count(F.lit(1)).alias("n"))
+    per_run = cut(rows.where("participant_id is not null").groupBy("row_key", "run_id", "participant_id").agg(F.count(F.lit(1)).alias("n")))
     per_person = per_run.groupBy("row_key", "participant_id").agg(F.sum("n").alias("own"))
     per_key = per_person.groupBy("row_key").agg(F.sum("own").alias("all"), F.count(F.lit(1)).alias("people")).where("people > 1")
-    hits = per_run.select("row_key", "run_id", "participant_id").join(per_key, "row_key").join(per_person, ["row_key", "participant_id"])
+    hits = cut(per_run.select("row_key", "run_id", "participant_id").join(per_key, "row_key").join(per_person, ["row_key", "participant_id"]))
     totals = hits.groupBy("run_id").agg(F.sum(F.col("all") - F.col("own")).alias("n_matches"), F.max("people").alias("most"))
     # A key of more participants than the cap settles its runs. The others' keys are all small, and are listed.
     small = totals.where(F.col("most") <= SHARED_CAP).select("run_id")
-    others = per_person.join(per_key.where(F.col("people") <= SHARED_CAP).select("row_key"), "row_key", "left_semi").select("row_key", F.col("participant_id").alias("other"))
+    others = hits.where(F.col("people") <= SHARED_CAP).select("row_key", F.col("participant_id").alias("other")).distinct()
     people = hits.join(small, "run_id", "left_semi").select("run_id", "row_key", "participant_id").join(others, "row_key").where("other <> participant_id")
     people = people.groupBy("run_id", "other").agg(F.lit(1).alias("one")).groupBy("run_id").agg(F.count(F.lit(1)).alias("n_participants"))
     cap = lambda c: F.least(c, F.lit(SHARED_CAP).cast("long"))
     return totals.join(people, "run_id", "left").select("run_id", "n_matches", cap("n_matches").alias("n_capped"), cap(F.coalesce("n_participants", F.lit(SHARED_CAP).cast("long"))).alias("n_participants"))
 
 
+def sharing_runs(rows: DataFrame) -> DataFrame:
+    """(run_id) of the runs that shared_rows has: only whether a key has two participants is asked of it."""
+    seen = rows.where("participant_id is not null")
+    keys = seen.groupBy("row_key").agg(F.min("participant_id").alias("_low"), F.max("participant_id").alias("_high")).where("_low <> _high")
+    return seen.select("run_id", "row_key").distinct().join(keys.select("row_key"), "row_key", "left_semi").select("run_id").distinct()
+
+
+def submission_flags(submissions: DataFrame, grants: DataFrame, enrollments: DataFrame, formats: DataFrame, keyframes: DataFrame) -> DataFrame:
+    """All flags that a submission has by itself, from one pass: those of gap_flags, intake_flags and sequence_flags, and
+    of recordings from the folder ENCODER_MISMATCH and FRAME_DISCONTINUITY.
+
+    An enrollment has one grant at most, a submission one container format (submission_id, encoder) and one row of
+    keyframes (submission_id, times). Nothing known of a submission flags nothing.
+    """
+    rows = submissions.select("id", "enrollment_id", "kind", "channel", "received_at")
+    rows = rows.join(grants.select("enrollment_id", "sent_at"), "enrollment_id", "left")
+    rows = rows.join(enrollments.select(F.col("id").alias("enrollment_id"), "state"), "enrollment_id", "left")
+    traces = formats.select(F.col("submission_id").alias("id"), encoder_trace(F.col("encoder")).alias("trace")).where("trace is not null")
+    gaps = keyframes.select(F.col("submission_id").alias("id"), keyframe_outliers(F.col("times")).alias("outliers")).where("outliers > 0")
+    rows = rows.join(traces, "id", "left").join(gaps, "id", "left")
+    made = lambda hit, code, severity: F.when(hit, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity")))
+    folder = F.col("channel") == "dropbox"
+    found = F.array_compact(
+        F.array(
+            made(F.abs(millis_between(F.col("received_at"), F.col("sent_at"))) > GAP_DAYS * DAY_MS, "SUBMISSION_GAP", "warning"),
+            made(F.col("channel") == "manual_upload", "MANUAL_INTAKE", "info"),
+            made((F.col("kind") == "wager_recording") & (F.col("state") != "funded"), "OUT_OF_SEQUENCE", "warning"),
+            made(folder & F.col("trace").isNotNull(), "ENCODER_MISMATCH", "warning"),
+            made(folder & F.col("outliers").isNotNull(), "FRAME_DISCONTINUITY", "warning"),
+        )
+    )
+    return rows.select(F.col("id").alias("run_id"), F.inline(found)).withColumn("item", F.lit(None).cast("int"))
+
+
 def prefunding_checks(enrollments: DataFrame, all_enrollments: DataFrame, participants: DataFrame, submissions: DataFrame, evidence: DataFrame) -> DataFrame:
     """(enrollment_id, code, passed) of up to four checks for each of the enrollments, as one plan.
 
@@ -162,7 +198,7 @@ def email_transitions(routed: DataFrame, enrollments: DataFrame) -> DataFrame:
     return rows.select("id", "enrollment_id", F.inline(steps))
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """df without its lineage, in the folder that the cluster names; one of this machine only where Spark is local."""
     spark = df.sparkSession
     context = spark.sparkContext
@@ -182,10 +218,10 @@ def first_come(edges: DataFrame) -> DataFrame:
     """
     edges, taken = edges.groupBy("sender", "content_hash").agg(F.min("id").alias("id")), None
     while True:
-        edges = _cut(edges)
+        edges = cut(edges)
         least = lambda key, name: edges.groupBy(key).agg(F.min("id").alias(name))
         first = edges.join(least("sender", "_s"), "sender").join(least("content_hash", "_h"), "content_hash").where("id = _s and id = _h")
-        first = _cut(first.select("id", "sender", "content_hash"))
+        first = cut(first.select("id", "sender", "content_hash"))
         taken = first if taken is None else taken.unionByName(first)
         edges = edges.join(first.select("sender"), "sender", "left_anti").join(first.select("content_hash"), "content_hash", "left_anti")
         if first.isEmpty() or edges.isEmpty():

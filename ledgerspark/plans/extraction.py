@@ -30,7 +30,7 @@ def duplicate_flags(assets: DataFrame) -> DataFrame:
 
 def shared_flags(rows: DataFrame) -> DataFrame:
     """SHARED_ROWS for runs with rows that another participant's runs have too."""
-    return evidence.shared_rows(rows).select(*ledger.flag(F.col("run_id"), "SHARED_ROWS", "high"))
+    return evidence.sharing_runs(rows).select(*ledger.flag(F.col("run_id"), "SHARED_ROWS", "high"))
 
 
 def all_flags(d, rows: DataFrame, now: datetime) -> DataFrame:
@@ -43,11 +43,7 @@ def all_flags(d, rows: DataFrame, now: datetime) -> DataFrame:
     assets = assets.select("id", "dhash", F.col("created_at").alias("stored_at"), F.col("created_at").alias("checked_at"))
     parts = [
         ledger.run_flags(runs, rows, d.grants, now),
-        evidence.gap_flags(d.submission, d.grants),
-        evidence.intake_flags(d.submission),
-        evidence.sequence_flags(d.submission, d.enrollment),
-        encoder_flags(d.container_format),
-        discontinuity_flags(d.keyframes, d.submission),
+        evidence.submission_flags(d.submission, d.grants, d.enrollment, d.container_format, d.keyframes),
         duplicate_flags(assets),
         shared_flags(d.shared_line),
     ]

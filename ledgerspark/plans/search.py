@@ -75,17 +75,19 @@ def extraction_runs(d, rows: DataFrame) -> DataFrame:
     return with_nested(d.extraction_run, listed, "submission_id", "run_id", "rows")
 
 
-def submission_detail(d, submission_id: int, rows: DataFrame) -> DataFrame:
-    """One submission with its runs, latest first, each with its rows."""
-    runs = extraction_runs(d, rows.where(F.col("run_id") == submission_id))
+def submission_detail(d, submission_id: int | None, rows: DataFrame) -> DataFrame:
+    """One submission, or all, with its runs, latest first, each with its rows."""
+    own = lambda df, c: df if submission_id is None else df.where(F.col(c) == submission_id)
+    runs = extraction_runs(d, own(rows, "run_id"))
     listed = nested(runs, "submission_id", ["started_at", "id"], ["id", "status", "rows"], "runs", descending=True)
-    return with_nested(d.submission.where(F.col("id") == submission_id), listed, "id", "submission_id", "runs")
+    return with_nested(own(d.submission, "id"), listed, "id", "submission_id", "runs")
 
 
-def media_lookup(d, submission_ids: list[int], actor: str, at: datetime) -> tuple[DataFrame, DataFrame]:
-    """(id, status, blob_key) of submissions' media, 410 where purged, and the audit rows of the lookups that gave any."""
+def media_lookup(d, submission_ids: list[int] | None, actor: str, at: datetime) -> tuple[DataFrame, DataFrame]:
+    """(id, status, blob_key) of these (or all) submissions' media, 410 where purged, and the audit rows of the lookups that gave any."""
     media = d.media_asset.select(F.col("id").alias("media_asset_id"), "blob_key", "deleted_at")
-    found = d.submission.where(F.col("id").isin(*submission_ids)).join(media, "media_asset_id")
+    asked = d.submission if submission_ids is None else d.submission.where(F.col("id").isin(*submission_ids))
+    found = asked.join(media, "media_asset_id")
     status = F.when(F.col("deleted_at").isNotNull(), 410).otherwise(200)
     found = found.select("id", status.alias("status"), F.when(F.col("deleted_at").isNull(), F.col("blob_key")).alias("blob_key"))
     audit = found.where("status = 200").select(F.lit(actor).alias("actor"), F.lit("media_view").alias("action"), F.col("id").cast("string").alias("target"), F.lit(at).cast("timestamp").alias("at"))

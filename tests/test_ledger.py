@@ -44,6 +44,21 @@ def test_row_key_treats_null_and_empty_alike_and_numbers_plainly(spark):
     assert one.a == one.b == one.c
 
 
+def test_numbers_as_written(spark):
+    seen = {10.004: "10.004", 10.0: "10", 10.5: "10.5", -0.25: "-0.25", 1e13: "10000000000000", 1e20: "100000000000000000000", 0.1: "0.1", 1234567.89: "1234567.89", 100.0: "100", 0.0: "0"}
+    rows = spark.createDataFrame([(x,) for x in seen] + [(None,), (1e300,), (float("nan"),)], "x double").select("x", values.plain_number(F.col("x")).alias("t")).collect()
+    assert {r.x: r.t for r in rows[: len(seen)]} == seen
+    assert [r.t for r in rows[len(seen) :]] == [None, "1.0E300", "NaN"]
+
+
+def test_each_layout_of_times(spark):
+    seen = ["2026-09-15T12:00:00.250Z", "2026-09-15T12:00:00+02", "2026-09-15T12:00:00", "2026-09-15 12:00:00", "2026-09-15", "soon", "", None, "2026-09-15T12:00", "15 Sep 2026", "2026-09-15t12:00:00z"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(seen)], "i int, x string")
+    plain = F.coalesce(*(F.try_to_timestamp("x", F.lit(f)) for f in values.TIMESTAMP_FORMATS))
+    got = rows.select(values.lenient_timestamp(F.col("x")).alias("a"), plain.alias("b")).orderBy("i").collect()
+    assert [r.a for r in got] == [r.b for r in got] and sum(r.a is None for r in got) == 5
+
+
 @pytest.mark.parametrize("balances, amount, flagged", [((100, 90), 10, False), ((100, 50), 10, True), ((100, 110), -10, False), ((100, 90.02), 10, True), ((100, None), 10, False), ((None, 90), 10, False), ((100, 90), None, False)])
 def test_arithmetic(spark, balances, amount, flagged):
     data = [row(1, 0, 0, "a", 1.0, balances[0] and float(balances[0])), row(1, 1, 0, "b", amount and float(amount), balances[1] and float(balances[1]))]
