@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import millis_between
 from .ledger import flag
+from .lineage import cut
 from .media import encoder_trace, keyframe_outliers
 
 DAY_MS = 86_400_000
@@ -198,18 +198,6 @@ def email_transitions(routed: DataFrame, enrollments: DataFrame) -> DataFrame:
     return rows.select("id", "enrollment_id", F.inline(steps))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df without its lineage, in the folder that the cluster names; one of this machine only where Spark is local."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(base or tempfile.mkdtemp(prefix="ledgerspark-"))
-    return df.checkpoint()
-
-
 def first_come(edges: DataFrame) -> DataFrame:
     """Of edges (id, sender, content_hash), those taken when they come in the order of id and each sender and hash is taken once.
 

@@ -57,6 +57,29 @@ def test_shared_rows_count_without_pairs(spark):
     assert got[100] == (79, 50, 50) and len(got) == 84
 
 
+def test_sharing_runs_are_those_of_shared_rows(spark):
+    rows = [(1, 1, "k"), (1, 1, "k"), (2, 1, "k"), (3, 2, "k"), (5, 4, "z"), (6, 4, "z"), (7, None, "z"), (8, None, "k"), (9, 9, None), (10, 10, None)]
+    frame = spark.createDataFrame(rows, "run_id long, participant_id long, row_key string")
+    want = {r.run_id for r in evidence.shared_rows(frame).collect()}
+    assert {r.run_id for r in evidence.sharing_runs(frame).collect()} == want == {1, 2, 3}
+    assert evidence.sharing_runs(frame.limit(0)).count() == evidence.shared_rows(frame.limit(0)).count() == 0
+
+
+def test_submission_flags_are_those_of_the_single_checks(spark, domain):
+    from ledgerspark.plans import extraction
+
+    formats = domain.submission.select(F.col("id").alias("submission_id"), "channel", F.lit("Lavf58").alias("encoder"))
+    keyframes = domain.submission.select(F.col("id").alias("submission_id"), F.expr("array(0D, 1D, 2D, 3D, 30D)").alias("times"))
+    parts = [
+        evidence.gap_flags(domain.submission, domain.grants), evidence.intake_flags(domain.submission), evidence.sequence_flags(domain.submission, domain.enrollment),
+        extraction.encoder_flags(formats), extraction.discontinuity_flags(keyframes, domain.submission),
+    ]
+    want = sorted((r.run_id, r.code, r.severity) for p in parts for r in p.collect())
+    got = evidence.submission_flags(domain.submission, domain.grants, domain.enrollment, formats, keyframes)
+    assert sorted((r.run_id, r.code, r.severity) for r in got.collect()) == want and len({w[1] for w in want}) >= 4
+    assert evidence.submission_flags(domain.submission, domain.grants.limit(0), domain.enrollment.limit(0), formats.limit(0), keyframes.limit(0)).where("code <> 'MANUAL_INTAKE'").count() == 0
+
+
 def test_retention(domain):
     now = T0 + timedelta(days=90)
     got = {r.id: r.decision for r in evidence.retention(domain.media_asset, domain.submission, domain.enrollment, now).collect()}
