@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+log = logging.getLogger(__name__)
+
 
 def scan_folder(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Files under a folder, with their bytes: path_lower, is_file, content, bytes, content_hash, modified_at."""
+    """Files under a folder, with their bytes: path, path_lower, is_file, content, bytes, content_hash, modified_at."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
     return describe(files)
 
@@ -15,6 +19,7 @@ def scan_folder(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 def describe(files: DataFrame) -> DataFrame:
     """The columns of binaryFile, batch or stream, as folder entries."""
     return files.select(
+        "path",
         F.lower(F.regexp_replace("path", "^[a-z0-9]+:/*", "/")).alias("path_lower"),
         F.lit(True).alias("is_file"),
         "content",
@@ -24,6 +29,29 @@ def describe(files: DataFrame) -> DataFrame:
     )
 
 
+def _file(spark: SparkSession, uri: str):
+    """The Hadoop path of a file's address, as Spark's readers give it, and its file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(uri))
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def remove_sources(rows: DataFrame) -> None:
+    """Deletes the files of rows (path), as binaryFile names them. One that can't be deleted is logged and left.
+
+    Paths come to the driver partition by partition; files are deleted one after the other.
+    """
+    spark = rows.sparkSession
+    for (name,) in rows.select("path").distinct().toLocalIterator():
+        try:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            gone = path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, False)
+        except Exception as problem:  # noqa: BLE001 - whatever a file system throws, the archive already has the content
+            log.warning("could not delete %s: %s", name, problem)
+        else:
+            if not gone:
+                log.warning("%s was not there any more", name)
+
+
 class ContentStore:
     """Bytes by SHA-256 in a Parquet table, partitioned by the first two digits of the hash; written once each.
 
@@ -48,27 +76,39 @@ class ContentStore:
     def put(self, rows: DataFrame) -> None:
         """Adds rows (content) whose hash isn't there yet; equal bytes in a batch are stored once."""
         named = rows.select(F.sha2("content", 256).alias("content_hash"), "content").withColumn("shard", F.substring("content_hash", 1, 2))
-        fresh = named.join(self.table().select("content_hash"), "content_hash", "left_anti").dropDuplicates(["content_hash"])
+        shards = [r[0] for r in named.select("shard").distinct().collect()]  # 256 at most
+        there = self.table().where(F.col("shard").isin(*shards)).select("content_hash")
+        fresh = named.join(there, "content_hash", "left_anti").dropDuplicates(["content_hash"])
         fresh.write.mode("append").partitionBy("shard").parquet(self.root)
 
     def get(self, content_hash: str) -> DataFrame:
-        return self.table().where((F.col("shard") == content_hash[:2]) & (F.col("content_hash") == content_hash))
+        """One row, or none."""
+        return self.table().where((F.col("shard") == content_hash[:2]) & (F.col("content_hash") == content_hash)).limit(1)
 
     def exists(self, content_hash: str) -> bool:
         return not self.get(content_hash).isEmpty()
 
     def delete(self, hashes: DataFrame) -> None:
-        """Removes hashes (content_hash): only the partitions that hold one are written anew."""
+        """Removes hashes (content_hash): only the files that hold one are written anew.
+
+        What stays of a file is added first and the file deleted then. A crash between the two loses nothing: content
+        stands twice until the same call is made again.
+        """
         gone = hashes.select("content_hash").distinct()
         shards = [r[0] for r in gone.select(F.substring("content_hash", 1, 2)).distinct().collect()]  # 256 at most
-        for shard in shards:
-            rows = self.table().where(F.col("shard") == shard).join(gone, "content_hash", "left_anti").drop("shard")
-            place, fresh = f"{self.root}/shard={shard}", f"{self.root}/.fresh-{shard}"
-            rows.write.mode("overwrite").parquet(fresh)
-            jvm = self.spark._jvm.org.apache.hadoop.fs
-            fs = jvm.Path(place).getFileSystem(self.spark._jsc.hadoopConfiguration())
-            fs.delete(jvm.Path(place), True)
-            fs.rename(jvm.Path(fresh), jvm.Path(place))
+        for shard in shards if self._there() else ():
+            held = self.table().where(F.col("shard") == shard).select("content_hash", F.col("_metadata.file_path").alias("file"))
+            hit = held.join(gone, "content_hash", "left_semi").select("file").distinct()
+            files = [_file(self.spark, r[0]) for r in hit.collect()]
+            if not files:
+                continue
+            rows = self.spark.read.schema(self.SCHEMA).option("basePath", self.root).parquet(*(path.toString() for path, _ in files))
+            others = held.join(hit, "file", "left_anti").select("content_hash")
+            kept = rows.join(gone, "content_hash", "left_anti").join(others, "content_hash", "left_anti").dropDuplicates(["content_hash"])
+            kept.select("content_hash", "content", "shard").write.mode("append").partitionBy("shard").parquet(self.root)
+            for path, fs in files:
+                if not fs.delete(path, False) and fs.exists(path):
+                    raise OSError(f"could not delete {path.toString()}")
 
 
 def write_csv_lines(lines: DataFrame, header: tuple[str, ...], path: str) -> None:

@@ -16,12 +16,17 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.evidence import classify_entries, submissions_of
 from ..sources.archive import ContentStore, describe
 
+#: Batches of up to this number of files send their hashes (64 bytes each) to the archive's scan; larger ones are joined.
+SMALL_BATCH = 100_000
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
 MEDIA = "content_hash string, enrollment_id string, bytes bigint, path_lower string, kind string, channel string, advances boolean, flags array<string>, ingested_at timestamp"
 
 
 class Ingest:
-    """Files under folder/<enrollment id>/ into `target`, a Parquet table of MEDIA. enrollments() gives (id, state) as they are now."""
+    """Files under folder/<enrollment id>/ into `target`, a Parquet table of MEDIA. enrollments() gives (id, state) as they are now.
+
+    purge gets the sources that may go, as (path, path_lower); sources.archive.remove_sources deletes them.
+    """
 
     def __init__(
         self,
@@ -42,16 +47,20 @@ class Ingest:
 
     def batch(self, files: DataFrame, batch_id: int) -> None:
         root = "/" + self.folder.split(":", 1)[-1].lstrip("/").lower()
-        entries = classify_entries(describe(files), self.archived(), self.enrollments(), root).persist()
+        found = describe(files).persist()
+        hashes = found.select("content_hash").distinct()
+        known = self.archived().select("content_hash").join(F.broadcast(hashes) if found.count() <= SMALL_BATCH else hashes, "content_hash", "left_semi")
+        entries = classify_entries(found, known, self.enrollments(), root).persist()
         try:
             fresh = entries.where("outcome = 'ingested'")
             self.store.put(fresh.select("content"))
             made = submissions_of(fresh.select("content_hash", "enrollment_id", "bytes", "path_lower"), self.enrollments(), self.channel)
             made.select("content_hash", "enrollment_id", "bytes", "path_lower", "kind", "channel", "advances", "flags", F.current_timestamp().alias("ingested_at")).write.mode("append").parquet(self.target)
             if self.purge:
-                self.purge(entries.where("purge").select("path_lower"))
+                self.purge(entries.where("purge").select("path", "path_lower"))
         finally:
             entries.unpersist()
+            found.unpersist()
 
     def start(self, checkpoint: str, poll_seconds: float | None = None) -> StreamingQuery:
         """Everything there is, then stops; with poll_seconds, again and again."""

@@ -43,6 +43,49 @@ def test_store(spark, tmp_path):
     assert not store.exists(h) and store.table().count() == 1
 
 
+def test_a_crash_while_deleting_loses_nothing(spark, tmp_path, monkeypatch):
+    store = archive.ContentStore(spark, (tmp_path / "a store").as_uri().replace("%20", " "))
+    # contents of one shard, in one file
+    names = [f"{i}".encode() for i in range(3000)]
+    shard = hashlib.sha256(names[0]).hexdigest()[:2]
+    same = [n for n in names if hashlib.sha256(n).hexdigest()[:2] == shard]
+    assert len(same) > 3
+    store.put(spark.createDataFrame([(n,) for n in same], "content binary").coalesce(1))
+    gone = spark.createDataFrame([(hashlib.sha256(same[0]).hexdigest(),)], "content_hash string")
+
+    class Stuck:
+        def __init__(self, path):
+            self.path = path
+
+        def delete(self, path, recursive):
+            raise OSError("lost")
+
+    whole = archive._file
+    monkeypatch.setattr(archive, "_file", lambda s, uri: (whole(s, uri)[0], Stuck(uri)))
+    with pytest.raises(OSError):
+        store.delete(gone)
+    assert {bytes(r.content) for r in store.table().collect()} == set(same)
+    assert store.get(hashlib.sha256(same[1]).hexdigest()).count() == 1
+    monkeypatch.undo()
+    store.delete(gone)
+    assert sorted(bytes(r.content) for r in store.table().collect()) == sorted(same[1:])
+    store.delete(gone)
+    archive.ContentStore(spark, (tmp_path / "none").as_uri()).delete(gone)
+
+
+def test_sources_go_by_their_own_path(spark, tmp_path):
+    folder = tmp_path / "Intake Box"
+    (folder / "10").mkdir(parents=True)
+    (folder / "10/Clip A.MP4").write_bytes(b"one")
+    enrollments = spark.createDataFrame([(10, "funded")], "id long, state string")
+    store = archive.ContentStore(spark, (tmp_path / "store").as_uri())
+    job = Ingest(spark, str(folder), (tmp_path / "media").as_uri(), store, lambda: enrollments, archive.remove_sources)
+    job.start((tmp_path / "checkpoint").as_uri()).awaitTermination()
+    assert not (folder / "10/Clip A.MP4").exists() and job.archived().count() == 1
+    # what isn't there any more, or can't be reached, is left alone
+    archive.remove_sources(spark.createDataFrame([(str(folder / "x"),), ("nofs://x/y",)], "path string"))
+
+
 def test_csv_file(spark, tmp_path):
     archive.write_csv_lines(spark.createDataFrame([("1,a",), ('2,"b"',)], "line string").coalesce(1), ("id", "x"), (tmp_path / "out").as_uri())
     assert next((tmp_path / "out").glob("part-*")).read_bytes() == b'id,x\r\n1,a\r\n2,"b"\r\n'
