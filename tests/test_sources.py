@@ -1,10 +1,12 @@
 import hashlib
 import hmac
+from datetime import datetime
 from email.message import EmailMessage
 
 import pytest
 
 from ledgerspark.config import Settings
+from ledgerspark.plans.retire import retire
 from ledgerspark.sources import archive, extractors, mail
 from ledgerspark.streaming.ingest import Ingest
 
@@ -86,6 +88,23 @@ def test_sources_go_by_their_own_path(spark, tmp_path):
     archive.remove_sources(spark.createDataFrame([(str(folder / "x"),), ("nofs://x/y",)], "path string"))
 
 
+def test_retention_deletes(spark, tmp_path):
+    now, old = datetime(2026, 6, 1), datetime(2026, 1, 1)
+    store = archive.ContentStore(spark, (tmp_path / "store").as_uri())
+    texts = {n: hashlib.sha256(n).hexdigest() for n in (b"raw", b"shared", b"mail", b"late", b"loose")}
+    store.put(spark.createDataFrame([(n,) for n in texts], "content binary"))
+    media = spark.createDataFrame(
+        [(1, texts[b"raw"], old, None), (2, texts[b"shared"], old, None), (3, texts[b"shared"], now, None), (4, texts[b"mail"], old, None), (5, texts[b"late"], now, None), (6, texts[b"loose"], old, None), (7, "ff", old, old), (8, None, old, None)],
+        "id long, blob_key string, created_at timestamp, deleted_at timestamp",
+    )
+    submissions = spark.createDataFrame([(i, 10, "signup_email" if i == 4 else "wager_recording", i) for i in (1, 2, 3, 4, 5, 7, 8)], "id long, enrollment_id long, kind string, media_asset_id long")
+    enrollments = spark.createDataFrame([(10, "funded")], "id long, state string")
+    for _ in range(2):
+        media = retire(store, media, submissions, enrollments, now)
+        assert {r.id: r.deleted_at for r in media.collect()} == {1: now, 2: now, 3: None, 4: None, 5: None, 6: None, 7: old, 8: now}
+        assert {bytes(r.content) for r in store.table().collect()} == set(texts) - {b"raw"}
+
+
 def test_csv_file(spark, tmp_path):
     archive.write_csv_lines(spark.createDataFrame([("1,a",), ('2,"b"',)], "line string").coalesce(1), ("id", "x"), (tmp_path / "out").as_uri())
     assert next((tmp_path / "out").glob("part-*")).read_bytes() == b'id,x\r\n1,a\r\n2,"b"\r\n'
