@@ -142,6 +142,12 @@ def quota(media: DataFrame, allocated: int | None, threshold: float = 0.9) -> Da
     return used.withColumn("warned", (F.col("used_bytes") / allocated >= threshold) if allocated else F.lit(False))
 
 
+def quota_audit(used: DataFrame, allocated: int | None) -> DataFrame:
+    """(actor, action, target): a row where used, of quota, is a warning, else none."""
+    target = F.concat(F.col("used_bytes").cast("string"), F.lit(f"/{allocated}"))
+    return used.where("warned").select(F.lit("system").alias("actor"), F.lit("dropbox_quota_warning").alias("action"), target.alias("target"))
+
+
 def enrollment_in_path(path: Column, root: str) -> Column:
     """The first folder below root in a lower-case path; null outside root and for an empty name."""
     base = f"{root[:-1] if root.endswith('/') else root}/"

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.values import hamming, iso_millis, lenient_timestamp, plain_number
-from ..operators import evidence, ledger, lifecycle, media
+from ..operators import evidence, ledger, lifecycle, media, records
+from ..operators.lineage import cut
 from . import extraction, search
 from .oracles import oracle
 from .testdata_views import Domain
@@ -338,6 +339,24 @@ def storage_quota(d):
     return evidence.quota(d.media_asset, 2_000_000_000)
 
 
+@query("D5 S10 warnings of the quota", "SELECT 'system' AS actor, 'dropbox_quota_warning' AS action, sum(bytes) || '/2000000' AS target FROM media_asset HAVING sum(bytes) / 2000000 >= 0.9")
+def quota_warnings(d):
+    return evidence.quota_audit(evidence.quota(d.media_asset, 2_000_000), 2_000_000)
+
+
+@query("S10 R11 D3 life of an extraction run", """SELECT m.id AS submission_id, CASE WHEN m.deleted_at IS NULL THEN 'succeeded' ELSE 'failed' END AS status,
+  CASE WHEN m.deleted_at IS NOT NULL THEN 'no content ' || m.content_hash END AS error, CASE WHEN m.deleted_at IS NULL THEN t.i END AS input_tokens, CASE WHEN m.deleted_at IS NULL THEN t.o END AS output_tokens,
+  CASE WHEN m.deleted_at IS NULL THEN round((t.i * 3.0 + t.o * 15.0) / 1000000, 4) END AS cost_usd, sha256(m.id || '|v1|' || epoch_us(s.received_at)) AS id
+  FROM media_asset m JOIN submission s ON s.id = m.id JOIN (SELECT submission_id, CAST(sum(input_tokens) AS BIGINT) AS i, CAST(sum(output_tokens) AS BIGINT) AS o FROM extraction_run GROUP BY 1) t ON t.submission_id = m.id
+  WHERE s.kind = 'wager_recording'""")
+def run_outcomes(d):
+    runs = records.begin_runs(d.submission.where("kind = 'wager_recording'").withColumn("started_at", F.col("received_at")), "v1", "reader")
+    there = d.media_asset.where("deleted_at is null").select("content_hash", F.lit(True).alias("_there"))
+    tried = runs.select("id", "submission_id", "content_hash", F.col("started_at").alias("finished_at")).join(token_totals(d), "submission_id").join(there, "content_hash", "left")
+    outcomes = tried.withColumn("error", F.when(F.col("_there").isNull(), F.concat(F.lit("no content "), "content_hash")))
+    return records.finish_runs(runs, outcomes, 3.0, 15.0).select("id", "submission_id", "status", "error", "input_tokens", "output_tokens", "cost_usd")
+
+
 @query("A7 token sums", "SELECT submission_id, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens FROM extraction_run GROUP BY submission_id")
 def token_totals(d):
     return d.extraction_run.groupBy("submission_id").agg(F.sum("input_tokens").cast("long").alias("input_tokens"), F.sum("output_tokens").cast("long").alias("output_tokens"))
@@ -411,6 +430,41 @@ def unmatched_emails(d):
     return evidence.unmatched_audit(_routed(d), d.inbound_email)
 
 
+def _handled(d):
+    """Routed messages with what their rows are made of, handled at NOW."""
+    more = d.inbound_email.withColumns({"selector": F.lit(None).cast("string"), "original_from": F.lit(None).cast("string"), "to_addr": F.col("from_addr"), "subject": F.lit(None).cast("string")})
+    more = more.withColumns({"sent_at": F.lit(None).cast("timestamp"), "bytes": F.lit(0).cast("long"), "handled_at": F.lit(NOW).cast("timestamp")})
+    return _routed(d).join(more, "id")
+
+
+@query("S10 E1-E3 evidence rows of messages", _ROUTED + """SELECT content_hash AS submission_id, eid AS enrollment_id,
+  CASE WHEN dkim = 'pass' AND covered AND (casino, d_domain) IN (SELECT casino, domain FROM allowlist) THEN 'A' ELSE 'B' END AS tier,
+  CASE lower(dkim) WHEN 'pass' THEN 'pass' WHEN 'none' THEN 'no_signature' WHEN 'temperror' THEN 'error' WHEN 'permerror' THEN 'error' ELSE 'fail' END AS dkim_result,
+  d_domain, covered AS covers_headers, from_addr AS to_addr, 'signup_email' AS kind, 'message/rfc822' AS mime FROM r WHERE status = 'verified'""", recursive=True)
+def mail_evidence_rows(d):
+    handled = cut(_handled(d))
+    own = records.mail_submissions(handled).select(F.col("id").alias("submission_id"), "enrollment_id", "kind")
+    media_rows = records.mail_media(handled).select(F.col("id").alias("submission_id"), "mime")
+    shown = records.mail_evidence(handled).select("submission_id", "tier", "dkim_result", "d_domain", "covers_headers", "to_addr")
+    return shown.join(own, "submission_id").join(media_rows, "submission_id")
+
+
+@query("E4 D2 chained decisions of messages", _ROUTED + """
+, f AS (SELECT *, id = min(id) OVER (PARTITION BY eid) AS first, CASE WHEN content_hash IS NULL THEN CASE WHEN has_image THEN 'D' ELSE 'C' END
+    WHEN dkim = 'pass' AND covered AND (casino, d_domain) IN (SELECT casino, domain FROM allowlist) THEN 'A' ELSE 'B' END AS tier,
+    CASE lower(dkim) WHEN 'pass' THEN 'pass' WHEN 'none' THEN 'no_signature' WHEN 'temperror' THEN 'error' WHEN 'permerror' THEN 'error' ELSE 'fail' END AS verdict
+  FROM r WHERE status IN ('auto_replied','verified')),
+moves AS (SELECT eid, 2 AS id, 'invited' AS a, 'email_submitted' AS b, 'message received, tier ' || tier AS note FROM f JOIN enrollment e ON e.id = eid WHERE first AND e.state = 'invited'
+  UNION ALL SELECT eid, 3, 'email_submitted', 'email_verified', 'signature ' || verdict || ', tier ' || tier FROM f WHERE status = 'verified'),
+texts AS (SELECT *, '{"payload":{"enrollmentId":"' || eid || '","actor":"system","fromState":"' || a || '","toState":"' || b || '","note":"' || note || '","at":"1998-01-01T00:00:00.000Z","snapshot":null},"prevHash":' AS body FROM moves),
+first_link AS (SELECT *, sha256(body || 'null}') AS own FROM texts),
+linked AS (SELECT y.eid, y.id, y.a, y.b, y.note, x.own AS prev_hash, CASE WHEN x.own IS NULL THEN y.own ELSE sha256(y.body || '"' || x.own || '"}') END AS hash FROM first_link y LEFT JOIN first_link x ON x.eid = y.eid AND x.id < y.id)
+SELECT eid AS enrollment_id, CAST(id AS BIGINT) AS id, a AS from_state, b AS to_state, note, prev_hash, hash FROM linked""", recursive=True)
+def mail_decisions(d):
+    steps = records.numbered(records.mail_decisions(cut(_handled(d)), d.enrollment)).withColumn("snapshot", F.lit(None).cast("string"))
+    return lifecycle.build_chain(steps).select("enrollment_id", "id", "from_state", "to_state", "note", "prev_hash", "hash")
+
+
 @query("E2 E3", "SELECT dkim, covered, CASE lower(dkim) WHEN 'pass' THEN 'pass' WHEN 'none' THEN 'no_signature' WHEN 'temperror' THEN 'error' WHEN 'permerror' THEN 'error' ELSE 'fail' END AS verdict, count(*) AS n FROM inbound GROUP BY ALL")
 def signature_verdicts(d):
     rows = d.inbound_email.select("dkim", evidence.covers_headers(F.col("signed_headers")).alias("covered"), evidence.signature_verdict(F.col("dkim")).alias("verdict"))

@@ -2,7 +2,8 @@
 
 The stream's checkpoint is the folder's cursor. Each micro-batch is classified against what is archived and what is
 known of enrollments; new content is stored before its rows are, and sources are purged last, so that a batch that is
-repeated after a failure finds its own content and adds nothing twice.
+repeated after a failure finds its own content and adds nothing twice. Submissions and flags are plans over those rows
+(operators.records); decisions are added to a journal, by the repeated batch too where it failed before that.
 """
 
 from __future__ import annotations
@@ -14,7 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.evidence import classify_entries, submissions_of
+from ..operators.records import recording_decisions, recording_flags, recording_submissions, with_snapshots
 from ..sources.archive import ContentStore, describe
+from ..sources.journal import Journal, table_at
 
 #: Batches of up to this number of files send their hashes (64 bytes each) to the archive's scan; larger ones are joined.
 SMALL_BATCH = 100_000
@@ -25,7 +28,9 @@ MEDIA = "content_hash string, enrollment_id string, bytes bigint, path_lower str
 class Ingest:
     """Files under folder/<enrollment id>/ into `target`, a Parquet table of MEDIA. enrollments() gives (id, state) as they are now.
 
-    purge gets the sources that may go, as (path, path_lower); sources.archive.remove_sources deletes them.
+    purge gets the sources that may go, as (path, path_lower); sources.archive.remove_sources deletes them. With a journal,
+    states are those it leads to, and a recording that advances its enrollment becomes a decision there; its snapshot has
+    the dossier of this intake and of the others.
     """
 
     def __init__(
@@ -37,25 +42,38 @@ class Ingest:
         enrollments: Callable[[], DataFrame],
         purge: Callable[[DataFrame], None] | None = None,
         channel: str = "dropbox",
+        journal: Journal | None = None,
+        others: tuple[Callable[[], tuple[DataFrame, DataFrame, DataFrame]], ...] = (),
     ):
         self.spark, self.folder, self.target, self.store, self.enrollments, self.purge, self.channel = spark, folder.rstrip("/"), target, store, enrollments, purge, channel
+        self.journal, self.others = journal, others
 
     def archived(self) -> DataFrame:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.target)
-        there = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
-        return self.spark.read.schema(MEDIA).parquet(self.target) if there else self.spark.createDataFrame([], MEDIA)
+        return table_at(self.spark, self.target, MEDIA)
+
+    def dossier(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Submissions, evidence (none) and flags of all files so far."""
+        rows = self.archived()
+        none = "submission_id string, tier string, dkim_result string, d_domain string, selector string"
+        return recording_submissions(rows), self.spark.createDataFrame([], none), recording_flags(rows)
 
     def batch(self, files: DataFrame, batch_id: int) -> None:
         root = "/" + self.folder.split(":", 1)[-1].lstrip("/").lower()
         found = describe(files).persist()
         hashes = found.select("content_hash").distinct()
-        known = self.archived().select("content_hash").join(F.broadcast(hashes) if found.count() <= SMALL_BATCH else hashes, "content_hash", "left_semi")
-        entries = classify_entries(found, known, self.enrollments(), root).persist()
+        hashes = F.broadcast(hashes) if found.count() <= SMALL_BATCH else hashes
+        known = self.archived().select("content_hash").join(hashes, "content_hash", "left_semi")
+        enrollments = self.journal.states(self.enrollments()) if self.journal else self.enrollments()
+        entries = classify_entries(found, known, enrollments, root).persist()
         try:
             fresh = entries.where("outcome = 'ingested'")
             self.store.put(fresh.select("content"))
-            made = submissions_of(fresh.select("content_hash", "enrollment_id", "bytes", "path_lower"), self.enrollments(), self.channel)
+            made = submissions_of(fresh.select("content_hash", "enrollment_id", "bytes", "path_lower"), enrollments, self.channel)
             made.select("content_hash", "enrollment_id", "bytes", "path_lower", "kind", "channel", "advances", "flags", F.current_timestamp().alias("ingested_at")).write.mode("append").parquet(self.target)
+            if self.journal:
+                # all of the batch's content, so that what an earlier attempt left out is made up for
+                decisions = recording_decisions(self.archived().join(hashes, "content_hash", "left_semi"))
+                self.journal.append(with_snapshots(decisions, [self.dossier(), *(other() for other in self.others)]))
             if self.purge:
                 self.purge(entries.where("purge").select("path", "path_lower"))
         finally:

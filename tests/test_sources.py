@@ -1,14 +1,20 @@
 import hashlib
 import hmac
+import os
 from datetime import datetime
 from email.message import EmailMessage
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerspark.config import Settings
+from ledgerspark.operators import ledger, lifecycle, records
 from ledgerspark.plans.retire import retire
+from ledgerspark.plans.runs import extract
 from ledgerspark.sources import archive, extractors, mail
+from ledgerspark.sources.journal import Journal
 from ledgerspark.streaming.ingest import Ingest
+from ledgerspark.streaming.mailbox import Mailbox
 
 
 def test_ingest_is_idempotent(spark, tmp_path):
@@ -159,3 +165,88 @@ def test_settings():
     for bad in ({"AUTO_EXTRACT_ON_INGEST": "maybe"}, {"QUOTA_WARNING_THRESHOLD": "2"}, {"INPUT_TOKEN_PRICE": "1"}):
         with pytest.raises(ValueError):
             Settings.read(bad)
+
+
+def test_messages_become_records(spark, tmp_path):
+    inner = EmailMessage()
+    inner["From"], inner["To"], inner["Subject"], inner["DKIM-Signature"] = "no-reply@casino.example", "p@x.example", "Welcome", "v=1; d=casino.example; s=sel; h=from:to:subject:date"
+    inner.set_content("hello")
+
+    def forward(sender, original=None):
+        outer = EmailMessage()
+        outer["From"] = sender
+        outer.set_content("see attached")
+        if original:
+            outer.add_attachment(original)
+        return outer.as_bytes()
+
+    folder = tmp_path / "mail"
+    folder.mkdir()
+    for i, raw in enumerate((forward("P@x.example"), forward("p@x.example", inner), forward("p@x.example", inner), forward("z@x.example"), forward("q@x.example", inner))):
+        (folder / f"{i}.eml").write_bytes(raw)
+        os.utime(folder / f"{i}.eml", (1_700_000_000 + i,) * 2)
+    people = spark.createDataFrame([(1, "p@x.example"), (2, "q@x.example")], "id long, email string")
+    enrollments = spark.createDataFrame([(10, 1, "casino", "invited"), (20, 2, "casino", "email_submitted")], "id long, participant_id long, casino string, state string")
+    media = spark.createDataFrame([], "content_hash string")
+    signers = spark.createDataFrame([("casino", "casino.example")], "casino string, domain string")
+    journal = Journal(spark, (tmp_path / "journal").as_uri())
+    store = archive.ContentStore(spark, (tmp_path / "store").as_uri())
+
+    def job():
+        return Mailbox(spark, folder.as_uri(), (tmp_path / "handled").as_uri(), store, journal, lambda: (people, enrollments, media, signers), F.lit("pass"))
+
+    # the first attempt dies before its decisions
+    broken = job()
+    broken.journal = type("Broken", (), {"states": journal.states, "append": lambda self, rows: 1 / 0})()
+    with pytest.raises(Exception, match="ZeroDivision|division"):
+        broken.start((tmp_path / "checkpoint").as_uri()).awaitTermination()
+    assert journal.table().count() == 0 and broken.handled().count() == 5
+    for checkpoint in ("checkpoint", "checkpoint", "fresh"):
+        box = job()
+        box.start((tmp_path / checkpoint).as_uri()).awaitTermination()
+        assert [r.status for r in box.handled().orderBy("id").collect()] == ["auto_replied", "verified", "no_pending_enrollment", "no_participant", "duplicate"]
+        assert [(r.enrollment_id, r.to_state, r.prev_hash is None) for r in journal.table().orderBy("id").collect()] == [("10", "email_submitted", True), ("10", "email_verified", False)]
+    submissions, evidence, _ = box.dossier()
+    assert [(r.submission_id, r.tier, r.dkim_result, r.to_addr) for r in evidence.collect()] == [(store.table().first().content_hash, "A", "pass", "p@x.example")]
+    assert submissions.count() == store.table().count() == 1 and box.audit().count() == 2 and [r.to_addr for r in box.replies().collect()] == ["P@x.example"]
+    assert all(r.linked and r.intact for r in lifecycle.verify_chain(journal.table()).collect())
+    assert '"tier":"A"' in journal.table().where("to_state = 'email_verified'").first().snapshot
+    assert {r.id: r.state for r in journal.states(enrollments).collect()} == {10: "email_verified", 20: "email_submitted"}
+
+    # the enrollment is funded and recorded: files go on with the same log
+    funded = enrollments.withColumn("state", F.lit("funded")).where("id = 20")
+    (tmp_path / "in" / "20").mkdir(parents=True)
+    for name in "ab":
+        (tmp_path / "in" / "20" / name).write_bytes(name.encode())
+    target = (tmp_path / "media").as_uri()
+    broken = Ingest(spark, (tmp_path / "in").as_uri(), target, store, lambda: funded, journal=type("Broken", (), {"states": journal.states, "append": lambda self, rows: 1 / 0})())
+    with pytest.raises(Exception, match="ZeroDivision|division"):
+        broken.start((tmp_path / "files").as_uri()).awaitTermination()
+    for checkpoint in ("files", "files2"):
+        files = Ingest(spark, (tmp_path / "in").as_uri(), target, store, lambda: funded, journal=journal, others=(box.dossier,))
+        files.start((tmp_path / checkpoint).as_uri()).awaitTermination()
+        assert [(r.enrollment_id, r.to_state) for r in journal.table().where("enrollment_id = '20'").collect()] == [("20", "wager_submitted")]
+        assert [(r.code, r.severity) for r in files.dossier()[2].collect()] == [("OUT_OF_SEQUENCE", "warning")] and files.dossier()[0].count() == 2
+    (tmp_path / "in" / "20" / "c").write_bytes(b"c")
+    files.start((tmp_path / "files").as_uri()).awaitTermination()
+    assert files.dossier()[2].count() == 2 and journal.table().count() == 3
+
+
+def test_runs_end_well_or_with_their_error(spark):
+    def read(content):
+        if content == b"bad":
+            raise ValueError("not a recording")
+        return [{"frame_index": 0, "frame_ts": 0.0, "row_pos": i, "amount": 5.0, "type": "bet"} for i in range(2)], 1000, 100
+
+    submissions = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, None)], "id long, content_hash string")
+    contents = spark.createDataFrame([("a", b"good"), ("b", b"bad")], "content_hash string, content binary")
+    runs, reads = extract(submissions, contents, read, "v1", "reader", Settings(input_token_price=3.0, output_token_price=15.0))
+    got = {r.submission_id: (r.status, r.error, r.input_tokens, r.output_tokens, r.cost_usd) for r in runs.collect()}
+    assert got == {
+        1: ("succeeded", None, 1000, 100, 0.0045), 2: ("failed", "not a recording", None, None, None), 3: ("failed", "no content c", None, None, None), 4: ("failed", "no content None", None, None, None),
+    }
+    assert all(r.finished_at >= r.started_at for r in runs.collect()) and reads.groupBy("run_id").count().collect()[0]["count"] == 2
+    assert ledger.stitch(reads).count() == 1
+    assert extract(submissions.limit(0), contents, read, "v1", "reader")[0].count() == 0
+    again = records.begin_runs(submissions.withColumn("started_at", F.current_timestamp()), "v1", "reader")
+    assert {r.status for r in records.finish_runs(again, runs.limit(0)).collect()} == {"running"}
