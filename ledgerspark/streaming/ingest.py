@@ -8,6 +8,7 @@ repeated after a failure finds its own content and adds nothing twice. Submissio
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,10 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.evidence import classify_entries, submissions_of
+from ..operators.lineage import cut
 from ..operators.records import recording_decisions, recording_flags, recording_submissions, with_snapshots
 from ..sources.archive import ContentStore, describe
 from ..sources.journal import Journal, table_at
 
+log = logging.getLogger(__name__)
 #: Batches of up to this number of files send their hashes (64 bytes each) to the archive's scan; larger ones are joined.
 SMALL_BATCH = 100_000
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
@@ -30,7 +33,8 @@ class Ingest:
 
     purge gets the sources that may go, as (path, path_lower); sources.archive.remove_sources deletes them. With a journal,
     states are those it leads to, and a recording that advances its enrollment becomes a decision there; its snapshot has
-    the dossier of this intake and of the others.
+    the dossier of this intake and of the others. then gets the submissions that advanced, once all is recorded (to extract
+    them, with Settings.auto_extract_on_ingest); when it fails, that is logged and the intake goes on.
     """
 
     def __init__(
@@ -44,9 +48,10 @@ class Ingest:
         channel: str = "dropbox",
         journal: Journal | None = None,
         others: tuple[Callable[[], tuple[DataFrame, DataFrame, DataFrame]], ...] = (),
+        then: Callable[[DataFrame], None] | None = None,
     ):
         self.spark, self.folder, self.target, self.store, self.enrollments, self.purge, self.channel = spark, folder.rstrip("/"), target, store, enrollments, purge, channel
-        self.journal, self.others = journal, others
+        self.journal, self.others, self.then = journal, others, then
 
     def archived(self) -> DataFrame:
         return table_at(self.spark, self.target, MEDIA)
@@ -61,14 +66,17 @@ class Ingest:
         root = "/" + self.folder.split(":", 1)[-1].lstrip("/").lower()
         found = describe(files).persist()
         hashes = found.select("content_hash").distinct()
-        hashes = F.broadcast(hashes) if found.count() <= SMALL_BATCH else hashes
+        small = found.count() <= SMALL_BATCH
+        hashes = F.broadcast(hashes) if small else hashes
         known = self.archived().select("content_hash").join(hashes, "content_hash", "left_semi")
         enrollments = self.journal.states(self.enrollments()) if self.journal else self.enrollments()
         entries = classify_entries(found, known, enrollments, root).persist()
         try:
             fresh = entries.where("outcome = 'ingested'")
+            # settled before anything is written: judged again, its content would be known
+            accepted = cut(fresh.select("content_hash", "enrollment_id", "bytes", "path_lower"))
             self.store.put(fresh.select("content"))
-            made = submissions_of(fresh.select("content_hash", "enrollment_id", "bytes", "path_lower"), enrollments, self.channel)
+            made = submissions_of(accepted, enrollments, self.channel)
             made.select("content_hash", "enrollment_id", "bytes", "path_lower", "kind", "channel", "advances", "flags", F.current_timestamp().alias("ingested_at")).write.mode("append").parquet(self.target)
             if self.journal:
                 # all of the batch's content, so that what an earlier attempt left out is made up for
@@ -76,10 +84,20 @@ class Ingest:
                 self.journal.append(with_snapshots(decisions, [self.dossier(), *(other() for other in self.others)]))
             if self.purge:
                 self.purge(entries.where("purge").select("path", "path_lower"))
+            if self.then:
+                own = accepted.select("content_hash")
+                advanced = self.archived().join(F.broadcast(own) if small else own, "content_hash", "left_semi").where("advances")
+                self._follow(recording_submissions(advanced))
         finally:
             entries.unpersist()
             found.unpersist()
 
+    def _follow(self, submissions: DataFrame) -> None:
+        try:
+            self.then(submissions)
+        except Exception:
+            log.exception("what follows an intake failed; the intake stands")
+
     def start(self, checkpoint: str, poll_seconds: float | None = None) -> StreamingQuery:
         """Everything there is, then stops; with poll_seconds, again and again."""
         files = self.spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true").load(self.folder)

@@ -1,6 +1,7 @@
 import hashlib
 import hmac
 import os
+import shutil
 from datetime import datetime
 from email.message import EmailMessage
 
@@ -11,7 +12,7 @@ from ledgerspark.config import Settings
 from ledgerspark.operators import ledger, lifecycle, records
 from ledgerspark.plans.retire import retire
 from ledgerspark.plans.runs import extract
-from ledgerspark.sources import archive, extractors, mail
+from ledgerspark.sources import archive, extractors, mail, probes
 from ledgerspark.sources.journal import Journal
 from ledgerspark.streaming.ingest import Ingest
 from ledgerspark.streaming.mailbox import Mailbox
@@ -228,8 +229,13 @@ def test_messages_become_records(spark, tmp_path):
         assert [(r.enrollment_id, r.to_state) for r in journal.table().where("enrollment_id = '20'").collect()] == [("20", "wager_submitted")]
         assert [(r.code, r.severity) for r in files.dossier()[2].collect()] == [("OUT_OF_SEQUENCE", "warning")] and files.dossier()[0].count() == 2
     (tmp_path / "in" / "20" / "c").write_bytes(b"c")
+    followed = []
+    files.then = lambda rows: followed.append(rows.count()) or 1 / 0
     files.start((tmp_path / "files").as_uri()).awaitTermination()
-    assert files.dossier()[2].count() == 2 and journal.table().count() == 3
+    assert files.dossier()[2].count() == 2 and journal.table().count() == 3 and followed == [0]
+    fresh = Ingest(spark, (tmp_path / "in").as_uri(), (tmp_path / "media2").as_uri(), store, lambda: funded, then=files.then)
+    fresh.start((tmp_path / "files3").as_uri()).awaitTermination()
+    assert followed == [0, 1] and fresh.archived().count() == 3
 
 
 def test_runs_end_well_or_with_their_error(spark):
@@ -250,3 +256,45 @@ def test_runs_end_well_or_with_their_error(spark):
     assert extract(submissions.limit(0), contents, read, "v1", "reader")[0].count() == 0
     again = records.begin_runs(submissions.withColumn("started_at", F.current_timestamp()), "v1", "reader")
     assert {r.status for r in records.finish_runs(again, runs.limit(0)).collect()} == {"running"}
+
+
+def test_probes_by_programs(spark, tmp_path, monkeypatch):
+    contents = spark.createDataFrame([("a", b"good"), ("b", b"bad"), ("c", None)], "content_hash string, content binary")
+    # stand-ins for the programs: they look at the file they are given
+    (tmp_path / "ffprobe").write_text(
+        """#!/bin/sh
+for file; do :; done
+if [ "$(cat "$file")" = bad ]; then echo 'no container' >&2; exit 1; fi
+case "$*" in
+  *show_format*) echo '{"format": {"format_name": "mov,mp4", "tags": {"Encoder": "Lavf58", "major_brand": "isom"}}}' ;;
+  *) echo '{"frames": [{"key_frame": 1, "pts_time": "0.0"}, {"key_frame": 0, "pts_time": "0.5"}, {"key_frame": 1}, {"key_frame": 1, "pts_time": "2.0"}]}' ;;
+esac
+"""
+    )
+    (tmp_path / "ffmpeg").write_text('#!/bin/sh\nfor out; do :; done\ndir=$(dirname "$out")\nprintf one > "$dir/000000001.jpg"; printf two > "$dir/000000002.jpg"\n')
+    call = probes._call
+
+    def own(program, *arguments):
+        return probes.subprocess.run(["sh", str(tmp_path / program), *arguments], check=True, capture_output=True).stdout
+
+    with pytest.raises(FileNotFoundError, match="not on this executor's path"):
+        call("ledgerspark-no-such-program")
+    monkeypatch.setattr(probes, "_call", own)
+    # in this process, as the workers of Spark don't see the stand-ins
+    batch = contents.select("content_hash", "content").toPandas()
+    made = []
+    monkeypatch.setattr(type(contents), "mapInPandas", lambda self, f, schema: made.extend(f(iter([batch]))) or schema)
+    probes.probe(contents)
+    rows = [r.iloc[0].to_dict() for r in made]
+    assert rows[0] == {"content_hash": "a", "format_name": "mov,mp4", "encoder": "Lavf58", "major_brand": "isom", "times": [0.0, 2.0], "error": None}
+    assert (rows[1]["content_hash"], rows[1]["times"], rows[1]["error"]) == ("b", None, "no container") and len(rows) == 2
+    made.clear()
+    probes.sample_frames(contents, key="content_hash")
+    assert [(r.content_hash[0], r.frame_index[0], r.frame_ts[0], r.image[0]) for r in made] == [(k, i, 1.5 * i, w) for k in "ab" for i, w in enumerate((b"one", b"two"))]
+
+
+def test_missing_programs_are_named(spark):
+    if shutil.which("ffprobe"):
+        pytest.skip("the programs are here")
+    with pytest.raises(Exception, match="ffprobe is not on this executor's path"):
+        probes.probe(spark.createDataFrame([("a", b"x")], "content_hash string, content binary")).collect()
