@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerspark.operators import evidence, lifecycle
+from ledgerspark.operators.folds import fold
 from ledgerspark.plans import search
 
 T0 = datetime(2026, 1, 1)
@@ -212,3 +213,24 @@ def test_transitions_in_order(spark, domain):
         1: ("invited", "legal"), 2: ("email_submitted", "illegal"), 3: ("email_submitted", "legal"), 4: ("email_verified", "legal"), 5: ("rejected", "already_terminal"),
         6: ("funded", "legal"), 7: ("wager_submitted", "illegal"), 8: (None, "unknown_state"),
     }
+
+
+def test_folds_over_large_groups(spark):
+    n = 25_000
+    rows = spark.range(n).select((F.col("id") % 2 * F.when(F.col("id") % 10 == 3, None).otherwise(7)).alias("k"), "id", F.col("id").alias("v"))
+    added = fold(rows, "k", ["id"], ["v"], lambda s, v: ((s or 0) + v, ((s or 0) + v, v)), "total long, same long")
+    got = added.groupBy("k").agg(F.count("*").alias("n"), F.max("total").alias("total"), F.count_if(F.col("same") == F.col("v")).alias("same")).collect()
+    want = {}
+    for i in range(n):
+        k = None if i % 10 == 3 else i % 2 * 7
+        want[k] = [want.get(k, [0, 0])[0] + 1, want.get(k, [0, 0])[1] + i]
+    assert {r.k: [r.n, r.total] for r in got} == want and all(r.same == r.n for r in got)
+    assert fold(rows.limit(0), "k", ["id"], ["v"], lambda s, v: (s, (v, v)), "total long, same long").count() == 0
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_each_transition_is_judged_alike(spark, domain, strict):
+    names = [*lifecycle.STATES, "other", None]
+    pairs = spark.createDataFrame([(a, b) for a in names for b in names], "a string, b string")
+    for r in pairs.withColumn("o", lifecycle.transition_outcome(F.col("a"), F.col("b"), strict)).collect():
+        assert lifecycle._outcome(r.a, r.b, strict) == r.o
