@@ -100,8 +100,25 @@ def test_budgets_equal_a_direct_filling(spark):
                 for s, x in water(c, {k[2]: (w("source", k[2]), v) for k, v in cap.items() if k[:2] == (d, g)}).items():
                     want[d, g, s] = x
         frame = spark.createDataFrame([(*k, v) for k, v in leaves.items()], "domain string, lang string, source string, available long")
-        got = {(r.domain, r.lang, r.source): r.budget for r in mixing.budgets(frame, weights, percent, epochs).collect()}
-        assert got == {k: want.get(k, 0) for k in leaves}
+        named = [(level, name, x) for level, names in weights.items() for name, x in names.items()]
+        table = spark.createDataFrame(named + [("lang", "en", 4), ("lang", "xx", None), ("other", "de", 9)], "level string, name string, weight int")
+        for given in (weights, table):
+            got = {(r.domain, r.lang, r.source): r.budget for r in mixing.budgets(frame, given, percent, epochs).collect()}
+            assert got == {k: want.get(k, 0) for k in leaves}
+
+
+def test_other_levels(spark):
+    docs = [(i, "w " * (i % 5), f"h{i % 4}", "en") for i in range(200)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, host string, lang string")
+    weights = spark.createDataFrame([("host", "h1", 3), ("tld", None, 2)], "level string, name string, weight long")
+    one = mixing.mix_sources(frame, weights, percent=50, levels={"host": F.col("host")}).collect()
+    assert one[0].__fields__ == ["doc_id", "host", "n_tokens", "whole_epochs", "prefix_tokens"] and len(one) == 200
+    cap = {h: 4 * sum(r.n_tokens for r in one if r.host == h) for h in {r.host for r in one}}
+    want = water(sum(r.n_tokens for r in one) // 2, {h: (3 if h == "h1" else 1, c) for h, c in cap.items()})
+    assert {h: sum(r.n_tokens * r.whole_epochs + r.prefix_tokens for r in one if r.host == h) for h in cap} == want
+    four = {"tld": F.lit(None), "host": F.col("host"), "lang": F.col("lang"), "odd": F.col("doc_id") % 2}
+    rows = mixing.mix_sources(frame, weights, percent=50, levels=four, steps=1).collect()
+    assert {h: sum(r.n_tokens * r.whole_epochs + r.prefix_tokens for r in rows if r.host == h) for h in cap} == want
 
 
 def test_the_least_budget_gives_each_leaf_an_epoch(spark):
@@ -121,8 +138,8 @@ def test_prefixes_take_exactly_the_budget_in_hash_order(spark):
     rnd = random.Random(3)
     docs = [(i, " w" * rnd.choice([0, 1, 3, 10]), rnd.choice(["en", "de", None]), rnd.choice(["src0", "src1", "odd", None]), 9) for i in range(500)] + [(7, "a b", "en", "src0", 1), (None, "a b c", "en", "src0", 1), (8, None, "en", "src0", 1)]
     frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_tokens int")
-    for buckets in (1, 3):
-        rows = mixing.mix_sources(frame, percent=60, buckets=buckets).collect()
+    for buckets, steps in ((1, 1), (1, 3), (3, 2), (2, 0)):
+        rows = mixing.mix_sources(frame, percent=60, buckets=buckets, steps=steps).collect()
         assert len(rows) == len(docs)
         by = defaultdict(list)
         for r in rows:
