@@ -336,7 +336,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     member = scratch.keep(member.join(shared.select("bucket", "pivot"), "bucket"))
     star = member.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = _star_links(star, reps, docs, percent, scratch)
-    edges = scratch.keep(contract(as_edges(links)))
+    edges = scratch.keep(contract(as_edges(links), scratch))
 
     # What is left to compare: members of a bucket that aren't known to be in one component, neither of them its pivot.
     found = scratch.keep(labels(edges))
