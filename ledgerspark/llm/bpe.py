@@ -299,20 +299,21 @@ def encoder(path: str, pattern: str) -> Encoder:
     return _OPEN[path, pattern]
 
 
-def _decoded(vocabulary: Vocabulary, ids: list[int], portion: int, replace: bool = False) -> bytes:
-    decoder = StreamingDecoder(vocabulary, replace)
-    return b"".join([*(decoder.feed(ids[i : i + portion]) for i in range(0, len(ids), portion)), decoder.finish()])
+def _decoded(vocabulary: Vocabulary, ids: np.ndarray | list[int], portion: int, replace: bool = False) -> bytes:
+    decoder, ids = StreamingDecoder(vocabulary, replace), np.asarray(ids, np.int32)
+    return b"".join([*(decoder.feed(ids[i : i + portion].tolist()) for i in range(0, len(ids), portion)), decoder.finish()])
 
 
-def encode(docs: DataFrame, path: str, pattern: str, decoded: bool = False, portion: int = 4096) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, decoded: bool = False, portion: int = 4096, text: bool = True) -> DataFrame:
     """docs with ids array<int>: the whole text's tokens, without special tokens. path: ranks, readable on every worker.
 
-    decoded: also a column decoded binary, the ids turned back to bytes in portions, in the same pass. Null and empty texts have
+    decoded: also a column decoded binary, the ids turned back to bytes in portions, in the same pass. text: whether the texts
+    themselves are passed on. Null and empty texts have
     no tokens (an empty array, no bytes). Bytes of a text that aren't UTF-8 are read as U+FFFD. Rows are encoded one by one, so ties and repeated rows give equal results and
     an empty table an empty one. Columns ids and decoded of docs are replaced; all others pass.
     """
     docs = docs.drop("ids", *["decoded"] * decoded).withColumn("text", F.col("text").cast("string"))
-    names = docs.columns
+    names = [n for n in docs.columns if text or n != "text"]
 
     def run(batches):
         to_ids = encoder(path, pattern)
@@ -325,11 +326,11 @@ def encode(docs: DataFrame, path: str, pattern: str, decoded: bool = False, port
                 out = {n: rows.column(rows.schema.get_field_index(n)) for n in names}
                 out["ids"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
                 if decoded:
-                    out["decoded"] = pa.array([_decoded(to_ids.transducer.vocabulary, np.frombuffer(x, np.int32).tolist(), portion) for x in got], pa.binary())
+                    out["decoded"] = pa.array([_decoded(to_ids.transducer.vocabulary, np.frombuffer(x, np.int32), portion) for x in got], pa.binary())
                 yield pa.RecordBatch.from_pydict(out)
 
     more = {"ids": F.lit(None).cast("array<int>")} | ({"decoded": F.lit(None).cast("binary")} if decoded else {})
-    return docs.mapInArrow(run, docs.withColumns(more).schema)
+    return docs.mapInArrow(run, docs.select(*(f"`{n}`" for n in names)).withColumns(more).schema)
 
 
 def decode(tokens: DataFrame, path: str, pattern: str, portion: int = 4096) -> DataFrame:
@@ -342,7 +343,7 @@ def decode(tokens: DataFrame, path: str, pattern: str, portion: int = 4096) -> D
         vocabulary = encoder(path, pattern).transducer.vocabulary
         for batch in batches:
             column = batch.column(batch.schema.get_field_index("ids"))
-            out = [_decoded(vocabulary, x.values.to_numpy(zero_copy_only=False).tolist(), portion, True).decode() if x.is_valid else None for x in column]
+            out = [_decoded(vocabulary, x.values.to_numpy(zero_copy_only=False), portion, True).decode() if x.is_valid else None for x in column]
             yield pa.RecordBatch.from_pydict({n: batch.column(batch.schema.get_field_index(n)) for n in names} | {"decoded": pa.array(out, pa.string())})
 
     return tokens.mapInArrow(run, tokens.select("*", F.lit(None).cast("string").alias("decoded")).schema)

@@ -127,7 +127,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFr
     """Every document to ids and back: their number, and hashes of the ids and of the decoded bytes."""
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    both = bpe.encode(docs, path, public_tokenizers.PATTERN, decoded=True)
+    both = bpe.encode(docs, path, public_tokenizers.PATTERN, decoded=True, text=False)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
