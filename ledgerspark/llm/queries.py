@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, line_dedup, mixing, near_dup, pii, quality_classifier, quality_rules, substring_dedup, topk
+from . import bpe, centroids, chat, filter_audit, line_dedup, mixing, near_dup, pii, quality_classifier, quality_rules, substring_dedup, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -242,3 +242,85 @@ SELECT conv_id, perspective, CAST(0 AS BIGINT) AS part, CAST(0 AS BIGINT) AS bef
        CAST(coalesce(sum(length(body)) FILTER (who = perspective), 0) AS BIGINT) AS n_target_chars
 FROM s GROUP BY conv_id, alone, perspective
 """
+
+
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from each language, at each step of all orders."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES["op11_filter_audit"] = op11_filter_audit
+ORACLES["op11_filter_audit"] = """
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+m AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    CAST(len(ws) < 100 AS INT) + 2 * CAST(100 * len(list_distinct(ws)) < 80 * len(ws) AS INT)
+    + 4 * CAST(100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 10 * length(text) AS INT) + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INT)
+    + 16 * CAST(coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS INT) AS mask
+  FROM d LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY ALL),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS bit),
+o AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM f a JOIN f b ON b.f <> a.f JOIN f c ON c.f NOT IN (a.f, b.f) JOIN f d ON d.f NOT IN (a.f, b.f, c.f) JOIN f e ON e.f NOT IN (a.f, b.f, c.f, d.f)),
+s AS (SELECT filter_order, unnest(range(1, 6)) AS step, bits FROM o),
+t AS (SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS before FROM s),
+r AS (
+  SELECT part, filter_order, step, bit, coalesce(sum(n) FILTER (mask & (before | bit) = 0), 0) AS kept, coalesce(sum(n) FILTER (mask & (before | bit) = bit), 0) AS removed,
+    coalesce(sum(n) FILTER (mask & bit > 0 AND mask & before > 0), 0) AS redundant, coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (mask & (before | bit) = bit), 0) AS good_lost, coalesce(sum(toxic) FILTER (mask & (before | bit) = bit), 0) AS toxic_lost
+  FROM c, t GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM r
+"""
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every vector, and what its centroid and the clustering come to."""
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def _lloyd(rounds: int, clusters: int, seed: int) -> str:
+    """CTEs c0 to c{rounds} of centroids (c, i, x) and a0 to a{rounds} of assignments (r, c, d) of vectors e (r, i, x)."""
+    parts = [f"""c0 AS MATERIALIZED (
+  SELECT h.k - 1 AS c, e.i, e.x FROM (SELECT r, row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), x) AS k FROM v) h JOIN e USING (r) WHERE h.k <= {clusters})"""]
+    for k in range(rounds + 1):
+        parts.append(f"""a{k} AS MATERIALIZED (
+  SELECT r, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT e.r, m.c, sum((e.x - m.x) * (e.x - m.x)) AS d FROM e JOIN c{k} m USING (i) GROUP BY ALL) GROUP BY r)""")
+        if k < rounds:
+            parts.append(f"""c{k + 1} AS MATERIALIZED (
+  SELECT c, i, coalesce(z.x, o.x) AS x FROM c{k} o LEFT JOIN (
+    SELECT a.c, e.i, (sum(e.x) - ((sum(e.x) % count(*)) + count(*)) % count(*)) // count(*) AS x FROM a{k} a JOIN e USING (r) GROUP BY ALL) z USING (c, i))""")
+    return ",\n".join(parts)
+
+
+QUERIES["op12_centroids"] = op12_centroids
+ORACLES["op12_centroids"] = f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)))),
+e AS MATERIALIZED (SELECT r, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM v),
+{_lloyd(centroids.ROUNDS, centroids.CLUSTERS, centroids.SEED)},
+s AS (SELECT c, sha256(string_agg(CAST(x AS BIGINT), ',' ORDER BY i)) AS centroid_sha256 FROM c{centroids.ROUNDS} GROUP BY c)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a{centroids.ROUNDS} JOIN v USING (r) JOIN s USING (c)
+"""
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record, written and read back."""
+    return warc.archived_pages(table(spark, sf_dir, "pages"))
+
+
+QUERIES["op13_warc"] = op13_warc
+ORACLES["op13_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS least FROM pages)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((CAST('0x' || substr(sha1(html), CAST(5 * (i // 4) + 1 AS INT), 5) AS INT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31), 1)), '') AS payload_digest,
+  CASE WHEN page_id > least THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > least THEN least END AS refers_to
+FROM p
+"""

@@ -38,6 +38,11 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def folder(self, name: str) -> str:
+        """A folder for files that tasks write themselves; it goes when Python ends."""
+        atexit.register(_forget, self.spark, self.base)
+        return f"{self.base}/{name}"
+
     def drop(self) -> None:
         """Deletes every table kept so far."""
         for path in self.paths:
