@@ -8,7 +8,8 @@ Plan: sketch in one pass; sets that are equal collapse into one class; classes t
 are compared with the band's smallest class (a star, not all pairs). Where the members of a band still lie in
 different components after that, they are compared in tiles of two bounded blocks, and a tile gives only the links of
 a spanning forest. A pair is dropped by its estimate only where the similarity asked for is out of reach by a wide
-likelihood ratio; all others are confirmed on their full sets, and shared shingles on their words.
+likelihood ratio; all others are confirmed on their full sets, and shared shingles on their words. A shingle is named by 128 bits of
+keyed BLAKE2b of its words, a set by the same of its sorted shingles.
 """
 
 from __future__ import annotations
@@ -38,21 +39,14 @@ TILE = 1024
 class Sets:
     """Distinct shingles of each text: 128-bit digests in ascending order, one text's after the other."""
 
-    def __init__(self, offsets: np.ndarray, data: np.ndarray, known: tb.Digests):
+    def __init__(self, offsets: np.ndarray, data: np.ndarray, key: bytes):
         starts, ends, self.first = tb.words(offsets, data)
-        digests = known.of(data, starts, ends, True)
-        grams, begin = tb.windows(digests, self.first, SHINGLE)
-        at = np.arange(len(grams)) + np.repeat(self.first[:-1] - begin[:-1], np.diff(begin))
         counts = np.diff(self.first)
-        short = np.flatnonzero((counts > 0) & (counts < SHINGLE))
-        if len(short):
-            own = np.repeat(counts[short].astype(U)[:, None], 2, axis=1)
-            for k in range(SHINGLE - 1):
-                more = counts[short] > k
-                own[more] = tb.join(own[more], digests[self.first[short[more]] + k])
-            grams = np.insert(grams, begin[short], own, axis=0)
-            at = np.insert(at, begin[short], self.first[short])
-            begin = begin + np.concatenate(([0], np.cumsum((counts > 0) & (counts < SHINGLE))))
+        counts = np.where(counts > 0, np.maximum(counts - SHINGLE + 1, 1), 0)  # fewer words are one shingle
+        begin = np.concatenate(([0], np.cumsum(counts)))
+        at = np.arange(begin[-1]) + np.repeat(self.first[:-1] - begin[:-1], counts)
+        last = np.minimum(at + SHINGLE, np.repeat(self.first[1:], counts)) - 1
+        grams = tb.Phrases(data, starts, ends, lower=True).digests(at, last, key)
         order = np.arange(len(grams))
         lead = np.ascontiguousarray(grams[:, 0])
         for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
@@ -76,8 +70,8 @@ class Sets:
 class Compared(Sets):
     """Sets of texts that are compared with each other, and their words: shingles count as equal only where these are."""
 
-    def __init__(self, offsets: np.ndarray, data: np.ndarray, known: tb.Digests):
-        super().__init__(offsets, data, known)
+    def __init__(self, offsets: np.ndarray, data: np.ndarray, key: bytes):
+        super().__init__(offsets, data, key)
         starts, ends, _ = tb.words(offsets, data)
         raw, numbers = data.tobytes().lower(), {}
         self.word = np.array([numbers.setdefault(raw[a:b], len(numbers)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
@@ -126,22 +120,24 @@ def registers(elements: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return np.clip(np.where(np.isfinite(k), k, 0), 0, TOP + 1).astype(np.uint16).reshape(n, m)
 
 
-def _sketch(batches):
-    known = tb.Digests()
-    for batch in batches:
-        for rows, offsets, data in tb.text_chunks(batch):
-            sets = Sets(offsets, data, known)
-            regs = registers(np.ascontiguousarray(sets.digests[:, 0]), sets.begin)
-            raw = [tb.digest(sets.digests[sets.of(t)].tobytes()) for t in range(rows.num_rows)]
-            names = np.frombuffer(b"".join(raw), np.int64).reshape(-1, 2)
-            n = np.diff(sets.begin)
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": rows.column(0),
-                "n": pa.array(n, pa.int64()),
-                "f1": pa.array(names[:, 0]),
-                "f2": pa.array(names[:, 1]),
-                "regs": pa.array([r.tobytes() if f else None for r, f in zip(regs, n > 0, strict=True)], pa.binary()),
-            })
+def _sketch(key: bytes):
+    def run(batches):
+        for batch in batches:
+            for rows, offsets, data in tb.text_chunks(batch):
+                sets = Sets(offsets, data, key)
+                regs = registers(np.ascontiguousarray(sets.digests[:, 0]), sets.begin)
+                raw = [tb.digest(sets.digests[sets.of(t)].tobytes(), key) for t in range(rows.num_rows)]
+                names = np.frombuffer(b"".join(raw), np.int64).reshape(-1, 2)
+                n = np.diff(sets.begin)
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": rows.column(0),
+                    "n": pa.array(n, pa.int64()),
+                    "f1": pa.array(names[:, 0]),
+                    "f2": pa.array(names[:, 1]),
+                    "regs": pa.array([r.tobytes() if f else None for r, f in zip(regs, n > 0, strict=True)], pa.binary()),
+                })
+
+    return run
 
 
 def log_likelihood(j, n_a, n_b, more, less, same):
@@ -189,9 +185,8 @@ def _estimate(percent: int):
     return run
 
 
-def _confirm(percent: int):
+def _confirm(percent: int, key: bytes):
     def run(batches):
-        known = tb.Digests()
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -201,7 +196,7 @@ def _confirm(percent: int):
                 # the same document often stands in neighbouring rows
                 own = pa.chunked_array([part.column(2), part.column(3)]).combine_chunks().dictionary_encode()
                 offsets, data = tb.text_column(own.dictionary)
-                sets = Compared(offsets - offsets[0], data[offsets[0] : offsets[-1]], known)
+                sets = Compared(offsets - offsets[0], data[offsets[0] : offsets[-1]], key)
                 where = own.indices.to_numpy().reshape(2, -1)
                 keep = pa.array([sets.similar(x, y, percent) for x, y in where.T.tolist()], pa.bool_())
                 yield pa.RecordBatch.from_pydict({"a": part.column(0).filter(keep), "b": part.column(1).filter(keep)})
@@ -209,7 +204,7 @@ def _confirm(percent: int):
     return run
 
 
-def _compare_tile(rows: pa.Table, percent: int):
+def _compare_tile(rows: pa.Table, percent: int, key: bytes):
     """Links between the two blocks of a tile (or inside its one block) that join what isn't joined yet."""
     col = lambda name: rows.column(name)
     ids, n, block, place = (col(c).to_numpy() for c in ("doc_id", "n", "block", "component"))
@@ -217,7 +212,7 @@ def _compare_tile(rows: pa.Table, percent: int):
     regs = _registers_of(col("regs"))
     codes = np.ascontiguousarray(regs).view([("", np.uint16)] * BAND)
     offsets, data = tb.text_column(col("text"))
-    sets = Compared(offsets - offsets[0], data[offsets[0] : offsets[-1]], tb.Digests())
+    sets = Compared(offsets - offsets[0], data[offsets[0] : offsets[-1]], key)
     left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
     root = {c: c for c in np.unique(place).tolist()}
 
@@ -248,17 +243,17 @@ def _compare_tile(rows: pa.Table, percent: int):
                     yield int(ids[a[p]]), int(ids[b[p]])
 
 
-def _tiles(percent: int):
+def _tiles(percent: int, key: bytes):
     """Rows of one tile after the other; a tile is held at a time."""
 
     def run(batches):
         held, now = [], None
         for batch in batches:
-            key = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("bucket", "i", "j")])
-            cut = np.concatenate(([0], np.flatnonzero((np.diff(key) != 0).any(axis=0)) + 1, [batch.num_rows]))
+            place = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("bucket", "i", "j")])
+            cut = np.concatenate(([0], np.flatnonzero((np.diff(place) != 0).any(axis=0)) + 1, [batch.num_rows]))
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 if b > a:
-                    mine = tuple(key[:, a].tolist())
+                    mine = tuple(place[:, a].tolist())
                     if mine != now and held:
                         yield links(held)
                         held = []
@@ -268,7 +263,7 @@ def _tiles(percent: int):
             yield links(held)
 
     def links(held):
-        found = list(_compare_tile(pa.Table.from_batches(held).combine_chunks(), percent))
+        found = list(_compare_tile(pa.Table.from_batches(held).combine_chunks(), percent, key))
         return pa.RecordBatch.from_pydict({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
     return run
@@ -289,7 +284,7 @@ def _texts(ids: DataFrame, docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("doc_id").alias("key")).mapInArrow(needed, "doc_id long, text string")
 
 
-def _star_links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+def _star_links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, key: bytes, scratch: Scratch) -> DataFrame:
     """Of the pairs (a, b) of classes' smallest documents, those that are similar enough."""
     side = lambda k: reps.select(F.col("doc_id").alias(k), F.col("n").alias(f"n_{k}"), F.col("regs").alias(f"r_{k}"))
     pairs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "r_a", "r_b")
@@ -298,10 +293,10 @@ def _star_links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int
     texts = scratch.keep(_texts(ids, docs))
     side = lambda k: texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"t_{k}"))
     full = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "t_a", "t_b")
-    return scratch.keep(full.mapInArrow(_confirm(percent), "a long, b long").distinct())
+    return scratch.keep(full.mapInArrow(_confirm(percent, key), "a long, b long").distinct())
 
 
-def _tile_links(rest: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+def _tile_links(rest: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, key: bytes, scratch: Scratch) -> DataFrame:
     """Links between members (bucket, band, blocks, doc_id, component) of a bucket in different components."""
     texts = scratch.keep(_texts(scratch.keep(rest.select("doc_id").distinct()), docs))
     block = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.col("blocks"))
@@ -309,10 +304,10 @@ def _tile_links(rest: DataFrame, reps: DataFrame, docs: DataFrame, percent: int,
     full = full.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     full = full.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "blocks")
     placed = full.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return scratch.keep(placed.mapInArrow(_tiles(percent), "a long, b long").distinct())
+    return scratch.keep(placed.mapInArrow(_tiles(percent, key), "a long, b long").distinct())
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, key: bytes = tb.KEY) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, n_shingles, component_id, kept, one row for each row of docs.
 
     Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased. A set is the distinct 5-word shingles of the whole text;
@@ -320,11 +315,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     100 * |A and B| >= percent * |A or B|. component_id is the smallest doc_id reachable, kept says that it is the
     row's own. Null, empty and blank texts have 0 shingles and are linked with nothing. Rows that share a doc_id
     are one document as to links. Rows without a doc_id link with nothing: null component_id, kept true. An empty
-    table gives an empty result. Other columns don't matter.
+    table gives an empty result. Other columns don't matter. key is the digests' (up to 64 bytes); results are the same for all.
     """
     scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketched = scratch.keep(docs.mapInArrow(_sketch, "doc_id long, n long, f1 long, f2 long, regs binary"))
+    sketched = scratch.keep(docs.mapInArrow(_sketch(key), "doc_id long, n long, f1 long, f2 long, regs binary"))
     named = sketched.where("n > 0 and doc_id is not null")
     classes = named.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("doc_id"))
     reps = scratch.keep(named.join(classes, ["doc_id", "n", "f1", "f2"]).dropDuplicates(["doc_id", "n", "f1", "f2"]).select("doc_id", "n", "regs"))
@@ -335,7 +330,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     shared = member.groupBy("bucket").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot <> last")
     member = scratch.keep(member.join(shared.select("bucket", "pivot"), "bucket"))
     star = member.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = _star_links(star, reps, docs, percent, scratch)
+    links = _star_links(star, reps, docs, percent, key, scratch)
     edges = scratch.keep(contract(as_edges(links), scratch))
 
     # What is left to compare: members of a bucket that aren't known to be in one component, neither of them its pivot.
@@ -346,7 +341,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     mixed = mixed.where("lo <> hi").select("bucket", F.ceil(F.col("size") / TILE).alias("blocks"))
     rest = scratch.keep(placed.join(mixed, "bucket"))
     if not rest.isEmpty():
-        edges = edges.unionByName(as_edges(_tile_links(rest, reps, docs, percent, scratch)))
+        edges = edges.unionByName(as_edges(_tile_links(rest, reps, docs, percent, key, scratch)))
     found = labels(converge(edges, scratch))
 
     classes = classes.withColumnRenamed("doc_id", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")

@@ -10,8 +10,9 @@ other symbol are out, and the next round names only what lies in windows that ar
 
 A window's own words decide which symbols lie wholly inside it: in a round its outermost runs may go on outside, and so
 may a pair at either end; these are popped and stay words. What is left, the interior, and the popped words on both sides
-are the same for equal windows wherever they stand. They are the window's key: windows that are still in after the rounds
-are equal when their interior symbols and the words beside them are. Only these are moved, once per chunk of texts.
+are the same for equal windows wherever they stand. They bring the windows that are still in after the rounds together;
+128 bits of keyed BLAKE2b of a window's words verify that it is equal to another before a word goes, so names that are shared by
+accident or design remove nothing. Only these are moved, the earliest of equal ones of a run of chunks.
 Texts that are copies of others as a whole are settled before the rounds.
 """
 
@@ -29,10 +30,13 @@ from .textbytes import U, mix
 
 WINDOW = 20
 MAX_FILTER_BITS = 1 << 27
-#: Suspect windows of a shard, about, and shards at most.
-SHARD_WINDOWS, MAX_SHARDS = 200_000, 1 << 15
+#: Suspect windows of a shard, about; tasks at most, each of which takes its shards one after the other.
+SHARD_WINDOWS, MAX_TASKS = 200_000, 1 << 14
+#: Records of windows that a task compares with each other before it sends them on; bytes of a shard that are compared at once.
+COMBINE_RECORDS, FOLD_BYTES = 1 << 18, 16 << 20
 LAST = np.iinfo(np.int64).max
 #: row tells texts apart that share a doc_id; starts of rows without a doc_id have their highest bit set, so that these come last.
+#: h1, h2: the digest of the window's words.
 RECORD = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("row", "<i8")])
 NO_ID = 1 << 31
 #: The first round whose names are tested: words and pairs of words repeat nearly always.
@@ -96,8 +100,10 @@ class Chunk:
     """A chunk of texts, its windows (by their first words), and after each round the interior of each."""
 
     def __init__(self, offsets: np.ndarray, data: np.ndarray, window: int, known: tb.Digests):
-        starts, ends, self.first = tb.words(offsets, data)
+        self.spans = *tb.words(offsets, data), data
+        starts, ends, self.first, _ = self.spans
         self.words = known.of(data, starts, ends, False)
+        self.key = known.key
         size = np.diff(self.first)
         last = np.repeat(self.first[1:], size) - window
         self.at = np.flatnonzero(np.arange(len(starts)) <= last)
@@ -151,8 +157,13 @@ class Chunk:
         other = np.concatenate(([0], np.cumsum(~held.holds(np.ascontiguousarray(self.level.names[:, 0])))))
         self.keep(other[self.hi] - other[self.lo] == 0)
 
+    def digests(self) -> np.ndarray:
+        """Of each window's words."""
+        starts, ends, _, data = self.spans
+        return tb.Phrases(data, starts, ends).digests(self.at, self.at + self.window - 1, self.key)
+
     def keys(self) -> np.ndarray:
-        """A digest of each window: the words before its interior, the interior's symbols, the words after it."""
+        """A name of each window: the words before its interior, the interior's symbols, the words after it."""
         every = np.concatenate(self.names)
         begin, size, head, tail = self.held
         before, after = head - self.at, self.at + self.window - tail
@@ -241,9 +252,9 @@ def _later(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[new], order[~same]
 
 
-def _shard(records: np.ndarray, shards: int) -> np.ndarray:
-    """By the whole window, so that windows that share a symbol spread."""
-    return ((records["h1"] >> U(20)) & U(shards - 1)).astype(np.int64)
+def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
+    """By the whole window's name, so that windows that share a symbol spread."""
+    return ((keys[:, 0] >> U(12)) & U(shards - 1)).astype(np.int64)
 
 
 def _batch(rows: list, schema: str) -> pa.RecordBatch:
@@ -276,7 +287,7 @@ def _without(rows: pa.RecordBatch, offsets: np.ndarray, data: np.ndarray, window
     return pa.RecordBatch.from_pydict({"doc_id": rows.column(0), "n_words": pa.array(n), "n_removed": pa.array(n - np.diff(total)), "text": text})
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, max_filter_bits: int = MAX_FILTER_BITS) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, max_filter_bits: int = MAX_FILTER_BITS, key: bytes = tb.KEY) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, n_words, n_removed, text, one row for each row of docs.
 
     Words are `[^\\x20\\x09-\\x0D]+`, unchanged. A window is `window` consecutive words of one document. Each word covered
@@ -284,7 +295,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, max_filter_bits: int =
     are joined by one space. Windows are judged on the input. Null, empty and blank texts have no words and give an empty
     text; texts of fewer words than a window lose nothing. Rows that share a doc_id stand at the same place: of equal
     windows in them the one with the earlier start comes first, and none does at the same start. Rows without a doc_id
-    stand together after all others. An empty table gives an empty result.
+    stand together after all others. An empty table gives an empty result. key is the digests' (up to 64 bytes); results
+    are the same for all.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -294,12 +306,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, max_filter_bits: int =
 
     # Texts of the same words throughout are one symbol at the top. All but the first lose every window, and take no further part.
     def whole(batches):
-        known = tb.Digests()
+        known = tb.Digests(key)
         for batch in batches:
             for rows, offsets, data in tb.text_chunks(batch):
                 starts, ends, first = tb.words(offsets, data)
                 raw, n = known.of(data, starts, ends, False), np.diff(first)
-                names = np.frombuffer(b"".join([tb.digest(raw[a:b].tobytes()) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]), np.int64).reshape(-1, 2)
+                names = np.frombuffer(b"".join([tb.digest(raw[a:b].tobytes(), key) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]), np.int64).reshape(-1, 2)
                 every = [np.array([0, max(0, k - window + 1)], "<u4").tobytes() for k in n.tolist()]
                 out = {"doc_id": rows.column(0), "row": rows.column(2), "every": pa.array(every, pa.binary()), "d1": pa.array(names[:, 0]), "d2": pa.array(names[:, 1])}
                 yield pa.RecordBatch.from_pydict(out).filter(pa.array(n >= window))
@@ -314,7 +326,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, max_filter_bits: int =
 
     def chunks(batches, upto: int):
         """Chunks after so many rounds, with the windows that are still in by the filters so far."""
-        known, held, leads = tb.Digests(), {r: Filter(*f.value) for r, f in filters.items()}, Filter(*lead.value)
+        known, held, leads = tb.Digests(key), {r: Filter(*f.value) for r, f in filters.items()}, Filter(*lead.value)
         for batch in batches:
             go = leads.holds(batch.column(2).to_numpy().view(U))  # a copy that passes changes nothing
             for rows, offsets, data in tb.text_chunks(batch.filter(pa.array(go))):
@@ -329,8 +341,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, max_filter_bits: int =
     def round_names(level: int):
         def run(batches):
             for _, chunk in chunks(batches, level + 1):
-                key, counts = np.unique(chunk.inside(), return_counts=True)
-                yield pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "again": pa.array(counts > 1)})
+                names, counts = np.unique(chunk.inside(), return_counts=True)
+                yield pa.RecordBatch.from_pydict({"key": pa.array(names.view(np.int64)), "again": pa.array(counts > 1)})
 
         return run
 
@@ -341,39 +353,73 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, max_filter_bits: int =
         count = named.count()
         filters[level] = spark.sparkContext.broadcast(twice_seen(named, count, max_filter_bits))
         passing.drop()
-    shards = 1 << int(np.clip(np.ceil(np.log2(4 * count / SHARD_WINDOWS + 1)), 6, np.log2(MAX_SHARDS)))
+    shards = 1 << int(max(6, np.ceil(np.log2(4 * count / SHARD_WINDOWS + 1))))
     buckets = max(64, shards // 4)
 
     def suspects(batches):
+        held, names, n = [], [], 0
+
+        def sent():
+            records, keys = np.concatenate(held), np.concatenate(names)
+            early, late = _later(records)
+            out = [(k, None, x) for k, x in _packed(records, early, _shard(keys, shards)[early])]
+            return _batch(out + _late(records, late, buckets), MOVED)
+
         for rows, chunk in chunks(batches, rounds + 1):
             if not len(chunk.at):
                 continue
             ids, text = rows.column(0), np.searchsorted(chunk.first, chunk.at, "right") - 1
             none = ids.is_null().to_numpy(zero_copy_only=False)
             records = np.empty(len(chunk.at), RECORD)
-            records["h1"], records["h2"] = chunk.keys().T
+            records["h1"], records["h2"] = chunk.digests().T
             records["doc"], records["row"] = ids.fill_null(LAST).to_numpy()[text], rows.column(2).to_numpy()[text]
             records["start"] = chunk.at - chunk.first[text] + np.where(none, NO_ID, 0)[text]
-            early, late = _later(records)
-            out = [(k, None, x) for k, x in _packed(records, early, _shard(records, shards)[early])]
-            yield _batch(out + _late(records, late, buckets), MOVED)
+            held.append(records)
+            names.append(chunk.keys())
+            n += len(records)
+            if n >= COMBINE_RECORDS:
+                yield sent()
+                held, names, n = [], [], 0
+        if n:
+            yield sent()
 
     def settle(batches):
-        def done(data):
-            records = np.frombuffer(data, RECORD)
-            return _late(records, _later(records)[1], buckets)
+        """A shard's records as they come; of what has come, only those that may be a window's earliest are held."""
+        now, parts, size = None, [], 0
+
+        def fold():
+            nonlocal parts, size
+            records = np.frombuffer(b"".join(parts), RECORD)
+            early, late = _later(records)
+            parts = [records[early].tobytes()]
+            size = 0
+            return _late(records, late, buckets)
 
-        for out in _groups(batches, done):
+        for batch in batches:
+            out = []
+            for shard, other, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if other is not None:
+                    out.append((shard, other, data))
+                    continue
+                if shard != now:
+                    out += fold() if parts else []
+                    now, parts, size = shard, [], 0
+                parts.append(data)
+                size += len(data)
+                if size >= FOLD_BYTES:
+                    out += fold()
             yield _batch(out, MOVED)
+        if parts:
+            yield _batch(fold(), MOVED)
 
     def texts_of(batches):
         for out in _groups(batches, lambda data: _texts(np.frombuffer(data, PLACE))):
             yield _batch(out, GONE)
 
-    # as many tasks as shards, so that what a task reads doesn't grow with the input
-    settled = docs.mapInArrow(suspects, MOVED).repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(settle, MOVED)
+    # as many tasks as shards up to a bound; shards, which are held one at a time, don't grow with the input
+    settled = docs.mapInArrow(suspects, MOVED).repartition(min(shards, MAX_TASKS), "shard").sortWithinPartitions("shard").mapInArrow(settle, MOVED)
     settled = settled.select("bucket", F.lit(None).cast("long").alias("shard"), "data")
-    gone = settled.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(texts_of, GONE)
+    gone = settled.repartition(min(buckets, MAX_TASKS), "bucket").sortWithinPartitions("bucket").mapInArrow(texts_of, GONE)
     gone = gone.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("copy", F.lit(True)))
     gone = scratch.keep(gone.groupBy("_row", "_id").agg(F.max(F.struct("copy", "_gone"))["_gone"].alias("_gone")))
     some = spark.sparkContext.broadcast(filter_of(gone.select(F.col("_row").alias("key")), gone.count(), max_filter_bits))

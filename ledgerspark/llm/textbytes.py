@@ -1,8 +1,9 @@
 """Words and lines of whole texts, found and hashed over the UTF-8 bytes of Arrow columns with numpy.
 
 Word separators and line ends are ASCII bytes, which never occur inside a longer UTF-8 sequence, so bytes
-and code points give the same cuts. What decides equality are 128 bits for each word or line (a short word's own bytes, else
-keyed BLAKE2b), and joins of these; they depend on the content only.
+and code points give the same cuts. What decides equality are 128 bits of keyed BLAKE2b over the bytes of a word, line or phrase
+(a short word's own bytes for it); they depend on the content only. Joins of digests are faster and not as strong: they
+may only name what such a digest settles afterwards.
 """
 
 from __future__ import annotations
@@ -123,23 +124,40 @@ def words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Digests of what is named by the rows of a followed by those of b; not linear in either."""
-    out = np.empty_like(a)
-    x = mix(a[:, 0] ^ b[:, 0]) + b[:, 1]
-    out[:, 0] = mix(x ^ (a[:, 1] * U(0xD6E8FEB86659FD93)))
-    out[:, 1] = mix((a[:, 1] ^ b[:, 1]) + out[:, 0] * U(0xCA9B0C7EBA1DA115))
-    return out
-
-
-def windows(digests: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Digests of all n consecutive words of one text, and for each text the number of its first window.
-
-    digests: of the chunk's words; first: for each text the number of its first word, with the end.
-    """
-    counts = np.maximum(np.diff(first) - n + 1, 0)
-    begin = np.concatenate(([0], np.cumsum(counts)))
-    at = np.arange(begin[-1]) + np.repeat(first[:-1] - begin[:-1], counts)
-    out = np.full((begin[-1], 2), U(n))
-    for k in range(n):
-        out = join(out, digests[at + k])
-    return out, begin
+    """Names of what is named by the rows of a followed by those of b. Four words pass one after the other through a state
+    of two, so that both halves depend on each of them; a name is no proof that two things are equal."""
+    x, y = U(0x9E3779B97F4A7C15), U(0xD1B54A32D192ED03)
+    for word in (a[:, 0], a[:, 1], b[:, 0], b[:, 1]):
+        x = mix(word ^ x) + y
+        y = ((x ^ y) * U(0xD6E8FEB86659FD93)) ^ (x >> U(29))
+    return np.stack((mix(x ^ y), y), axis=1)
+
+
+class Phrases:
+    """The words of a chunk with one space between them, A-Z as a-z where asked, and digests of runs of words."""
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False):
+        # of what follows a word one byte stays, as a space; a word that ends its text may have none
+        space = np.zeros(len(data) + 1, bool)
+        space[ends] = True
+        space = space[:-1] & SEPARATOR[data]
+        size, apart = ends - starts, np.append(space, False)[ends]
+        self.end = np.cumsum(size + apart) - apart
+        self.start = self.end - size
+        keep = ~SEPARATOR[data] | space
+        joined = data[keep]
+        joined[space[keep]] = 32
+        self.raw = joined.tobytes().lower() if lower else joined.tobytes()
+
+    def digests(self, first: np.ndarray, last: np.ndarray, key: bytes = KEY) -> np.ndarray:
+        """128 bits of keyed BLAKE2b of each run of words, by the numbers of its first and last one."""
+        begin, raw = hashlib.blake2b(digest_size=16, key=key).copy, self.raw
+        out = np.empty((len(first), 2), U)
+        for at in range(0, len(first), PART_WORDS):
+            parts = []
+            for a, b in zip(self.start[first[at : at + PART_WORDS]].tolist(), self.end[last[at : at + PART_WORDS]].tolist(), strict=True):
+                run = begin()
+                run.update(raw[a:b])
+                parts.append(run.digest())
+            out[at : at + PART_WORDS] = np.frombuffer(b"".join(parts), U).reshape(-1, 2)
+        return out

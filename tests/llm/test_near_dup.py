@@ -94,14 +94,51 @@ def test_words_that_linear_hashes_confuse(spark):
 
 def test_shingles_are_equal_by_their_words_alone(monkeypatch):
     """Even where all digests are the same."""
-    monkeypatch.setattr(tb.Digests, "of", lambda self, data, starts, ends, lower: np.zeros((len(starts), 2), np.uint64))
+    monkeypatch.setattr(tb.Phrases, "digests", lambda self, first, last, key: np.zeros((len(first), 2), np.uint64))
     texts = [b"a b c d e", b"a b c d f", b"A b c d e", b"a b", b"b a", b"a b"]
     offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-    sets = near_dup.Compared(offsets, np.frombuffer(b"".join(texts), np.uint8), tb.Digests())
+    sets = near_dup.Compared(offsets, np.frombuffer(b"".join(texts), np.uint8), tb.KEY)
     same = {(i, j) for i in range(6) for j in range(6) if sets.similar(i, j, 75)}
     assert same == {(i, i) for i in range(6)} | {(0, 2), (2, 0), (3, 5), (5, 3)}
 
 
+#: Two pairs of printable words; of each pair the digests have equal second halves and one difference of first halves.
+FOUR = ("35KWciPWptR0qPp", "dvPzExwfAnM7fu4", "ZMEkuzhzo_(G!^(", "'/QN{|YL\\#[*Vhl")
+
+
+def test_words_whose_digests_differ_alike(spark):
+    a, b, c, d = FOUR
+    rest = "one two three"
+    docs = [(1, f"{a} {b} {rest}"), (2, f"{c} {d} {rest}"), (3, f"{a} {d} {rest}"), (4, f"{rest} {c} {b}"), (5, f"{rest} {a} {b}"), (6, f"{a} {b}"), (7, f"{c} {d}"), (8, f"{a} {b} {rest}".upper())]
+    for key in (tb.KEY, b"another"):
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in run(spark, docs, key=key)} == {i: (1, c) for i, c in brute(docs).items()}
+
+
+def test_joins_depend_on_every_half():
+    rng = np.random.default_rng(2)
+    a, b = (rng.integers(0, 2**63, (1000, 2)).astype(np.uint64) for _ in "ab")
+    base = tb.join(a, b)
+    for x, y in ((b, a), (a[:, ::-1], b), (a, b[:, ::-1]), (np.stack((b[:, 0], a[:, 1]), 1), np.stack((a[:, 0], b[:, 1]), 1)), (np.stack((a[:, 0], b[:, 1]), 1), np.stack((b[:, 0], a[:, 1]), 1)), (a ^ np.uint64(8), b ^ np.uint64(8)), (a, a)):
+        assert not (tb.join(x, y) == base).any()
+    words = np.frombuffer("".join(FOUR).encode(), np.uint8)
+    one = tb.Digests().of(words, np.arange(0, 60, 15), np.arange(15, 75, 15), False)
+    assert not (tb.join(one[[0]], one[[1]]) == tb.join(one[[2]], one[[3]])).any()
+
+
+@pytest.mark.parametrize("lower", [False, True])
+def test_phrases_are_named_by_their_words(lower):
+    texts = ["a  b\nC é", "", "a b", "\t a b", "ab", "a", "b C", " "]
+    raw = [t.encode() for t in texts]
+    offsets = np.concatenate(([0], np.cumsum([len(r) for r in raw])))
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    starts, ends, first = tb.words(offsets, data)
+    own = [t.split() for t in texts]
+    runs = [(int(first[t]) + i, int(first[t]) + j, " ".join(w[i : j + 1])) for t, w in enumerate(own) for i in range(len(w)) for j in range(i, len(w))]
+    got = tb.Phrases(data, starts, ends, lower).digests(np.array([r[0] for r in runs]), np.array([r[1] for r in runs]), b"k")
+    want = [tb.digest((t.lower() if lower else t).encode(), b"k") for _, _, t in runs]
+    assert [x.tobytes() for x in got] == want
+
+
 def test_nulls_repeats_and_blank_texts(spark):
     text = "one two three four five six seven eight"
     docs = [(3, text, "x"), (3, text, "y"), (5, text.upper(), None), (None, text, None), (7, None, None), (8, "", None), (9, " \n\t\x0b", None), (10, "a b", None), (11, "A\nb", None), (12, "a", None)]

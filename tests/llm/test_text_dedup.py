@@ -9,7 +9,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
 
-from test_near_dup import twins  # noqa: E402
+from test_near_dup import FOUR, twins  # noqa: E402
 
 from ledgerspark.llm import bloom, line_dedup, substring_dedup  # noqa: E402
 from ledgerspark.llm import textbytes as tb  # noqa: E402
@@ -140,9 +140,7 @@ def test_windows_around_a_frequent_phrase_spread_over_shards():
     rnd = random.Random(3)
     phrase = " ".join(f"p{k}" for k in range(8))
     chunk = chunk_of([" ".join(f"w{rnd.random()}" for _ in range(6)) + f" {phrase} " + " ".join(f"w{rnd.random()}" for _ in range(6)) for _ in range(3000)], 20)
-    records = np.zeros(len(chunk.at), substring_dedup.RECORD)
-    records["h1"], records["h2"] = chunk.keys().T
-    most = np.bincount(substring_dedup._shard(records, 64), minlength=64).max()
+    most = np.bincount(substring_dedup._shard(chunk.keys(), 64), minlength=64).max()
     assert len(chunk.at) == 3000 and most < 2 * len(chunk.at) / 64
 
 
@@ -184,6 +182,39 @@ def test_a_round_names_runs_then_pairs():
     assert runs.pairs(np.array([True, False, True, False])).at.tolist() == [0, 3, 4, 7]  # not across texts
 
 
+def test_words_whose_digests_differ_alike(spark):
+    a, b, c, d = FOUR
+    rest = [f"w{i}" for i in range(18)]
+    docs = [(81 + k, " ".join([*rest[:at], x, y, *rest[at:], f"own{k}"])) for k, (x, y, at) in enumerate([(a, b, 7), (c, d, 7), (a, d, 7), (c, d, 2), (a, b, 2), (c, b, 7), (a, b, 7)])]
+    for key in (tb.KEY, b"another"):
+        got = substring_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), key=key).collect()
+        assert sorted(((r.doc_id, r.n_words, r.n_removed, r.text) for r in got), key=str) == brute_repeats(docs, 20)
+
+
+def test_equal_names_remove_nothing(monkeypatch):
+    """Even where all symbols share a name, windows are equal only where their words are."""
+    monkeypatch.setattr(tb, "join", lambda a, b: np.zeros_like(a))
+    texts = ["a b c d e f", "a b c d e g", "x a b c d e f"]
+    chunk = chunk_of(texts, 5)
+    for _ in range(2):
+        chunk.compress()
+    records = np.zeros(len(chunk.at), substring_dedup.RECORD)
+    records["h1"], records["h2"] = chunk.digests().T
+    records["doc"] = np.searchsorted(chunk.first, chunk.at, "right") - 1
+    records["start"] = chunk.at - chunk.first[records["doc"]]
+    late = records[substring_dedup._later(records)[1]]
+    assert sorted(zip(late["doc"].tolist(), late["start"].tolist(), strict=True)) == [(1, 0), (2, 1), (2, 2)]
+
+
+def test_a_shard_is_folded_and_records_are_combined(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "COMBINE_RECORDS", 50)
+    monkeypatch.setattr(substring_dedup, "FOLD_BYTES", 400)
+    docs = passages(4)
+    rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    got = substring_dedup.remove_repeats(rows).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.text) for r in got), key=str) == brute_repeats(docs, 20)
+
+
 def test_passages_with_words_that_linear_hashes_confuse(spark):
     x, y = twins()
     rest = " ".join(f"w{i}" for i in range(19))
