@@ -54,8 +54,8 @@ class Centroids:
         self.rows = rows
         self.moved = np.array([0.0] * len(rows) if moved is None else moved)
         small = [all(-SMALL <= x <= SMALL for x in row) for row in rows]
-        #: numbers of those whose distances to small vectors fit longs, and of the others
-        self.small, self.large = np.flatnonzero(small), [i for i, s in enumerate(small) if not s]
+        #: numbers of those whose distances to small vectors don't fit longs
+        self.large = [i for i, s in enumerate(small) if not s]
         self.array = np.array([row if s else [0] * len(row) for row, s in zip(rows, small, strict=True)], np.int64).reshape(len(rows), -1)
 
     def next(self, rows: list[list[int]]) -> Centroids:
@@ -274,10 +274,8 @@ def cluster(vectors: DataFrame, clusters: int = CLUSTERS, rounds: int = ROUNDS,
     spark = vectors.sparkSession
     scratch = Scratch(spark)
     kept = usable(vectors, dimension)
-    now = Centroids(seeds(kept, clusters, seed))
-    bounds = max(0, min(bounds, len(now.rows) - 1))
-    if not now.rows:
-        now = Centroids([[0] * dimension])  # nothing will be assigned
+    now = Centroids(seeds(kept, clusters, seed) or [[0] * dimension])  # without vectors nothing will be assigned
+    bounds = min(bounds, len(now.rows) - 1)
     older, state = None, kept.mapInArrow(_first(dimension), STATE)
     for k in range(rounds + 1):
         passing = Scratch(spark)
