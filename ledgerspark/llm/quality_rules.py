@@ -30,10 +30,11 @@ FEATURES = {
 _WORDS = "array_remove(split(__text, '[ \\\\t-\\\\r]+'), '')"
 _LINES = "filter(split(__text, '\\\\n'), l -> l rlike '[^ \\\\t-\\\\r]')"
 _WINDOWS = f"if(n_words > {WINDOW}, transform(sequence(1, n_words - {WINDOW - 1}), i -> xxhash64(slice(__words, cast(i as int), {WINDOW}))), array())"
-#: Windows sorted with their places; the places of those with an equal neighbour; how many words these cover.
+#: Where no two windows share a hash, none repeat. Else windows by their words, sorted with their places; the places of those with an
+#: equal neighbour; how many words these cover.
 _REPEATS = f"""
 case when size(array_distinct(__windows)) = size(__windows) then 0L else
-  transform(array(sort_array(transform(__windows, (h, i) -> struct(h, i)))), s ->
+  transform(array(sort_array(transform(__windows, (x, i) -> struct(array_join(slice(__words, i + 1, {WINDOW}), ' ') as h, i as i)))), s ->
     aggregate(
       sort_array(filter(transform(s, (x, k) -> if((k > 0 and s[greatest(k - 1, 0)].h = x.h) or (k + 1 < size(s) and s[least(k + 1, size(s) - 1)].h = x.h), x.i, -1)), p -> p >= 0)),
       named_struct('n', 0L, 'last', -{WINDOW}),
@@ -146,11 +147,13 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, max_rules: int = MAX_RULES,
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> list[Rule]:
     """Rules from at most `rows` labelled documents (those of the smallest hash whose crc32 of the id mod 3 is not 1).
 
-    Conflicting labels of one doc_id count as their largest. Without labels, or without bad ones, the list is empty."""
+    Conflicting labels of one doc_id count as their largest; of rows that share one, the smallest text counts. Without
+    labels, or without bad ones, the list is empty."""
     usable = labels.where("quality in (0, 1) and doc_id is not null and crc32(cast(doc_id as string)) % 3 <> 1")
     known = usable.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("quality").alias("_quality"))
     picked = F.broadcast(known.orderBy(F.xxhash64(F.lit(13), "_id"), "_id").limit(rows))
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(picked, "_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).join(picked, "_id")
+    texts = texts.groupBy("_id", "_quality").agg(F.min(F.struct("text"))["text"].alias("text"))
     values = {name: F.expr(text) for name, text in FEATURES.items()}
     got = statistics(texts).select(F.xxhash64(F.lit(17), "_id").alias("h"), "_quality", *(v.alias(k) for k, v in values.items())).collect()
     got.sort()

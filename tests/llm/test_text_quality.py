@@ -3,6 +3,7 @@ import datetime
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -117,6 +118,39 @@ def test_rules_hold_on_unseen_rows(spark):
     assert rules and np.mean([r.kept == bool(r.quality) for r in got]) > 0.95
 
 
+def plain_verdict(text, rules):
+    """base_failed and kept by plain Python."""
+    n, chars, symbols, dup, repeat = brute_statistics(text)
+    t = text or ""
+    lines = len([x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)])
+    x = {
+        "n_words": float(n), "mean_word": chars / max(n, 1), "symbols_per_word": symbols / max(n, 1), "dup_lines_share": dup / max(lines, 1),
+        "repeat_share": repeat / max(n, 1), "upper_share": len(re.findall("[A-Z]", t)) / max(chars, 1), "marks_per_word": len(re.findall("[!?]", t)) / max(n, 1),
+    }
+    failed = n < 20 or 100 * repeat > 30 * n
+    hit = any(all((x[c.feature] >= c.threshold) == c.above for c in rule) for rule in rules)
+    return failed, not failed and not hit
+
+
+def test_verdicts_equal_plain_python(spark):
+    folder = "/root/testdata/sf0.001"
+    if not Path(folder).exists():
+        pytest.skip("the test tables aren't here")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").unionByName(labelled(spark, 200)[0])
+    rules = quality_rules.fit(*labelled(spark)) + quality_rules.fit(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
+    rows = quality_rules.apply_rules(docs, rules).collect()
+    assert len(rules) > 1 and {r.kept for r in rows} == {True, False}
+    assert [(r.base_failed, r.kept) for r in rows] == [plain_verdict(r.text, rules) for r in rows]
+
+
+def test_copies_of_labelled_rows_weigh_nothing(spark):
+    docs, labels = labelled(spark)
+    copies = docs.unionByName(docs.where("doc_id % 5 = 0")).unionByName(docs.where("doc_id < 40")).unionByName(docs.where("doc_id < 40"))
+    assert quality_rules.fit(copies, labels.unionByName(labels)) == quality_rules.fit(docs, labels)
+    two = spark.createDataFrame([(0, None), (0, "a"), (0, "b")], "doc_id long, text string")
+    assert quality_rules.fit(two, labels) == []
+
+
 def test_rules_without_labels_and_base_rule(spark):
     docs = spark.createDataFrame([(1, "w " * 19), (2, " ".join(map(str, range(20)))), (3, None), (4, "a b c d e f g h " * 5)], "doc_id long, text string")
     none = spark.createDataFrame([(9, None)], "doc_id long, quality int")
