@@ -6,15 +6,18 @@ engines' results can be compared. COVERS has, for each query, the identifiers of
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import mime
 from ..functions.values import hamming, iso_millis, lenient_timestamp, plain_number
-from ..operators import evidence, ledger, lifecycle, media, records
+from ..operators import evidence, ledger, lifecycle, media, records, signatures
 from ..operators.lineage import cut
+from ..sources.mail import parse_messages
 from . import extraction, search
 from .oracles import oracle
 from .testdata_views import Domain
@@ -24,6 +27,8 @@ ORACLES: dict[str, str] = {}
 COVERS: dict[str, str] = {}
 #: The time at which time-dependent checks are made here.
 NOW = datetime(1998, 1, 1)
+#: A public key of the right form that nobody can sign with: modulus 2**1023 + 1, exponent 65537.
+DEMO_KEY = base64.b64encode(bytes.fromhex("308189028181008" + "0" * 254 + "10203010001")).decode()
 
 
 def query(covers: str, sql: str | None, recursive: bool = False):
@@ -433,7 +438,7 @@ def unmatched_emails(d):
 def _handled(d):
     """Routed messages with what their rows are made of, handled at NOW."""
     more = d.inbound_email.withColumns({"selector": F.lit(None).cast("string"), "original_from": F.lit(None).cast("string"), "to_addr": F.col("from_addr"), "subject": F.lit(None).cast("string")})
-    more = more.withColumns({"sent_at": F.lit(None).cast("timestamp"), "bytes": F.lit(0).cast("long"), "handled_at": F.lit(NOW).cast("timestamp")})
+    more = more.withColumns({"public_key": F.lit(None).cast("string"), "l_tag_present": F.lit(False), "sent_at": F.lit(None).cast("timestamp"), "bytes": F.lit(0).cast("long"), "handled_at": F.lit(NOW).cast("timestamp")})
     return _routed(d).join(more, "id")
 
 
@@ -465,6 +470,34 @@ def mail_decisions(d):
     return lifecycle.build_chain(steps).select("enrollment_id", "id", "from_state", "to_state", "note", "prev_hash", "hash")
 
 
+@query("S7 E3 attached originals", """
+, o AS (SELECT doc_id, lang, 'From: Casino <No-Reply@casino' || (doc_id % 7) || E'.example>\r\nTo: p' || doc_id || E'@x.example\r\nSubject: about\r\n its text\r\n\r\n' || coalesce(text, '') AS original FROM documents)
+SELECT doc_id AS id, CAST(CASE WHEN doc_id % 4 = 3 THEN 1 WHEN doc_id % 5 = 0 THEN 3 ELSE 2 END AS INT) AS n_parts, doc_id % 4 <> 3 AND doc_id % 5 = 0 AS has_image,
+  'P' || doc_id || '@Example.com' AS from_addr, CASE WHEN doc_id % 4 < 3 THEN 'No-Reply@casino' || (doc_id % 7) || '.example' END AS original_from, CASE WHEN doc_id % 4 < 3 THEN 'about its text' END AS subject,
+  CASE WHEN doc_id % 4 < 3 THEN sha256(original) END AS content_hash, CASE WHEN doc_id % 4 < 3 THEN CAST(strlen(original) AS BIGINT) END AS bytes FROM o""")
+def message_originals(d):
+    rows = parse_messages(d.mail_message)
+    return rows.select("id", F.size(mime.parts(mime.latin(F.col("content")))).alias("n_parts"), "mail.has_image", "mail.from_addr", "mail.original_from", "mail.subject", "content_hash", F.octet_length("mail.original").cast("long").alias("bytes"))
+
+
+@query("E2 canonical bodies", """
+, t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '\\r?\\n', E'\r\n', 'g') AS t FROM documents),
+r AS (SELECT doc_id, t, regexp_replace(regexp_replace(replace(regexp_replace(t, '[ \\t]+', ' ', 'g'), E' \r\n', E'\r\n'), ' $', ''), '(\\r\\n)+$', '') AS x FROM t)
+SELECT doc_id, to_base64(unhex(sha256(regexp_replace(t, '(\\r\\n)+$', '') || E'\r\n'))) AS simple, to_base64(unhex(sha256(CASE WHEN x = '' THEN '' ELSE x || E'\r\n' END))) AS relaxed FROM r""")
+def body_hashes(d):
+    text = mime.latin(F.coalesce("text", F.lit("")).cast("binary"))
+    hashed = lambda relaxed: F.base64(F.unhex(F.sha2(mime.unlatin(signatures.canonical_body(text, F.lit(relaxed))), 256)))
+    return d.documents.select("doc_id", hashed(False).alias("simple"), hashed(True).alias("relaxed"))
+
+
+@query("E2 results of signatures that can't pass", """
+SELECT doc_id AS id, CASE doc_id % 8 WHEN 0 THEN 'none' WHEN 1 THEN 'permerror' WHEN 2 THEN 'permerror' WHEN 3 THEN 'neutral' WHEN 4 THEN 'temperror' WHEN 5 THEN 'neutral' ELSE 'fail' END AS dkim,
+  CASE WHEN doc_id % 8 > 0 THEN 's' || (doc_id % 8) END AS selector, doc_id % 8 = 7 AS l_tag_present FROM documents""")
+def signature_results(d):
+    keys = d.spark.createDataFrame([("s1", DEMO_KEY), ("s2", DEMO_KEY), ("s4", None), ("s5", DEMO_KEY), ("s6", f"v=DKIM1; k=rsa; p={DEMO_KEY}"), ("s7", DEMO_KEY)], "selector string, key string")
+    return signatures.verify(d.signed_message, keys.withColumn("domain", F.lit("casino.example"))).select("id", "dkim", "selector", "l_tag_present")
+
+
 @query("E2 E3", "SELECT dkim, covered, CASE lower(dkim) WHEN 'pass' THEN 'pass' WHEN 'none' THEN 'no_signature' WHEN 'temperror' THEN 'error' WHEN 'permerror' THEN 'error' ELSE 'fail' END AS verdict, count(*) AS n FROM inbound GROUP BY ALL")
 def signature_verdicts(d):
     rows = d.inbound_email.select("dkim", evidence.covers_headers(F.col("signed_headers")).alias("covered"), evidence.signature_verdict(F.col("dkim")).alias("verdict"))

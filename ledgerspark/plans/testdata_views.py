@@ -78,6 +78,23 @@ VIEWS = {
     "folder_entries": """
         SELECT doc_id, lower(concat(CASE WHEN doc_id % 23 = 0 THEN '/elsewhere/' ELSE '/Intake/' END, CASE WHEN doc_id % 19 = 0 THEN '' ELSE cast(doc_id % 40000 AS string) END, '/rec', doc_id, '.mp4')) AS path_lower,
                doc_id % 29 <> 0 AS is_file, sha2(text, 256) AS content_hash FROM documents""",
+    "mail_message": """
+        SELECT doc_id AS id, cast(concat('From: "P, ', lang, '" <P', doc_id, '@Example.com>\\r\\nMIME-Version: 1.0\\r\\nContent-Type: ',
+                 CASE WHEN doc_id % 4 = 3 THEN concat('text/plain\\r\\n\\r\\n', original) ELSE concat(
+                   'multipart/mixed;\\r\\n boundary="of: ', doc_id, '"\\r\\n\\r\\nno part\\r\\n', mark, '\\r\\n\\r\\nsee below\\n--\\nP\\r\\n',
+                   CASE WHEN doc_id % 5 = 0 THEN concat(mark, '\\r\\nContent-Type: multipart/related; boundary=in\\r\\n\\r\\n--in\\r\\nContent-Type: Image/PNG\\r\\n\\r\\n') ELSE '' END,
+                   mark, '\\r\\nContent-Type: message/rfc822; name=original.eml\\r\\nContent-Transfer-Encoding: ',
+                   CASE doc_id % 4 WHEN 0 THEN '8bit' WHEN 1 THEN 'base64' ELSE 'Quoted-Printable' END, '\\r\\n\\r\\n',
+                   CASE doc_id % 4 WHEN 0 THEN original WHEN 1 THEN regexp_replace(base64(cast(original AS binary)), '(.{{76}})', '$1\\r\\n') ELSE regexp_replace(regexp_replace(hex(cast(original AS binary)), '(..)', '=$1'), '((?:...){{1,20}})', '$1=\\r\\n') END,
+                   '\\r\\n', mark, '--\\r\\nno part either') END) AS binary) AS content
+        FROM (SELECT doc_id, lang, concat('--of: ', doc_id) AS mark,
+                concat('From: Casino <No-Reply@casino', doc_id % 7, '.example>\\r\\nTo: p', doc_id, '@x.example\\r\\nSubject: about\\r\\n its text\\r\\n\\r\\n', coalesce(text, '')) AS original FROM documents)""",
+    "signed_message": """
+        SELECT doc_id AS id, cast(concat(CASE WHEN doc_id % 8 > 0 THEN concat('DKIM-Signature: v=1; a=', CASE WHEN doc_id % 8 = 1 THEN 'ed25519-sha256' ELSE 'rsa-sha256' END, '; d=Casino.example;\\r\\n\\ts=s', doc_id % 8,
+                 CASE WHEN doc_id % 8 = 2 THEN '' ELSE '; h=From : To' END, CASE WHEN doc_id % 8 = 7 THEN concat('; l=', octet_length(body) + 2) ELSE '' END,
+                 '; bh=', base64(unhex(sha2(concat(body, CASE WHEN doc_id % 8 = 5 THEN '!' ELSE '' END, '\\r\\n'), 256))), '; b=', base64(repeat('x', 128)), '\\r\\n') ELSE '' END,
+                 'From: no-reply@casino.example\\r\\nTo: p@x.example\\r\\n\\r\\n', body, '\\r\\n\\r\\n') AS binary) AS original
+        FROM (SELECT doc_id, concat(trim(regexp_replace(coalesce(text, ''), '\\\\s+', ' ')), '.') AS body FROM documents)""",
     "inbound_email": """
         SELECT event_id AS id, CASE WHEN event_id % 31 = 0 THEN NULL WHEN event_id % 2 = 0 THEN concat('P', user_id, '@Example.com') ELSE concat('p', event_id % 3000, '@example.com') END AS from_addr,
                CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 7 = 0 THEN sha2(concat('m', event_id), 256) ELSE sha2(concat('e', event_id), 256) END AS content_hash,

@@ -1,66 +1,58 @@
-"""Raw e-mails as columns: headers and attachments by the standard library, once per message."""
+"""Raw e-mails as columns: headers and attachments, by byte ranges of the message as it came."""
 
 from __future__ import annotations
 
 import hashlib
 import hmac
-from email import message_from_bytes, policy
-from email.utils import parseaddr, parsedate_to_datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SCHEMA = "from_addr string, original_from string, to_addr string, subject string, sent_at timestamp, original binary, has_image boolean, signed_headers string, d_domain string, selector string"
+from ..functions import mime
+from ..operators.signatures import tag
 
+SCHEMA = "from_addr string, original_from string, to_addr string, subject string, sent_at timestamp, original binary, has_image boolean, signed_headers string, d_domain string, selector string, l_tag_present boolean"
 
-def _address(value) -> str | None:
-    return parseaddr(str(value))[1] or None if value else None
 
+def _attached(raw: Column, text: Column, parts: Column) -> Column:
+    """The bytes of the first message among the parts; null without one."""
+    part = F.get(F.filter(parts, lambda p: p["kind"] == "message/rfc822"), 0)
+    body = F.substr(raw, (part["start"] + 1).cast("int"), (part["stop"] - part["start"]).cast("int"))
+    return F.when(part.isNotNull(), mime.decoded(body, mime.field(part["header"], "content-transfer-encoding")))
 
-def _when(value):
-    try:
-        return parsedate_to_datetime(str(value)) if value else None
-    except (TypeError, ValueError):
-        return None
 
+def _described(raw: Column) -> Column:
+    """A message as a struct of SCHEMA."""
 
-def parse(raw: bytes | None) -> dict:
-    """Of a message: its sender, whether it holds an image, the first message attached to it, and of that one the headers and
-    its signature's tags. Without an attached message these are null."""
-    out = dict.fromkeys(c.split()[0] for c in SCHEMA.split(", ")) | {"has_image": False}
-    if not raw:
-        return out
-    message = message_from_bytes(bytes(raw), policy=policy.default)
-    out["from_addr"] = _address(message["from"])
-    for part in message.walk():
-        kind = part.get_content_type()
-        if kind == "message/rfc822" and out["original"] is None:
-            inner = part.get_payload()
-            out["original"] = (inner[0] if isinstance(inner, list) else inner).as_bytes()
-        out["has_image"] |= kind.startswith("image/") and part is not message
-    if out["original"] is None:
-        return out
-    original = message_from_bytes(out["original"], policy=policy.default)
-    tags = dict(t.strip().split("=", 1) for t in str(original.get("DKIM-Signature", "")).replace("\n", "").split(";") if "=" in t)
-    return out | {
-        "original_from": _address(original["from"]), "to_addr": _address(original["to"]), "subject": original["subject"] and str(original["subject"]),
-        "sent_at": _when(original["date"]), "signed_headers": tags.get("h"), "d_domain": tags.get("d"), "selector": tags.get("s"),
-    }
+    def outer(text: Column) -> Column:
+        header = mime.head(text)["header"]
 
+        def with_parts(parts: Column) -> Column:
+            image = F.exists(parts, lambda p: p["kind"].startswith("image/"))
+            return mime.let(_attached(raw, text, parts), lambda o: mime.let(mime.head(mime.latin(o))["header"], lambda h: inner(o, h, image)))
 
-def _parse_all(raw: pd.Series) -> pd.DataFrame:
-    rows = pd.DataFrame([parse(x) for x in raw], columns=[c.split()[0] for c in SCHEMA.split(", ")])
-    rows["sent_at"] = pd.to_datetime(rows["sent_at"], utc=True).dt.tz_localize(None)
-    return rows
+        def inner(original: Column, h: Column, image: Column) -> Column:
+            signature = mime.field(h, "dkim-signature")
+            return F.struct(
+                mime.address(mime.field(header, "from")).alias("from_addr"), mime.address(mime.field(h, "from")).alias("original_from"), mime.address(mime.field(h, "to")).alias("to_addr"),
+                mime.words(mime.field(h, "subject")).alias("subject"), mime.date(mime.field(h, "date")).alias("sent_at"), original.alias("original"), image.alias("has_image"),
+                tag(signature, "h").alias("signed_headers"), F.lower(tag(signature, "d")).alias("d_domain"), tag(signature, "s").alias("selector"), F.coalesce(tag(signature, "l").isNotNull(), F.lit(False)).alias("l_tag_present"),
+            )
+
+        return mime.let(mime.parts(text), with_parts)
+
+    return mime.let(mime.latin(F.coalesce(raw, F.lit(b""))), outer)
 
 
 def parse_messages(messages: DataFrame, column: str = "content") -> DataFrame:
-    """messages with the struct `mail` of its headers, and content_hash of the attached original (null without one).
+    """messages with the struct `mail` of SCHEMA, and content_hash of the attached original (null without one).
 
-    Signature verification needs DNS and keys; the tags are given, and a verdict is taken as a column by the router.
+    from_addr and has_image are the message's; the original is the first message attached to it, byte for byte as it stands there (a
+    transfer encoding is undone), and the other fields are that one's. Addresses keep their case. Null, empty and malformed
+    messages have nulls. The signature isn't verified here (operators.signatures.verify).
     """
-    parsed = messages.withColumn("mail", F.pandas_udf(_parse_all, SCHEMA)(F.col(column)))
+    parsed = messages.withColumn("mail", _described(F.col(column)))
     return parsed.withColumn("content_hash", F.sha2("mail.original", 256))
 
 

@@ -17,19 +17,21 @@ from ..functions.values import iso_millis
 from ..operators.evidence import route_emails, unmatched_audit
 from ..operators.lineage import cut
 from ..operators.records import mail_decisions, mail_evidence, mail_media, mail_submissions, with_snapshots
+from ..operators.signatures import verify
 from ..sources.archive import ContentStore
 from ..sources.journal import Journal, table_at
 from ..sources.mail import SCHEMA, parse_messages
 from .ingest import FILES
 
-HANDLED = f"id string, status string, enrollment_id string, tier string, dkim string, content_hash string, bytes long, handled_at timestamp, {SCHEMA.replace(', original binary', '')}"
+HANDLED = f"id string, status string, enrollment_id string, tier string, dkim string, content_hash string, bytes long, handled_at timestamp, public_key string, {SCHEMA.replace(', original binary', '')}"
 
 
 class Mailbox:
     """Message files in a folder into `target`, a Parquet table of HANDLED, in the order of their time and path.
 
-    tables() gives participants, enrollments, media of other intakes and the allow-list as they are now. verdict, of the
-    parsed message, is the signature's; without it there is none.
+    tables() gives participants, enrollments, media of other intakes and the allow-list as they are now. keys() gives the records
+    (selector, domain, key) that the originals' signatures are checked by; in its place verdict, of the parsed message, may be
+    the signature's result. Without either there is none.
     """
 
     def __init__(
@@ -42,8 +44,9 @@ class Mailbox:
         tables: Callable[[], tuple[DataFrame, DataFrame, DataFrame, DataFrame]],
         verdict: Column | None = None,
         others: tuple[Callable[[], tuple[DataFrame, DataFrame, DataFrame]], ...] = (),
+        keys: Callable[[], DataFrame] | None = None,
     ):
-        self.spark, self.folder, self.target, self.store, self.journal, self.tables, self.others = spark, folder, target, store, journal, tables, others
+        self.spark, self.folder, self.target, self.store, self.journal, self.tables, self.others, self.keys = spark, folder, target, store, journal, tables, others, keys
         self.verdict = F.lit(None).cast("string") if verdict is None else verdict
 
     def handled(self) -> DataFrame:
@@ -64,10 +67,11 @@ class Mailbox:
 
     def batch(self, files: DataFrame, batch_id: int) -> None:
         raw = files.select(F.concat_ws("|", iso_millis(F.col("modificationTime")), "path").alias("id"), "content")
-        parsed = cut(parse_messages(raw).withColumn("dkim", self.verdict).drop("content"))
+        parsed = parse_messages(raw).withColumn("dkim", self.verdict).drop("content").select("id", "content_hash", "dkim", "mail.*", F.lit(None).cast("string").alias("public_key"))
+        parsed = cut(verify(parsed, self.keys()) if self.keys else parsed)
         participants, enrollments, media, allowlist = self.tables()
         done = cut(self.handled().join(parsed.select("id"), "id", "left_semi"))
-        new = parsed.join(done.select("id"), "id", "left_anti").select("id", "content_hash", "dkim", "mail.*")
+        new = parsed.join(done.select("id"), "id", "left_anti")
         new = new.withColumn("bytes", F.octet_length("original").cast("long"))
         media = media.select("content_hash").unionByName(mail_media(self.handled()).select("content_hash"))
         routed = route_emails(new, participants, self.journal.states(enrollments), media.join(new.select("content_hash"), "content_hash", "left_semi"), allowlist)
