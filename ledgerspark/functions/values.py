@@ -74,6 +74,12 @@ def hash_from_hex(text: Column) -> Column:
     return F.conv(text, 16, -10).cast("long")
 
 
+def stored_hash(meta: Column) -> Column:
+    """The hash in a medium's metadata, JSON text whose dHash is hexadecimal; null where the text, the field or the hash isn't well-formed."""
+    text = F.try_variant_get(F.try_parse_json(meta), "$.dHash", "string")
+    return F.when(text.rlike("^[0-9a-fA-F]{1,16}$"), hash_from_hex(text))
+
+
 def difference_hash(pixels: Column) -> Column:
     """64 bits from 8 rows of 9 gray values, flattened: whether each is brighter than its right neighbour, first bit highest."""
     bit = lambda i: F.when(F.get(pixels, (i / 8).cast("int") * 9 + i % 8) > F.get(pixels, (i / 8).cast("int") * 9 + i % 8 + 1), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))

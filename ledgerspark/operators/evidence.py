@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.values import millis_between
 from .ledger import flag
 from .lineage import cut
-from .media import encoder_trace, keyframe_outliers
+from .media import encoder_trace, intervals, keyframe_outliers, upper_median
 
 DAY_MS = 86_400_000
 #: Fixed values of the checks.
@@ -46,13 +46,19 @@ def shared_rows(rows: DataFrame) -> DataFrame:
     participant match none. What is used more than once is written first.
     """
     per_run = cut(rows.where("participant_id is not null").groupBy("row_key", "run_id", "participant_id").agg(F.count(F.lit(1)).alias("n")))
-    per_person = per_run.groupBy("row_key", "participant_id").agg(F.sum("n").alias("own"))
+    return shared_by_sums(per_run, per_run.groupBy("row_key", "participant_id").agg(F.sum("n").alias("own")))
+
+
+def shared_by_sums(per_run: DataFrame, per_person: DataFrame) -> DataFrame:
+    """shared_rows of the runs in per_run (row_key, run_id, participant_id), by how many rows of each key each participant has: per_person
+    (row_key, participant_id, own), these runs' own among them."""
     per_key = per_person.groupBy("row_key").agg(F.sum("own").alias("all"), F.count(F.lit(1)).alias("people")).where("people > 1")
     hits = cut(per_run.select("row_key", "run_id", "participant_id").join(per_key, "row_key").join(per_person, ["row_key", "participant_id"]))
     totals = hits.groupBy("run_id").agg(F.sum(F.col("all") - F.col("own")).alias("n_matches"), F.max("people").alias("most"))
     # A key of more participants than the cap settles its runs. The others' keys are all small, and are listed.
     small = totals.where(F.col("most") <= SHARED_CAP).select("run_id")
-    others = hits.where(F.col("people") <= SHARED_CAP).select("row_key", F.col("participant_id").alias("other")).distinct()
+    few = hits.where(F.col("people") <= SHARED_CAP).select("row_key").distinct()
+    others = per_person.join(few, "row_key", "left_semi").select("row_key", F.col("participant_id").alias("other")).distinct()
     people = hits.join(small, "run_id", "left_semi").select("run_id", "row_key", "participant_id").join(others, "row_key").where("other <> participant_id")
     people = people.groupBy("run_id", "other").agg(F.lit(1).alias("one")).groupBy("run_id").agg(F.count(F.lit(1)).alias("n_participants"))
     cap = lambda c: F.least(c, F.lit(SHARED_CAP).cast("long"))
@@ -67,8 +73,13 @@ def sharing_runs(rows: DataFrame) -> DataFrame:
 
 
 def submission_flags(submissions: DataFrame, grants: DataFrame, enrollments: DataFrame, formats: DataFrame, keyframes: DataFrame) -> DataFrame:
-    """All flags that a submission has by itself, from one pass: those of gap_flags, intake_flags and sequence_flags, and
-    of recordings from the folder ENCODER_MISMATCH and FRAME_DISCONTINUITY.
+    """All flags that a submission has by itself, from one pass: submission_findings without their detail."""
+    return submission_findings(submissions, grants, enrollments, formats, keyframes).drop("detail")
+
+
+def submission_findings(submissions: DataFrame, grants: DataFrame, enrollments: DataFrame, formats: DataFrame, keyframes: DataFrame) -> DataFrame:
+    """The flags of gap_flags, intake_flags and sequence_flags, and of recordings from the folder ENCODER_MISMATCH and
+    FRAME_DISCONTINUITY, with detail, a sentence with the figures.
 
     An enrollment has one grant at most, a submission one container format (submission_id, encoder) and one row of
     keyframes (submission_id, times). Nothing known of a submission flags nothing.
@@ -76,21 +87,24 @@ def submission_flags(submissions: DataFrame, grants: DataFrame, enrollments: Dat
     rows = submissions.select("id", "enrollment_id", "kind", "channel", "received_at")
     rows = rows.join(grants.select("enrollment_id", "sent_at"), "enrollment_id", "left")
     rows = rows.join(enrollments.select(F.col("id").alias("enrollment_id"), "state"), "enrollment_id", "left")
-    traces = formats.select(F.col("submission_id").alias("id"), encoder_trace(F.col("encoder")).alias("trace")).where("trace is not null")
-    gaps = keyframes.select(F.col("submission_id").alias("id"), keyframe_outliers(F.col("times")).alias("outliers")).where("outliers > 0")
+    traces = formats.select(F.col("submission_id").alias("id"), "encoder", encoder_trace(F.col("encoder")).alias("trace")).where("trace is not null")
+    far = F.col("outliers").cast("string"), (F.size("times") - 1).cast("string"), F.format_string("%.2f", upper_median(intervals(F.col("times"))))
+    gaps = keyframes.select(F.col("submission_id").alias("id"), "times", keyframe_outliers(F.col("times")).alias("outliers")).where("outliers > 0")
+    gaps = gaps.select("id", "outliers", F.concat(far[0], F.lit(" of "), far[1], F.lit(" keyframe intervals are far from their median of "), far[2], F.lit(" s")).alias("gap_text"))
     rows = rows.join(traces, "id", "left").join(gaps, "id", "left")
-    made = lambda hit, code, severity: F.when(hit, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity")))
+    made = lambda hit, code, severity, *text: F.when(hit, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.concat(*text).alias("detail")))
+    days = F.format_string("%.1f", F.abs(millis_between(F.col("received_at"), F.col("sent_at"))) / DAY_MS)
     folder = F.col("channel") == "dropbox"
     found = F.array_compact(
         F.array(
-            made(F.abs(millis_between(F.col("received_at"), F.col("sent_at"))) > GAP_DAYS * DAY_MS, "SUBMISSION_GAP", "warning"),
-            made(F.col("channel") == "manual_upload", "MANUAL_INTAKE", "info"),
-            made((F.col("kind") == "wager_recording") & (F.col("state") != "funded"), "OUT_OF_SEQUENCE", "warning"),
-            made(folder & F.col("trace").isNotNull(), "ENCODER_MISMATCH", "warning"),
-            made(folder & F.col("outliers").isNotNull(), "FRAME_DISCONTINUITY", "warning"),
+            made(F.abs(millis_between(F.col("received_at"), F.col("sent_at"))) > GAP_DAYS * DAY_MS, "SUBMISSION_GAP", "warning", days, F.lit(f" days from the grant; up to {GAP_DAYS} are usual")),
+            made(F.col("channel") == "manual_upload", "MANUAL_INTAKE", "info", F.lit("uploaded by hand; where it comes from isn't verified")),
+            made((F.col("kind") == "wager_recording") & (F.col("state") != "funded"), "OUT_OF_SEQUENCE", "warning", F.lit("came while the enrollment was "), F.col("state")),
+            made(folder & F.col("trace").isNotNull(), "ENCODER_MISMATCH", "warning", F.lit('the encoder "'), F.col("encoder"), F.lit('" re-encodes: '), F.col("trace")),
+            made(folder & F.col("outliers").isNotNull(), "FRAME_DISCONTINUITY", "warning", F.col("gap_text")),
         )
     )
-    return rows.select(F.col("id").alias("run_id"), F.inline(found)).withColumn("item", F.lit(None).cast("int"))
+    return rows.select(F.col("id").alias("run_id"), F.inline(found)).select("run_id", "code", "severity", F.lit(None).cast("int").alias("item"), "detail")
 
 
 def prefunding_checks(enrollments: DataFrame, all_enrollments: DataFrame, participants: DataFrame, submissions: DataFrame, evidence: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ engines' results can be compared. COVERS has, for each query, the identifiers of
 from __future__ import annotations
 
 import base64
+import json
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -14,12 +16,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import mime
-from ..functions.values import hamming, iso_millis, lenient_timestamp, plain_number
+from ..functions.frames import difference_hash
+from ..functions.values import hamming, iso_millis, lenient_timestamp, plain_number, stored_hash
 from ..operators import evidence, ledger, lifecycle, media, records, signatures
-from ..operators.lineage import cut
+from ..operators.lineage import cut, shared_folder
 from ..sources.mail import parse_messages
+from ..sources.tables import Tables
 from . import extraction, search
 from .oracles import oracle
+from .process import Extraction
 from .testdata_views import Domain
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -470,6 +475,78 @@ def mail_decisions(d):
     return lifecycle.build_chain(steps).select("enrollment_id", "id", "from_state", "to_state", "note", "prev_hash", "hash")
 
 
+def _published(d: Domain) -> Extraction:
+    """All recordings of the test tables through the extraction job. A recording is JSON here: its frames, each with the rows read from it."""
+    row = F.struct("row_pos", "timestamp", "type", "amount", "balance_after", "confidence")
+    frames = d.frame_reads.groupBy("run_id", "frame_index").agg(F.min("frame_ts").alias("frame_ts"), F.sort_array(F.collect_list(row)).alias("rows"))
+    whole = frames.groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("frame_index", "frame_ts", "rows"))).alias("frames"))
+    recordings_ = d.submission.where("kind = 'wager_recording'")
+    contents = recordings_.join(whole, F.col("run_id") == F.col("id"), "left").select("content_hash", F.to_json(F.struct("id", "frames")).cast("binary").alias("content"))
+    kind = f"id long, frames array<struct<frame_index: int, frame_ts: double, rows: {whole.schema['frames'].dataType.elementType['rows'].dataType.simpleString()}>>"
+    parsed = lambda c: c.select("run_id", F.from_json(F.col("content").cast("string"), kind).alias("x"))
+
+    def framed(c: DataFrame) -> DataFrame:
+        each = parsed(c).select("run_id", F.inline("x.frames"))
+        return each.select("run_id", "frame_index", "frame_ts", F.to_json(F.struct("rows")).cast("binary").alias("image"), F.xxhash64("run_id", "frame_index").alias("dhash"), F.lit(None).cast("string").alias("error"))
+
+    def probed(c: DataFrame) -> DataFrame:
+        own = parsed(c).select("run_id", F.col("x.id").alias("submission_id"))
+        return own.join(d.container_format.drop("channel"), "submission_id", "left").join(d.keyframes, "submission_id", "left").select("run_id", "encoder", "times", F.lit(None).cast("string").alias("error"))
+
+    def read(shown: list[tuple[int, float, bytes]]) -> tuple[list[dict], int, int]:
+        return [r | {"frame_index": i} for i, _, image in shown for r in json.loads(image)["rows"]], 10 * len(shown), 1
+
+    job = Extraction(Tables(d.spark, f"{shared_folder(d.spark)}/published-{uuid.uuid4().hex}"), read, "v1", frames=framed, probe=probed)
+    job.run("all", recordings_, d.enrollment, d.grants, contents, NOW)
+    return job
+
+
+@query("S15 R28 E5 J11 G1 G4 G7, published in one commit", """
+, m AS (SELECT run_id, count(*) AS n FROM g1 GROUP BY run_id),
+f AS (SELECT l_orderkey AS run_id, count(DISTINCT frame) AS n FROM (SELECT run_id AS l_orderkey, frame FROM reads) GROUP BY 1)
+SELECT s.id, 'succeeded' AS status, CAST(coalesce(f.n, 0) * 10 AS BIGINT) AS tokens, r.n_rows, r.wagered_total, r.granted_amount, r.delta, r.arithmetic_ok,
+  CAST(coalesce(m.n, 0) AS BIGINT) AS mismatches, coalesce(r.wagered_total < r.granted_amount, false) AS shortfall,
+  s.channel = 'dropbox' AND s.id % 13 <> 0 AND s.id % 5 <> 3 AS encoder_flag
+FROM submission s JOIN recon r ON r.run_id = s.id LEFT JOIN m ON m.run_id = s.id LEFT JOIN f ON f.run_id = s.id WHERE s.kind = 'wager_recording'""")
+def published_extraction(d):
+    job = _published(d)
+    flags = job.table("integrity_flag").groupBy("run_id").agg(
+        F.count_if(F.expr("code = 'ARITHMETIC_MISMATCH' and detail like 'row %: the balance moved by %'")).alias("mismatches"),
+        F.count_if(F.expr("code = 'WAGER_SHORTFALL' and detail like 'wagered % granted'")).alias("short"), F.count_if(F.expr("code = 'ENCODER_MISMATCH'")).alias("encoded"),
+    )
+    runs = job.table("extraction_run").select(F.col("id").alias("run_id"), "submission_id", "status", F.coalesce("input_tokens", F.lit(0)).alias("tokens"))
+    rows = runs.join(job.table("reconciliation"), "run_id").join(flags, "run_id", "left")
+    none = lambda c: F.coalesce(c, F.lit(0))
+    return rows.select(
+        F.col("submission_id").cast("long").alias("id"), "status", "tokens", "n_rows", "wagered_total", "granted_amount", "delta", "arithmetic_ok",
+        none("mismatches").alias("mismatches"), (none("short") > 0).alias("shortfall"), (none("encoded") > 0).alias("encoder_flag"),
+    )
+
+
+@query("§2.10 json, T1 stored hashes read back", """
+, h AS (SELECT id, lower(CASE WHEN dhash IS NULL THEN NULL ELSE format('{:x}', CAST(dhash AS UBIGINT)) END) AS text FROM media_asset WHERE dhash >= 0 OR dhash IS NULL)
+SELECT id, text AS d_hash, CASE WHEN id % 4 = 1 THEN NULL ELSE text END AS read_back FROM h""")
+def media_metadata(d):
+    # as recordings' metadata may be: with the hash, with other things beside it, broken, and without one
+    text = F.lower(F.hex("dhash"))
+    meta = F.when(F.pmod("id", F.lit(4)) == 1, F.concat(F.lit('{"dHash": "'), text)).when(F.pmod("id", F.lit(4)) == 2, F.to_json(F.struct(F.array(F.lit(1)).alias("x"), text.alias("dHash")))).otherwise(F.to_json(F.struct(text.alias("dHash"))))
+    rows = d.media_asset.where("dhash >= 0 or dhash is null").select("id", "dhash", meta.alias("source_meta"))
+    return rows.select("id", text.alias("d_hash"), F.lower(F.hex(stored_hash(F.col("source_meta")))).alias("read_back"))
+
+
+@query("S12 §2.10 bit, hashes from gray frames", """
+, p AS (SELECT vec_id, unnest(list_transform(embedding, lambda x: CAST(least(255, greatest(0, floor(128 + 40 * CAST(x AS DOUBLE)))) AS BIGINT))) AS p, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings),
+x AS (SELECT i, px, greatest(0, least((i + 1) * 16, (px + 1) * 9) - greatest(i * 16, px * 9)) AS w FROM (SELECT unnest(range(9)) AS i), (SELECT unnest(range(16)) AS px)),
+y AS (SELECT j, py, greatest(0, least((j + 1) * 4, (py + 1) * 8) - greatest(j * 4, py * 8)) AS w FROM (SELECT unnest(range(8)) AS j), (SELECT unnest(range(4)) AS py)),
+s AS (SELECT vec_id, i, j, CAST((2 * sum(p * x.w * y.w) + 64) // 128 AS BIGINT) AS g FROM p JOIN x ON x.px = k % 16 AND x.w > 0 JOIN y ON y.py = k // 16 AND y.w > 0 GROUP BY ALL),
+b AS (SELECT a.vec_id, CASE WHEN a.g > b.g THEN CAST(1 AS HUGEINT) << CAST(63 - (8 * a.j + a.i) AS INT) ELSE 0 END AS bit FROM s a JOIN s b ON b.vec_id = a.vec_id AND b.j = a.j AND b.i = a.i + 1)
+SELECT vec_id, CAST(CASE WHEN sum(bit) >= 9223372036854775808 THEN sum(bit) - 18446744073709551616 ELSE sum(bit) END AS BIGINT) AS dhash FROM b GROUP BY vec_id""")
+def frame_pixel_hashes(d):
+    pixel = lambda x: F.least(F.lit(255), F.greatest(F.lit(0), F.floor(128 + 40 * x.cast("double")))).cast("int")
+    gray = F.unhex(F.array_join(F.transform("embedding", lambda x: F.lpad(F.hex(pixel(x)), 2, "0")), ""))
+    return d.embeddings.select("vec_id", difference_hash(F.lit(16), F.lit(4), gray).alias("dhash"))
+
+
 @query("S7 E3 attached originals", """
 , o AS (SELECT doc_id, lang, 'From: Casino <No-Reply@casino' || (doc_id % 7) || E'.example>\r\nTo: p' || doc_id || E'@x.example\r\nSubject: about\r\n its text\r\n\r\n' || coalesce(text, '') AS original FROM documents)
 SELECT doc_id AS id, CAST(CASE WHEN doc_id % 4 = 3 THEN 1 WHEN doc_id % 5 = 0 THEN 3 ELSE 2 END AS INT) AS n_parts, doc_id % 4 <> 3 AND doc_id % 5 = 0 AS has_image,
