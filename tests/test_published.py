@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerspark.functions import frames as fr
-from ledgerspark.operators import evidence, media
+from ledgerspark.operators import evidence, lifecycle, media
 from ledgerspark.plans.process import SCHEMAS, Extraction
+from ledgerspark.sources.journal import Journal
 from ledgerspark.sources.kept import MediaHashes, RowSums, bucket
 from ledgerspark.sources.tables import Conflict, Tables
 
@@ -327,3 +328,38 @@ def test_extraction_in_one_commit(spark, tables, monkeypatch):
     assert [c for c, _ in new] == ["DUPLICATE_MEDIA", "ENCODER_MISMATCH", "FRAME_DISCONTINUITY", "SHARED_ROWS"] and dict(new)["SHARED_ROWS"] == "2 rows are also in recordings of 2 other participants"
     assert dict(new)["DUPLICATE_MEDIA"] == "like media 101, 2 bits apart" and set(job.tables.state().files) >= set(SCHEMAS)
     assert job.run("b3", subs.limit(0), enrollments, grants, more, now) == 3
+
+
+def test_two_writers_of_a_journal(spark, tmp_path, monkeypatch):
+    path = (tmp_path / "journal").as_uri()
+    rows = lambda *steps: spark.createDataFrame([(e, a, b, "staff", None, T0 + timedelta(hours=h), None) for e, a, b, h in steps], "enrollment_id string, from_state string, to_state string, actor string, note string, at timestamp, snapshot string")
+    one, two = Journal(spark, path), Journal(spark, path)
+    one.append(rows(("1", "invited", "email_submitted", 0), ("2", "invited", "email_submitted", 0)))
+    whole, did, others = Tables.write, [], [("1", "email_submitted", "email_verified", 1), ("3", "invited", "email_submitted", 1)]
+
+    def meanwhile(self, table, chained, partition=None):
+        files = whole(self, table, chained, partition)
+        if not did:  # another writer comes between: on the same enrollment, and on another one
+            did.append(1)
+            two.append(rows(*others))
+        return files
+
+    monkeypatch.setattr(Tables, "write", meanwhile)
+    one.append(rows(("1", "email_submitted", "email_verified", 2), ("1", "email_verified", "funded", 3), ("2", "email_submitted", "email_verified", 2)))
+    monkeypatch.undo()
+    table = one.table()
+    assert sorted((r.enrollment_id, r.to_state) for r in table.collect()) == [("1", "email_submitted"), ("1", "email_verified"), ("1", "funded"), ("2", "email_submitted"), ("2", "email_verified"), ("3", "email_submitted")]
+    assert {(r.linked, r.intact) for r in lifecycle.verify_chain(table).collect()} == {(True, True)}
+    # writers on other enrollments don't start again
+    did.clear()
+    others[:], calls = [("3", "email_submitted", "email_verified", 8)], []
+    monkeypatch.setattr(Tables, "write", meanwhile)
+    monkeypatch.setattr("ledgerspark.sources.journal.build_chain", lambda *a: calls.append(1) or lifecycle.build_chain(*a))
+    one.append(rows(("9", "invited", "email_submitted", 9)))
+    monkeypatch.undo()
+    assert len(calls) == 2 and one.table().count() == 8
+    # twice the same, or after a terminal state, adds nothing
+    one.append(rows(("9", "invited", "email_submitted", 9)))
+    one.append(rows(("9", "email_submitted", "rejected", 10)))
+    one.append(rows(("9", "rejected", "abandoned", 11), ("9", "email_submitted", "email_verified", 11)))
+    assert [r.to_state for r in one.table().where("enrollment_id = '9'").orderBy("at").collect()] == ["email_submitted", "rejected"]
