@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import millis_between
+from .folds import fold
 from .ledger import flag
 from .lineage import cut
 from .media import encoder_trace, intervals, keyframe_outliers, upper_median
@@ -218,22 +219,49 @@ def email_transitions(routed: DataFrame, enrollments: DataFrame) -> DataFrame:
     return rows.select("id", "enrollment_id", F.inline(steps))
 
 
-def first_come(edges: DataFrame) -> DataFrame:
-    """Of edges (id, sender, content_hash), those taken when they come in the order of id and each sender and hash is taken once.
+def joined_ends(links: DataFrame) -> DataFrame:
+    """links (u, v) -> (node, component): of every node the smallest that links lead to, itself included.
 
-    Edges that are first for both are taken; edges of a sender or hash that is taken go; this is repeated until none is
-    left. Each round is some joins, and a chain of edges that wait for each other takes as many rounds as it is long.
+    Links are brought to stars: each node passes its smallest neighbour on to the larger ones, then to all (large and small stars,
+    Kiveris et al. 2014). A pass is a minimum for each node and a join, and passes grow as the logarithm of a component.
     """
-    edges, taken = edges.groupBy("sender", "content_hash").agg(F.min("id").alias("id")), None
+    edges, seen = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), None
     while True:
         edges = cut(edges)
-        least = lambda key, name: edges.groupBy(key).agg(F.min("id").alias(name))
-        first = edges.join(least("sender", "_s"), "sender").join(least("content_hash", "_h"), "content_hash").where("id = _s and id = _h")
-        first = cut(first.select("id", "sender", "content_hash"))
-        taken = first if taken is None else taken.unionByName(first)
-        edges = edges.join(first.select("sender"), "sender", "left_anti").join(first.select("content_hash"), "content_hash", "left_anti")
-        if first.isEmpty() or edges.isEmpty():
-            return taken
+        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20)"))).first()
+        if now == seen or not now[0]:
+            ends = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            own = links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+            return own.join(ends, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+        seen = now
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = cut(both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+
+
+def first_come(edges: DataFrame) -> DataFrame:
+    """Of edges (id, sender, content_hash), those taken when they come in the order of id and each sender and hash is taken once.
+
+    Edges wait for each other only where senders and hashes join them: of each such component the edges pass in order, as
+    one stream that holds what the component has taken. However long a chain of waiting messages, the passes that find the
+    components grow as its logarithm.
+    """
+    edges = cut(edges.groupBy("sender", "content_hash").agg(F.min("id").alias("id")))
+    sender, content = F.concat(F.lit("s"), "sender"), F.concat(F.lit("h"), "content_hash")
+    places = cut(joined_ends(edges.select(sender.alias("u"), content.alias("v"))))
+
+    def step(taken, sender, content):
+        taken = taken or set()
+        free = ("s", sender) not in taken and ("h", content) not in taken
+        if free:
+            taken |= {("s", sender), ("h", content)}
+        return taken, (free,)
+
+    rows = edges.withColumn("node", sender).join(places, "node").select("component", "id", "sender", "content_hash")
+    return cut(fold(rows, "component", ["id"], ["sender", "content_hash"], step, "_free boolean").where("_free").select("id", "sender", "content_hash"))
 
 
 def unmatched_audit(routed: DataFrame, messages: DataFrame) -> DataFrame:

@@ -7,7 +7,11 @@ import logging
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import cut
+
 log = logging.getLogger(__name__)
+#: Batches of up to this number of files send their hashes (64 bytes each) to the archive's scan; larger ones are joined.
+SMALL_BATCH = 100_000
 
 
 def scan_folder(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -76,9 +80,12 @@ class ContentStore:
     def put(self, rows: DataFrame) -> None:
         """Adds rows (content) whose hash isn't there yet; equal bytes in a batch are stored once."""
         named = rows.select(F.sha2("content", 256).alias("content_hash"), "content").withColumn("shard", F.substring("content_hash", 1, 2))
-        shards = [r[0] for r in named.select("shard").distinct().collect()]  # 256 at most
-        there = self.table().where(F.col("shard").isin(*shards)).select("content_hash")
-        fresh = named.join(there, "content_hash", "left_anti").dropDuplicates(["content_hash"])
+        own = cut(named.select("content_hash", "shard").distinct())
+        shards = [r[0] for r in own.select("shard").distinct().collect()]  # 256 at most
+        # the batch's hashes go to the archive's files, not the archive's to the batch
+        small = own.count() <= SMALL_BATCH
+        there = self.table().where(F.col("shard").isin(*shards)).select("content_hash").join(F.broadcast(own) if small else own.hint("merge"), "content_hash", "left_semi")
+        fresh = named.join(there.select("content_hash"), "content_hash", "left_anti").dropDuplicates(["content_hash"])
         fresh.write.mode("append").partitionBy("shard").parquet(self.root)
 
     def get(self, content_hash: str) -> DataFrame:

@@ -18,12 +18,10 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.evidence import classify_entries, submissions_of
 from ..operators.lineage import cut
 from ..operators.records import recording_decisions, recording_flags, recording_submissions, with_snapshots
-from ..sources.archive import ContentStore, describe
+from ..sources.archive import SMALL_BATCH, ContentStore, describe
 from ..sources.journal import Journal, table_at
 
 log = logging.getLogger(__name__)
-#: Batches of up to this number of files send their hashes (64 bytes each) to the archive's scan; larger ones are joined.
-SMALL_BATCH = 100_000
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
 MEDIA = "content_hash string, enrollment_id string, bytes bigint, path_lower string, kind string, channel string, advances boolean, flags array<string>, ingested_at timestamp"
 

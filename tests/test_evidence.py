@@ -234,3 +234,15 @@ def test_each_transition_is_judged_alike(spark, domain, strict):
     pairs = spark.createDataFrame([(a, b) for a in names for b in names], "a string, b string")
     for r in pairs.withColumn("o", lifecycle.transition_outcome(F.col("a"), F.col("b"), strict)).collect():
         assert lifecycle._outcome(r.a, r.b, strict) == r.o
+
+
+def test_a_chain_of_waiting_messages(spark, monkeypatch):
+    """Each message waits for the one before: of 500 every other one is taken, in a number of jobs that hardly grows."""
+    edges = spark.createDataFrame([(i, f"s{i // 2}", f"h{(i + 1) // 2}") for i in range(500)] + [(1000, "s0", "hx"), (1001, "sy", "hy")], "id long, sender string, content_hash string")
+    cuts = []
+    whole = evidence.cut
+    monkeypatch.setattr(evidence, "cut", lambda df: cuts.append(1) or whole(df))
+    assert {r.id for r in evidence.first_come(edges).collect()} == set(range(0, 500, 2)) | {1001}
+    assert len(cuts) < 30
+    assert evidence.first_come(edges.limit(0)).collect() == []
+    assert {r.id for r in evidence.first_come(edges.where("id > 997")).collect()} == {1000, 1001}
