@@ -74,10 +74,11 @@ def _fill(children: DataFrame, keys: list[str], name: str) -> DataFrame:
     left = F.col("budget") - F.coalesce(F.sum("capacity").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     weights = F.sum("weight").over(by.rowsBetween(0, Window.unboundedFollowing))
     rows = children.where("weight > 0").withColumns({"_left": left, "_weights": weights, "_at": F.row_number().over(by)})
-    full = F.col("capacity") * F.col("_weights") <= F.col("_left") * F.col("weight")
+    wide = lambda c: F.col(c).cast("decimal(19,0)")  # noqa: E731  products of two longs
+    full = wide("capacity") * wide("_weights") <= wide("_left") * wide("weight")
     first = F.min(F.when(~full, F.struct("_at", "_left", "_weights"))).over(Window.partitionBy(*(keys or [F.lit(1)])))
     rows = rows.withColumns({"_full": full, "_first": first})
-    share = F.expr("(_first._left * weight) div _first._weights")
+    share = F.expr("(cast(_first._left as decimal(19,0)) * cast(weight as decimal(19,0))) div cast(_first._weights as decimal(19,0))")
     return rows.withColumn("allotted", F.when(F.col("_full"), F.col("capacity")).otherwise(share)).drop("_left", "_weights", "_at", "_full", "_first")
 
 

@@ -107,6 +107,13 @@ def test_budgets_equal_a_direct_filling(spark):
             assert got == {k: want.get(k, 0) for k in leaves}
 
 
+def test_budgets_of_large_weights_and_corpora(spark):
+    leaves = {f"s{i}": (99_991 + i, 10**13 + 7 * i) for i in range(40)} | {"small": (10**9, 5)}
+    frame = spark.createDataFrame([("web", "en", s, n) for s, (_, n) in leaves.items()], "domain string, lang string, source string, available long")
+    got = {r.source: r.budget for r in mixing.budgets(frame, {"source": {s: w for s, (w, _) in leaves.items()}}, 60, 4).collect()}
+    assert got == water(sum(n for _, n in leaves.values()) * 60 // 100, {s: (w, 4 * n) for s, (w, n) in leaves.items()})
+
+
 def test_other_levels(spark):
     docs = [(i, "w " * (i % 5), f"h{i % 4}", "en") for i in range(200)]
     frame = spark.createDataFrame(docs, "doc_id long, text string, host string, lang string")
