@@ -264,9 +264,11 @@ def decision_chain(d):
     return lifecycle.build_chain(d.decision).select("enrollment_id", "id", "prev_hash", "hash")
 
 
-@query("W6 verification (extension)", "SELECT enrollment_id, id, true AS linked, true AS intact FROM decision")
+@query("W6 verification (extension), of a log in which notes and hashes were changed", """SELECT enrollment_id, id, coalesce(lag(id) OVER (PARTITION BY enrollment_id ORDER BY "at", id) % 50, 0) <> 23 AS linked, id % 50 NOT IN (7, 23) AS intact FROM decision""")
 def decision_chain_check(d):
-    return lifecycle.verify_chain(lifecycle.build_chain(d.decision))
+    built = lifecycle.build_chain(d.decision)
+    note, hash_ = F.when(F.col("id") % 50 == 7, F.concat(F.coalesce("note", F.lit("")), F.lit("!"))).otherwise(F.col("note")), F.when(F.col("id") % 50 == 23, F.sha2("hash", 256)).otherwise(F.col("hash"))
+    return lifecycle.verify_chain(built.withColumns({"note": note, "hash": hash_}))
 
 
 @query("R13 S9", _CHAIN + """SELECT d."at", d.id, concat_ws(',', d.id, d.enrollment_id, d.actor, d.from_state, d.to_state, strftime(d."at", '%Y-%m-%dT%H:%M:%S.%gZ'),
@@ -607,9 +609,11 @@ def flagged_documents(d):
     return d.documents.join(d.labels.where("toxic = 1"), "doc_id", "left_semi").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("F9 Q18 substring predicate", "SELECT p_partkey, regexp_matches(lower(p_name), 'bet|wager|stake') OR regexp_matches(lower(p_name), 'a') AS hit FROM part")
+@query("F9 Q18 substring predicate", "SELECT p_partkey, p_partkey % 7 <> 0 AND p_partkey % 5 IN (1, 2, 3) OR coalesce(regexp_matches(lower(p_name), 'bet|wager|stake') AND p_partkey % 7 <> 0, false) AS hit FROM part")
 def hinted_names(d):
-    return d.part.select("p_partkey", (ledger.is_wager(F.col("p_name")) | F.lower("p_name").contains("a")).alias("hit"))
+    kinds = F.array(*map(F.lit, (" be t", " Better luck", "-WAGERED", "a mistake", " steak")))
+    named = d.part.withColumn("kind", F.when(F.col("p_partkey") % 7 != 0, F.concat("p_name", F.get(kinds, (F.col("p_partkey") % 5).cast("int")))))
+    return named.select("p_partkey", ledger.is_wager(F.col("kind")).alias("hit"))
 
 
 @query("§2.10 scalar functions", "SELECT run_id, ordinal, CAST(CAST(amount AS BIGINT) AS VARCHAR) AS amount_text, strftime(try_strptime(ts, '%Y-%m-%dT%H:%M:%SZ'), '%Y-%m-%dT%H:%M:%S.%gZ') AS \"at\" FROM ledger")
