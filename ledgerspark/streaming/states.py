@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.values import iso_millis
-from ..operators.lifecycle import outcome_of
+from ..operators.lifecycle import _outcome
 
 DECISIONS = "enrollment_id string, id long, actor string, from_state string, to_state string, note string, at timestamp, snapshot string, outcome string, prev_hash string, hash string"
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -40,7 +40,7 @@ class _Machine(StatefulProcessor):
         batch = pd.concat(list(rows)).sort_values(["at", "id"], kind="stable")
         made = []
         for r in batch.itertuples(index=False):
-            outcome, before, own = outcome_of(state, r.to_state, self.strict), None, None
+            outcome, before, own = _outcome(state, r.to_state, self.strict), None, None
             if outcome == "legal":
                 before = head
                 shown = "null" if head is None else f'"{head}"'
