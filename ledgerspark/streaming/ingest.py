@@ -96,9 +96,22 @@ class Ingest:
         except Exception:
             log.exception("what follows an intake failed; the intake stands")
 
+    def changed(self, changes: DataFrame, batch_id: int) -> None:
+        """A batch of sources.changes: the files that are named and still there, as a batch. Paths are as Spark reads them; deletions and
+        folders change nothing."""
+        own = changes.where("is_file and not deleted and path is not null").select("path").distinct()
+        there = sorted(r[0] for r in own.collect() if _there(self.spark, r[0]))  # as many as the pages of a batch have
+        if there:
+            self.batch(self.spark.read.format("binaryFile").schema(FILES).option("ignoreMissingFiles", "true").load(there), batch_id)
+
     def start(self, checkpoint: str, poll_seconds: float | None = None) -> StreamingQuery:
         """Everything there is, then stops; with poll_seconds, again and again."""
         files = self.spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true").load(self.folder)
         writer = files.writeStream.foreachBatch(self.batch).option("checkpointLocation", checkpoint)
         writer = writer.trigger(availableNow=True) if poll_seconds is None else writer.trigger(processingTime=f"{poll_seconds} seconds")
         return writer.start()
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
