@@ -5,9 +5,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerspark.config import Settings
 from ledgerspark.functions import frames as fr
 from ledgerspark.operators import evidence, lifecycle, media
 from ledgerspark.plans.process import SCHEMAS, Extraction
+from ledgerspark.plans.stored import Stored
 from ledgerspark.sources.journal import Journal
 from ledgerspark.sources.kept import MediaHashes, RowSums, bucket
 from ledgerspark.sources.tables import Conflict, Tables
@@ -77,6 +79,23 @@ def test_upserts_rewrite_only_touched_files(spark, tables, monkeypatch):
     assert [tuple(r) for r in tables.read("retention_settings", "id string, days int, at int").collect()] == [("default", 30, -30)]
 
 
+def test_what_staff_set_is_stored(spark, tables):
+    stored = Stored(tables)
+    assert stored.settings() == Settings() and stored.grants().count() == 0
+    assert stored.set_retention(T0, raw_media_days=10).raw_media_retention_days == 10
+    assert stored.set_retention(T0 - timedelta(days=1), funded_email_days=20) == Settings(raw_media_retention_days=10, funded_email_evidence_retention_days=20) == Stored(tables).settings()
+    with pytest.raises(ValueError, match="at least a day"):
+        stored.set_retention(T0, raw_media_days=0)
+    grants = lambda rows: spark.createDataFrame(rows, "enrollment_id long, amount double, sent_at timestamp, method string, updated_at timestamp")
+    stored.set_grants(grants([(1, 5.0, T0, None, T0), (2, 7.5, T0, "wire", T0), (1, 6.0, T0, "wire", T0 + timedelta(1)), (None, 1.0, T0, None, T0)]))
+    stored.set_grants(grants([(2, 9.25, T0, None, T0)]))
+    assert {r.enrollment_id: (float(r.amount), r.method) for r in stored.grants().collect()} == {"1": (6.0, "wire"), "2": (9.25, None)}
+    signers = lambda rows: spark.createDataFrame(rows, "casino string, domain string")
+    stored.allow(signers([("c", "a.example"), ("c", "a.example"), ("d", "a.example")]))
+    stored.allow(signers([("c", "a.example"), ("c", "b.example"), (None, "x")]))
+    assert sorted(map(tuple, stored.signers().collect())) == [("c", "a.example"), ("c", "b.example"), ("d", "a.example")]
+
+
 def test_a_writer_that_finds_another_starts_again(spark, tables, monkeypatch):
     schema = "id int, n int"
     frame = lambda rows: spark.createDataFrame(rows, schema)
