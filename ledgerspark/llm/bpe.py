@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import itertools
+import math
 import sys
 from array import array
 
@@ -52,6 +53,8 @@ class Vocabulary:
         #: whether a token is other than whole UTF-8 sequences
         self.ends = [_runs(t) != CLEAN for t in self.token]
         self.stems = {t[:n] for t in self.rank for n in range(1, len(t))}
+        #: what edges() found, by token
+        self._edges: dict[int, tuple[list, list] | None] = {}
 
     def merged(self, data: bytes) -> list[int]:
         """By the definition: the pair of lowest rank merges first, the leftmost of equal ones."""
@@ -63,6 +66,55 @@ class Vocabulary:
                 return [self.rank[p] for p in parts]
             parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
 
+    def edges(self, token: int) -> tuple[list[tuple[bytes, float]], list[tuple[bytes, float]]] | None:
+        """The first and the last part of a token at each time of its own merging, with the rank at which that part ends.
+
+        Ranks serve as times, so there is none for a token whose merges don't come by rising rank, or that isn't its
+        own encoding.
+        """
+        if token not in self._edges:
+            self._edges[token] = self._merge_edges(self.token[token])
+        return self._edges[token]
+
+    def _merge_edges(self, data: bytes):
+        parts = [data[i : i + 1] for i in range(len(data))]
+        first, last, now = [], [], -1
+        while len(parts) > 1:
+            ranked = [(self.rank.get(a + b), i) for i, (a, b) in enumerate(itertools.pairwise(parts))]
+            rank, i = min((x for x in ranked if x[0] is not None), default=(-1, 0))
+            if rank < now or rank < 0:
+                return None
+            if i == 0:
+                first.append((parts[0], rank))
+            if i == len(parts) - 2:
+                last.append((parts[-1], rank))
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            now = rank
+        return [*first, (data, math.inf)], [*last, (data, math.inf)]
+
+    def stay_apart(self, a: int, b: int) -> bool:
+        """Whether no merge joins tokens a and b, that is, whether they are what their bytes encode to.
+
+        Until a merge crosses their border, both merge as they would alone. So the last part of a meets the first part of
+        b for the time both last, and they join if their pair's rank is due before either ends; at one rank what is
+        further left goes first.
+        """
+        left, right = self.edges(a), self.edges(b)
+        if left is None or right is None:
+            return self.merged(self.token[a] + self.token[b]) == [a, b]
+        rank, lasts, firsts, i, j = self.rank.get, left[1], right[0], 0, 0
+        while True:
+            (x, x_ends), (y, y_ends) = lasts[i], firsts[j]
+            due = rank(x + y)
+            if due is not None and due < x_ends and due <= y_ends:
+                return False
+            if x_ends == y_ends == math.inf:
+                return True
+            if x_ends <= y_ends:
+                i += 1
+            else:
+                j += 1
+
 
 class Cache:
     """A bounded map: two generations, of which the older goes when the newer is full."""
@@ -114,8 +166,8 @@ class Transducer:
         """Whether tokens a, b are what their bytes encode to; a may be START."""
         known = self.pairs.get((a, b))
         if known is None:
-            token = self.vocabulary.token
-            known = self.vocabulary.merged((token[a] if a >= 0 else b"") + token[b]) == ([a, b] if a >= 0 else [b])
+            v = self.vocabulary
+            known = v.stay_apart(a, b) if a >= 0 else v.edges(b) is not None or v.merged(v.token[b]) == [b]
             self.pairs.put((a, b), known)
         return known
 

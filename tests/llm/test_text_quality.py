@@ -47,6 +47,30 @@ def test_bpe_of_long_pieces_and_small_caches(library, monkeypatch):
         assert own.encode(text) == library.encode_ordinary(text)
 
 
+def test_pairs_stay_apart_as_plain_merging_says():
+    own, draw = bpe.Vocabulary(PATH), random.Random(4)
+    ids = list(own.rank.values())
+    short = [i for i in ids if own.size[i] <= 3]
+    pairs = [(draw.choice(x), draw.choice(x)) for x in (ids, short) for _ in range(4000)] + [(i, i) for i in ids[::20]]
+    got = [own.stay_apart(a, b) for a, b in pairs]
+    assert got == [own.merged(own.token[a] + own.token[b]) == [a, b] for a, b in pairs]
+    assert set(got) == {True, False}
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_pairs_of_made_up_ranks_in_any_order(tmp_path, seed):
+    draw = random.Random(seed)
+    words = {"".join(draw.choice("ab") for _ in range(draw.randint(2, 6))).encode() for _ in range(20)}
+    tokens = [b"a", b"b", *draw.sample(sorted(words), len(words))]
+    path = tmp_path / "made.tiktoken"
+    path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % i for i, t in enumerate(tokens)))
+    own = bpe.Vocabulary(str(path))
+    for a in range(len(tokens)):
+        assert (own.edges(a) is not None) <= (own.merged(own.token[a]) == [a])
+        for b in range(len(tokens)):
+            assert own.stay_apart(a, b) == (own.merged(own.token[a] + own.token[b]) == [a, b])
+
+
 def test_streaming_decoder_in_any_portions(library):
     own = bpe.encoder(PATH, public_tokenizers.PATTERN)
     text = "aé中😀" * 50 + " end"
