@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import textbytes as tb
 
 #: Bounds of what a Python worker remembers; past them the older half is forgotten and made again when met.
-MAX_STATES, MAX_PIECES, MAX_PAIRS = 1 << 18, 1 << 18, 1 << 16
+MAX_STATES, MAX_PIECES, MAX_PAIRS, MAX_EDGES = 1 << 17, 1 << 18, 1 << 16, 1 << 13
 START = -1
 #: Bytes after which tokens are emitted, in pieces longer than that.
 EMIT = 256
@@ -53,8 +53,8 @@ class Vocabulary:
         #: whether a token is other than whole UTF-8 sequences
         self.ends = [_runs(t) != CLEAN for t in self.token]
         self.stems = {t[:n] for t in self.rank for n in range(1, len(t))}
-        #: what edges() found, by token
-        self._edges: dict[int, tuple[list, list] | None] = {}
+        #: what edges() found, by token; () for none
+        self._edges = Cache(MAX_EDGES)
 
     def merged(self, data: bytes) -> list[int]:
         """By the definition: the pair of lowest rank merges first, the leftmost of equal ones."""
@@ -72,9 +72,11 @@ class Vocabulary:
         Ranks serve as times, so there is none for a token whose merges don't come by rising rank, or that isn't its
         own encoding.
         """
-        if token not in self._edges:
-            self._edges[token] = self._merge_edges(self.token[token])
-        return self._edges[token]
+        known = self._edges.get(token)
+        if known is None:
+            known = self._merge_edges(self.token[token]) or ()
+            self._edges.put(token, known)
+        return known or None
 
     def _merge_edges(self, data: bytes):
         parts = [data[i : i + 1] for i in range(len(data))]
