@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import mime
 from ..functions.frames import difference_hash
 from ..functions.values import hamming, iso_millis, lenient_timestamp, plain_number, stored_hash
-from ..operators import evidence, ledger, lifecycle, media, records, signatures
+from ..operators import evidence, ledger, lifecycle, media, people, records, signatures
 from ..operators.lineage import cut, shared_folder
 from ..sources.mail import parse_messages
 from ..sources.tables import Tables
@@ -598,6 +598,37 @@ def allowlist_upserts(d):
     return lifecycle.upsert(d.dkim_allowed_signer, more, ["casino", "domain"])
 
 
+@query("S10 new participants", """
+, asked AS (SELECT CAST(c_custkey AS VARCHAR) AS id, c_custkey % 8 AS k, 'p' || c_custkey AS p FROM customer),
+forms AS (SELECT id, k, [p || '@example.com', p || '''s+x@a-b.co.uk', upper(p) || '@EXAMPLE.ORG', '.' || p || '@example.com', p || '..x@example.com', p || '@example', p || '.@example.com', NULL][CAST(k + 1 AS INT)] AS email FROM asked)
+SELECT id, email, CASE WHEN k BETWEEN 3 AND 6 THEN 'not an e-mail address' END AS error FROM forms""")
+def participant_creation(d):
+    made = lambda before, after: F.concat(F.lit(before), F.lit("p"), F.col("c_custkey").cast("string"), F.lit(after))
+    shouted = F.concat(F.lit("P"), F.col("c_custkey").cast("string"), F.lit("@EXAMPLE.ORG"))
+    forms = F.array(made("", "@example.com"), made("", "'s+x@a-b.co.uk"), shouted, made(".", "@example.com"), made("", "..x@example.com"), made("", "@example"), made("", ".@example.com"), F.lit(None))
+    rows = d.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("contact"), F.get(forms, (F.col("c_custkey") % 8).cast("int")).alias("email"), F.lit(NOW).alias("created_at"))
+    return people.new_participants(rows).select("id", "email", "error")
+
+
+@query("S10 R29 new enrollments of known participants", """
+SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(o_custkey AS VARCHAR) AS participant_id, CASE WHEN o_orderkey % 13 = 0 THEN '' WHEN o_orderkey % 13 <> 1 THEN o_orderpriority END AS casino, 'invited' AS state,
+  CASE WHEN o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey <> 3) THEN 'participant not found' WHEN o_orderkey % 13 < 2 THEN 'no casino' END AS error FROM orders""")
+def enrollment_creation(d):
+    casino = F.when(F.col("o_orderkey") % 13 == 0, "").when(F.col("o_orderkey") % 13 != 1, F.col("o_orderpriority"))
+    rows = d.orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("participant_id"), casino.alias("casino"), F.col("o_orderdate").alias("created_at"))
+    known = d.customer.where("c_nationkey <> 3").select(F.col("c_custkey").alias("id"))
+    return people.new_enrollments(rows, known).drop("created_at")
+
+
+@query("S10 R29 requests for files", """
+, asked AS (SELECT DISTINCT user_id AS eid FROM events)
+SELECT CAST(eid AS VARCHAR) AS enrollment_id, CASE WHEN e.id IS NOT NULL THEN '/intake/' || eid END AS destination_path, CASE WHEN e.id IS NOT NULL THEN 'Evidence, ' || e.casino END AS title,
+  CASE WHEN e.id IS NULL THEN 'no enrollment ' || eid END AS error FROM asked LEFT JOIN enrollment e ON e.id = eid""")
+def file_request_creation(d):
+    rows = d.events.select(F.col("user_id").alias("enrollment_id")).distinct().withColumns({"id": F.concat(F.lit("r"), F.col("enrollment_id").cast("string")), "created_at": F.lit(NOW)})
+    return people.file_requests(rows, d.enrollment, "/intake/", "Evidence, ").select("enrollment_id", "destination_path", "title", "error")
+
+
 @query("J2 nested fetch of turns", "SELECT conv_id, count(*) AS n_turns, string_agg(role, '>' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id")
 def conversation_turns(d):
     listed = search.nested(d.conversations, "conv_id", ["turn"], ["role"], "turns")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import logging
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,8 @@ from ..operators.lineage import cut
 log = logging.getLogger(__name__)
 #: Batches of up to this number of files send their hashes (64 bytes each) to the archive's scan; larger ones are joined.
 SMALL_BATCH = 100_000
+#: Files that are deleted at the same time, and names that are held for that.
+DELETERS, NAMES = 16, 1024
 
 
 def scan_folder(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -42,10 +46,11 @@ def _file(spark: SparkSession, uri: str):
 def remove_sources(rows: DataFrame) -> None:
     """Deletes the files of rows (path), as binaryFile names them. One that can't be deleted is logged and left.
 
-    Paths come to the driver partition by partition; files are deleted one after the other.
+    Paths come to the driver partition by partition; so many files at a time are deleted side by side.
     """
     spark = rows.sparkSession
-    for (name,) in rows.select("path").distinct().toLocalIterator():
+
+    def remove(name: str) -> None:
         try:
             path = spark._jvm.org.apache.hadoop.fs.Path(name)
             gone = path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, False)
@@ -55,6 +60,11 @@ def remove_sources(rows: DataFrame) -> None:
             if not gone:
                 log.warning("%s was not there any more", name)
 
+    names = (r[0] for r in rows.select("path").where("path is not null").distinct().toLocalIterator())
+    with ThreadPoolExecutor(DELETERS) as pool:
+        while some := list(itertools.islice(names, NAMES)):
+            list(pool.map(remove, some))
+
 
 class ContentStore:
     """Bytes by SHA-256 in a Parquet table, partitioned by the first two digits of the hash; written once each.

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerspark.config import Settings
 from ledgerspark.functions import frames as fr
 from ledgerspark.operators import evidence, lifecycle, media
+from ledgerspark.plans import search
 from ledgerspark.plans.process import SCHEMAS, Extraction
 from ledgerspark.plans.stored import Stored
 from ledgerspark.sources.journal import Journal
@@ -96,6 +97,49 @@ def test_what_staff_set_is_stored(spark, tables):
     assert sorted(map(tuple, stored.signers().collect())) == [("c", "a.example"), ("c", "b.example"), ("d", "a.example")]
 
 
+def test_participants_enrollments_and_file_requests_are_stored(spark, tables):
+    stored = Stored(tables)
+    people = lambda rows: spark.createDataFrame(rows, "id long, contact string, email string, created_at timestamp")
+    refused = stored.add_participants(people([(1, "a", "a@b.example", T0), (2, None, None, T0), (3, "c", "c@b", T0), (None, "d", None, T0), (4, "e", "a@b.example\n", T0), (5, "f", "", T0)]))
+    assert {(r.id, r.error) for r in refused.collect()} == {("3", "not an e-mail address"), (None, "no id"), ("4", "not an e-mail address"), ("5", "not an e-mail address")}
+    stored.add_participants(people([(1, "other", None, T0), (6, "g", None, T0)]))  # who is there stays as they are
+    assert {r.id: (r.contact, r.email) for r in stored.participants().collect()} == {"1": ("a", "a@b.example"), "2": (None, None), "6": ("g", None)}
+
+    enroll = lambda rows: stored.enroll(spark.createDataFrame(rows, "id long, participant_id long, casino string, created_at timestamp"))
+    refused = enroll([(10, 1, "c", T0), (11, 3, "c", T0), (12, 2, "", T0), (13, 2, None, T0), (14, None, "c", T0), (10, 1, "c", T0)])
+    assert {(r.id, r.error) for r in refused.collect()} == {("11", "participant not found"), ("12", "no casino"), ("13", "no casino"), ("14", "participant not found")}
+    tables.upsert("enrollment", "id string, participant_id string, casino string, state string, created_at timestamp", stored.enrollments().withColumn("state", F.lit("funded")), ["id"], "created_at")
+    assert enroll([(10, 1, "c", T0), (15, 2, "d", T0)]).count() == 0
+    assert {(r.id, r.participant_id, r.state) for r in stored.enrollments().collect()} == {("10", "1", "funded"), ("15", "2", "invited")}
+
+    asked = []
+
+    def ask(rows):
+        asked.extend(map(tuple, rows.collect()))
+        return rows.select("id", F.concat(F.lit("service-"), "id").alias("request_id"), F.concat(F.lit("https://x.example/"), "id").alias("url"))
+
+    request = lambda rows, how: stored.request_files(spark.createDataFrame(rows, "id string, enrollment_id long, created_at timestamp"), "/in/", how)
+    refused = request([("r1", 10, T0), ("r2", 15, T0), ("r3", 99, T0), ("r1", 10, T0)], lambda rows: ask(rows.where("id = 'r1'")))
+    assert {(r.id, r.error) for r in refused.collect()} == {("r2", "no answer"), ("r3", "no enrollment 99")}
+    assert request([("r1", 10, T0), ("r2", 15, T0)], ask).count() == 0
+    assert asked == [("r1", "/in/10", "Verification evidence, c"), ("r2", "/in/15", "Verification evidence, d")]
+    assert {(r.id, r.request_id, r.url, r.destination_path) for r in stored.file_requests().collect()} == {(r, f"service-{r}", f"https://x.example/{r}", f"/in/{e}") for r, e in (("r1", 10), ("r2", 15))}
+
+
+def test_staff_come_and_go(spark, tables):
+    stored = Stored(tables)
+    first, token = stored.add_staff("Ann", "ops", T0)
+    second, other = stored.add_staff("Bo", "admin", T0)
+    for name, role in (("", "ops"), ("Cy", "reviewer")):
+        with pytest.raises(ValueError, match="role"):
+            stored.add_staff(name, role, T0)
+    assert [r.id for r in search.staff_by_token(stored.staff(), token).collect()] == [first] and token != other
+    assert not stored.staff().where(F.col("token_hash").isin(token, other)).count()
+    stored.remove_staff(first)
+    stored.remove_staff("nobody")
+    assert [(r.id, r.name, r.role) for r in stored.staff().collect()] == [(second, "Bo", "admin")]
+
+
 def test_a_writer_that_finds_another_starts_again(spark, tables, monkeypatch):
     schema = "id int, n int"
     frame = lambda rows: spark.createDataFrame(rows, schema)
