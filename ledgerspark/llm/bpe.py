@@ -343,14 +343,19 @@ class StreamingDecoder:
         return rest
 
 
-_OPEN: dict[tuple[str, str], Encoder] = {}
+_OPEN: dict[str, Vocabulary] = {}
 
 
-def encoder(path: str, pattern: str) -> Encoder:
+def vocabulary(path: str) -> Vocabulary:
     """One of each per Python worker."""
-    if (path, pattern) not in _OPEN:
-        _OPEN[path, pattern] = Encoder(Vocabulary(path), pattern)
-    return _OPEN[path, pattern]
+    if path not in _OPEN:
+        _OPEN[path] = Vocabulary(path)
+    return _OPEN[path]
+
+
+def encoder(path: str, pattern: str) -> Encoder:
+    """A new one for each task: workers outlive their tasks, and what it remembers would stay with every one that ever encoded."""
+    return Encoder(vocabulary(path), pattern)
 
 
 def _decoded(vocabulary: Vocabulary, ids: np.ndarray | list[int], portion: int, replace: bool = False) -> bytes:
@@ -394,10 +399,10 @@ def decode(tokens: DataFrame, path: str, pattern: str, portion: int = 4096) -> D
     names = tokens.columns
 
     def run(batches):
-        vocabulary = encoder(path, pattern).transducer.vocabulary
+        known = vocabulary(path)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index("ids"))
-            out = [_decoded(vocabulary, x.values.to_numpy(zero_copy_only=False), portion, True).decode() if x.is_valid else None for x in column]
+            out = [_decoded(known, x.values.to_numpy(zero_copy_only=False), portion, True).decode() if x.is_valid else None for x in column]
             yield pa.RecordBatch.from_pydict({n: batch.column(batch.schema.get_field_index(n)) for n in names} | {"decoded": pa.array(out, pa.string())})
 
     return tokens.mapInArrow(run, tokens.select("*", F.lit(None).cast("string").alias("decoded")).schema)

@@ -3,6 +3,7 @@ import datetime
 import hashlib
 import random
 import re
+import weakref
 from pathlib import Path
 
 import numpy as np
@@ -47,6 +48,16 @@ def test_bpe_of_long_pieces_and_small_caches(library, monkeypatch):
         assert own.encode(text) == library.encode_ordinary(text)
 
 
+def test_what_an_encoder_remembers_goes_with_its_task():
+    own = bpe.encoder(PATH, public_tokenizers.PATTERN)
+    own.encode("Andanedreer ofthtionnted")
+    other, gone = bpe.encoder(PATH, public_tokenizers.PATTERN), weakref.ref(own)
+    assert other.transducer.vocabulary is own.transducer.vocabulary
+    assert not other.known.new and len(other.transducer.states) == 1
+    del own
+    assert gone() is None
+
+
 def test_pairs_stay_apart_as_plain_merging_says():
     own, draw = bpe.Vocabulary(PATH), random.Random(4)
     ids = list(own.rank.values())
