@@ -12,7 +12,6 @@ from __future__ import annotations
 import base64
 import itertools
 import math
-import sys
 from array import array
 
 import numpy as np
@@ -24,8 +23,9 @@ from pyspark.sql import functions as F
 from . import textbytes as tb
 
 #: Bounds of what a Python worker remembers; past them the older half is forgotten and made again when met.
-MAX_STATES, MAX_PIECES, MAX_PAIRS, MAX_EDGES = 1 << 17, 1 << 18, 1 << 16, 1 << 13
+MAX_STATES, MAX_PIECES, MAX_PAIRS = 1 << 18, 1 << 17, 1 << 16
 START = -1
+BYTES = [bytes((i,)) for i in range(256)]
 #: Bytes after which tokens are emitted, in pieces longer than that.
 EMIT = 256
 
@@ -53,8 +53,8 @@ class Vocabulary:
         #: whether a token is other than whole UTF-8 sequences
         self.ends = [_runs(t) != CLEAN for t in self.token]
         self.stems = {t[:n] for t in self.rank for n in range(1, len(t))}
-        #: what edges() found, by token; () for none
-        self._edges = Cache(MAX_EDGES)
+        #: the two tokens that a token's last merge joins, as far as looked up; 0 for those not yet, -1 for none, else left + 1
+        self._left, self._right = array("i", bytes(4 * len(self.token))), array("i", bytes(4 * len(self.token)))
 
     def merged(self, data: bytes) -> list[int]:
         """By the definition: the pair of lowest rank merges first, the leftmost of equal ones."""
@@ -66,56 +66,53 @@ class Vocabulary:
                 return [self.rank[p] for p in parts]
             parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
 
-    def edges(self, token: int) -> tuple[list[tuple[bytes, float]], list[tuple[bytes, float]]] | None:
-        """The first and the last part of a token at each time of its own merging, with the rank at which that part ends.
+    def edges(self, token: int) -> tuple[int, int] | None:
+        """The two tokens that the last merge of a token joins; the token twice for a single byte.
 
-        Ranks serve as times, so there is none for a token whose merges don't come by rising rank, or that isn't its
+        Ranks serve as times, so there are none for a token whose merges don't come by rising rank, or that isn't its
         own encoding.
         """
-        known = self._edges.get(token)
-        if known is None:
-            known = self._merge_edges(self.token[token]) or ()
-            self._edges.put(token, known)
-        return known or None
-
-    def _merge_edges(self, data: bytes):
-        parts = [data[i : i + 1] for i in range(len(data))]
-        first, last, now = [], [], -1
-        while len(parts) > 1:
-            ranked = [(self.rank.get(a + b), i) for i, (a, b) in enumerate(itertools.pairwise(parts))]
-            rank, i = min((x for x in ranked if x[0] is not None), default=(-1, 0))
-            if rank < now or rank < 0:
-                return None
-            if i == 0:
-                first.append((parts[0], rank))
-            if i == len(parts) - 2:
-                last.append((parts[-1], rank))
+        left = self._left[token]
+        if left == 0:
+            a, b = self._last_merge(token)
+            self._left[token], self._right[token] = left, _ = a + 1 or -1, b
+        return (left - 1, self._right[token]) if left > 0 else None
+
+    def _last_merge(self, token: int) -> tuple[int, int]:
+        data, rank = self.token[token], self.rank
+        parts, now = [data[i : i + 1] for i in range(len(data))], -1
+        if len(parts) == 1:
+            return token, token
+        while True:
+            due, i = min(((rank[x + y], i) for i, (x, y) in enumerate(itertools.pairwise(parts)) if x + y in rank), default=(-1, 0))
+            if due < now or due < 0:
+                return -2, -2
+            if len(parts) == 2:
+                return rank[parts[0]], rank[parts[1]]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            now = rank
-        return [*first, (data, math.inf)], [*last, (data, math.inf)]
+            now = due
 
     def stay_apart(self, a: int, b: int) -> bool:
         """Whether no merge joins tokens a and b, that is, whether they are what their bytes encode to.
 
         Until a merge crosses their border, both merge as they would alone. So the last part of a meets the first part of
         b for the time both last, and they join if their pair's rank is due before either ends; at one rank what is
-        further left goes first.
+        further left goes first. The parts are followed back in time: of the two, what was made later is taken apart.
         """
-        left, right = self.edges(a), self.edges(b)
-        if left is None or right is None:
+        if self.edges(a) is None or self.edges(b) is None:
             return self.merged(self.token[a] + self.token[b]) == [a, b]
-        rank, lasts, firsts, i, j = self.rank.get, left[1], right[0], 0, 0
+        rank, token, size, x, y = self.rank, self.token, self.size, a, b
+        x_ends = y_ends = math.inf
         while True:
-            (x, x_ends), (y, y_ends) = lasts[i], firsts[j]
-            due = rank(x + y)
+            due = rank.get(token[x] + token[y])
             if due is not None and due < x_ends and due <= y_ends:
                 return False
-            if x_ends == y_ends == math.inf:
-                return True
-            if x_ends <= y_ends:
-                i += 1
+            if size[x] > 1 and (size[y] == 1 or x > y):
+                x_ends, x = x, self.edges(x)[1]
+            elif size[y] > 1:
+                y_ends, y = y, self.edges(y)[0]
             else:
-                j += 1
+                return True
 
 
 class Cache:
@@ -144,54 +141,70 @@ class Transducer:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.pairs = Cache(MAX_PAIRS)
-        self._reset()
-
-    def _reset(self) -> None:
-        #: of each state, packed: how many positions are live; bytes back and the token that ends there of each, the
-        #: farthest first; the bytes they cover
-        self.states: list[bytes] = [self._pack([(0, START)], b"")]
+        #: by a state's number: the bytes since the farthest live position, then of each, the farthest first, how many
+        #: bytes it is back and the token that ends there; and the numbers by these
+        self.states: dict[int, tuple] = {0: (b"", 0, START)}
         self.number = {self.states[0]: 0}
         #: from where << 8 | byte to the next where; a where is state << 20 | last token, 0 at the start only
         self.next: dict[int, int] = {}
-
-    @staticmethod
-    def _pack(live: list[tuple[int, int]], tail: bytes) -> bytes:
-        return array("i", [len(live), *itertools.chain.from_iterable(live)]).tobytes() + tail
-
-    def _live(self, state: int) -> tuple[list[tuple[int, int]], bytes]:
-        packed = self.states[state]
-        n = int.from_bytes(packed[:4], sys.byteorder)
-        flat = array("i", packed[4 : 4 + 8 * n])
-        return list(zip(flat[::2], flat[1::2], strict=True)), packed[4 + 8 * n :]
+        self.older, self.made = ({}, {}, {}), 1
+
+    def _age(self, state: int) -> None:
+        """What wasn't used since the last time is forgotten, but for the start and this state."""
+        self.older = self.states, self.number, self.next
+        self.states = {s: self.states[s] for s in (0, state)}
+        self.number, self.next = {key: s for s, key in self.states.items()}, {}
+
+    def _recall(self, at: int) -> int | None:
+        """A transition of the older half, which moves to the newer with the state it leads to."""
+        states, _, after = self.older
+        found = after.get(at)
+        if found is not None:
+            self.next[at] = found
+            to = found >> 20
+            if to not in self.states:
+                self.states[to] = key = states[to]
+                self.number[key] = to
+        return found
 
     def follows(self, a: int, b: int) -> bool:
         """Whether tokens a, b are what their bytes encode to; a may be START."""
-        known = self.pairs.get((a, b))
+        known = self.pairs.get(a << 20 | b)
         if known is None:
             v = self.vocabulary
             known = v.stay_apart(a, b) if a >= 0 else v.edges(b) is not None or v.merged(v.token[b]) == [b]
-            self.pairs.put((a, b), known)
+            self.pairs.put(a << 20 | b, known)
         return known
 
     def step(self, where: int, byte: int) -> int:
-        live, tail = self._live(where >> 20)
-        tail += bytes((byte,))
-        rank, stems = self.vocabulary.rank, self.vocabulary.stems
-        size, on, last = len(tail), [], START
-        for back, token in live:
-            piece = tail[size - back - 1 :]
+        found = self._recall(where << 8 | byte)
+        if found is not None:
+            return found
+        live = self.states[where >> 20]
+        tail = live[0] + BYTES[byte]
+        rank, stems, known = self.vocabulary.rank, self.vocabulary.stems, self.pairs.new
+        size, on, last, far = len(tail), [], START, 0
+        for i in range(1, len(live), 2):
+            back = live[i] + 1
+            piece = tail[size - back :]
             if last == START:
                 t = rank.get(piece)
-                if t is not None and self.follows(token, t):
-                    last = t
+                if t is not None:
+                    token = live[i + 1]
+                    ok = known.get(token << 20 | t)
+                    if self.follows(token, t) if ok is None else ok:
+                        last = t
             if piece in stems:
-                on.append((back + 1, token))
-        on.append((0, last))
-        key = self._pack(on, tail[size - on[0][0] :] if on[0][0] else b"")
+                far = far or back
+                on += (back, live[i + 1])
+        key = (tail[size - far :] if far else b"", *on, 0, last)
         to = self.number.get(key)
         if to is None:
-            to = self.number[key] = len(self.states)
-            self.states.append(key)
+            to = self.older[1].get(key)
+            if to is None:
+                to, self.made = self.made, self.made + 1
+            self.number[key] = to
+            self.states[to] = key
         self.next[where << 8 | byte] = found = to << 20 | last
         return found
 
@@ -199,8 +212,8 @@ class Transducer:
         whole = self.vocabulary.rank.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.states) > MAX_STATES:
-            self._reset()
+        if len(self.states) > MAX_STATES // 2:
+            self._age(0)
         out: list[int] = []
         where, seen = 0, []
         for at in range(0, len(piece), EMIT):
@@ -210,8 +223,8 @@ class Transducer:
                 note(where)
             if at + EMIT < len(piece):
                 seen = self._emit(seen, where >> 20, out)
-                if len(self.states) > MAX_STATES:
-                    where = self._restart(where)
+                if len(self.states) > MAX_STATES // 2:
+                    self._age(where >> 20)
         return out + self._path(seen, len(seen))
 
     def _path(self, seen: list[int], at: int) -> list[int]:
@@ -226,7 +239,7 @@ class Transducer:
 
     def _emit(self, seen: list[int], state: int, out: list[int]) -> list[int]:
         """Emits what all live positions share; what is seen of the bytes after that."""
-        paths = [self._path(seen, len(seen) - back) for back, _ in self._live(state)[0]]
+        paths = [self._path(seen, len(seen) - back) for back in self.states[state][1::2]]
         shared = 0
         for tokens in zip(*paths, strict=False):
             if len(set(tokens)) > 1:
@@ -235,13 +248,6 @@ class Transducer:
         out += paths[0][:shared]
         return seen[sum(self.vocabulary.size[t] for t in paths[0][:shared]) :]
 
-    def _restart(self, where: int) -> int:
-        key = self.states[where >> 20]
-        self._reset()
-        self.number[key] = len(self.states)
-        self.states.append(key)
-        return self.number[key] << 20 | where & 0xFFFFF
-
 
 def _spaces(pattern: str) -> str:
     """White space as Unicode has it, as the public tokenizer's own regular expressions do."""

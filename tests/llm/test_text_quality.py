@@ -58,6 +58,25 @@ def test_what_an_encoder_remembers_goes_with_its_task():
     assert gone() is None
 
 
+def test_a_tokens_merges_are_looked_up_once():
+    class Counted(dict):
+        looked = 0
+
+        def get(self, *key):
+            Counted.looked += 1
+            return super().get(*key)
+
+        def __contains__(self, key):
+            Counted.looked += 1
+            return super().__contains__(key)
+
+    own = bpe.Vocabulary(PATH)
+    own.rank = Counted(own.rank)
+    ids = [i for i in range(len(own.token)) if own.size[i] > 1][:12000]
+    first, looked = [own.edges(i) for i in ids], Counted.looked
+    assert [own.edges(i) for i in ids] == first and Counted.looked == looked > 0
+
+
 def test_pairs_stay_apart_as_plain_merging_says():
     own, draw = bpe.Vocabulary(PATH), random.Random(4)
     ids = list(own.rank.values())
