@@ -1,4 +1,5 @@
 import random
+import time
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -9,7 +10,7 @@ from ledgerspark.config import Settings
 from ledgerspark.functions import frames as fr
 from ledgerspark.operators import evidence, lifecycle, media
 from ledgerspark.plans import search
-from ledgerspark.plans.process import SCHEMAS, Extraction
+from ledgerspark.plans.process import SCHEMAS, Extraction, read_frames
 from ledgerspark.plans.stored import Stored
 from ledgerspark.sources.journal import Journal
 from ledgerspark.sources.kept import MediaHashes, RowSums, bucket
@@ -393,6 +394,37 @@ def test_extraction_in_one_commit(spark, tables, monkeypatch):
     assert job.run("b3", subs.limit(0), enrollments, grants, more, now) == 3
 
 
+def test_runs_pass_a_reader_as_one_stream(spark):
+    rnd, frames, want = random.Random(2), [], {}
+    for n in range(300):
+        last, shown, values = None, [], [rnd.choice([None, *HASHES]) for _ in range(rnd.randint(1, 6))]
+        values = [v if v is None else v ^ rnd.choice([0, 1, 0xFFFF]) for v in values]
+        for i, v in enumerate(values):
+            frames.append((f"r{n:03}", i, i * 1.5, f"{n}".encode(), v))
+            if last is None or None in (last[0], v) or (last[0] ^ v).bit_count() > 4:
+                shown.append(i)
+                last = (v,)
+        reads = [(i, i * 1.5, k, float(n)) for i in shown for k in (0, 1)] + [(99, 0.0, 0, float(n))]
+        error = {7: "away", 8: "wrong", 9: "'frame_index'"}.get(n)
+        want[f"r{n:03}"] = (values[0], error and error != "wrong" and error, None if error else len(shown), [] if error else reads)
+
+    def read(shown):
+        n = int(shown[0][2])
+        if n == 7:
+            raise RuntimeError("away")
+        amount = "ten" if n == 8 else n  # no number: the run's error, not the job's
+        return [{} if n == 9 else {"frame_index": i, "amount": amount} for i, _, _ in shown for _ in (0, 1)] + [{"frame_index": 99, "amount": amount}], len(shown), 1
+
+    rnd.shuffle(frames)
+    table = spark.createDataFrame(frames, "run_id string, frame_index int, frame_ts double, image binary, dhash long")
+    got = {r.run_id: (r.dhash, r.error, r.input_tokens, [(x.frame_index, x.frame_ts, x.row_pos, x.amount) for x in r.reads]) for r in read_frames(table, read, 4).collect()}
+    assert got.pop("r008")[1] and want.pop("r008") and got == want
+    # a run costs as much as its frames do, with nothing beside for a group
+    many = spark.range(40_000).select(F.col("id").cast("string").alias("run_id"), F.lit(0).alias("frame_index"), F.lit(0.0).alias("frame_ts"), F.lit(b"1").alias("image"), F.col("id").alias("dhash"))
+    began = time.monotonic()
+    assert read_frames(many, read, 4).agg(F.sum("input_tokens")).first()[0] == 40_000 and time.monotonic() - began < 30
+
+
 def test_two_writers_of_a_journal(spark, tmp_path, monkeypatch):
     path = (tmp_path / "journal").as_uri()
     rows = lambda *steps: spark.createDataFrame([(e, a, b, "staff", None, T0 + timedelta(hours=h), None) for e, a, b, h in steps], "enrollment_id string, from_state string, to_state string, actor string, note string, at timestamp, snapshot string")
